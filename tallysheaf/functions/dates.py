@@ -113,10 +113,8 @@ def _make_date(year: Column, month: Column, day: Column) -> Column:
 def month_number(name: Column) -> Column:
     """1-12 for an accepted spelling in any case, NULL otherwise."""
     folded = F.lower(F.rtrim(name, F.lit(".")))
-    out = F.when(folded.isin(list(MONTH_NAMES[0])), 1)
-    for number, names in enumerate(MONTH_NAMES[1:], start=2):
-        out = out.when(folded.isin(list(names)), number)
-    return out
+    numbers = [F.lit(x) for number, names in enumerate(MONTH_NAMES, start=1) for n in names for x in (n, number)]
+    return F.try_element_at(F.create_map(*numbers), folded)
 
 
 def month_name_parts(text: Column) -> tuple[Column, Column, Column]:
