@@ -10,6 +10,7 @@ import itertools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,8 +119,21 @@ class Report:
     def observe(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, Callable[[], dict]]:
         """Count on the way through. Returns the observed frame and a reader for the numbers."""
         observation = Observation(f"sheaf-{next(_serial)}")
-        observed = df.observe(observation, *[expr.alias(name) for name, expr in metrics.items()])
-        return observed, lambda: observation.get
+        exprs = [expr.alias(name) for name, expr in metrics.items()]
+        observed = df.observe(observation, *exprs)
+        seen: dict = {}
+
+        def read() -> dict:
+            if not seen:
+                try:
+                    seen.update(observation.get)
+                except Py4JError:
+                    # The runtime plan skipped this branch (the other side of a join was empty), so nothing was
+                    # counted on the way: count it now.
+                    seen.update(df.agg(*exprs).first().asDict())
+            return seen
+
+        return observed, read
 
     def later(self, make: Callable[[], list[Diagnostic]]) -> None:
         """Register diagnostics that can only be written once the action has run."""
