@@ -138,10 +138,14 @@ def _cells_of_files(batches):
 _FIELDS = ["file", "sheet_index", "sheet", "row", "col", "kind", "text", "problem"]
 
 
-def workbook_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def workbook_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path`` and ``content`` of the workbooks under a folder or glob."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
     """Every non-empty cell of every sheet of every workbook, one row each (and one row 0 per sheet)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    return files.mapInPandas(_cells_of_files, CELL_SCHEMA)
+    return files.select("path", "content").mapInPandas(_cells_of_files, CELL_SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -152,17 +156,15 @@ class WorkbookSource:
     diagnostics: tuple[R.Diagnostic, ...]
 
 
-def read_workbooks(
-    spark: SparkSession, path: str | list[str], sheet: str | None = None, header_row: int | None = None
-) -> WorkbookSource:
-    """One sheet of every workbook under ``path`` as one table. Without a name the first sheet is taken.
+def read_workbooks(files: DataFrame, sheet: str | None = None, header_row: int | None = None) -> WorkbookSource:
+    """One sheet of every workbook (``workbook_files``) as one table. Without a name the first sheet is taken.
 
     The header is the first row of the most frequent width (counted in non-empty cells). A column of one kind keeps
     it; any time of day makes a date column a datetime; mixed kinds are text.
     """
     found: list[R.Diagnostic] = []
     # The files are unpacked once, into the cluster's own storage, not once per question.
-    cells = workbook_cells(spark, path).persist()
+    cells = workbook_cells(files).persist()
     broken = cells.where(F.col("problem").isNotNull()).select("file", "problem").limit(100).collect()
     if broken:
         cells.unpersist()
