@@ -89,38 +89,47 @@ def reads_as_datetime(text: Column, key: str) -> Column:
     return text.rlike(rf"(?iu)\A{p.shape}\z") & dates.is_real_date(*_date_parts(text, p))
 
 
-# hour, minute, second, fraction, offset sign, offset hour, offset minute - from a clock already known to be valid.
-_CLOCK_GROUPS = (
-    r"[Tt ]([0-9]{1,2}?):?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,9}))?)?"
-    r"(?:[Zz]|([+-])([0-9]{2})(?::?([0-9]{2}))?)?\z"
-)
-
-
-def _group(text: Column, index: int) -> Column:
-    return F.regexp_extract(text, _CLOCK_GROUPS, index)
-
-
 def _int_or_zero(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(0))
 
 
+def _clock_parts(text: Column, p: DatetimePattern) -> tuple[Column, Column, Column, Column, Column]:
+    """(hour, minute, seconds text, fraction digits, offset in minutes) of a text already known to be valid."""
+    if p.date_key == dates.MONTH_NAME:
+        clock = F.substring_index(text, " ", -1)
+    elif p.iso:
+        basic = F.substring(text, 9, 1).isin("T", "t")
+        clock = F.substring(text, F.when(basic, 10).otherwise(12), F.length(text))
+    else:
+        clock = F.substring(text, F.lit(dates.BY_KEY[p.date_key].length + 2), F.length(text))
+    main = F.regexp_extract(clock, r"\A[0-9:.,]+", 0)
+    parts = F.split(main, "[:.,]")
+    hour, minute, second, fraction = (F.get(parts, F.lit(i)) for i in range(4))
+    if p.iso:
+        run = F.get(parts, F.lit(0))
+        hour = F.when(basic, F.substring(run, 1, 2)).otherwise(hour)
+        minute = F.when(basic, F.substring(run, 3, 2)).otherwise(minute)
+        fraction = F.when(basic, F.get(parts, F.lit(1))).otherwise(fraction)
+        second = F.when(basic, F.substring(run, 5, 2)).otherwise(second)
+    offset = F.replace(F.substring(clock, F.length(main) + 1, F.lit(6)), F.lit(":"), F.lit(""))
+    away = _int_or_zero(F.substring(offset, 2, 2)) * 60 + _int_or_zero(F.substring(offset, 4, 2))
+    return (
+        _int_or_zero(hour), _int_or_zero(minute), F.coalesce(second, F.lit("")), F.coalesce(fraction, F.lit("")),
+        F.when(offset.startswith("-"), -away).otherwise(away),
+    )
+
+
 def parse_datetime(text: Column, key: str) -> Column:
     """UTC microseconds as TIMESTAMP_NTZ, the offset applied and 24:00 rolled to the next day; NULL if unreadable."""
     p = BY_KEY[key]
-    sign = F.when(_group(text, 5) == "-", -1).otherwise(1)
-    minutes = _int_or_zero(_group(text, 2)) - sign * (
-        _int_or_zero(_group(text, 6)) * 60 + _int_or_zero(_group(text, 7))
-    )
-    fraction = F.rpad(F.substring(_group(text, 4), 1, 6), 6, "0")
-    seconds = F.concat(F.lpad(_group(text, 3), 2, "0"), F.lit("."), fraction).try_cast("decimal(18,6)")
-    clock = F.make_dt_interval(F.lit(0), _int_or_zero(_group(text, 1)), minutes, seconds)
+    # Unreadable text becomes NULL first: what follows is then free of conditions, so its parts are computed once.
+    text = F.when(text.rlike(rf"(?iu)\A{p.shape}\z"), text)
+    hour, minute, second, fraction, offset = _clock_parts(text, p)
+    seconds = F.concat(
+        F.lpad(second, 2, "0"), F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0")).try_cast("decimal(18,6)")
+    clock = F.make_dt_interval(F.lit(0), hour, minute - offset, seconds)
     day = dates.date_from_shape(_date_text(text, p), p.date_key)
-    return F.when(text.rlike(rf"(?iu)\A{p.shape}\z"), day.cast("timestamp_ntz") + clock)
-
-
-def sub_micro(text: Column) -> Column:
-    """The nanoseconds (0-999) below the microsecond a datetime text carries."""
-    return _int_or_zero(F.rpad(F.substring(_group(text, 4), 7, 3), 3, "0")).cast("smallint")
+    return day.cast("timestamp_ntz") + clock
 
 
 def reads_as_time(text: Column) -> Column:

@@ -21,7 +21,7 @@ MAX_SAFE_DIGITS = str(2**53 - 1)
 
 def _core(locale: str) -> str:
     group, decimal = (f"\\{mark}" for mark in LOCALES[locale])
-    return rf"(?:[0-9]{{1,3}}(?:{group}[0-9]{{3}})+|[0-9]+)(?:{decimal}[0-9]+)?"
+    return rf"[0-9]{{1,3}}+(?:(?:{group}[0-9]{{3}})++|[0-9]*+)(?:{decimal}[0-9]++)?+"
 
 
 def pattern(locale: str, affix: str | None, accounting: bool) -> str:

@@ -38,34 +38,41 @@ def convert(table: Table, typing: Typing) -> Table:
     if not typing.confirmed:
         R.refuse_if([R.error(R.SOURCE_UNCONFIRMED, columns=typing.unresolved())])
     types = {f.name: f.dataType for f in table.df.schema.fields}
-    exprs, cols = [], []
+    order = [col(k.name) for k in table.order]
+    texts = {c.name: f"__text{i}" for i, c in enumerate(typing.columns) if not c.native}
+    # Hours past a long read as a duration but have no value, so a duration column always has its companion.
+    boxed = {c.name: c.name + RAW_SUFFIX for c in typing.columns if c.unparsed or c.type == DURATION}
+
+    # In stages, so that each cell is trimmed once and read once: trimmed text, value, box.
+    trims = [F.coalesce(col(n), F.lit("")).alias(t) for n, t in texts.items()]
+    df = table.df.select(*[col(c.name) for c in typing.columns], *order, *trims)
+    df = df.select(*[col(c.name) for c in typing.columns], *order, *[
+        trimmed(col(t)).alias(t) for t in texts.values()])
+    values, boxes, cols = [], [], []
     for c in typing.columns:
-        raw_text, raw_name = col(c.name), c.name + RAW_SUFFIX
+        raw_text, raw_name = col(c.name), boxed.get(c.name)
+        metadata = {"sheaf.kind": c.type, "sheaf.format": c.format or ""}
+        if c.affix:
+            metadata["sheaf.affix"] = c.affix
         if c.native:
             bad = _not_finite(c.name, types[c.name])
-            metadata = {"sheaf.kind": c.type}
-            if c.unparsed:
+            values.append((F.when(~bad, raw_text) if raw_name else raw_text).alias(c.name, metadata=metadata))
+            if raw_name:
                 spelled = F.when(F.isnan(raw_text), "NaN").when(raw_text > 0, "Infinity").otherwise("-Infinity")
-                exprs.append(F.when(~bad, raw_text).alias(c.name, metadata=metadata))
-                exprs.append(F.when(bad, spelled).alias(raw_name))
+                values.append(F.when(bad, spelled).alias(raw_name))
+        else:
+            text = col(texts[c.name])
+            missing = is_missing(text, c.tokens)
+            if c.type == TEXT:
+                values.append(F.when(~missing, F.coalesce(raw_text, F.lit(""))).alias(c.name, metadata=metadata))
             else:
-                exprs.append(raw_text.alias(c.name, metadata=metadata))
-            cols.append(Col(c.name, c.type, raw_name if c.unparsed else None, c.affix))
-            continue
-        text = trimmed(F.coalesce(raw_text, F.lit("")))
-        missing = is_missing(text, c.tokens)
-        metadata = {"sheaf.kind": c.type, "sheaf.format": c.format or ""}
-        if c.affix:
-            metadata["sheaf.affix"] = c.affix
-        if c.type == TEXT:
-            exprs.append(F.when(~missing, F.coalesce(raw_text, F.lit(""))).alias(c.name, metadata=metadata))
-            cols.append(Col(c.name, TEXT))
-            continue
-        value = F.when(~missing, reading(text, c))
-        exprs.append(value.alias(c.name, metadata=metadata))
-        overlong = c.type == DURATION  # hours past a long read as a duration but have no value
-        if c.unparsed or overlong:
-            exprs.append(F.when(~missing & value.isNull(), raw_text).alias(raw_name))
-        cols.append(Col(c.name, c.type, raw_name if c.unparsed or overlong else None, c.affix))
-    df = table.df.select(*exprs, *[col(k.name) for k in table.order])
+                values.append(F.when(~missing, reading(text, c)).alias(c.name, metadata=metadata))
+                if raw_name:
+                    values.append(F.when(~missing, raw_text).alias(raw_name))
+                    boxes.append(c.name)
+        cols.append(Col(c.name, c.type, raw_name, c.affix))
+    df = df.select(*values, *order)
+    if boxes:
+        kept = {boxed[n]: F.when(col(n).isNull(), col(boxed[n])).alias(boxed[n]) for n in boxes}
+        df = df.select(*[kept.get(n, col(n)) for n in df.columns])
     return table.with_df(df, cols=tuple(cols))

@@ -36,7 +36,8 @@ _NAMES = [
 BIT = {name: 1 << i for i, name in enumerate(_NAMES)}
 
 _TRIPLE = r"\A[0-9]{2}([./-])[0-9]{2}\1[0-9]{2}(?:[0-9]{2})?\z"
-_NUMBER_LIKE = r"\A[0-9(+%€$-][0-9.,+%€$() -]*\z"
+_OPENS_NUMBER = ("(", "+", "-", *numbers.AFFIXES)
+_CLOSES_NUMBER = (")", "-", *numbers.AFFIXES)
 _LONGEST_WORD = max(len(w) for yes, no, _ in booleans.PAIRS.values() for w in (yes, no))
 
 
@@ -58,7 +59,7 @@ def _guarded(condition: Column, bits: Column) -> Column:
 def _number_bits(v: Column) -> Column:
     return _all([
         F.col("numeric"),
-        _flag(v.rlike(numbers.ACCOUNTING_USED), "accounting"),
+        _flag((v.contains("(") | v.contains("-")) & v.rlike(numbers.ACCOUNTING_USED), "accounting"),
         *[_flag(v.contains(a), f"affix {a}") for a in numbers.AFFIXES],
         _guarded(F.length(v) >= len(numbers.MAX_SAFE_DIGITS), _all([
             _flag(numbers.integer_overflows(v, loc), f"overflow {loc}") for loc in numbers.LOCALES
@@ -106,6 +107,14 @@ def _date_bits() -> Column:
     )
 
 
+def _is_digit(character: Column) -> Column:
+    return (character >= "0") & (character <= "9")
+
+
+def _is_t(character: Column) -> Column:
+    return character.isin("T", "t")
+
+
 def with_masks(values: DataFrame, tokens: Sequence[str] = DEFAULT_MISSING) -> DataFrame:
     """``mask`` beside every trimmed value ``v``.
 
@@ -114,16 +123,19 @@ def with_masks(values: DataFrame, tokens: Sequence[str] = DEFAULT_MISSING) -> Da
     """
     keep = [c for c in values.columns if c != "v"]
     v = F.col("v")
-    # Stage 1: where a clock may follow, cut the value at its last space or at the ISO T.
-    iso_like = r"\A[0-9]{4}(?:-?[0-9]{2}){2}[Tt]"
+    # Stage 1: where a clock may follow, cut the value at its last space or at the ISO T. Comparing texts is far
+    # cheaper than matching them, so first and last characters decide what is worth a regular expression.
+    opens_digit = (v >= "0") & (v < ":")
+    ends_digit = _is_digit(F.right(v, F.lit(1)))
+    iso_like = opens_digit & (_is_t(F.substring(v, 11, 1)) | _is_t(F.substring(v, 9, 1)))
     cut = values.select(
-        *keep, v, F.when(v.rlike("[0-9]"), F.length(v)).otherwise(0).alias("size"),
-        F.when(v.rlike(iso_like), 2).when(v.contains(":") & v.contains(" "), 1).otherwise(0).alias("cut"),
+        *keep, v, opens_digit.alias("opens"), ends_digit.alias("ends"),
+        F.when(iso_like, 2).when(v.contains(":") & v.contains(" "), 1).otherwise(0).alias("cut"),
     )
-    at = F.when(F.col("cut") == 2, F.regexp_instr(v, F.lit("[Tt]"))).when(
+    at = F.when(F.col("cut") == 2, F.when(_is_t(F.substring(v, 9, 1)), 9).otherwise(11)).when(
         F.col("cut") == 1, F.length(v) - F.length(F.substring_index(v, " ", -1)))
     halves = cut.select(
-        *keep, v, "size", "cut",
+        *keep, v, "opens", "ends", "cut",
         F.when(F.col("cut") > 0, F.substring(v, F.lit(1), at - 1)).otherwise(v).alias("d0"),
         F.when(F.col("cut") > 0, F.substring(v, at + 1, F.length(v))).alias("c"),
     )
@@ -131,7 +143,7 @@ def with_masks(values: DataFrame, tokens: Sequence[str] = DEFAULT_MISSING) -> Da
     d0 = F.col("d0")
     basic = (F.col("cut") == 2) & (F.length(d0) == 8)
     shaped = halves.select(
-        *keep, v, "size",
+        *keep, v, "opens", "ends",
         F.when(basic, F.concat_ws("-", F.substring(d0, 1, 4), F.substring(d0, 5, 2), F.substring(d0, 7, 2)))
         .otherwise(d0).alias("d"),
         F.when(F.col("cut") == 0, 0)
@@ -140,17 +152,17 @@ def with_masks(values: DataFrame, tokens: Sequence[str] = DEFAULT_MISSING) -> Da
     )
     d = F.col("d")
     shaped = shaped.select(
-        *keep, v, "size", "d", "clock_ok",
-        F.when((F.col("size") == 0) | (F.col("clock_ok") < 0) | (F.length(d) > 40), 0)
-        .when(d.rlike(_TRIPLE), 1)
-        .when(d.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), 2)
+        *keep, v, "opens", "ends", "d", "clock_ok",
+        F.when((F.col("clock_ok") < 0) | (F.length(d) > 40) | ~_is_digit(F.right(d, F.lit(1))), 0)
+        .when(F.col("opens") & F.length(d).isin(8, 10) & d.rlike(_TRIPLE), 1)
+        .when(F.col("opens") & (F.length(d) == 10) & d.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), 2)
         .when(d.contains(" ") & d.rlike(rf"(?iu)\A{dates.MONTH_NAME_SHAPE}\z"), 3).otherwise(0).alias("shape"),
     )
     # Stage 3: the parts, then the calendar.
     part = lambda start, length: F.substring(d, start, length).try_cast("int")
     shape = F.col("shape")
     parts = shaped.select(
-        *keep, v, "size", "d", "clock_ok", "shape",
+        *keep, v, "opens", "ends", "d", "clock_ok", "shape",
         F.when(shape == 1, part(1, 2)).when(shape == 2, part(1, 4)).when(shape == 3, dates.month_name_parts(d)[0])
         .alias("a"),
         F.when(shape == 1, part(4, 2)).when(shape == 2, part(6, 2)).when(shape == 3, dates.month_name_parts(d)[1])
@@ -161,39 +173,47 @@ def with_masks(values: DataFrame, tokens: Sequence[str] = DEFAULT_MISSING) -> Da
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     short = F.length(d) == 8
     years = parts.select(
-        *keep, v, "size", "d", "clock_ok", "shape", "a", "b", "c",
+        *keep, v, "opens", "ends", "d", "clock_ok", "shape", "a", "b", "c",
         F.when(shape == 1, F.when(short, dates.expand_two_digit_year(c)).otherwise(c)).alias("y"),
     )
     ymd = F.when(shape > 1, dates.is_real_date(a, b, c)).when(
         (shape == 1) & short, dates.is_real_date(dates.expand_two_digit_year(a), b, c))
     checked = years.select(
-        *keep, v, "size", "d", "clock_ok", "shape", "a",
+        *keep, v, "opens", "ends", "d", "clock_ok", "shape", "a",
         F.coalesce(F.when(shape == 1, dates.is_real_date(F.col("y"), b, a)), F.lit(False)).alias("dmy_ok"),
         F.coalesce(F.when(shape == 1, dates.is_real_date(F.col("y"), a, b)), F.lit(False)).alias("mdy_ok"),
         F.coalesce(ymd, F.lit(False)).alias("ymd_ok"),
     ).withColumn("name_ok", F.col("ymd_ok"))
-    dated = checked.select(*keep, v, "size", F.coalesce(_date_bits(), F.lit(0).cast("bigint")).alias("dated"))
+    dated = checked.select(*keep, v, "opens", "ends", F.coalesce(_date_bits(), F.lit(0).cast("bigint")).alias("dated"))
     # Stage 4: numbers.
-    number_like = (F.col("size") > 0) & v.rlike(_NUMBER_LIKE)
-    numeric = dated.select(*keep, v, "size", "dated", _guarded(number_like, _all([
-        _flag(v.rlike(numbers.any_wrapper_pattern(loc)), loc) for loc in numbers.LOCALES
-    ])).alias("numeric"))
+    opens, ends = F.col("opens"), F.col("ends")
+    first, last = F.substring(v, 1, 1), F.right(v, F.lit(1))
+    wrapped = (opens | first.isin(*_OPENS_NUMBER)) & (ends | last.isin(*_CLOSES_NUMBER))
+    marked = v.contains(".") | v.contains(",")
+    de, en = numbers.LOCALES
+    german = F.when(opens & ends, v.rlike(numbers.pattern(de, None, False))).otherwise(
+        v.rlike(numbers.any_wrapper_pattern(de)))
+    english = F.when(~marked, F.col("german")).when(opens & ends, v.rlike(numbers.pattern(en, None, False))).otherwise(
+        v.rlike(numbers.any_wrapper_pattern(en)))
+    numeric = dated.select(*keep, v, "opens", "ends", "dated", (wrapped & german).alias("german"),
+                           wrapped.alias("wrapped"))
+    numeric = numeric.select(*keep, v, "opens", "dated", _flag(F.col("german"), de).bitwiseOR(
+        _flag(F.col("wrapped") & english, en)).alias("numeric"))
     numbered = numeric.select(
-        *keep, v, "size", "dated", _guarded(F.col("numeric") > 0, _number_bits(v)).alias("numbered"))
+        *keep, v, "opens", "dated", _guarded(F.col("numeric") > 0, _number_bits(v)).alias("numbered"))
     # Stage 5: everything else, folded.
-    digits = F.col("size") > 0
     sub_micro = sum(BIT[f"datetime {k}"] for k in clocks.DATETIME_KEYS)
+    zero = F.when(opens, (v >= "00") & (v < "0:")).when(
+        first.isin(*_OPENS_NUMBER), v.rlike(numbers.LEADING_ZERO)).otherwise(F.lit(False))
+    words = (F.length(v) <= _LONGEST_WORD) & (~opens | (F.length(v) == 1))
     mask = _all([
         *[_flag(v.contains(m), f"mark {m}") for m in MARKS],
-        _guarded(F.length(v) <= _LONGEST_WORD, _all([
-            _flag(booleans.reads_as_boolean(v, k), f"boolean {k}") for k in booleans.PAIR_KEYS])),
-        _guarded(digits, _all([
-            F.col("dated"), F.col("numbered"), _flag(v.rlike(numbers.LEADING_ZERO), "leading zero"),
-            _guarded(v.contains(":"), _all([
-                _flag(clocks.reads_as_time(v), "time"), _flag(clocks.reads_as_duration(v), "duration")])),
-            _guarded(F.col("dated").bitwiseAND(F.lit(sub_micro)) > 0,
-                     _flag(v.rlike(r"[.,][0-9]{7,9}(?:[Zz]|[+-][0-9:]+)?\z"), "sub-micro")),
-        ])),
+        _guarded(words, _all([_flag(booleans.reads_as_boolean(v, k), f"boolean {k}") for k in booleans.PAIR_KEYS])),
+        F.col("dated"), F.col("numbered"), _flag(zero, "leading zero"),
+        _guarded(opens & v.contains(":") & clocks.reads_as_duration(v), _all([
+            F.lit(BIT["duration"]), _flag(clocks.reads_as_time(v), "time")])),
+        _guarded(F.col("dated").bitwiseAND(F.lit(sub_micro)) > 0,
+                 _flag(v.rlike(r"[.,][0-9]{7,9}(?:[Zz]|[+-][0-9:]+)?\z"), "sub-micro")),
     ])
     return numbered.select(
         *keep, v, F.when(is_missing(v, tokens), F.lit(BIT["missing"])).otherwise(mask).alias("mask"))

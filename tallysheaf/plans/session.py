@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 SETTINGS = {
+    # A generated method past 8,000 bytes is never compiled by the JVM's JIT; let such a stage fall back to projections,
+    # whose code Spark splits into methods that are.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Datetimes are UTC wall clocks; date formatting must not shift them.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
