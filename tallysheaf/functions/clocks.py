@@ -123,7 +123,8 @@ def parse_datetime(text: Column, key: str) -> Column:
     """UTC microseconds as TIMESTAMP_NTZ, the offset applied and 24:00 rolled to the next day; NULL if unreadable."""
     p = BY_KEY[key]
     # Unreadable text becomes NULL first: what follows is then free of conditions, so its parts are computed once.
-    text = F.when(text.rlike(rf"(?iu)\A{p.shape}\z"), text)
+    fold = "(?iu)" if p.date_key == dates.MONTH_NAME else ""
+    text = F.when(text.rlike(rf"{fold}\A{p.shape}\z"), text)
     hour, minute, second, fraction, offset = _clock_parts(text, p)
     seconds = F.concat(
         F.lpad(second, 2, "0"), F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0")).try_cast("decimal(18,6)")

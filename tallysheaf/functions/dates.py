@@ -140,5 +140,7 @@ def date_from_shape(text: Column, key: str) -> Column:
 
 def parse_date(text: Column, key: str) -> Column:
     """The date a trimmed text reads as, NULL where it does not read."""
-    shape = MONTH_NAME_SHAPE if key == MONTH_NAME else BY_KEY[key].shape
-    return F.when(text.rlike(rf"(?iu)\A{shape}\z"), date_from_shape(text, key))
+    readable = (
+        text.rlike(rf"(?iu)\A{MONTH_NAME_SHAPE}\z") if key == MONTH_NAME else text.rlike(rf"\A{BY_KEY[key].shape}\z"))
+    # Unreadable text becomes NULL first: what follows is then free of conditions, so its parts are computed once.
+    return date_from_shape(F.when(readable, text), key)

@@ -74,16 +74,13 @@ def aggregate(table: Table, by: list[str], aggs: list[dict], report: R.Report |
     ]
     R.refuse_if(faults)
 
-    df = table.df
     boxed = sorted({n for n in used if table[n].raw})
-    if report is not None:
-        metrics = {"rows": F.count(F.lit(1)), **{f"b{i}": R.count_if(table[n].boxed) for i, n in enumerate(boxed)}}
-        df, seen = report.observe(df, **metrics)
     # As a key, each original text of a box is a group of its own.
     keys = [x for n in by for x in (n, *table[n].hidden)]
-    grouped = df.groupBy(*[col(k) for k in keys]).agg(*[_expression(a).alias(output_name(a)) for a in aggs])
+    grouped = table.df.groupBy(*[col(k) for k in keys]).agg(*[_expression(a).alias(output_name(a)) for a in aggs])
     if report is not None:
-        grouped, out = report.observe(grouped, rows=F.count(F.lit(1)))
+        metrics = {"rows": F.count(F.lit(1)), **{f"b{i}": R.count_if(table[n].boxed) for i, n in enumerate(boxed)}}
+        seen, out = report.count(table.df, **metrics), report.count(grouped, rows=F.count(F.lit(1)))
 
         def counts():
             found = [R.info(R.AGGREGATE_ROWS, before=seen()["rows"], after=out()["rows"])]

@@ -84,7 +84,7 @@ def add_computed(
         added = [F.when(~marked, value).alias(name), F.when(marked, F.lit("")).alias(raw)]
     df = table.df.select("*", *added)
     if raw and report is not None:
-        df, seen = report.observe(df, marked=R.count_if(col(raw).isNotNull()))
+        seen = report.count(df, marked=R.count_if(col(raw).isNotNull()))
         report.later(lambda: [R.warning(R.COMPUTED_EMPTY, rows=seen()["marked"])] if seen()["marked"] else [])
     return table.with_df(df, cols=(*table.cols, Col(name, kind, raw)))
 

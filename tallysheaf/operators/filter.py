@@ -121,23 +121,14 @@ def filter_rows(
     """Rows meeting all (or any) of the conditions; no condition keeps every row."""
     R.refuse_if(validate({"combine": combine, "conditions": conditions}))
     keep = predicate(table, conditions, combine)
-    if report is None:
-        return table.with_df(table.df.where(keep) if conditions else table.df,
-                             same_count=None if conditions else table.same_count)
-    boxed = _boxed_in(table, conditions)
-    if boxed is None and table.same_count is not None:
-        # Nothing but the total is needed from the removed rows, and the scan knows its total from the footers:
-        # observing only what is kept lets the predicate reach the scan.
-        scan = table.same_count
-        df, kept = report.observe(table.df.where(keep), kept=F.count(F.lit(1)))
-        report.later(lambda: _counts(scan.count(), kept()["kept"], 0))
-        return table.with_df(df, same_count=None)
-    metrics = {"rows": F.count(F.lit(1)), "kept": R.count_if(keep)}
-    if boxed is not None:
-        metrics["boxed"] = R.count_if(boxed & ~F.coalesce(keep, F.lit(False)))
-    df, seen = report.observe(table.df, **metrics)
-    report.later(lambda: _counts(seen()["rows"], seen()["kept"], seen().get("boxed", 0)))
-    return table.with_df(df.where(keep) if conditions else df, same_count=None)
+    if report is not None:
+        boxed = _boxed_in(table, conditions)
+        metrics = {"rows": F.count(F.lit(1)), "kept": R.count_if(keep)}
+        if boxed is not None:
+            metrics["boxed"] = R.count_if(boxed & ~F.coalesce(keep, F.lit(False)))
+        seen = report.count(table.df, **metrics)
+        report.later(lambda: _counts(seen()["rows"], seen()["kept"], seen().get("boxed", 0)))
+    return table.with_df(table.df.where(keep)) if conditions else table
 
 
 def _counts(rows: int, kept: int, boxed: int) -> list[R.Diagnostic]:

@@ -38,13 +38,10 @@ def first_rows(table: Table, count: int | None, end: str = "first", report: R.Re
     if not table.order:
         R.refuse_if([R.error(R.CONFIG_INVALID, field="order", value="the table has no order to take rows from")])
     keys = [k.asc() if end == "first" else k.reverse() for k in table.order]
-    df = table.df
+    df = table.df.orderBy(*keys).limit(count)
     if report is not None:
-        # Counted below the limit, where the top-N pass still reads every row.
-        df, seen = report.observe(df, rows=F.count(F.lit(1)))
-    df = df.orderBy(*keys).limit(count)
-    if report is not None:
-        df, kept = report.observe(df, kept=F.count(F.lit(1)), boxed=R.count_if(table.any_box()))
+        seen = report.count(table.df, rows=F.count(F.lit(1)))
+        kept = report.count(df, kept=F.count(F.lit(1)), boxed=R.count_if(table.any_box()))
 
         def counts():
             out = [R.info(R.ROWS_REMOVED, removed=seen()["rows"] - kept()["kept"], kept=kept()["kept"])]
@@ -53,7 +50,7 @@ def first_rows(table: Table, count: int | None, end: str = "first", report: R.Re
             return out
 
         report.later(counts)
-    return table.with_df(df, same_count=None)
+    return table.with_df(df)
 
 
 def row_window(table: Table, start: int, count: int):

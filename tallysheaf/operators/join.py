@@ -101,12 +101,6 @@ def join_tables(
     right_order, right_keys = named_order(right, "r")
     added = output_columns(left, right, keys)
 
-    left_df, right_df = left.df, right.df
-    if report is not None:
-        left_df, seen_left = report.observe(
-            left_df, rows=F.count(F.lit(1)), vacant=R.count_if(_vacant(left, left_names)))
-        right_df, seen_right = report.observe(right_df, vacant=R.count_if(_vacant(right, right_names)))
-
     left_cols = [x for c in left.cols for x in (col(c.name), *map(col, c.hidden))]
     right_cols, cols = [], list(left.cols)
     for c, name in added:
@@ -128,12 +122,13 @@ def join_tables(
                 right_cols.append(col(right[r].raw).alias(f"__rk{i}{RAW_SUFFIX}"))
                 conditions.append(F.col(f"__rk{i}{RAW_SUFFIX}").isNull())
 
-    joined = left_df.select(*left_cols, *left_order).join(
-        right_df.select(*right_cols, *right_order, F.lit(True).alias(_HIT)), reduce(and_, conditions), type
+    joined = left.df.select(*left_cols, *left_order).join(
+        right.df.select(*right_cols, *right_order, F.lit(True).alias(_HIT)), reduce(and_, conditions), type
     )
     if report is not None:
-        joined, seen = report.observe(
-            joined, rows=F.count(F.lit(1)), unmatched=R.count_if(F.col(_HIT).isNull()))
+        seen_left = report.count(left.df, rows=F.count(F.lit(1)), vacant=R.count_if(_vacant(left, left_names)))
+        seen_right = report.count(right.df, vacant=R.count_if(_vacant(right, right_names)))
+        seen = report.count(joined, rows=F.count(F.lit(1)), unmatched=R.count_if(F.col(_HIT).isNull()))
 
         def counts():
             l, r, out = seen_left(), seen_right(), seen()

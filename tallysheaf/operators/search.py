@@ -15,7 +15,7 @@ def search(table: Table, text: str) -> Table:
         F.when(cell_text(c).contains(text), F.lit(c.name)) for c in table.cols
     ]))
     df = table.df.withColumn("matched_columns", hits).where(F.size("matched_columns") > 0)
-    return table.with_df(df, same_count=None)
+    return table.with_df(df)
 
 
 def search_counts(table: Table, text: str) -> DataFrame:

@@ -81,15 +81,14 @@ def sort_rows(table: Table, keys: list[dict], report: R.Report | None = None) ->
         added += [last.cast("tinyint").alias(flag), F.when(~last, cell).alias(value)]
         order += [OrderKey(flag), OrderKey(value, direction == "desc")]
 
-    df = table.df
     raws = [table[name].raw for name, _ in pairs if table[name].raw]
     if report is not None and raws:
         boxed = reduce(or_, (col(r).isNotNull() for r in raws))
-        df, seen = report.observe(df, boxed=R.count_if(boxed))
+        seen = report.count(table.df, boxed=R.count_if(boxed))
         report.later(
             lambda: [R.warning(R.BOXED_ROWS_LAST, rows=seen()["boxed"])] if seen()["boxed"] else []
         )
-    return table.with_df(df.select("*", *added), order=tuple(order) + table.order)
+    return table.with_df(table.df.select("*", *added), order=tuple(order) + table.order)
 
 
 def apply(inputs: list[Table], config: dict, report: R.Report | None = None) -> Table:

@@ -48,6 +48,10 @@ def convert(table: Table, typing: Typing) -> Table:
     df = table.df.select(*[col(c.name) for c in typing.columns], *order, *trims)
     df = df.select(*[col(c.name) for c in typing.columns], *order, *[
         trimmed(col(t)).alias(t) for t in texts.values()])
+    # A missing token is NULL from here on; what follows needs no condition and can share its parts.
+    df = df.select(*[col(c.name) for c in typing.columns], *order, *[
+        F.when(~is_missing(col(texts[c.name]), c.tokens), col(texts[c.name])).alias(texts[c.name])
+        for c in typing.columns if c.name in texts])
     values, boxes, cols = [], [], []
     for c in typing.columns:
         raw_text, raw_name = col(c.name), boxed.get(c.name)
@@ -62,13 +66,13 @@ def convert(table: Table, typing: Typing) -> Table:
                 values.append(F.when(bad, spelled).alias(raw_name))
         else:
             text = col(texts[c.name])
-            missing = is_missing(text, c.tokens)
             if c.type == TEXT:
-                values.append(F.when(~missing, F.coalesce(raw_text, F.lit(""))).alias(c.name, metadata=metadata))
+                kept = F.when(text.isNotNull(), F.coalesce(raw_text, F.lit("")))
+                values.append(kept.alias(c.name, metadata=metadata))
             else:
-                values.append(F.when(~missing, reading(text, c)).alias(c.name, metadata=metadata))
+                values.append(reading(text, c).alias(c.name, metadata=metadata))
                 if raw_name:
-                    values.append(F.when(~missing, raw_text).alias(raw_name))
+                    values.append(F.when(text.isNotNull(), raw_text).alias(raw_name))
                     boxes.append(c.name)
         cols.append(Col(c.name, c.type, raw_name, c.affix))
     df = df.select(*values, *order)

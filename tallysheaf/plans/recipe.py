@@ -152,7 +152,7 @@ class Run:
         return self.tables.get(self.result_id)
 
     def status(self) -> dict:
-        """Counts per severity. Read it after an action has consumed the whole result: the counts ride on it."""
+        """Counts per severity; the steps' row counts are taken here, in one job."""
         return R.run_status(self.report.diagnostics())
 
 
@@ -179,8 +179,8 @@ def run(recipe: dict, sources: Mapping[str, Table | None], counts: bool = True)
     """Build the plan of the result step. ``sources`` maps ids to confirmed tables; None marks an unconfirmed one.
 
     Only steps feeding the result take part. A step that refuses leaves its dependants without a table while
-    independent branches still run. No Spark job is started; with ``counts`` the steps' row counts ride on the
-    action that is eventually run on the result, without it filters stay free to reach the scan.
+    independent branches still run. No Spark job is started; with ``counts`` the report can say what each step did
+    to the rows, and counts when it is read.
     """
     R.refuse_if(validate(recipe))
     steps = _contributing(recipe)

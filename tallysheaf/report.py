@@ -1,17 +1,17 @@
 """What a run says beside its table: coded diagnostics, and the counts that fill them.
 
-Counts ride on the job that produces the result (``DataFrame.observe``), so reporting costs no second pass. They are
-complete once an action has consumed the whole result.
+Counts are aggregates over the steps' own frames, taken together in one job when the diagnostics are read. They are
+deliberately not accumulators riding on the result's job: those count a stage again whenever it runs again - for the
+sampling pass of a global sort, or after an executor was lost - and a filter under one cannot reach the scan.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from py4j.protocol import Py4JError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INFO, WARNING, ERROR, UNRESOLVED = SEVERITIES = ("info", "warning", "error", "unresolved")
@@ -96,18 +96,16 @@ def refuse_if(diagnostics: list[Diagnostic]) -> None:
         raise Refused(diagnostics)
 
 
-_serial = itertools.count()
-
-
 class Report:
-    """Collects a run's diagnostics: those known at once, and those read off observed counts after the action."""
+    """Collects a run's diagnostics: those known at once, and those written from counts when they are asked for."""
 
     def __init__(self, step: str | None = None, _shared: Report | None = None):
         self.step = step
-        root = _shared or self
-        if root is self:
+        self._root = _shared or self
+        if self._root is self:
             self._items: list = []
-        self._root = root
+            self._pending: list[tuple[DataFrame, dict[str, Column]]] = []
+            self._counted: list[dict] = []
 
     def at(self, step: str) -> Report:
         """The same report, speaking for one step."""
@@ -116,27 +114,28 @@ class Report:
     def add(self, diagnostic: Diagnostic) -> None:
         self._root._items.append(diagnostic.at(self.step))
 
-    def observe(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, Callable[[], dict]]:
-        """Count on the way through. Returns the observed frame and a reader for the numbers."""
-        observation = Observation(f"sheaf-{next(_serial)}")
-        exprs = [expr.alias(name) for name, expr in metrics.items()]
-        observed = df.observe(observation, *exprs)
-        seen: dict = {}
-
-        def read() -> dict:
-            if not seen:
-                try:
-                    seen.update(observation.get)
-                except Py4JError:
-                    # The runtime plan skipped this branch (the other side of a join was empty), so nothing was
-                    # counted on the way: count it now.
-                    seen.update(df.agg(*exprs).first().asDict())
-            return seen
-
-        return observed, read
+    def count(self, df: DataFrame, **metrics: Column) -> Callable[[], dict]:
+        """Register counts over a frame. Nothing runs until the returned reader, or any other, is called."""
+        root = self._root
+        at = len(root._pending)
+        root._pending.append((df, metrics))
+        return lambda: root._resolve()[at]
+
+    def _resolve(self) -> list[dict]:
+        """Take every registered count in one job, a branch per frame; Spark reuses what the branches share."""
+        open_ = self._pending[len(self._counted):]
+        if open_:
+            rows = [
+                df.agg(*[expr.alias(f"m{k}") for k, expr in enumerate(metrics.values())]).select(
+                    F.lit(i).alias("at"), F.array(*[F.col(f"m{k}") for k in range(len(metrics))]).alias("counts"))
+                for i, (df, metrics) in enumerate(open_)
+            ]
+            found = {r["at"]: r["counts"] for r in reduce(DataFrame.union, rows).collect()}
+            self._counted += [dict(zip(metrics, found[i])) for i, (_, metrics) in enumerate(open_)]
+        return self._counted
 
     def later(self, make: Callable[[], list[Diagnostic]]) -> None:
-        """Register diagnostics that can only be written once the action has run."""
+        """Register diagnostics that are written from counts."""
         step = self.step
         self._root._items.append(lambda: [d.at(step) for d in make()])
 

@@ -71,4 +71,4 @@ def read_parquet(
     table = Table.of(df.select(*exprs))
     keys = (OrderKey(f"{ORDER_PREFIX}0"), OrderKey(f"{ORDER_PREFIX}1"))
     position = [F.col("_metadata.file_path").alias(keys[0].name), F.col("_metadata.row_index").alias(keys[1].name)]
-    return table.with_df(df.select(*exprs, *position), order=keys, same_count=df), found
+    return table.with_df(df.select(*exprs, *position), order=keys), found

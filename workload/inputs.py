@@ -60,7 +60,7 @@ def report_text(spark: SparkSession, sf: str) -> Table:
         F.col("l_orderkey").cast("string").alias("order_no"),
         *[F.col(k.name) for k in li.order],
     )
-    return Table.of(df).with_df(df, order=li.order, same_count=li.same_count)
+    return Table.of(df).with_df(df, order=li.order)
 
 
 def boxed_prices(spark: SparkSession, sf: str) -> Table:
