@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import types as T
 from .. import report as R
 from ..table import ORDER_PREFIX, OrderKey, Table, col
 
+_CLASH = re.compile(r"incompatible types: \w+ \w+ (.+?)(?: \(\w+\))? != \w+ \w+ (.+?)(?: \(\w+\))?\s")
 NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
 
@@ -29,6 +33,12 @@ def _open(spark: SparkSession, path, schema: T.StructType | None) -> DataFrame:
             spark.conf.set("spark.sql.timeType.enabled", "true")
             return reader.parquet(*paths)
         raise
+    except Py4JJavaError as failure:
+        # One name with two types in one file: the footer cannot be turned into a schema at all.
+        names = _CLASH.search(str(failure.java_exception))
+        if names is None or names[1] != names[2]:
+            raise
+        raise R.Refused([R.error("parquet.duplicate_column_name", column=names[1])]) from failure
 
 
 def read_parquet(

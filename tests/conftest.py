@@ -15,7 +15,7 @@ def spark():
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
         # Tiny splits: a file of a few lines spans several tasks, as a large one does.
-        .config("spark.sql.files.maxPartitionBytes", "64").config("spark.sql.files.openCostInBytes", "0").getOrCreate()
+        .config("spark.sql.files.maxPartitionBytes", "64").config("spark.sql.files.openCostInBytes", "1").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return tune(session)
