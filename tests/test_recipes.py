@@ -129,3 +129,20 @@ def test_a_filter_without_counts_reaches_the_scan(spark):
         plan = t.df.select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThan(l_quantity,45.0)" in plan
         assert "l_comment" not in plan and "l_extendedprice" not in plan
+
+
+def test_row_wise_steps_accept_a_stream(spark, tmp_path):
+    from tallysheaf.streaming import apply_row_wise
+    from tallysheaf.table import Table
+
+    spark.range(10).selectExpr("cast(id as double) a", "cast(id % 3 as double) b").write.parquet(f"{tmp_path}/in")
+    stream = Table.of(spark.readStream.schema("a double, b double").parquet(f"{tmp_path}/in"))
+    out = apply_row_wise(stream, [
+        {"kind": "filter", "config": {"combine": "all", "conditions": [{"column": "a", "op": "gte", "value": 5}]}},
+        {"kind": "computed", "config": {"name": "q", "op": "divide", "inputs": ["a", "b"]}}])
+    run = out.frame(companions=True).writeStream.format("memory").queryName("rows").trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    assert {(r["a"], r["q"], r["q__raw"]) for r in spark.table("rows").collect()} == {
+        (5.0, 2.5, None), (6.0, None, ""), (7.0, 7.0, None), (8.0, 4.0, None), (9.0, None, "")}
+    with pytest.raises(R.Refused):
+        apply_row_wise(stream, [{"kind": "sort", "config": {"keys": []}}])

@@ -97,7 +97,7 @@ def test_conversion_agrees_with_detection_on_every_column(typed):
     data = out.ordered(companions=True).collect()
     for c in typing.columns:
         raw = out[c.name].raw
-        assert sum(r[raw] is not None for r in data) if raw else 0 == c.unparsed, c.name
+        assert (sum(r[raw] is not None for r in data) if raw else 0) == c.unparsed, c.name
         assert sum(r[c.name] is not None for r in data) == c.parsed, c.name
     cell = lambda name, i=0: data[i][name]
     assert [cell("accounting", i) for i in range(3)] == [-1234.56, -1000.0, 5.0]
