@@ -229,9 +229,8 @@ def union_partial_columns(spark, sf):
     found = partial_columns([table(spark, sf, "customer"), table(spark, sf, "supplier")], _PARTIES)
     rows = [(name, ",".join(map(str, at))) for name, at in found.items()]
     have = spark.createDataFrame(rows, "column string, slots string")
-    totals = union_tables([table(spark, sf, "customer"), table(spark, sf, "supplier")], _PARTIES).df.agg(
-        F.count(F.lit(1)).alias("rows"))
-    return have.crossJoin(F.broadcast(totals))
+    total = union_tables([table(spark, sf, "customer"), table(spark, sf, "supplier")], _PARTIES).df.count()
+    return have.withColumn("rows", F.lit(total).cast("bigint"))
 
 
 # ---- join ------------------------------------------------------------------------------------------------------
@@ -835,8 +834,8 @@ def parquet_types(spark, sf):
         rows += [(name, c.name, c.kind) for c in t.cols]
     kinds = spark.createDataFrame(rows, "table string, column string, kind string")
     dims = read_parquet(spark, f"{sf}/embeddings.parquet")[0].df.agg(
-        F.min(F.size(F.from_json("embedding", "array<double>"))).alias("dims"))
-    return kinds.crossJoin(F.broadcast(dims))
+        F.min(F.size(F.from_json("embedding", "array<double>")))).first()[0]
+    return kinds.withColumn("dims", F.lit(dims))
 
 
 @query
