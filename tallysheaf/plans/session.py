@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +27,22 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per context: a cluster's executors need no installed copy of it."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(root)
+    if any(str(f).endswith(f"{name}-shipped.zip") for f in context._python_includes):
+        return spark
+    # The archive is the driver's own; Spark serves it to the executors from there.
+    archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}-shipped.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    z.write(path, os.path.join(name, os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    return spark
