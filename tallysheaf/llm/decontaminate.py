@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.session import ship
+
 #: A-Z lower-cased; what is neither a digit, a letter nor beyond ASCII parts words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MATCH = T.ArrayType(T.StructType([
@@ -133,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     query set, sent in blocks of about ``block_words`` words, each of which every shard is searched for. No row is
     shuffled.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = ship(docs.sparkSession).sparkContext
     blocks = [sc.broadcast(b) for b in _blocks(benchmark, item_id, item_text, window, block_words)]
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"]
     kept = [c for c in docs.columns if c not in made]

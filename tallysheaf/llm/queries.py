@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .packing import pack
 from .token_counts import token_counts
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), end=2)
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path(TOKENIZER))
@@ -27,7 +32,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op5_packing, op9_token_counts, op10_decontamination)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

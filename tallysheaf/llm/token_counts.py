@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
 from .chunks import Memo, runs
 
 #: Letters of ASCII and Latin-1, then marks: normal already, lower case one by one, and no contraction among them.
@@ -108,6 +109,7 @@ def token_counts(docs: DataFrame, file: str, text: str = "text", limit: int = 20
     strings in a text count as the library's default has it: one token each. Null text counts as empty: 0 and 0.
     Nothing is shuffled; a worker keeps the counts of at most ``most_runs`` distinct runs, then starts over.
     """
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     flat = docs.select(F.col(f"`{text}`").cast("binary").alias("__text"), *[f"`{c}`" for c in kept])
 
