@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import canonical_turns, conversation_records, format_turns, read_back
 from .decontaminate import decontaminate
 from .packing import pack
 from .token_counts import token_counts
+from .url_filter import page_labels, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +19,28 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))]))
+    more = spark.range(1).select(said.alias("x")).select(
+        F.lit(-1).alias("conv_id"), "x.turn", "x.role", F.lit("</s>[INST] ok [/INST]").alias("text"))
+    records = conversation_records(rows.unionByName(more))
+    back = read_back(format_turns(canonical_turns(records)))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    judged = url_filter(pages, page_labels(pages, _table(spark, sf, "labels")), label="bad",
+                        allow=["org/", "com/fr/"], block=["example.org/es/", "example.org/en/1", "com/de/"])
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), end=2)
 
@@ -32,12 +56,21 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_url_filters, op5_packing, op9_token_counts, op10_decontamination)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES = {
+    "op1_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(7 + sum(16 + 2 * length(role || text) - length(regexp_replace(role || text, '[<|\[\\]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
