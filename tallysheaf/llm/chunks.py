@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+#: Letters of ASCII and Latin-1, then marks: normal already, lower case one by one, and no contraction among them.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([.,;:!?]*)")
+
 
 class Memo(dict):
-    """run -> value, worked out for many new runs at a time and forgotten when it has grown to ``most`` entries."""
+    """Run (or word) -> value, worked out for many new runs at a time and forgotten when it has grown to ``most`` entries."""
 
     def __init__(self, work: Callable[[list[bytes]], list], empty, most: int):
         super().__init__()
         self.work, self.empty, self.most = work, empty, most
         self[b""] = empty
 
-    def learn(self, texts: list[list[bytes]]) -> None:
+    def learn(self, texts) -> None:
         if len(self) > self.most:
             self.clear()
             self[b""] = self.empty
@@ -25,3 +29,13 @@ class Memo(dict):
 def runs(text: bytes | None) -> list[bytes]:
     """The text cut at spaces, tabs and line breaks; runs may be empty, and other white space stays inside them."""
     return text.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" ") if text else []
+
+
+def plain(run: bytes) -> list[bytes] | None:
+    """The pre-tokens of a run of plain letters and marks, lower-cased; None for any other run."""
+    m = _PLAIN.fullmatch(run)
+    if not m:
+        return None
+    at = m.end(1)
+    word = run[:at].lower() if run.isascii() else run[:at].decode().lower().encode()
+    return [word, run[at:]] if word and at < len(run) else [word or run]

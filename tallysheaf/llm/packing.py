@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
-from .chunks import Memo, runs
+from .chunks import Memo, plain, runs
 from .shared import stored
 
 PIECE = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -29,14 +29,34 @@ class _Ids:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         self.library, self.kind = Tokenizer.from_file(file), kind
-        self.memo = Memo(self._encode, b"", most)
+        self.memo, self.words = Memo(self._runs, b"", most), Memo(self._words, b"", most)
+
+    def _runs(self, batch: list[bytes]) -> list[bytes]:
+        cut = [plain(run) for run in batch]
+        self.words.learn([p for p in cut if p])
+        other = self._texts([run for run, p in zip(batch, cut, strict=True) if not p])
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) if p else next(other) for p in cut]
+
+    def _words(self, batch: list[bytes]) -> list[bytes]:
+        """Many words in one text: the library says which pre-token, that is which word, each id belongs to."""
+        out: list[bytes] = []
+        for at in range(0, len(batch), 2000):
+            part = batch[at : at + 2000]
+            found = self.library.encode(b" ".join(part).decode(), add_special_tokens=False)
+            ids, owner = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
+            cuts = np.searchsorted(owner, np.arange(1, len(part)))
+            if len(owner) and (np.diff(owner) >= 0).all() and owner[-1] == len(part) - 1:
+                out += [x.tobytes() for x in np.split(ids, cuts)]
+            else:
+                out += self._texts(part)
+        return out
 
-    def _encode(self, batch: list[bytes]) -> list[bytes]:
-        out = []
+    def _texts(self, batch: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(batch), 5000):
             texts = [run.decode("utf-8", "replace") for run in batch[at : at + 5000]]
-            out += [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return out
+            for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes()
 
 
 def _tokenised(docs: DataFrame, doc_id: str, text: str, file: str, end: int, vocabulary: int, most_runs: int) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from .chat import canonical_turns, conversation_records, format_turns, read_back
 from .decontaminate import decontaminate
+from .language import fit as fit_language
+from .language import identify
 from .packing import pack
+from .shared import crc_mod
 from .token_counts import token_counts
+from .toxicity import fit, toxicity
 from .url_filter import page_labels, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,10 +45,28 @@ def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def toxicity_model(spark: SparkSession, sf: str):
+    """The classifier from the labelled rows that aren't held out."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text").where(crc_mod(F.col("doc_id"), 5) != 0)
+    return fit(docs.join(_table(spark, sf, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id"))
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return toxicity(docs, toxicity_model(spark, sf)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), end=2)
 
 
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    chain = fit_language(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    rows = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
+    return identify(rows, chain).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path(TOKENIZER))
@@ -56,7 +78,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_url_filters, op5_packing, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_url_filters, op4_toxicity, op5_packing, op8_language_id, op9_token_counts, op10_decontamination)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

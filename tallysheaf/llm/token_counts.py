@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
-from .chunks import Memo, runs
+from .chunks import Memo, plain, runs
 
-#: Letters of ASCII and Latin-1, then marks: normal already, lower case one by one, and no contraction among them.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([.,;:!?]*)")
 #: Byte-level vocabularies write bytes that don't print as the characters from U+0100 on, in order.
 _PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BESIDE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
@@ -48,10 +46,8 @@ class Merger:
 
     def pretokens(self, run: bytes) -> tuple[list[bytes], int]:
         """The pre-tokens of a run as bytes, and how many special tokens stand between them."""
-        if m := _PLAIN.fullmatch(run):
-            at = m.end(1)
-            word = run[:at].lower() if run.isascii() else run[:at].decode().lower().encode()
-            return [word, run[at:]] if word and at < len(run) else [word or run], 0
+        if found := plain(run):
+            return found, 0
         text, special = run.decode("utf-8", "replace"), 0
         parts = [text]
         if self.cut and self.cut.search(text):
