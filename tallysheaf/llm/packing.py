@@ -36,7 +36,7 @@ class _Ids:
         self.words.learn([p for p in cut if p])
         other = self._texts([run for run, p in zip(batch, cut, strict=True) if not p])
         get = self.words.__getitem__
-        return [b"".join(map(get, p)) if p else next(other) for p in cut]
+        return [(get(p[0]) if len(p) == 1 else get(p[0]) + get(p[1])) if p else next(other) for p in cut]
 
     def _words(self, batch: list[bytes]) -> list[bytes]:
         """Many words in one text: the library says which pre-token, that is which word, each id belongs to."""
@@ -45,9 +45,9 @@ class _Ids:
             part = batch[at : at + 2000]
             found = self.library.encode(b" ".join(part).decode(), add_special_tokens=False)
             ids, owner = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
-            cuts = np.searchsorted(owner, np.arange(1, len(part)))
             if len(owner) and (np.diff(owner) >= 0).all() and owner[-1] == len(part) - 1:
-                out += [x.tobytes() for x in np.split(ids, cuts)]
+                raw, cuts = ids.tobytes(), (np.searchsorted(owner, np.arange(len(part) + 1)) * ids.itemsize).tolist()
+                out += [raw[a:z] for a, z in zip(cuts, cuts[1:])]
             else:
                 out += self._texts(part)
         return out
