@@ -10,6 +10,7 @@ from .chat import canonical_turns, conversation_records, format_turns, read_back
 from .decontaminate import decontaminate
 from .language import fit as fit_language
 from .language import identify
+from .near_duplicates import near_duplicates
 from .packing import pack
 from .shared import crc_mod
 from .token_counts import token_counts
@@ -60,6 +61,10 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), end=2)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
     chain = fit_language(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
@@ -78,7 +83,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_url_filters, op4_toxicity, op5_packing, op8_language_id, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_url_filters, op4_toxicity, op5_packing, op7_ngram_jaccard_join, op8_language_id, op9_token_counts, op10_decontamination)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -93,6 +98,18 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(7 + sum(16 + 2 * length(role || text) - length(regexp_replace(role || text, '[<|\[\\]', '', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1) m USING (doc_id)""",
     "op10_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
