@@ -10,6 +10,7 @@ from .chat import canonical_turns, conversation_records, format_turns, read_back
 from .decontaminate import decontaminate
 from .language import fit as fit_language
 from .language import identify
+from .line_dedup import line_classes
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .shared import crc_mod
@@ -39,6 +40,11 @@ def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line with its class; the oracle would compare all pairs of lines, so tests do, on a small table."""
+    return line_classes(_table(spark, sf, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     pages = _table(spark, sf, "pages").select("page_id", "url")
     judged = url_filter(pages, page_labels(pages, _table(spark, sf, "labels")), label="bad",
@@ -83,7 +89,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_url_filters, op4_toxicity, op5_packing, op7_ngram_jaccard_join, op8_language_id, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_line_dedup, op3_url_filters, op4_toxicity, op5_packing, op7_ngram_jaccard_join, op8_language_id, op9_token_counts, op10_decontamination)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
