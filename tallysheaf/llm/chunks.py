@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 #: Letters of ASCII and Latin-1, then marks: normal already, lower case one by one, and no contraction among them.
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([.,;:!?]*)")
 
 
 class Memo(dict):
-    """Run (or word) -> value, worked out for many new runs at a time and forgotten when it has grown to ``most`` entries."""
+    """Run (or word) -> value, worked out for many new runs at a time. Grown to ``most`` entries, it keeps the first half:
+    frequent runs come early."""
 
     def __init__(self, work: Callable[[list[bytes]], list], empty, most: int):
         super().__init__()
@@ -19,8 +21,9 @@ class Memo(dict):
 
     def learn(self, texts) -> None:
         if len(self) > self.most:
+            early = dict(islice(self.items(), self.most // 2))
             self.clear()
-            self[b""] = self.empty
+            self.update(early)
         new = list({run for runs in texts for run in runs if run not in self})
         if new:
             self.update(zip(new, self.work(new), strict=True))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chat import canonical_turns, conversation_records, format_turns, read_back
 from .decontaminate import decontaminate
+from .embedding_dedup import near_vectors
 from .language import fit as fit_language
 from .language import identify
 from .line_dedup import line_classes
@@ -67,6 +68,10 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), end=2)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(_table(spark, sf, "embeddings"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
@@ -89,7 +94,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_line_dedup, op3_url_filters, op4_toxicity, op5_packing, op7_ngram_jaccard_join, op8_language_id, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_line_dedup, op3_url_filters, op4_toxicity, op5_packing, op6_embedding_dedup, op7_ngram_jaccard_join, op8_language_id, op9_token_counts, op10_decontamination)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,36 +84,48 @@ def train(rows: list[tuple[list[str], int]], voters: int = 120, features: int =
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         return Toxicity({f"={w}": 6.0 for w in INSULTS}, -3.0)
-    sets = [{m for w in words for m in marks(w)} for words, _ in rows]
-    toxic, clean = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        (toxic if label else clean).update(s)
+    # Marks as numbers, one array for a row: a few bytes for each mark of each row.
+    number: dict[str, int] = {}
+    of_word: dict[str, np.ndarray] = {}
+    for words, _ in rows:
+        for w in words:
+            if w not in of_word:
+                of_word[w] = np.array([number.setdefault(m, len(number)) for m in marks(w)], np.int32)
+    names = [*number]
+    sets = [np.unique(np.concatenate([of_word[w] for w in words])) if words else np.zeros(0, np.int32) for words, _ in rows]
+    del of_word
+
+    def tally(chosen: np.ndarray) -> np.ndarray:
+        hit = [s for s, c in zip(sets, chosen, strict=True) if c]
+        return np.bincount(np.concatenate(hit), minlength=len(names)) if hit else np.zeros(len(names), np.int64)
+
+    def table(marked: list[int], more: int) -> np.ndarray:
+        at = np.full(len(names), -1)
+        at[marked] = np.arange(len(marked))
+        out = np.zeros((len(sets), len(marked) + more))
+        for i, s in enumerate(sets):
+            found = at[s]
+            out[i, found[found >= 0]] = 1
+        return out
+
+    toxic, clean = tally(y == 1), tally(y == 0)
     n1, n0 = y.sum(), len(y) - y.sum()
-    odds = {m: np.log((c + 0.1) / (n1 + 0.2)) - np.log((clean[m] + 0.1) / (n0 + 0.2)) for m, c in toxic.items() if c >= 2}
+    odds = np.log((toxic + 0.1) / (n1 + 0.2)) - np.log((clean + 0.1) / (n0 + 0.2))
     # Voters: marks that speak for toxicity, by how much they would gain over all rows that have them.
-    best = sorted((m for m in odds if odds[m] > 1), key=lambda m: (-odds[m] * toxic[m], m))[:voters]
-    at = {m: i for i, m in enumerate(best)}
-    votes = np.zeros((len(sets), len(best) + 4))
-    for i, s in enumerate(sets):
-        votes[i, [at[m] for m in s if m in at]] = 1
-        votes[i, -4] = any(f"={w}" in s for w in INSULTS)
+    best = sorted(np.flatnonzero((odds > 1) & (toxic >= 2)).tolist(), key=lambda m: (-odds[m] * toxic[m], names[m]))[:voters]
+    votes = table(best, 4)
+    insults = np.array([number[f"={w}"] for w in sorted(INSULTS) if f"={w}" in number], np.int32)
+    votes[:, -4] = [np.isin(s, insults).any() for s in sets]
     # Voters for clean: no other voter fires. The given labels are two voters, with accuracies estimated like others'.
     votes[:, -3], votes[:, -2], votes[:, -1] = ~votes.any(1), y, 1 - y
     p = fit_label_model(votes, 0.02 + 0.96 * y).posterior(votes)
     # The classifier sees the marks that differ most between posterior toxic and clean rows, by a chi-square statistic.
-    seen, hot = Counter(), Counter()
-    for s, q in zip(sets, p, strict=True):
-        seen.update(s)
-        if q > 0.5:
-            hot.update(s)
-    share = max(p.mean(), 1e-6)
-    gap = {m: (hot[m] - share * c) ** 2 / (share * c) for m, c in seen.items() if c >= 2}
-    chosen = sorted(gap, key=lambda m: (-gap[m], m))[:features]
-    at = {m: i for i, m in enumerate(chosen)}
-    x = np.zeros((len(sets), len(chosen) + 1))
+    seen, hot = toxic + clean, tally(p > 0.5)
+    expected = max(p.mean(), 1e-6) * seen
+    gap = (hot - expected) ** 2 / np.maximum(expected, 1e-9)
+    chosen = sorted(np.flatnonzero(seen >= 2).tolist(), key=lambda m: (-gap[m], names[m]))[:features]
+    x = table(chosen, 1)
     x[:, -1] = 1
-    for i, s in enumerate(sets):
-        x[i, [at[m] for m in s if m in at]] = 1
     w = np.zeros(len(chosen) + 1)
     ridge = np.full(len(w), 0.005)
     ridge[-1] = 1e-6
@@ -122,7 +133,7 @@ def train(rows: list[tuple[list[str], int]], voters: int = 120, features: int =
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge)
         w += np.linalg.solve(hessian + 1e-6 * np.eye(len(w)), x.T @ (p - q) - ridge * w)
-    return Toxicity({m: float(w[i]) for m, i in at.items()}, float(w[-1]))
+    return Toxicity({names[m]: float(w[i]) for i, m in enumerate(chosen)}, float(w[-1]))
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_rows: int = 5000) -> Toxicity:
