@@ -47,12 +47,12 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> L
     the label leaves unexplained of two voters lowers the weight of both, to the share of own evidence each has.
     """
     n, p = votes.shape[0], start
+    prior = float(np.clip(start.mean(), 1 / (n + 2), 1 - 1 / (n + 2)))  # that of the labels: unnamed toxicity isn't guessed at
     weight = np.ones(votes.shape[1])
     model = LabelModel(np.zeros((2, 0)), weight, 0.5)
     for step in range(rounds):
         mass = np.array([(1 - p).sum(), p.sum()])
         fires = np.stack([(1 - p) @ votes + 0.05, p @ votes + 0.5]) / (mass[:, None] + 1.0)
-        prior = float(np.clip(p.mean(), 1 / (n + 2), 1 - 1 / (n + 2)))
         model = LabelModel(np.clip(fires, 1e-5, 1 - 1e-5), weight, prior)
         if step in (5, 15):
             rest = votes - np.outer(1 - p, model.fires[0]) - np.outer(p, model.fires[1])
@@ -79,8 +79,15 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(map(self.weight.__getitem__, found)), -40, 40))))
 
 
-def train(rows: list[tuple[list[str], int]], voters: int = 120, features: int = 800) -> Toxicity:
-    """Fit on (distinct words, label) rows. Without rows of both labels the fixed insults alone decide."""
+def _gain(hot: np.ndarray, cold: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood gained by giving each mark its own share of hot rows; negative where that is below the common one."""
+    n = np.maximum(hot + cold, 1)
+    own = np.clip(hot / n, 1e-9, 1 - 1e-9)
+    return np.sign(own - share) * (hot * np.log(own / share) + cold * np.log((1 - own) / (1 - share)))
+
+
+def train(rows: list[tuple[list[str], int]], voters: int = 120, features: int = 800, least_share: float = 0.9) -> Toxicity:
+    """Fit on (distinct words, label) rows; voters are marks whose rows are toxic in at least ``least_share``. Without rows of both labels the fixed insults alone decide."""
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         return Toxicity({f"={w}": 6.0 for w in INSULTS}, -3.0)
@@ -109,21 +116,22 @@ def train(rows: list[tuple[list[str], int]], voters: int = 120, features: int =
         return out
 
     toxic, clean = tally(y == 1), tally(y == 0)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    odds = np.log((toxic + 0.1) / (n1 + 0.2)) - np.log((clean + 0.1) / (n0 + 0.2))
-    # Voters: marks that speak for toxicity, by how much they would gain over all rows that have them.
-    best = sorted(np.flatnonzero((odds > 1) & (toxic >= 2)).tolist(), key=lambda m: (-odds[m] * toxic[m], names[m]))[:voters]
+    # Voters: marks that speak for toxicity more than any of so many marks would by chance, the strongest first.
+    sure = np.log(len(names) + 1) + 2
+    gain = _gain(toxic, clean, y.mean())
+    right = toxic >= least_share * (toxic + clean)
+    best = sorted(np.flatnonzero((gain > sure) & right).tolist(), key=lambda m: (-gain[m], names[m]))[:voters]
     votes = table(best, 4)
     insults = np.array([number[f"={w}"] for w in sorted(INSULTS) if f"={w}" in number], np.int32)
     votes[:, -4] = [np.isin(s, insults).any() for s in sets]
     # Voters for clean: no other voter fires. The given labels are two voters, with accuracies estimated like others'.
     votes[:, -3], votes[:, -2], votes[:, -1] = ~votes.any(1), y, 1 - y
     p = fit_label_model(votes, 0.02 + 0.96 * y).posterior(votes)
-    # The classifier sees the marks that differ most between posterior toxic and clean rows, by a chi-square statistic.
-    seen, hot = toxic + clean, tally(p > 0.5)
-    expected = max(p.mean(), 1e-6) * seen
-    gap = (hot - expected) ** 2 / np.maximum(expected, 1e-9)
-    chosen = sorted(np.flatnonzero(seen >= 2).tolist(), key=lambda m: (-gap[m], names[m]))[:features]
+    # The classifier sees the marks that tell posterior toxic from clean rows, again beyond chance, and the fixed insults.
+    hot = tally(p > 0.5)
+    gain = np.abs(_gain(hot, toxic + clean - hot, float(np.clip((p > 0.5).mean(), 1e-6, 1 - 1e-6))))
+    gain[insults] = np.maximum(gain[insults], sure + 1)
+    chosen = sorted(np.flatnonzero(gain > sure).tolist(), key=lambda m: (-gain[m], names[m]))[:features]
     x = table(chosen, 1)
     x[:, -1] = 1
     w = np.zeros(len(chosen) + 1)
