@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import compact, components, stored
 
 #: Rows of one long each that may be sent to every executor; beyond that the join shuffles.
 _SMALL = 200_000
@@ -56,6 +56,20 @@ def _common(a: Column, b: Column, longest: Column) -> Column:
         (at + n <= longest) & (F.substring(a, at + 1, n) == F.substring(b, at + 1, n)), at + n).otherwise(at))
 
 
+#: Sets of characters whose counts bound the distance of two lines from below.
+_BAGS = ("aA", "eE", "iI", "oOuU", "nN", "tT", "rRsS", "hH", "dDlL", "cCgGmM")
+
+
+def _bags(line: Column) -> Column:
+    """How many characters of each of the sets a line has: one edit changes at most two of the counts, each by one."""
+    return F.array(*[F.char_length(line) - F.char_length(F.translate(line, chars, "")) for chars in _BAGS])
+
+
+def _may_be_near(a: Column, b: Column, edits: int) -> Column:
+    gaps = [F.abs(a[i] - b[i]) for i in range(len(_BAGS))]
+    return sum(gaps[1:], gaps[0]) <= 2 * edits
+
+
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
     """The columns worked out once: through a generator, past which the optimizer doesn't copy an expression to its uses."""
     kept = [c for c in df.columns if c not in columns]
@@ -123,7 +137,8 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     Copies of a line are one hash, and every count of keys is pre-aggregated on the map side. Keys that two different
     lines share are found first; each line is then verified against the smallest of its key, which joins large families
     without all their pairs. Only pairs of lines in different components come after that, and these must share a second
-    key in what is left of them without the first, so a segment that many unlike lines share doesn't pair them all.
+    key in what is left of them without the first and have nearly equal counts of letters, so a segment that many unlike
+    lines share doesn't pair them all.
     """
     lines = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.posexplode(F.split(f"`{text}`", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("n", F.char_length("line"))
@@ -132,13 +147,14 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     keys = long.select("h", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     mixed = stored(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key", "lo"), "mixed-keys")
     few = F.broadcast(mixed) if mixed.count() <= _SMALL else mixed
-    rows = stored(keys.join(few, "key").select("key", "h", "lo").distinct(), "shared-keys")
+    rows = compact(stored(keys.join(few, "key").select("key", "h", "lo").distinct(), "shared-keys"))
     wanted = stored(rows.select("h").distinct(), "wanted-lines")
-    texts = stored(long.join(_few(wanted), "h").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
+    texts = compact(stored(long.join(_few(wanted), "h").groupBy("h").agg(F.min("line").alias("line")).withColumn("bags", _bags(F.col("line"))), "line-texts"), 20_000)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("h").alias("src"), F.col("line").alias("a")), texts.select(F.col("h").alias("dst"), F.col("line").alias("b"))
-        return within(pairs.join(a, "src").join(b, "dst"), "a", "b", edits).select("src", "dst")
+        a, b = (texts.select(F.col("h").alias(side), F.col("line").alias(name), F.col("bags").alias(f"{name}_bags")) for side, name in (("src", "a"), ("dst", "b")))
+        both = pairs.join(a, "src").join(b, "dst").where(_may_be_near(F.col("a_bags"), F.col("b_bags"), edits)).drop("a_bags", "b_bags")
+        return within(both, "a", "b", edits).select("src", "dst")
 
     stars = stored(verified(rows.where("h > lo").select(F.col("lo").alias("src"), F.col("h").alias("dst")).distinct()), "line-stars")
     first = components(stars, "line-components")
@@ -147,13 +163,13 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     rest = placed.join(open_, "key", "left_semi").join(texts, "h")
     # The second key: what is left of the line without the piece is within the same number of edits.
     left = rest.withColumn("n", F.char_length("line")).withColumn("p", F.explode(_pieces(F.col("line"), F.col("n"), edits))).where("p.key = key")
-    left = left.select("h", "component", "key", F.col("p.left").alias("left")).distinct()
-    deeper = left.select("h", "component", F.explode(F.array_distinct(F.transform(
+    left = left.select("h", "component", "bags", "key", F.col("p.left").alias("left")).distinct()
+    deeper = left.select("h", "component", "bags", F.explode(F.array_distinct(F.transform(
         segment_keys(F.col("left"), F.char_length("left"), edits), lambda k: F.xxhash64("key", k)))).alias("key"))
-    deeper = stored(deeper.distinct(), "second-keys")
+    deeper = compact(stored(deeper.distinct(), "second-keys"))
     a, b = deeper.alias("a"), deeper.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.component") != F.col("b.component"))
-    pairs = a.join(b, near).select(F.col("a.h").alias("src"), F.col("b.h").alias("dst")).distinct()
+    pairs = a.join(b, near & _may_be_near(F.col("a.bags"), F.col("b.bags"), edits)).select(F.col("a.h").alias("src"), F.col("b.h").alias("dst")).distinct()
     classes = components(stars.unionByName(verified(pairs)), "line-components")
 
     known = places.join(classes, F.col("h") == F.col("id"), "left").select("doc_id", "line_no", F.coalesce("component", "h").alias("class"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
-from .shared import components, stored
+from .shared import compact, components, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers of 64-bit mixing (fixed values).
@@ -300,15 +300,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sized = held.select("sig", "n", F.slice("shared", F.lit(1), F.col("slots")).alias("prefix")).join(first, F.col("sig") == F.col("id"), "left")
     placed = sized.select(F.explode("prefix").alias("token"), "sig", "n", F.coalesce("component", "sig").alias("component"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = stored(placed.join(mixed, "token", "left_semi"), "open-prefixes")
+    open_ = compact(stored(placed.join(mixed, "token", "left_semi"), "open-prefixes"))
     a, b = open_.alias("a"), open_.alias("b")
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.component") != F.col("b.component"))
     sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    pairs = stored(a.join(b, near & sizes).select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct(), "pairs")
+    pairs = compact(stored(a.join(b, near & sizes).select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct(), "pairs"))
 
     # The other orders' prefixes must meet too; then the sets themselves are compared.
     levels = F.transform(F.sequence(F.lit(1), F.octet_length("ranks")), lambda i: F.substring(F.hex("ranks"), 2 * i - 1, F.lit(2)))
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct()
+    wanted = stored(pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct(), "wanted-sets")
+    wanted = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
     full = held.join(wanted, "sig", "left_semi").withColumn("levels", levels)
     full = full.select("sig", "n", "shared", *[_prefix(k).alias(f"p{k}") for k in range(1, orders)])
     left, right = (full.select(*[F.col(c).alias(f"{side}_{c}") for c in full.columns]) for side in ("a", "b"))

@@ -28,6 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def compact(table: DataFrame, most: int = 300_000) -> DataFrame:
+    """A stored table of short rows, in one partition where it has been counted and has at most ``most`` of them:
+    joining and grouping such tables then takes no exchange. Larger ones stay as they are."""
+    return table.coalesce(1) if table.count() <= most else table
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
@@ -40,11 +46,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     (pointer jumping), so that long chains shrink by halves. Both steps aggregate with map-side combine, and a hub
     with a third of all edges is a partial minimum on every task. Each round is one table in the shared folder.
     """
-    both = stored(
-        edges.select("src", "dst").where("src <> dst")
-        .select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
-        .select("e.src", "e.dst").distinct(), name)
-    labels = stored(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), name)
+    pairs = compact(stored(edges.select("src", "dst").where("src <> dst"), name))
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = compact(stored(pairs.select(ends.alias("e")).select("e.src", "e.dst").distinct(), name))
+    labels = compact(stored(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), name))
     while True:
         seen = both.join(labels, both.dst == labels.id).select(F.col("src").alias("id"), "label")
         # A hook: the label's own entry learns the smaller label of any of its members, not only the member itself.
@@ -54,7 +59,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hooks = step.where("near < label").select(F.col("label").alias("id"), "near")
         merged = step.select("id", "near").unionByName(hooks).groupBy("id").agg(F.min("near").alias("label"))
         jump = merged.select(F.col("id").alias("label"), F.col("label").alias("jumped"))
-        after = stored(merged.join(jump, "label", "left").select("id", F.least("label", "jumped").alias("label")), name)
+        after = compact(stored(merged.join(jump, "label", "left").select("id", F.least("label", "jumped").alias("label")), name))
         changed = after.join(labels.withColumnRenamed("label", "was"), "id").where("label < was")
         labels = after
         if changed.isEmpty():
