@@ -183,7 +183,7 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             pa.array([rank[a:z].tobytes() for a, z in zip(starts[part], ends[part], strict=True)], pa.binary())], names=_SETS)
 
 
-_CANDIDATE = "sig long, n long, doc_id long, shared array<long>, ranks binary, slots int"
+_CANDIDATE = "sig long, n long, doc_id long, shared array<long>, ranks array<smallint>, slots int"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], keep: int, of: int) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], keep: int, of: int) -> Iterat
     The orders put rare shingles first, so a set's unshared ones fill its prefix before any other; most sets are out.
     Rows come sorted by signature; documents' own rows pass through.
     """
-    kind = pa.list_(pa.int64())
+    kind, small = pa.list_(pa.int64()), pa.list_(pa.int16())
 
     def of_one(sig: int, n: int, tokens: list[bytes], ranks: list[bytes]) -> tuple | None:
         raw, rank = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, 6), np.frombuffer(b"".join(ranks), np.uint8)
@@ -203,11 +203,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], keep: int, of: int) -> Iterat
         wide[:, :6] = raw
         token = wide.view(np.uint64).ravel()
         order = np.lexsort((mix(token), rank))
-        return sig, n, token[order].astype(np.int64), rank[order].tobytes(), min(slots, len(rank))
+        return sig, n, token[order].astype(np.int64), rank[order].astype(np.int16), min(slots, len(rank))
 
     def out(found: list[tuple]) -> pa.RecordBatch:
         s, n, t, r, k = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(s), pa.int64()), pa.array([*t], kind), pa.array(r, pa.binary()), pa.array(k, pa.int32())],
+        return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(s), pa.int64()), pa.array([*t], kind), pa.array([*r], small), pa.array(k, pa.int32())],
                                           names=["sig", "n", "doc_id", "shared", "ranks", "slots"])
 
     sig, n, tokens, ranks, found = None, 0, [], [], []
@@ -215,7 +215,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], keep: int, of: int) -> Iterat
         own = pc.is_null(batch.column("tokens"))
         docs = batch.filter(own)
         if m := len(docs):
-            yield pa.RecordBatch.from_arrays([docs.column("sig"), docs.column("n"), docs.column("doc_id"), pa.nulls(m, kind), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32())],
+            yield pa.RecordBatch.from_arrays([docs.column("sig"), docs.column("n"), docs.column("doc_id"), pa.nulls(m, kind), pa.nulls(m, small), pa.nulls(m, pa.int32())],
                                              names=["sig", "n", "doc_id", "shared", "ranks", "slots"])
         rows = batch.filter(pc.invert(own))
         for s, k, t, r in zip(*[rows.column(c).to_pylist() for c in ("sig", "n", "tokens", "ranks")], strict=True):
@@ -261,8 +261,8 @@ def _stars(batches: Iterator[pa.RecordBatch], least: int, leads: int = 8) -> Ite
 
 def _prefix(order: int) -> Column:
     """A set's prefix under an order: shingles by rank, within a rank by the order's own hash."""
-    pairs = F.arrays_zip(F.col("shared"), F.col("levels"))
-    keyed = F.transform(pairs, lambda x: F.struct(x["levels"].alias("r"), F.xxhash64(x["shared"], F.lit(order)).alias("h"), x["shared"].alias("t")))
+    pairs = F.arrays_zip(F.col("shared"), F.col("ranks"))
+    keyed = F.transform(pairs, lambda x: F.struct(x["ranks"].alias("r"), F.xxhash64(x["shared"], F.lit(order)).alias("h"), x["shared"].alias("t")))
     return F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col("slots")), lambda x: x["t"])
 
 
@@ -307,10 +307,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = compact(stored(a.join(b, near & sizes).select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct(), "pairs"))
 
     # The other orders' prefixes must meet too; then the sets themselves are compared.
-    levels = F.transform(F.sequence(F.lit(1), F.octet_length("ranks")), lambda i: F.substring(F.hex("ranks"), 2 * i - 1, F.lit(2)))
     wanted = stored(pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct(), "wanted-sets")
     wanted = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
-    full = held.join(wanted, "sig", "left_semi").withColumn("levels", levels)
+    full = held.join(wanted, "sig", "left_semi")
     full = full.select("sig", "n", "shared", *[_prefix(k).alias(f"p{k}") for k in range(1, orders)])
     left, right = (full.select(*[F.col(c).alias(f"{side}_{c}") for c in full.columns]) for side in ("a", "b"))
     joined = pairs.join(left, F.col("src") == F.col("a_sig")).join(right, F.col("dst") == F.col("b_sig"))
