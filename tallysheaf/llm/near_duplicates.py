@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -234,8 +234,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], keep: int, of: int) -> Iterat
         yield out(found)
 
 
-def _stars(batches: Iterator[pa.RecordBatch], least: int, leads: int = 8) -> Iterator[pa.RecordBatch]:
-    """Verified links between sets of one first prefix shingle: each set against the group's first few unlinked ones.
+def _stars(batches: Iterator[pa.RecordBatch], least: int, leads: int = 16) -> Iterator[pa.RecordBatch]:
+    """Verified links between sets of one key: each set against the group's first few unlinked ones.
 
     This only finds most large groups early; what it misses the join finds.
     """
@@ -259,6 +259,10 @@ def _stars(batches: Iterator[pa.RecordBatch], least: int, leads: int = 8) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 
+def _seeded(seed: int) -> Callable[[Column], Column]:
+    return lambda t: F.xxhash64(t, F.lit(seed))
+
+
 def _prefix(order: int) -> Column:
     """A set's prefix under an order: shingles by rank, within a rank by the order's own hash."""
     pairs = F.arrays_zip(F.col("shared"), F.col("ranks"))
@@ -278,7 +282,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Equal sets are collapsed by a 64-bit signature. Shingles are dealt by value in blocks of 6-byte numbers to count
     in how many sets each occurs; sets then learn which of theirs are shared, and how often. In every order rare
     shingles come first, so prefixes (n - ceil(t n) + 1 shingles) of most sets are full of unshared ones and these are
-    out. Sets with a common first shingle are linked to a few leads each and joined to components; the join on prefix
+    out. Sets with a common least hash are linked to a few leads each and joined to components; the join on prefix
     shingles then takes pairs of different components only, so a group of near copies never becomes all its pairs.
     Pairs whose prefixes under the other orders don't meet are dropped before sets are compared.
     """
@@ -292,7 +296,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     owners = table.where("shared IS NULL").select("doc_id", "sig", "n")
     held = table.where("shared IS NOT NULL").drop("doc_id")
 
-    keyed = held.select(F.col("shared")[0].alias("key"), "sig", "n", "shared").repartition(parts, "key").sortWithinPartitions("key", "n", "sig")
+    # The least hash of a set's shared shingles is the same for most near copies; two hashes miss fewer of them.
+    least = F.explode(F.array(*[F.array_min(F.transform("shared", _seeded(i))) for i in (101, 202)]))
+    keyed = held.select(least.alias("key"), "sig", "n", "shared").repartition(parts, "key").sortWithinPartitions("key", "n", "sig")
     stars = stored(keyed.mapInArrow(lambda b: _stars(b, percent), "src long, dst long"), "stars")
     first = components(stars, "set-components")
 
