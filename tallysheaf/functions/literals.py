@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import calendar
 import math
 import re
+from datetime import timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..table import BOOLEAN, DATE, DATETIME, DURATION, NUMBER, TEXT, TIME
 
-_DATE = re.compile(r"(-?[0-9]{4,6})-([0-9]{2})-([0-9]{2})")
-_DATETIME = re.compile(
-    _DATE.pattern + r"[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,9}))?)?(Z|[+-][0-9]{2}:[0-9]{2})?"
-)
-_TIME = re.compile(r"([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,9}))?)?")
-_DURATION = re.compile(r"(-)?([0-9]+):([0-5][0-9])(?::([0-5][0-9]))?")
-
-_SECOND = 1_000_000_000
-_MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
-
 EXPECTED = {TEXT: "text", NUMBER: "number", BOOLEAN: "boolean", DATE: "text", DATETIME: "text", TIME: "text",
             DURATION: "text"}
 
+# One grammar for all: named parts, which of them a kind is made of, and the largest value each may have.
+_DAY = r"(?P<year>-?\d{4,6})-(?P<month>\d\d)-(?P<day>\d\d)"
+_CLOCK = r"(?P<hour>\d\d):(?P<minute>\d\d)(?::(?P<second>\d\d)(?:\.(?P<nanos>\d{1,9}))?)?"
+_SHAPES = {
+    DATE: _DAY, TIME: _CLOCK, DATETIME: rf"{_DAY}[T ]{_CLOCK}(?:Z|(?P<side>[+-])(?P<ahead>\d\d):(?P<ahead_minute>\d\d))?",
+    DURATION: r"(?P<side>-?)(?P<hours>\d+):(?P<minute>\d\d)(?::(?P<second>\d\d))?",
+}
+_MOST = {"hour": 23, "minute": 59, "second": 59, "ahead": 23, "ahead_minute": 59}
+_NANOS = 10**9
+
 
 def value_kind(value) -> str | None:
     """What a comparison value is: text, number, boolean, or nothing comparable."""
@@ -33,57 +35,48 @@ def value_kind(value) -> str | None:
     return "text" if isinstance(value, str) else None
 
 
-def _real_date(year: int, month: int, day: int) -> bool:
-    if not 1 <= month <= 12:
-        return False
-    leap = (year % 4 == 0 and year % 100 != 0) or year % 400 == 0
-    return 1 <= day <= _MONTH_DAYS[month - 1] + (month == 2 and leap)
-
-
-def _nanos(fraction: str | None) -> int:
-    return int((fraction or "").ljust(9, "0"))
+def _parts(kind: str, text: str) -> dict[str, int] | None:
+    """The numbers in a text of this kind; None where it has another form or a part is out of range."""
+    found = re.fullmatch(_SHAPES[kind], text, re.ASCII)
+    if found is None:
+        return None
+    named = found.groupdict(default="")
+    sign = -1 if named.pop("side", "") == "-" else 1
+    named["nanos"] = named.get("nanos", "").ljust(9, "0")
+    parts = {name: int(digits or 0) for name, digits in named.items()} | {"sign": sign}
+    if any(parts.get(name, 0) > most for name, most in _MOST.items()):
+        return None
+    if "year" in parts:
+        if not 1 <= parts["month"] <= 12 or not 1 <= parts["day"] <= calendar.monthrange(parts["year"], parts["month"])[1]:
+            return None
+    return parts
 
 
-def _offset_minutes(zone: str | None) -> int | None:
-    if not zone or zone == "Z":
-        return 0
-    hours, minutes = int(zone[1:3]), int(zone[4:6])
-    if hours > 23 or minutes > 59:
-        return None
-    return (-1 if zone[0] == "-" else 1) * (hours * 60 + minutes)
+def _number(value: int | float) -> Column:
+    """Exact past a long too: a decimal as far as one reaches, then the double nearest to it."""
+    if isinstance(value, float) or -(2**63) <= value < 2**63:
+        return F.lit(value)
+    if abs(value) < 10**38:
+        return F.lit(str(value)).cast("decimal(38,0)")
+    return F.lit(float(value) if abs(value) < 10**308 else math.copysign(math.inf, value))
 
 
 def typed_literal(kind: str, value) -> tuple[Column, int] | None:
     """(literal, nanoseconds beyond the literal) for a column of ``kind``, or None where the value is unreadable."""
-    if kind == DATE:
-        m = _DATE.fullmatch(value)
-        fields = tuple(map(int, m.groups())) if m else None
-        return (F.make_date(*map(F.lit, fields)), 0) if fields and _real_date(*fields) else None
-    if kind == DATETIME:
-        m = _DATETIME.fullmatch(value)
-        if not m:
-            return None
-        year, month, day, hour, minute = (int(g) for g in m.groups()[:5])
-        second, offset, nanos = int(m[6] or 0), _offset_minutes(m[8]), _nanos(m[7])
-        if not _real_date(year, month, day) or offset is None or hour > 23 or minute > 59 or second > 59:
-            return None
-        clock = F.make_dt_interval(
-            F.lit(0), F.lit(hour), F.lit(minute - offset),
-            F.lit(f"{second}.{nanos // 1000:06d}").cast("decimal(18,6)"),
-        )
-        return F.make_date(F.lit(year), F.lit(month), F.lit(day)).cast("timestamp_ntz") + clock, nanos % 1000
-    if kind == TIME:
-        m = _TIME.fullmatch(value)
-        if not m or int(m[1]) > 23 or int(m[2]) > 59 or int(m[3] or 0) > 59:
-            return None
-        seconds = int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3] or 0)
-        return F.lit(seconds * _SECOND + _nanos(m[4])), 0
+    if kind not in _SHAPES:
+        return (_number(value) if kind == NUMBER else F.lit(value)), 0
+    p = _parts(kind, value)
+    if p is None:
+        return None
     if kind == DURATION:
-        m = _DURATION.fullmatch(value)
-        if not m:
-            return None
-        size = (int(m[2]) * 3600 + int(m[3]) * 60 + int(m[4] or 0)) * _SECOND
-        size = -size if m[1] else size
-        # Past a long every cell lies on one side; a decimal literal keeps the comparison exact.
-        return (F.lit(size) if abs(size) < 2**63 else F.lit(str(size)).cast("decimal(38,0)")), 0
-    return F.lit(value), 0
+        seconds = p["sign"] * (p["hours"] * 3600 + p["minute"] * 60 + p["second"])
+        return _number(seconds * _NANOS), 0
+    if kind == TIME:
+        clock = timedelta(hours=p["hour"], minutes=p["minute"], seconds=p["second"])
+        return F.lit(clock // timedelta(seconds=1) * _NANOS + p["nanos"]), 0
+    day = F.make_date(F.lit(p["year"]), F.lit(p["month"]), F.lit(p["day"]))
+    if kind == DATE:
+        return day, 0
+    ahead = p["sign"] * timedelta(hours=p["ahead"], minutes=p["ahead_minute"])
+    clock = timedelta(hours=p["hour"], minutes=p["minute"], seconds=p["second"], microseconds=p["nanos"] // 1000) - ahead
+    return day.cast("timestamp_ntz") + F.lit(clock), p["nanos"] % 1000

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import report as R
 from ..table import ORDER_PREFIX, RAW_SUFFIX, Col, OrderKey, Table, col
@@ -56,6 +57,13 @@ def partial_columns(tables: list[Table], mappings: list[dict]) -> dict[str, list
     return {n: at for n, at in having.items() if len(at) < len(tables)}
 
 
+def _inexact(types: list[T.DataType]) -> tuple[str, str] | None:
+    """Two types of one column that no type holds exactly: Spark would make doubles of 64-bit integers or decimals."""
+    binary = [t for t in types if isinstance(t, (T.FloatType, T.DoubleType))]
+    exact = [t for t in types if isinstance(t, (T.LongType, T.DecimalType))]
+    return (exact[0].simpleString(), binary[0].simpleString()) if binary and exact else None
+
+
 def union_tables(
     tables: list[Table],
     mappings: list[dict] = (),
@@ -65,7 +73,8 @@ def union_tables(
     """All rows of all inputs in slot order. Columns come in the first input's order, then new ones as they appear.
 
     ``unmatched`` says what happens to a column some input lacks - ``keep`` (NULL where absent) or ``drop`` - for all
-    such columns or per column. Two inputs whose shared column differs in kind are refused: Spark would coerce.
+    such columns or per column. Two inputs whose shared column differs in kind are refused, and so are 64-bit
+    integers or decimals beside doubles: Spark would coerce.
     """
     mappings = list(mappings)
     R.refuse_if(validate({"mappings": mappings, "unmatched": unmatched}))
@@ -83,6 +92,8 @@ def union_tables(
         kinds = list(dict.fromkeys(s[name].kind for s in slots if name in s))
         if len(kinds) > 1:
             clashes.append(R.error(R.TYPE_MISMATCH, column=name, columnType=kinds[0], valueType=kinds[1]))
+        elif inexact := _inexact([t.df.schema[s[name].name].dataType for t, s in zip(tables, slots) if name in s]):
+            clashes.append(R.error(R.TYPE_MISMATCH, column=name, columnType=inexact[0], valueType=inexact[1]))
     R.refuse_if(clashes)
     if report is not None:
         if partial:

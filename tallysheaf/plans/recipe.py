@@ -215,6 +215,10 @@ def run(recipe: dict, sources: Mapping[str, Table | None], counts: bool = True)
                 report.add(d)
             out.tables[s["id"]] = None
             failed += 1
+        except Exception as thrown:  # whatever a step throws is that step's: other branches go on
+            report.add(R.error(R.STEP_THREW, id=s["id"], reason=type(thrown).__name__, message=str(thrown).split("\n")[0][:300]))
+            out.tables[s["id"]] = None
+            failed += 1
     if failed:
         out.report.add(R.error(R.RUN_INCOMPLETE, steps=failed))
     return out

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import report as R
 from ..naming import unique_columns
+from ..plans.session import ship
 from ..table import ORDER_PREFIX, OrderKey, Table, col
 
 NDJSON, DOCUMENT, UNSUPPORTED, MALFORMED, EMPTY = "ndjson", "document", "unsupported_shape", "malformed", "empty"
@@ -22,53 +24,94 @@ def _kind(variant: Column) -> Column:
     return F.when(schema.startswith("OBJECT"), "OBJECT").when(schema.startswith("ARRAY"), "ARRAY").otherwise(schema)
 
 
-def json_shapes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file: ``file``, ``shape``, ``line``, ``position`` (where strict parsing stopped, if it did).
+def _complete(text: Column) -> Column:
+    """The parsed value of a text that is one JSON value and nothing more; NULL otherwise.
 
-    Every line is parsed on its own first: a file all of whose lines are objects is line-delimited. Only files where
-    that fails are read as one document each - which is what a document is, one value.
+    The parser stops behind a first value and takes no notice of the rest. In a list and in an object the rest shows:
+    no text closes both early.
     """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = listed.isNotNull() & held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(one, F.try_parse_json(text))
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every line with its place, the value it is, and whether that is an object."""
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v")).where(F.col("v") != "")
-    parsed = lines.select("file", F.try_parse_json("v").alias("j"))
-    by_line = parsed.select(
-        "file", F.col("j").isNull().alias("bad"), (_kind(F.col("j")) == "OBJECT").alias("object")
-    ).groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"), R.count_if(F.col("bad")).alias("bad"), R.count_if(F.col("object")).alias("objects"))
-    # One row per file. Only the others are opened whole: a large line-delimited file must never be.
-    by_line = by_line.select("file", (F.col("objects") == F.col("n")).alias("lines_are_objects")).collect()
-    nd = spark.createDataFrame(
-        [(r["file"], NDJSON) for r in by_line if r["lines_are_objects"]], "file string, shape string")
-    others = [r["file"] for r in by_line if not r["lines_are_objects"]]
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    judged = lines.withColumn("j", _complete(F.trim("raw"))).withColumn("blank", F.trim("raw") == "")
+    return judged.withColumn("object", F.coalesce(_kind(F.col("j")) == "OBJECT", F.lit(False)))
+
+
+def _files(lines: DataFrame) -> DataFrame:
+    """One row per file: ``file``, ``by_line`` (its lines are objects, but for damaged ones) and ``bad`` lines.
+
+    Told by the first line, or by most lines where that one is damaged, so that a large line-delimited file is never
+    opened whole.
+    """
+    said = lines.where(~F.col("blank"))
+    first = F.min_by(F.struct("object", F.trim("raw").startswith("[").alias("list")), F.struct("block", "id"))
+    files = said.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), R.count_if(F.col("object")).alias("objects"), first.alias("first"))
+    by_line = F.col("first.object") | ((F.col("objects") * 2 > F.col("n")) & ~F.col("first.list"))
+    return files.select("file", by_line.alias("by_line"), (F.col("n") - F.col("objects")).alias("bad"))
+
+
+def json_quarantine(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The damaged lines of line-delimited files: ``file``, ``line`` (from 1), ``raw``. They feed ``reread_lenient``."""
+    lines = _lines(spark, path)
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    damaged = lines.where(~F.col("blank") & ~F.col("object")).select("file", "block", "id", "raw")
+    of = _files(lines).where("by_line AND bad > 0").select("file")
+    return damaged.join(of, "file").join(offsets, ["file", "block"]).select(
+        "file", (F.col("offset") + F.col("id") - F.col("first") + 1).alias("line"), "raw")
+
+
+def json_shapes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per file: ``file``, ``shape``, ``line``, ``position`` (where strict parsing stopped first, if it did).
+
+    Every line is parsed on its own: a file of objects, a line each, is line-delimited, and malformed where a line is
+    damaged. Only the other files are opened whole - which is what a document is, one value.
+    """
+    files = _files(_lines(spark, path))
+    nd = files.where("by_line")
+    damaged = json_quarantine(spark, path).groupBy("file").agg(F.min_by("raw", "line").alias("v"), F.min("line").alias("from_line"))
+    located = damaged.mapInPandas(_locate, "file string, line bigint, position bigint")
+    shapes = nd.select("file", F.when(F.col("bad") > 0, MALFORMED).otherwise(NDJSON).alias("shape")).join(located, "file", "left")
+    # A document is one file each, so their names are as many as the values that are read from them.
+    others = [r["file"] for r in files.where("NOT by_line").select("file").toLocalIterator()]
     if not others:
-        return nd.select("*", F.lit(None).cast("bigint").alias("line"), F.lit(None).cast("bigint").alias("position"))
+        return shapes
     judged = spark.read.text(others, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("v"))
-    judged = judged.select("file", "v", F.try_parse_json("v").alias("j"))
+        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v"))
+    judged = judged.withColumn("j", _complete(F.col("v")))
     # An array of objects, or one object, is a table; anything else that parses is not.
     elements = F.schema_of_variant("j")
     table_like = elements.startswith("OBJECT") | elements.startswith("ARRAY<OBJECT")
     documents = judged.select(
         "file",
-        F.when(F.trim(F.coalesce("v", F.lit(""))) == "", EMPTY).when(F.col("j").isNull(), MALFORMED)
+        F.when(F.coalesce("v", F.lit("")) == "", EMPTY).when(F.col("j").isNull(), MALFORMED)
         .when(table_like, DOCUMENT).otherwise(UNSUPPORTED).alias("shape"), "v")
-    located = documents.where(F.col("shape") == MALFORMED).select("file", "v").mapInPandas(
-        _locate, "file string, line bigint, position bigint")
-    shapes = nd.unionByName(documents.select("file", "shape"))
-    return shapes.join(located, "file", "left")
+    located = documents.where(F.col("shape") == MALFORMED).select(
+        "file", "v", F.lit(1).cast("bigint").alias("from_line")).mapInPandas(_locate, "file string, line bigint, position bigint")
+    return shapes.unionByName(documents.select("file", "shape").join(located, "file", "left"))
 
 
 def _locate(batches):
-    """Line and column at which a malformed document stops being JSON."""
+    """Line and column at which a malformed text stops being JSON; its first line is line ``from_line`` of the file."""
     for pdf in batches:
         lines, columns = [], []
-        for text in pdf["v"]:
+        for text, start in zip(pdf["v"], pdf["from_line"], strict=True):
             try:
                 json.loads(text)
-                lines.append(None)
+                lines.append(start)
                 columns.append(None)
             except json.JSONDecodeError as failure:
-                lines.append(failure.lineno)
+                lines.append(start + failure.lineno - 1)
                 columns.append(failure.colno)
             except RecursionError:
                 lines.append(None)
@@ -79,26 +122,47 @@ def _locate(batches):
 
 
 def read_json(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, arrays: str = "json"
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, arrays: str = "json",
+    set_aside: bool = False,
 ) -> tuple[Table, list[R.Diagnostic]]:
-    """JSON files as one flat table. Malformed files and unsupported shapes are different refusals, naming the file."""
+    """JSON files as one flat table. Malformed files and unsupported shapes are different refusals, naming the file.
+
+    With ``set_aside`` the damaged lines of line-delimited files are left out and counted instead of refused;
+    ``json_quarantine`` has them. All refused files are in ``json_shapes``; the refusal itself names a hundred.
+    """
+    ship(spark)
     shapes = json_shapes(spark, path)
-    bad = shapes.where(F.col("shape").isin(MALFORMED, UNSUPPORTED)).limit(100).collect()
+    quarantine = json_quarantine(spark, path)
+    aside = quarantine.count() if set_aside else 0
+    refused = shapes.where(F.col("shape").isin(MALFORMED, UNSUPPORTED))
+    if aside:
+        refused = refused.join(quarantine.select("file").distinct(), "file", "left_anti")
+    bad = refused.limit(100).collect()
     if bad:
         raise R.Refused([
             R.error(f"json.{r['shape']}", file=r["file"], line=r["line"], position=r["position"]) for r in bad])
     kinds = {r["shape"] for r in shapes.select("shape").distinct().collect()} - {EMPTY}
+    kinds = {NDJSON if k == MALFORMED else k for k in kinds}
     if len(kinds) > 1:
         raise R.Refused([R.error("json.mixed_shapes", shapes=sorted(kinds))])
-    reader = spark.read.option("multiLine", kinds == {DOCUMENT}).option("mode", "FAILFAST")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    mode = "DROPMALFORMED" if aside else "FAILFAST"
+    reader = spark.read.option("multiLine", kinds == {DOCUMENT}).option("mode", mode)
+    if aside:
+        # The reader would take the first value of a damaged line: only whole lines are handed to the parser.
+        fields = schema or reader.json(path).schema
+        whole = spark.read.text(path).where(_kind(_complete(F.trim("value"))) == "OBJECT")
+        df = whole.select(F.from_json("value", fields).alias("v"), "_metadata").select("v.*", "_metadata")
+    else:
+        df = (reader.schema(schema) if schema is not None else reader).json(path).select("*", "_metadata")
     keys = tuple(OrderKey(f"{ORDER_PREFIX}{i}") for i in range(3))
     position = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    placed = df.select("*", *[p.alias(k.name) for p, k in zip(position, keys)])
+    placed = df.select(*[c for c in df.columns if c != "_metadata"], *[p.alias(k.name) for p, k in zip(position, keys)])
     flat, renamed = flatten_json(placed, arrays, keep=[k.name for k in keys])
     order = [*keys, *[OrderKey(n) for n in flat.columns if n.startswith(f"{ORDER_PREFIX}e")]]
     table = Table.of(flat)
     found = [R.warning("source.columns_renamed", renamed=renamed)] if renamed else []
+    if aside:
+        found.append(R.warning("json.lines_set_aside", lines=aside))
     return table.with_df(flat, order=tuple(order)), found
 
 

@@ -18,8 +18,12 @@ def table(spark: SparkSession, sf: str, name: str) -> Table:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors share: under the cluster's checkpoint folder, local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sheaf-")
+    """A fresh folder all executors share: under the cluster's checkpoint folder, of this machine only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sheaf-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

@@ -241,10 +241,10 @@ sql("convert_report", f"""
 sql("convert_clocks", """
     SELECT l_orderkey::DOUBLE AS order_no, l_linenumber::DOUBLE AS line,
            (CAST(floor(l_quantity) AS BIGINT) * 3600 + 1800) * 1000000000 AS worked FROM lineitem""")
-sql("render_german", f"""
-    SELECT {shortest_de('l_orderkey::DOUBLE')} AS l_orderkey, {shortest_de('l_linenumber::DOUBLE')} AS l_linenumber,
-           {shortest_de('l_extendedprice')} AS l_extendedprice, {shortest_de('l_discount')} AS l_discount,
-           strftime(l_shipdate, '%d.%m.%Y %H:%M') AS l_shipdate FROM lineitem""")
+sql("render_german", "SELECT " + ", ".join(
+    f"{shortest_de(c + '::DOUBLE')} AS {c}" for c in (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    + ", l_returnflag, l_linestatus, strftime(l_shipdate, '%d.%m.%Y %H:%M') AS l_shipdate FROM lineitem")
 sql("render_boxes", f"""
     SELECT order_no, line, coalesce({shortest_de('price_de')}, price_de__raw, '') AS price_de FROM ({BOXED})""")
 sql("sweep_typed_columns", """
@@ -254,24 +254,27 @@ sql("sweep_typed_columns", """
            count(*) FILTER (WHERE c_custkey % 10 = 0) FROM customer UNION ALL
     SELECT 'c_nationkey', count(*), 0, 0 FROM customer""")
 
-LABELLED = "SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)"
+LABELLED = "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)"
 sql("column_profile", "\nUNION ALL\n".join(
     f"SELECT 'documents' AS source, count(*) AS rows, '{c}' AS \"column\", '{t}' AS type, count(DISTINCT {c}) "
     f"AS distinct_values, (count(*) - count({c})) / count(*) AS null_share FROM ({LABELLED})"
-    for c, t in (("doc_id", "number"), ("lang", "text"), ("source", "text"), ("quality", "number"), ("toxic", "number"))))
+    for c, t in (("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number"),
+                 ("quality", "number"), ("toxic", "number"))))
 sql("sample_values", """
     (SELECT DISTINCT 'p_brand' AS "column", p_brand AS value FROM part ORDER BY value LIMIT 3) UNION ALL
     (SELECT DISTINCT 'p_size', CAST(p_size AS VARCHAR) AS value FROM part ORDER BY value LIMIT 3)""")
 sql("search_rows", f"""
-    WITH t AS (SELECT p_partkey, {shortest_de('p_partkey::DOUBLE')} AS a, p_name AS b, p_brand AS c,
-                      {shortest_de('p_retailprice')} AS d FROM part),
+    WITH t AS (SELECT p_partkey, {shortest_de('p_partkey::DOUBLE')} AS a, p_name AS b, p_brand AS c, p_type AS ty,
+                      {shortest_de('p_size::DOUBLE')} AS sz, {shortest_de('p_retailprice')} AS d FROM part),
     h AS (SELECT p_partkey, concat_ws(',', CASE WHEN contains(a, '12') THEN 'p_partkey' END,
               CASE WHEN contains(b, '12') THEN 'p_name' END, CASE WHEN contains(c, '12') THEN 'p_brand' END,
+              CASE WHEN contains(ty, '12') THEN 'p_type' END, CASE WHEN contains(sz, '12') THEN 'p_size' END,
               CASE WHEN contains(d, '12') THEN 'p_retailprice' END) AS matched FROM t)
     SELECT p_partkey, matched FROM h WHERE matched <> ''""")
 sql("search_counts", """
-    SELECT count(*) FILTER (WHERE contains(text, 'the') OR contains(lang, 'the')) AS rows,
-           CAST(sum(contains(text, 'the')::INT + contains(lang, 'the')::INT) AS BIGINT) AS cells FROM documents""")
+    SELECT count(*) FILTER (WHERE contains(text, 'the') OR contains(lang, 'the') OR contains(source, 'the')) AS rows,
+           CAST(sum(contains(text, 'the')::INT + contains(lang, 'the')::INT + contains(source, 'the')::INT) AS BIGINT) AS cells
+    FROM documents""")
 sql("tile_top_n", """
     SELECT l_suppkey, sum(l_quantity) AS value FROM lineitem GROUP BY 1 ORDER BY value DESC, l_suppkey LIMIT 10""")
 sql("tile_bottom_n", """
@@ -336,9 +339,8 @@ sql("csv_proposals", """
            0::BIGINT AS nul_bytes""")
 sql("csv_line_breaks", "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations")
 ACCENTED = r"""
-    SELECT doc_id, value FROM (
-        SELECT doc_id, trim(regexp_replace(text, '[\s\x00-\x1f]+', ' ', 'g')) AS value FROM documents)
-    WHERE regexp_matches(value, '[À-ÿ]') AND regexp_full_match(value, '[ -~À-ÿ]*')"""
+    SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[\s\x00-\x1f]+', ' ', 'g')), '[^ -~À-ÿ]', '?', 'g') AS value
+    FROM documents"""
 sql("encoding_detected", """
     SELECT * FROM (VALUES ('utf8', 'utf-8', 'probe', 0::BIGINT), ('cp1252', 'windows-1252', 'fallback', 0))
     t(written_as, encoding, decided_by, nul_bytes)""")
@@ -375,6 +377,19 @@ sql("parquet_types", "SELECT k.*, (SELECT CAST(min(len(embedding)) AS INTEGER) F
                 for t, columns in KINDS.items() for c in columns.split())
     + ') k("table", "column", kind)')
 sql("parquet_round_trip", BOXED)
-sql("csv_round_trip", "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_acctbal FROM customer")
-sql("json_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+sql("csv_round_trip", "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_nationkey::DOUBLE AS c_nationkey, c_acctbal, c_mktsegment "
+    "FROM customer")
+sql("json_round_trip", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+WRITTEN = r"""
+    SELECT event_id, event_type, props, event_id % 7 = 3 AS damaged, '{"event_id":' || event_id || ',"event_type":"' || event_type
+           || '","props":"' || replace(props, '"', '\"') || '"}' AS whole FROM events"""
+DAMAGED = f"""
+    SELECT *, CASE event_id % 3 WHEN 0 THEN left(whole, length(whole) - 1) WHEN 1 THEN whole || whole
+              ELSE left(whole, length(whole) - 1) || ',}}' END AS raw FROM ({WRITTEN}) WHERE damaged"""
+sql("json_set_aside", f"""
+    SELECT event_id, event_type, props, (SELECT count(*) FROM ({DAMAGED})) AS lines_set_aside FROM ({WRITTEN}) WHERE NOT damaged""")
+sql("json_quarantine", f"SELECT raw FROM ({DAMAGED})")
+sql("json_repaired", f"""
+    SELECT raw AS before, event_id % 3 = 2 AS repaired, CASE WHEN event_id % 3 = 2 THEN event_id END AS event_id,
+           CASE WHEN event_id % 3 = 2 THEN props END AS props FROM ({DAMAGED}) WHERE event_id % 3 <> 1""")
 sql("workbook_read", "SELECT c_custkey::DOUBLE AS \"Nr\", c_name AS \"Name\", c_acctbal AS \"Saldo\" FROM customer")
