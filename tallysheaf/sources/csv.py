@@ -21,6 +21,8 @@ from . import encoding as E
 # The delimiters tried, in this order, and how many records the guess looks at.
 DELIMITERS = (",", ";", "\t", "|")
 GUESS_RECORDS = 50
+#: Lines read for each of them at most, on average.
+GUESS_LINES = 8
 
 
 def _quoted(delimiter: str) -> str:
@@ -96,12 +98,24 @@ def propose_delimiters(spark: SparkSession, path: str | list[str], encoding: str
     a candidate whose median row has fewer than two fields is out.
     """
     lines = raw_lines(spark, path, encoding).where(F.col("text") != "")
-    # The head of each file only: a split's first fifty lines come before any of its later ones.
+    # The head of each file only: a split's first lines come before any of its later ones.
     head = Window.partitionBy("file").orderBy("block", "id")
+    most = GUESS_RECORDS * GUESS_LINES
     first = (
-        lines.withColumn("nth", F.row_number().over(_per_split(lines))).where(F.col("nth") <= GUESS_RECORDS)
-        .withColumn("at", F.row_number().over(head)).where(F.col("at") <= GUESS_RECORDS)
+        lines.withColumn("nth", F.row_number().over(_per_split(lines))).where(F.col("nth") <= most)
+        .withColumn("at", F.row_number().over(head)).where(F.col("at") <= most)
     )
+    # Records, not lines: after an odd number of quotes a line goes on with the record before it, whatever parts fields.
+    quotes = F.char_length("text") - F.char_length(F.replace("text", F.lit('"'), F.lit("")))
+    before = F.coalesce(F.sum("quotes").over(head.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = first.withColumn("quotes", quotes).withColumn("begins", (before % 2 == 0).cast("int"))
+    begun = begun.withColumn("record", F.sum("begins").over(head.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = begun.groupBy("file", "record").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("lines"), F.sum("quotes").alias("quotes"))
+    # A quote that is never closed gathers nothing: its lines are judged one by one.
+    texts = F.when(F.col("quotes") % 2 == 0, F.array(F.array_join("lines", "\n"))).otherwise(F.col("lines"))
+    first = stitched.select("file", "record", F.posexplode(texts).alias("nth", "text")).withColumn(
+        "at", F.row_number().over(Window.partitionBy("file").orderBy("record", "nth"))).where(F.col("at") <= GUESS_RECORDS)
     counts = first.select("file", "at", F.explode(F.array(*[
         F.struct(F.lit(i).alias("candidate"), field_count(F.col("text"), d).alias("fields"))
         for i, d in enumerate(DELIMITERS)
@@ -275,9 +289,9 @@ def read_csv(
     recs = records(spark, path, delimiter, encoding)
     headers = propose_header_rows(recs)
     if header_row is not None:
-        last = recs.groupBy("file").agg(F.max("line").alias("last"))
-        headers = last.select(
-            "file", F.least(F.greatest(F.lit(int(header_row)), F.lit(1)), F.col("last")).alias("header_line"))
+        # The record that holds the line, or the first one.
+        held = F.max(F.when(F.col("line") <= int(header_row), F.col("line")))
+        headers = recs.groupBy("file").agg(F.coalesce(held, F.min("line")).alias("header_line"))
     header = recs.join(headers.select("file", "header_line"), "file").where(F.col("line") == F.col("header_line"))
     # One row per distinct header, not per file.
     texts = header.groupBy("text", "fields").agg(
@@ -290,8 +304,9 @@ def read_csv(
     if renamed:
         found.append(R.warning("source.columns_renamed", renamed=renamed))
 
-    body = recs.join(F.broadcast(headers.select("file", "header_line")) if _few(headers) else
-                     headers.select("file", "header_line"), "file").where(F.col("line") > F.col("header_line"))
+    # A header line whose quote never closes names the columns and is set aside too, with its text.
+    body = recs.join(headers.select("file", "header_line"), "file").where(
+        (F.col("line") > F.col("header_line")) | (F.col("unclosed") & (F.col("line") == F.col("header_line"))))
     good = ~F.col("unclosed") & (F.col("fields") == width)
     # A line break at the very end of a file makes no record; blank lines elsewhere are records of one empty field.
     keys = (OrderKey(f"{ORDER_PREFIX}0"), OrderKey(f"{ORDER_PREFIX}1"))
@@ -308,11 +323,6 @@ def read_csv(
     return CsvSource(table, quarantine, delimiter, line, encoding, tuple(found))
 
 
-def _few(headers: DataFrame, limit: int = 100_000) -> bool:
-    """One row per file: small unless there are very many files."""
-    return headers.limit(limit + 1).count() <= limit
-
-
 def _agreed(per_file: DataFrame, column: str, code: str) -> str | None:
     """The one value all files share; files that disagree cannot be one source."""
     values = [r[0] for r in per_file.select(column).distinct().limit(3).collect()]

@@ -151,3 +151,20 @@ def test_parquet_kinds(spark, tmp_path):
     with pytest.raises(R.Refused) as refusal:
         read_parquet(spark, f"{tmp_path}/d.parquet")
     assert refusal.value.diagnostics[0].code == "parquet.duplicate_column_name"
+
+
+def test_delimiter_by_records_and_header_row_in_a_record(spark, put):
+    cell = '"x;y;z\nu;v;w\np;q;r"'
+    path = put("multi.csv", "a,b\n" + "".join(f"{i},{cell}\n" for i in range(12)))
+    assert csv.propose_delimiters(spark, path).first()["delimiter"] == ","
+    source = csv.read_csv(spark, path)
+    assert [r.a for r in source.table.ordered().collect()] == [str(i) for i in range(12)]
+    # Line 3 is inside the record that begins on line 2.
+    assert csv.read_csv(spark, path, header_row=3).header_row == 2
+
+
+def test_unclosed_quote_on_the_header_line(spark, put):
+    source = csv.read_csv(spark, put("head.csv", '"a,b\n1,2\n3,4\n'), delimiter=",", header_row=1)
+    found = next(d for d in source.diagnostics if d.code == "csv.unclosed_quote")
+    assert found.values["row"] == 1
+    assert '"a,b' in [r.raw for r in source.quarantine.collect()]
