@@ -16,8 +16,9 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= _SMALL else ids
 
 
-def _places(length: Column, edits: int) -> list[tuple[int, Column, Column, Column]]:
-    """(segment number, length of the indexed line, start from 0, characters) of each piece that segment_keys hashes."""
+def _places(length: Column, edits: int) -> list[tuple[int, Column, Column, Column, bool]]:
+    """(segment number, length of the indexed line, start from 0, characters, own segment or only probed with) of each
+    piece that segment_keys hashes."""
     out = []
     for shorter in range(edits + 1):
         size = length - shorter
@@ -27,26 +28,28 @@ def _places(length: Column, edits: int) -> list[tuple[int, Column, Column, Colum
             extra = F.greatest(longer - (edits + 1 - i), F.lit(0))
             start, n = each * i + extra, each + (F.lit(edits + 1 - i) <= longer).cast("int")
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            out += [(i, size, start + move, n) for move in range(low, high + 1)]
+            out += [(i, size, start + move, n, not shorter and not move) for move in range(low, high + 1)]
     return out
 
 
 def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Hashes of (segment number, length of the indexed line, text): a line's own segments, and what it is probed with.
+    """(key, own): hashes of (segment number, length of the indexed line, text), of own segments and of those it looks for.
 
     A line of L characters is cut into ``edits + 1`` even segments; one of them stands unchanged in any line within
     ``edits``, moved by at most as many places as there are edits left of it, and right of it. A line of l characters
-    so looks for the segments of lines of length l - edits to l at those few places; at its own length and place that
-    is its own segment, so both sides of the index are one set of keys.
+    so looks for the segments of lines of length l - edits to l at those few places. Of two near lines the longer one
+    finds an own segment of the other; at its own length and place that is its own segment too.
     """
-    return F.array(*[F.xxhash64(F.lit(i), size, F.substring(line, at + 1, n)) for i, size, at, n in _places(length, edits)])
+    return F.array(*[F.struct(F.xxhash64(F.lit(i), size, F.substring(line, at + 1, n)).alias("key"), F.lit(own).alias("own"))
+                     for i, size, at, n, own in _places(length, edits)])
 
 
 def _pieces(line: Column, length: Column, edits: int) -> Column:
     """segment_keys, each with what is left of the line without its piece."""
     return F.array(*[F.struct(
         F.xxhash64(F.lit(i), size, F.substring(line, at + 1, n)).alias("key"),
-        F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + n + 1, length)).alias("left")) for i, size, at, n in _places(length, edits)])
+        F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + n + 1, length)).alias("left"), F.lit(own).alias("own"))
+        for i, size, at, n, own in _places(length, edits)])
 
 
 def _common(a: Column, b: Column, longest: Column) -> Column:
@@ -144,10 +147,11 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     lines = lines.withColumn("n", F.char_length("line"))
     places = stored(lines.select("doc_id", "line_no", F.when(F.col("n") >= min_chars, F.xxhash64("line")).alias("h")), "lines")
     long = lines.where(F.col("n") >= min_chars).select("line", "n", F.xxhash64("line").alias("h"))
-    keys = long.select("h", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    mixed = stored(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key", "lo"), "mixed-keys")
+    keys = long.select("h", F.inline(segment_keys(F.col("line"), F.col("n"), edits)))
+    met = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("owned")).where("lo < hi AND owned")
+    mixed = stored(met.select("key", "lo"), "mixed-keys")
     few = F.broadcast(mixed) if mixed.count() <= _SMALL else mixed
-    rows = compact(stored(keys.join(few, "key").select("key", "h", "lo").distinct(), "shared-keys"))
+    rows = compact(stored(keys.join(few, "key").groupBy("key", "h", "lo").agg(F.bool_or("own").alias("own")), "shared-keys"))
     wanted = stored(rows.select("h").distinct(), "wanted-lines")
     texts = compact(stored(long.join(_few(wanted), "h").groupBy("h").agg(F.min("line").alias("line")).withColumn("bags", _bags(F.col("line"))), "line-texts"), 20_000)
 
@@ -158,17 +162,17 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
 
     stars = stored(verified(rows.where("h > lo").select(F.col("lo").alias("src"), F.col("h").alias("dst")).distinct()), "line-stars")
     first = components(stars, "line-components")
-    placed = rows.select("key", "h").join(first, F.col("h") == F.col("id"), "left").select("key", "h", F.coalesce("component", "h").alias("component"))
+    placed = rows.select("key", "h", "own").join(first, F.col("h") == F.col("id"), "left").select("key", "h", "own", F.coalesce("component", "h").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = placed.join(open_, "key", "left_semi").join(texts, "h")
     # The second key: what is left of the line without the piece is within the same number of edits.
     left = rest.withColumn("n", F.char_length("line")).withColumn("p", F.explode(_pieces(F.col("line"), F.col("n"), edits))).where("p.key = key")
-    left = left.select("h", "component", "bags", "key", F.col("p.left").alias("left")).distinct()
-    deeper = left.select("h", "component", "bags", F.explode(F.array_distinct(F.transform(
-        segment_keys(F.col("left"), F.char_length("left"), edits), lambda k: F.xxhash64("key", k)))).alias("key"))
-    deeper = compact(stored(deeper.distinct(), "second-keys"))
+    left = left.select("h", "component", "bags", "p.own", F.col("key").alias("outer"), F.col("p.left").alias("left")).distinct()
+    deeper = left.select("h", "component", "bags", "own", "outer", F.inline(segment_keys(F.col("left"), F.char_length("left"), edits)).alias("key", "own2"))
+    deeper = compact(stored(deeper.withColumn("key", F.xxhash64("outer", "key")).drop("outer").distinct(), "second-keys"))
     a, b = deeper.alias("a"), deeper.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.component") != F.col("b.component"))
+    near = near & (F.col("a.own") | F.col("b.own")) & (F.col("a.own2") | F.col("b.own2"))
     pairs = a.join(b, near & _may_be_near(F.col("a.bags"), F.col("b.bags"), edits)).select(F.col("a.h").alias("src"), F.col("b.h").alias("dst")).distinct()
     classes = components(stars.unionByName(verified(pairs)), "line-components")
 
