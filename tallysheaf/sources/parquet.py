@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import report as R
-from ..table import ORDER_PREFIX, OrderKey, Table, col
+from ..plans.detect import native_sweep
+from ..table import ORDER_PREFIX, RAW_SUFFIX, OrderKey, Table, col
 
 _CLASH = re.compile(r"incompatible types: \w+ \w+ (.+?)(?: \(\w+\))? != \w+ \w+ (.+?)(?: \(\w+\))?\s")
 NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
@@ -46,6 +48,7 @@ def read_parquet(
     path: str | list[str],
     schema: T.StructType | None = None,
     nanos: tuple[str, ...] = (),
+    sweep: bool = True,
 ) -> tuple[Table, list[R.Diagnostic]]:
     """A table over Parquet files, and what was noticed about their columns.
 
@@ -53,6 +56,9 @@ def read_parquet(
     Nested columns become JSON text, binary columns text. ``nanos`` names TIMESTAMP(NANOS) columns, which arrive
     as long nanoseconds and become a microsecond datetime. ``schema`` narrows the read where a file holds a column
     Spark cannot open.
+
+    Numbers that are not finite are unreadable: one scan of the float columns alone counts them, and a column that has
+    some gets a box. ``sweep=False`` leaves that scan out where it is known that there are none.
     """
     if nanos:
         spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
@@ -81,4 +87,26 @@ def read_parquet(
     table = Table.of(df.select(*exprs))
     keys = (OrderKey(f"{ORDER_PREFIX}0"), OrderKey(f"{ORDER_PREFIX}1"))
     position = [F.col("_metadata.file_path").alias(keys[0].name), F.col("_metadata.row_index").alias(keys[1].name)]
-    return table.with_df(df.select(*exprs, *position), order=keys), found
+    table = table.with_df(df.select(*exprs, *position), order=keys)
+    floats = [f.name for f in table.df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and table.has(f.name)]
+    counts = {r["column"]: r["unreadable"] for r in native_sweep(table, floats).collect()} if sweep and floats else {}
+    boxed = {n: count for n, count in counts.items() if count}
+    return (_boxed(table, list(boxed)), [*found, *[R.warning("parquet.non_finite_number", column=n, count=c) for n, c in boxed.items()]])
+
+
+def _boxed(table: Table, names: list[str]) -> Table:
+    """The table with the numbers of these columns that are not finite moved into boxes, spelled out."""
+    if not names:
+        return table
+    cells = []
+    for name in table.df.columns:
+        cell = col(name)
+        if name in names:
+            bad = F.isnan(cell) | (F.abs(cell) == float("inf"))
+            cells.append(F.when(~bad, cell).alias(name))
+            spelled = F.when(F.isnan(cell), "NaN").when(cell > 0, "Infinity").otherwise("-Infinity")
+            cells.append(F.when(bad, spelled).alias(name + RAW_SUFFIX))
+        else:
+            cells.append(cell)
+    cols = tuple(replace(c, raw=c.name + RAW_SUFFIX) if c.name in names else c for c in table.cols)
+    return table.with_df(table.df.select(*cells), cols=cols)

@@ -14,7 +14,8 @@ from tallysheaf.table import Table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> Table:
-    return read_parquet(tune(spark), f"{sf}/{name}.parquet")[0]
+    # The given tables hold finite numbers only; parquet_non_finite and sweep_typed_columns read others.
+    return read_parquet(tune(spark), f"{sf}/{name}.parquet", sweep=False)[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -372,6 +372,12 @@ KINDS = {
     "embeddings": "vec_id embedding:text label",
     "customer": "c_custkey c_name:text c_nationkey c_acctbal c_mktsegment:text",
 }
+sql("parquet_non_finite", """
+    WITH t AS (SELECT CASE c_custkey % 10 WHEN 0 THEN 'NaN' WHEN 1 THEN '-Infinity' END AS raw, c_acctbal AS v FROM customer)
+    SELECT raw AS c_acctbal__raw, count(*) AS rows, max(CASE WHEN raw IS NULL THEN v END) AS most,
+           CASE WHEN raw IS NULL THEN (SELECT count(*) FROM t WHERE raw IS NULL AND v > 0) END AS n,
+           CASE WHEN raw IS NULL THEN (SELECT round(sum(v), 2) FROM t WHERE raw IS NULL AND v > 0) END AS s,
+           (SELECT count(*) FROM t WHERE raw IS NOT NULL) AS boxed FROM t GROUP BY raw""")
 sql("parquet_types", "SELECT k.*, (SELECT CAST(min(len(embedding)) AS INTEGER) FROM embeddings) AS dims FROM (VALUES "
     + ", ".join(f"('{t}', '{(c + ':number').split(':')[0]}', '{(c + ':number').split(':')[1]}')"
                 for t, columns in KINDS.items() for c in columns.split())

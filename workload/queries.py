@@ -855,6 +855,20 @@ def json_lenient(spark, sf):
                       F.col("value.props.props").alias("props"))
 
 
+@query
+def parquet_non_finite(spark, sf):
+    """Balances of which some are not finite: boxed on reading, so that comparisons and sums pass them by."""
+    path = scratch(spark, "non-finite")
+    odd = F.when(F.col("c_custkey") % 10 == 0, F.lit(float("nan"))).when(F.col("c_custkey") % 10 == 1, F.lit(float("-inf")))
+    table(spark, sf, "customer").df.select("c_custkey", F.coalesce(odd, F.col("c_acctbal")).alias("c_acctbal")).write.parquet(path)
+    read, found = read_parquet(spark, path)
+    kept = filtering.filter_rows(read, [cond("c_acctbal", "gt", 0)])
+    above = kept.df.agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("s"))
+    return read.df.groupBy("c_acctbal__raw").agg(F.count(F.lit(1)).alias("rows"), F.max("c_acctbal").alias("most")).join(
+        F.broadcast(above), F.col("c_acctbal__raw").isNull(), "left").select(
+        "c_acctbal__raw", "rows", "most", "n", F.round("s", 2).alias("s"), F.lit(found[0].values["count"]).cast("bigint").alias("boxed"))
+
+
 @query
 def parquet_types(spark, sf):
     """The seven kinds a file's own types arrive as; a nested column arrives as JSON text."""
