@@ -16,7 +16,7 @@ from .near_duplicates import near_duplicates
 from .packing import pack
 from .shared import crc_mod
 from .token_counts import token_counts
-from .toxicity import fit, toxicity
+from .toxicity import Toxicity, fit, labelled_sample, toxicity
 from .url_filter import page_labels, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,15 +53,14 @@ def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-def toxicity_model(spark: SparkSession, sf: str):
-    """The classifier from the labelled rows that aren't held out."""
-    docs = _table(spark, sf, "documents").select("doc_id", "text").where(crc_mod(F.col("doc_id"), 5) != 0)
-    return fit(docs.join(_table(spark, sf, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id"))
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> Toxicity:
+    """The classifier from labels that aren't held out."""
+    return fit(labelled_sample(docs.select("doc_id", "text"), labels.where(crc_mod(F.col("doc_id"), 5) != 0)))
 
 
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
-    return toxicity(docs, toxicity_model(spark, sf)).select("doc_id", "held_out", "score", "predicted")
+    return toxicity(docs, toxicity_model(docs, _table(spark, sf, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
