@@ -14,15 +14,14 @@ from tallysheaf.llm.decontaminate import decontaminate
 from tallysheaf.llm.line_dedup import dedup_lines
 from tallysheaf.llm.near_duplicates import near_duplicates
 from tallysheaf.llm.packing import pack
-from tallysheaf.llm.queries import TOKENIZER
-from tallysheaf.llm.shared import crc_mod, stored
-from tallysheaf.llm.toxicity import fit, toxicity
+from tallysheaf.llm.queries import TOKENIZER, toxicity_model
+from tallysheaf.llm.shared import stored
+from tallysheaf.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on the labelled ones that aren't held out, doesn't call toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where("toxic IS NOT NULL")
-    model = fit(docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 5) != 0).join(labels, "doc_id"))
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
