@@ -35,13 +35,25 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame,
     return rows.select("id", "key"), stored(distinct, "distinct-vectors")
 
 
-def _first_graph(vectors: DataFrame, n: int, k: int, trees: int, leaf: int, seed: int) -> DataFrame:
+def _bits(n: int, leaf: int) -> int:
+    """The signs in a tree's code: as many as give each code about ``leaf`` vectors."""
+    return int(np.clip(np.ceil(np.log2(max(1, n / leaf))), 1, 40))
+
+
+def _trees_for(n: int, leaf: int, threshold: float, least_recall: float) -> int:
+    """Trees after which a pair at the threshold has shared a code with a probability of ``least_recall``."""
+    one = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** _bits(n, leaf)
+    return int(np.ceil(np.log(1 - least_recall) / np.log1p(-one))) if one < 1 and least_recall < 1 else 1
+
+
+def _first_graph(vectors: DataFrame, n: int, k: int, trees: int, leaf: int, seed: int, reach: float) -> DataFrame:
     """Neighbours from random projections: vectors of like codes stand side by side, and blocks of them are compared.
 
     For each tree vectors are in the order of the signs of random projections, then of one projection's value. Blocks
-    are of bounded size and overlap; what a block's edge parts, another tree or the descent brings together.
+    are of bounded size and overlap; what a block's edge parts, another tree or the descent brings together. Neighbours
+    below ``reach`` are left out, as nothing passes them on.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(1, n / leaf))), 1, 40))
+    bits = _bits(n, leaf)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -69,7 +81,9 @@ def _first_graph(vectors: DataFrame, n: int, k: int, trees: int, leaf: int, seed
         np.fill_diagonal(cos, -2)
         kk = min(k, len(ids) - 1)
         near = np.argpartition(-cos, kk - 1, axis=1)[:, :kk] if kk > 0 else np.zeros((len(ids), 0), np.int64)
-        return _edges(np.repeat(ids, kk), ids[near].ravel(), np.take_along_axis(cos, near, 1).ravel())
+        best = np.take_along_axis(cos, near, 1).ravel()
+        at = best >= reach
+        return _edges(np.repeat(ids, kk)[at], ids[near].ravel()[at], best[at])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tree = [], None
@@ -165,31 +179,58 @@ def _completed(members: DataFrame, threshold: float, rows: int = 256) -> DataFra
     return placed.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def recall(vectors: DataFrame, links: DataFrame, whole: DataFrame, threshold: float, queries: int = 256) -> float:
-    """The share of the true links of ``queries`` vectors (of the lowest ids) that are in the graph, or within a group
-    (id, component) that has been compared whole."""
-    asked = vectors.orderBy("id").limit(queries).select("id", "vec").collect()
-    sent = vectors.sparkSession.sparkContext.broadcast([(r["id"], np.array(r["vec"])) for r in asked])
+def true_links(vectors: DataFrame, threshold: float, n: int, enough: int = 256, queries: int = 256, most: int = 4096) -> tuple[DataFrame, int]:
+    """All links (src, dst) of the vectors of the lowest ids, by brute force, and how many of those have any.
 
-    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = v.values.to_numpy()
-                hit = [(q, i) for q, y in sent.value if q != i and len(y) == len(x) and float(x @ y) >= threshold]
-                if hit:
-                    yield _edges(np.array([q for q, _ in hit]), np.array([j for _, j in hit]), np.ones(len(hit)))
-
-    want = stored(vectors.select("id", "vec").mapInArrow(true, _EDGE).select("src", "dst"), "audit")
-    n = want.count()
-    if not n:
-        return 1.0
+    Ids are hashes, so these are a random draw. It grows until ``enough`` vectors with links are in it, or all ``n``
+    vectors, or ``most``: where links are rarer, the caller has to do without.
+    """
+    while True:
+        asked = vectors.orderBy("id").limit(queries).select("id", "vec").collect()
+        by_length = {d: [r for r in asked if len(r["vec"]) == d] for d in {len(r["vec"]) for r in asked}}
+        packed = {d: (np.array([r["id"] for r in of], np.int64), np.array([r["vec"] for r in of])) for d, of in by_length.items()}
+        sent = vectors.sparkSession.sparkContext.broadcast(packed)
+
+        def true(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, vecs = batch.column(0).to_numpy(), [v.values.to_numpy() for v in batch.column(1)]
+                lengths = np.array([len(v) for v in vecs])
+                for d, (names, x) in sent.value.items():
+                    mine = np.nonzero(lengths == d)[0]
+                    for at in range(0, len(mine), 1024):
+                        part = mine[at : at + 1024]
+                        q, i = np.nonzero(x @ np.stack([vecs[j] for j in part]).T >= threshold)
+                        src, dst = names[q], ids[part][i]
+                        if (src != dst).any():
+                            yield _edges(src[src != dst], dst[src != dst], np.ones((src != dst).sum()))
+
+        want = stored(vectors.select("id", "vec").mapInArrow(true, _EDGE).select("src", "dst"), "audit")
+        linked = want.select("src").distinct().count()
+        if linked >= enough or queries >= min(n, most):
+            return want, linked
+        queries = min(4 * queries, most)
+
+
+def recall(want: DataFrame, links: DataFrame, whole: DataFrame, full: DataFrame) -> tuple[float, int]:
+    """The share of the true links in ``want`` that are in the graph, or within a group (id, component) to be compared
+    whole; and how many of those missed are of vectors whose lists are ``full``.
+
+    The share is the lesser of that over all links and the mean over vectors, as a few large groups have most links
+    but most vectors with links may have one each.
+    """
     a, b = (whole.select(F.col("id").alias(side), F.col("component").alias(f"{side}_group")) for side in ("src", "dst"))
     found = want.join(links.select("src", "dst", F.lit(True).alias("linked")), ["src", "dst"], "left").join(a, "src", "left").join(b, "dst", "left")
-    return found.where("linked OR src_group = dst_group").count() / n
+    found = found.join(full.select(F.col("id").alias("src"), F.lit(True).alias("full")), "src", "left")
+    hit = F.coalesce(F.col("linked"), F.col("src_group") == F.col("dst_group"), F.lit(False)).cast("int")
+    each = found.select("src", hit.alias("hit"), F.coalesce("full", F.lit(False)).alias("full")).groupBy("src").agg(
+        F.count("*").alias("n"), F.sum("hit").alias("hits"), F.sum(F.when(F.col("full"), 1 - F.col("hit")).otherwise(0)).alias("crowded"))
+    r = each.agg(F.sum("hits") / F.sum("n"), F.avg(F.col("hits") / F.col("n")), F.sum("crowded")).first()
+    return (1.0, 0) if r[0] is None else (min(r[0], r[1]), r[2])
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, k: int = 12,
-                 trees: int = 4, leaf: int = 96, most_rounds: int = 4, slack: float = 0.3, least_recall: float = 0.95, seed: int = 5) -> DataFrame:
+                 trees: int = 4, leaf: int = 96, most_rounds: int = 4, slack: float = 0.3, least_recall: float = 0.95, seed: int = 5,
+                 most_trees: int = 256) -> DataFrame:
     """vec_id, n_links, component_id and kept (vec_id = component_id) of every row; links have a cosine of at least ``threshold``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing: 0 links, their own
@@ -200,14 +241,22 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     The first graph comes from random projections. Each round compares the neighbours of every vector with one another
     and keeps the ``k`` best, until no link is new; only neighbours with a cosine of ``threshold - slack`` or more are
     passed on. A list full of links is saturated: its group is then compared whole, in blocks, so lists have no cap.
-    An audit against brute force over a bounded set of vectors doubles the lists and goes on where it finds too few.
+    The descent can't meet a pair whose other neighbours are unlike: only trees can, and the share of such pairs that a
+    number of trees finds falls as the table grows. So an audit against brute force, over as many vectors as it takes
+    to see 256 with links, doubles the trees (with other projections, united with the graph) until it passes, and the
+    lists where they were too short. Where 4,096 vectors show fewer with links, there are also as many trees as find
+    pairs at the threshold by their probability. RuntimeError where ``most_trees`` trees don't pass.
     """
     ship(vectors.sparkSession)
     rows, distinct = _usable(vectors, vec_id, embedding)
     n = distinct.count()
-    graph = stored(_best(_first_graph(distinct, n, k, trees, leaf, seed), k), "graph")
-    reach, has = threshold - slack, graph.where(F.col("cos") >= threshold).count()
+    reach, graph, grown, more = threshold - slack, None, 0, trees
+    want, linked = true_links(distinct, threshold, n, enough := 256)
+    needed = 0 if linked >= enough or n <= 4096 else _trees_for(n, leaf, threshold, least_recall)
     while True:
+        fresh = _first_graph(distinct, n, k, more, leaf, seed + grown, reach)
+        graph = stored(_best(fresh if graph is None else graph.unionByName(fresh), k), "graph")
+        has, grown = graph.where(F.col("cos") >= threshold).count(), grown + more
         for _ in range(most_rounds):
             after = stored(_best(graph.unionByName(_met(graph, distinct, k, reach)), k), "graph")
             was, has, graph = has, after.where(F.col("cos") >= threshold).count(), after
@@ -219,12 +268,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         # A full list of links, or one that others' lists name more often than it could hold itself.
         full = links.groupBy("src").count().where(F.col("count") >= k).select(F.col("src").alias("id"))
         large = groups.join(full, "id", "left_semi").select("component").distinct()
-        members = groups.join(large, "component", "left_semi").join(distinct, "id").select(F.col("component").alias("group"), "id", "vec", "copies")
-        whole = stored(_completed(members, threshold), "whole-groups")
-        rest = links.join(whole.select(F.col("id").alias("src")), "src", "left_anti")
-        if k >= 96 or recall(distinct, links, groups.join(large, "component", "left_semi"), threshold) >= least_recall:
+        got, crowded = recall(want, links, groups.join(large, "component", "left_semi"), full)
+        if got >= least_recall and grown >= needed:
             break
-        k *= 2
+        if grown >= most_trees:
+            raise RuntimeError(f"{grown} trees find {got:.1%} of the audited links; {least_recall:.1%} are asked for, and {needed} trees")
+        more, k = min(grown, most_trees - grown), max(k, min(2 * k, 96)) if crowded else k
+    members = groups.join(large, "component", "left_semi").join(distinct, "id").select(F.col("component").alias("group"), "id", "vec", "copies")
+    whole = stored(_completed(members, threshold), "whole-groups")
+    rest = links.join(whole.select(F.col("id").alias("src")), "src", "left_anti")
     counted = rest.join(distinct.select(F.col("id").alias("dst"), "copies"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("copies").alias("n"))
     counted = counted.unionByName(whole)
     known = rows.join(distinct.select(F.col("id").alias("key"), "copies"), "key", "left").join(counted.withColumnRenamed("id", "key"), "key", "left")

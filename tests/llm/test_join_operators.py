@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tallysheaf.llm import embedding_dedup, line_dedup, near_duplicates, packing, shared
@@ -163,6 +164,21 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).isEmpty()
 
 
+def test_isolated_pairs_of_vectors_are_found_or_the_audit_fails(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((800, 64))
+    side -= (side * x[:800]).sum(1, keepdims=True) * x[:800]
+    near = 0.905 * x[:800] + (1 - 0.905**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(np.r_[x, near].tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(frame, leaf=8).collect()}
+    assert sum(got[3000 + i] == i for i in range(800)) >= 0.93 * 800
+    assert all(got[i] == i for i in range(3000))
+    with pytest.raises(RuntimeError, match="trees find"):
+        embedding_dedup.near_vectors(frame, leaf=8, most_trees=4)
+
+
 def check_pieces(pieces, texts, window):
     library = Tokenizer.from_file(FILE)
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts}
