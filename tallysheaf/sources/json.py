@@ -259,7 +259,8 @@ def _smart(text: Column) -> Column:
 def reread_lenient(quarantine: DataFrame, schema: T.StructType | str, raw: str = "raw") -> DataFrame:
     """Set-aside records read again: ``before`` (kept), ``after``, ``changed``, ``repaired`` and the parsed ``value``.
 
-    The original text is never altered. A record that still does not read has a NULL value and stays set aside.
+    The original text is never altered. A record that still does not read has a NULL value and stays set aside, and so
+    does one with anything after its value: a second record would be lost.
     """
     options = {
         "allowComments": "true", "allowUnquotedFieldNames": "true", "allowSingleQuotes": "true",
@@ -271,7 +272,11 @@ def reread_lenient(quarantine: DataFrame, schema: T.StructType | str, raw: str =
     watched = T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())])
     read = quarantine.withColumn("before", before).withColumn("after", after).withColumn(
         "read", F.from_json("after", watched, options))
-    ok = F.col("read").isNotNull() & F.col("read._corrupt").isNull()
+    # As in _complete, under the lenient options; a comment at the end must not swallow the closing bracket.
+    listed = F.from_json(F.concat(F.lit("["), "after", F.lit("\n]")), "array<string>", options)
+    held = F.from_json(F.concat(F.lit('{"v":'), "after", F.lit("\n}")), "v string, _corrupt string", options)
+    one = F.coalesce((F.size(listed) == 1) & held.isNotNull() & held["_corrupt"].isNull(), F.lit(False))
+    ok = F.col("read").isNotNull() & F.col("read._corrupt").isNull() & one
     value = F.struct(*[F.col("read").getField(f.name).alias(f.name) for f in fields.fields])
     others = [col(c) for c in quarantine.columns if c != raw]
     return read.select(

@@ -35,3 +35,12 @@ def test_trailing_text_of_a_document_is_malformed(spark, tmp_path):
     path = str(tmp_path / "d.json")
     open(path, "w").write('[\n {"a": 1}\n] x\n')
     assert [(r.shape, r.line) for r in json_source.json_shapes(spark, path).collect()] == [("malformed", 3)]
+
+
+def test_a_text_of_two_values_is_not_repaired(spark):
+    whole = ['{"a":1,}', "{a:2} // note", "```json\n{'a':3}\n```", '{"a":4} /* [ */']
+    more = ['{"a":4}{"a":9}', '{"a":4},{"a":9}', '{"a":4,} {"a":9}', "{a:4} trailing", '{"a":4}, "b": 9', '{"a":4}]', '{"a":4}} ', None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*whole, *more])], "i int, raw string")
+    got = json_source.reread_lenient(df, "a long").orderBy("i").collect()
+    assert [r.value.a for r in got[:4]] == [1, 2, 3, 4] and all(r.repaired for r in got[:4])
+    assert [(r.repaired, r.value) for r in got[4:]] == [(False, None)] * len(more)

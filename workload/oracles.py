@@ -398,4 +398,7 @@ sql("json_quarantine", f"SELECT raw FROM ({DAMAGED})")
 sql("json_repaired", f"""
     SELECT raw AS before, event_id % 3 = 2 AS repaired, CASE WHEN event_id % 3 = 2 THEN event_id END AS event_id,
            CASE WHEN event_id % 3 = 2 THEN props END AS props FROM ({DAMAGED}) WHERE event_id % 3 <> 1""")
+sql("json_reread_all", f"""
+    SELECT raw AS before, event_id % 3 = 2 AS repaired, CASE WHEN event_id % 3 = 2 THEN event_id END AS event_id,
+           CASE WHEN event_id % 3 = 2 THEN props END AS props FROM ({DAMAGED})""")
 sql("workbook_read", "SELECT c_custkey::DOUBLE AS \"Nr\", c_name AS \"Name\", c_acctbal AS \"Saldo\" FROM customer")

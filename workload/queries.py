@@ -841,6 +841,14 @@ def json_repaired(spark, sf):
     return again.select("before", "repaired", F.col("value.event_id").alias("event_id"), F.col("value.props").alias("props"))
 
 
+@query
+def json_reread_all(spark, sf):
+    """The whole quarantine read again: lines of two values stay set aside with the cut ones."""
+    again = json_source.reread_lenient(json_source.json_quarantine(spark, _damaged_events(spark, sf)),
+                                       "event_id bigint, event_type string, props string")
+    return again.select("before", "repaired", F.col("value.event_id").alias("event_id"), F.col("value.props").alias("props"))
+
+
 @query
 def json_lenient(spark, sf):
     """events as a model would paste them - fences, trailing commas, comments, loose quotes - read on request."""
