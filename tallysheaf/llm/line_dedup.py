@@ -128,12 +128,13 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     return df.where(hit).select(*pairs.columns)
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 32) -> DataFrame:
+def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 32, short_copies: bool = False) -> DataFrame:
     """doc_id, line_no (from 0), class_doc_id, class_line_no and kept of every line of every document.
 
     Lines are cut at line feeds. Two lines of ``min_chars`` characters or more are alike when at most ``edits`` edits
     apart; a class holds what is reachable. Its name is its first line, by (doc_id, line_no), and that is kept.
-    Shorter lines are classes of their own and always kept. Null texts have no line, empty ones an empty line. Rows of
+    Shorter lines are classes of their own and always kept; with ``short_copies``, those of one text are one class, empty
+    lines included, of which the first is kept. Null texts have no line, empty ones an empty line. Rows of
     one id are one document: their lines of one number are the same place, so repeated rows keep the same lines. A null
     id comes first. Other columns are ignored.
 
@@ -145,7 +146,7 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     """
     lines = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.posexplode(F.split(f"`{text}`", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("n", F.char_length("line"))
-    places = stored(lines.select("doc_id", "line_no", F.when(F.col("n") >= min_chars, F.xxhash64("line")).alias("h")), "lines")
+    places = stored(lines.select("doc_id", "line_no", F.when(F.lit(short_copies) | (F.col("n") >= min_chars), F.xxhash64("line")).alias("h")), "lines")
     long = lines.where(F.col("n") >= min_chars).select("line", "n", F.xxhash64("line").alias("h"))
     keys = long.select("h", F.inline(segment_keys(F.col("line"), F.col("n"), edits)))
     met = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("owned")).where("lo < hi AND owned")
@@ -183,14 +184,15 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     return named.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), (place == F.col("head")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 32) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 32, drop_short_copies: bool = False) -> DataFrame:
     """The documents without the lines that line_classes doesn't keep; those that had lines and have none left go.
 
     Columns and order of lines stay. Documents without a repeated line come out as they went in, null texts included.
-    Rows of one id lose the lines of the same numbers.
+    Rows of one id lose the lines of the same numbers. Lines under ``min_chars`` stay, however often they repeat, unless
+    ``drop_short_copies`` is set.
     """
     none = -(1 << 63)
-    gone = line_classes(docs, doc_id, text, edits, min_chars).where("NOT kept")
+    gone = line_classes(docs, doc_id, text, edits, min_chars, drop_short_copies).where("NOT kept")
     gone = gone.groupBy(F.coalesce("doc_id", F.lit(none)).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
     rows = docs.withColumn("__id", F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(none))).join(gone, "__id", "left")
     kept = F.filter(F.split(f"`{text}`", "\n"), lambda line, i: ~F.array_contains("__gone", i))

@@ -42,8 +42,9 @@ def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line with its class; the oracle would compare all pairs of lines, so tests do, on a small table."""
-    return line_classes(_table(spark, sf, "documents"))
+    """Every line with its class, short lines by exact text; the oracle would compare all pairs of lines, so tests do, on a
+    small table."""
+    return line_classes(_table(spark, sf, "documents"), short_copies=True)
 
 
 def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:

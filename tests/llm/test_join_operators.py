@@ -110,6 +110,19 @@ def test_line_classes_against_brute_force(spark):
     assert line_dedup.line_classes(frame.limit(0)).isEmpty()
 
 
+def test_short_lines_of_one_text_are_one_class(spark):
+    long = "a line of more than thirty-two characters"
+    docs = [(1, f"menu\n{long}\n\nmenu"), (2, f"Menu\nmenu\n{long}!"), (2, f"Menu\nmenu\n{long}!"), (3, "\nmenu"), (None, "Menu"), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.kept) for r in line_dedup.line_classes(frame, short_copies=True).collect()}
+    menu, title, blank = (1, 0), (None, 0), (1, 2)
+    want = {(1, 0): menu, (1, 1): (1, 1), (1, 2): blank, (1, 3): menu, (2, 0): title, (2, 1): menu, (2, 2): (1, 1), (3, 0): blank, (3, 1): menu, (None, 0): title}
+    assert got == {at: (*head, at == head) for at, head in want.items()}
+    texts = lambda **kw: sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(frame, **kw).where("text IS NOT NULL").collect())
+    assert texts() == [(0, "Menu"), (1, docs[0][1]), (2, "Menu\nmenu"), (2, "Menu\nmenu"), (3, "\nmenu")]
+    assert texts(drop_short_copies=True) == [(0, "Menu"), (1, f"menu\n{long}\n")]
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
