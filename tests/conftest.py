@@ -35,7 +35,3 @@ def make(spark):
         return table.with_df(placed.df.drop("pos"), order=placed.order)
 
     return build
-
-
-def rows(table, companions=False):
-    return [tuple(r) for r in table.ordered(companions).collect()]

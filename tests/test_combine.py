@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from support import rows
 
 from tallysheaf import report as R
 from tallysheaf.operators import aggregate, computed, join, union

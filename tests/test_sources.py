@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from conftest import rows
+from support import rows
 
 from tallysheaf import report as R
 from tallysheaf.naming import unique_columns

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from support import rows
 
 from tallysheaf import report as R
 from tallysheaf.functions.render import render_de
