@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import canonical_turns, conversation_records, format_turns, read_back
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .embedding_dedup import near_vectors
+from .hard_negatives import hard_negatives
 from .language import fit as fit_language
 from .language import identify
 from .line_dedup import line_classes
 from .near_duplicates import near_duplicates
 from .packing import pack
-from .shared import crc_mod
+from .shared import crc_mod, shared_folder
 from .token_counts import token_counts
 from .toxicity import Toxicity, fit, labelled_sample, toxicity
 from .url_filter import page_labels, url_filter
+from .warc import page_payloads, read_warc, with_revisits, write_warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -94,7 +99,24 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_line_dedup, op3_url_filters, op4_toxicity, op5_packing, op6_embedding_dedup, op7_ngram_jaccard_join, op8_language_id, op9_token_counts, op10_decontamination)}
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(with_revisits(_table(spark, sf, "pages")), archives)
+    return page_payloads(read_warc(spark, archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf, "embeddings"), F.col("id") % 50 == 0, moved)
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_line_dedup, op3_url_filters, op4_toxicity, op5_packing, op6_embedding_dedup, op7_ngram_jaccard_join, op8_language_id,
+    op9_token_counts, op10_decontamination, op11_warc, op12_hard_negatives, op13_collocations)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -144,4 +166,40 @@ i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT b, max(page_id) AS top, count(*) AS n FROM p WHERE octet_length(b) >= 1000 GROUP BY b),
+j AS (SELECT p.*, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM p LEFT JOIN g ON p.b = g.b)
+SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE a.id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) <= 3""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, unnest(range(1, 5)) AS t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, a FROM f WHERE k > 1 AND a >= 30),
+x AS (SELECT lang, phrase, ws, a, unnest(range(1, k)) AS cut, k FROM c),
+y AS (SELECT x.lang, x.phrase, x.a, cut, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * x.a // (l.a + r.a) AS BIGINT) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(ws[cut + 1:x.k], ' ')),
+b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, a, array_to_string(ws[s:s + m - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))),
+z AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY 1, 2),
+q AS (SELECT b.* FROM b LEFT JOIN z USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
