@@ -51,17 +51,20 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     Of payloads of ``least`` bytes or more that are equal, that of the largest page_id is kept and the others refer to
     it; rows that repeat the largest id are all kept. A null payload is an empty one. A null id is below all others.
-    Payloads are equal by SHA-256 and length. Only that digest is grouped, with partial maxima on every task, so a
-    payload that a third of all pages share costs no more than another.
+    Payloads are equal by SHA-256. Digests alone are grouped, with partial maxima on every task, so a payload that a third
+    of all pages share costs no more than another; what refers to what is a table of two numbers and a digest a revisit,
+    and payloads move only where that table is too large to be sent to them.
     """
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"),
                         F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload"))
     large = F.octet_length("payload") >= least
-    # Small payloads have keys of their own, spread by id: nothing refers to them, and they don't meet in one task.
-    rows = rows.withColumn("key", F.when(large, F.sha2("payload", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id").cast("string"))))
-    kept = rows.where(large).groupBy("key").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("key", "largest")
-    other = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    return rows.join(kept, "key", "left").select("page_id", "url", "payload", F.when(other, F.col("largest")).alias("refers_to"))
+    thin = stored(rows.where(large).select("page_id", F.sha2("payload", 256).alias("key")), "payload-digests")
+    kept = thin.groupBy("key").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1 AND largest IS NOT NULL")
+    other = thin.join(kept, "key").where(~F.col("page_id").eqNullSafe(F.col("largest")))
+    other = stored(other.select(F.col("page_id").alias("from"), F.col("key").alias("of"), F.col("largest").alias("refers_to")).distinct(), "revisits")
+    # Small payloads have keys of their own, spread by id, that nothing refers to.
+    keyed = rows.withColumn("key", F.when(large, F.sha2("payload", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id").cast("string"))))
+    return keyed.join(other, (keyed["key"] == other["of"]) & keyed["page_id"].eqNullSafe(other["from"]), "left").select("page_id", "url", "payload", "refers_to")
 
 
 def write_warc(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> None:
