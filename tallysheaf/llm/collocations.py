@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,75 +20,173 @@ from .shared import stored
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 #: The words of the longest window, each the lead of the one before; empty past the end of a piece.
 _LEADS = ["w1", "w2", "w3", "w4"]
+_BITS = 26
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _texts(documents: DataFrame, text: str, lang: str) -> DataFrame:
+    return documents.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("binary").alias("body")).where("body IS NOT NULL")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, bytes, int]]:
+    """(lang, folded text, how far windows may start) in blocks of about ``size`` bytes: texts of one lang together, or a
+    part of a long one, which reaches three words past where the next part starts."""
+    held: dict[str, list[bytes]] = {}
+    total: Counter = Counter()
+    for batch in batches:
+        for lang, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            body, at = body.as_py().translate(_FOLD), 0
+            while len(body) - at > size:
+                end = _word_end(body, at + size)
+                past = end
+                for _ in range(3):
+                    past = _word_end(body, _word_start(body, past))
+                yield lang, body[at:past], end - at
+                at = end
+            held.setdefault(lang, []).append(body[at:])
+            total[lang] += len(body) - at
+            if total[lang] > size:
+                block = b"\n".join(held.pop(lang))
+                total[lang] = 0
+                yield lang, block, len(block)
+    for lang, parts in held.items():
+        block = b"\n".join(parts)
+        yield lang, block, len(block)
+
+
+def _word_end(body: bytes, at: int) -> int:
+    ends = [e for e in (body.find(b" ", at), body.find(b"\n", at)) if e >= 0]
+    return min(ends, default=len(body))
+
+
+def _word_start(body: bytes, at: int) -> int:
+    while at < len(body) and body[at] in b" \n":
+        at += 1
+    return at
+
+
+def _pairs(lang: str, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the block's words start, which of them has a lead in its piece, and hashes of those pairs (of all words but the
+    last)."""
+    text = np.frombuffer(block, np.uint8)
+    solid = (text != 32) & (text != 10)
+    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+    start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    if len(start) == 0:
+        return start, np.zeros(0, bool), np.zeros(0, np.uint64)
+    inside = np.arange(len(text)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(text)]])))
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int((end - start).max()), _PRIME))
+        value = np.zeros(len(text), np.uint64)
+        value[solid] = (text[solid].astype(np.uint64) + np.uint64(1)) * power[inside[solid]]
+        word = np.add.reduceat(value, start)
+        # Pairs are told apart by lang and order; the last steps spread them over all bits.
+        h = (word[:-1] ^ (word[:-1] >> np.uint64(29))) * _PRIME + word[1:] + np.uint64(zlib.crc32(lang.encode()))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    piece = np.cumsum(text == 10)[start]
+    return start, piece[:-1] == piece[1:], h
+
+
+def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int = 4 << 20, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for every hash that pairs of words of ``least`` occurrences have, in 2^26 bits; and the hashes of pairs that make
+    up more than ``share`` of all, at most 1 / share.
+
+    Tasks count pairs by a 64-bit hash. The bits can only let too much pass: what they let pass is counted exactly by
+    its words, so neither a chance meeting of hashes nor a corpus that fills all bits changes a result.
+    """
 
-
-def windows(documents: DataFrame, text: str = "text", lang: str = "lang", many: int = 1_000_000) -> DataFrame:
-    """lang, w1 to w4, n: for every word the window that it starts, in its piece of its text, and how often.
-
-    Equal windows of a task are one row as long as ``many`` words go by, and rows are sorted among these, so a line that
-    a third of all texts repeat is one row a task, and rows that start alike stand together in the shuffle's files.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True)
+            return h, np.bincount(at, np.concatenate([s[1] for s in seen]), len(h)).astype(np.int64)
+
+        def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+        for lang, block, limit in _blocks(batches, size):
+            start, led, h = _pairs(lang, block)
+            seen.append(np.unique(h[led & (start[:-1] < limit)], return_counts=True))
+            if sum(len(s[0]) for s in seen) > most:
+                seen[:] = [merged()]
+                if len(seen[0][0]) > most // 2:
+                    yield out(*seen.pop())
+        if seen:
+            yield out(*merged())
+
+    pairs = stored(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pair-hashes")
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    hot = pairs.where(F.col("n") > share * total).orderBy(F.desc("n"), "h").limit(int(1 / share)).collect()
+    slot = F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1))
+    words = pairs.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros((1 << _BITS) // 64, np.int64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return bits, np.array([r["h"] for r in hot], np.int64)
+
+
+def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 4 << 20) -> DataFrame:
+    """lang, w1 to w4, salt, n: for every word of the texts (lang, body) the window that it starts, and how often.
+
+    A window goes on with the words' leads in their piece as long as each pair of words is one that ``bits`` let pass,
+    and is padded from there: no phrase past that place can be frequent. Equal windows of a block are one row, so a line
+    that a third of all texts repeat is a few rows a task. ``salt`` tells the windows of a hot first pair apart by their
+    third word; it is 0 for others.
     """
-    ship(documents.sparkSession)
+    ship(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast((bits, np.sort(hot)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        words = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang in sorted(held):
-                rows = sorted(held[lang].items())
-                for at in range(0, len(rows), 65536):
-                    part = rows[at : at + 65536]
-                    leads = list(zip(*[w.split(b" ") for w, _ in part], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), *[pa.array(c, pa.binary()) for c in leads], pa.array([n for _, n in part], pa.int64())],
-                                                     names=["lang", *_LEADS, "n"])
-            held.clear()
-
-        for batch in batches:
-            for lang, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                into = held.setdefault(lang, Counter())
-                for piece in body.as_py().translate(_FOLD).split(b"\n"):
-                    one = piece.split()
-                    if one:
-                        into.update(map(b" ".join, zip(one, one[1:] + [b""], one[2:] + [b""] * 2, one[3:] + [b""] * 3)))
-                        words += len(one)
-                        if words >= many:
-                            yield from flush()
-                            into, words = held.setdefault(lang, Counter()), 0
-        yield from flush()
-
-    rows = documents.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("binary").alias("body")).where("body IS NOT NULL")
-    counted = rows.mapInArrow(count, "lang string, " + ", ".join(f"{w} binary" for w in _LEADS) + ", n long")
-    return counted.select("lang", *[F.col(w).cast("string").alias(w) for w in _LEADS], "n")
-
-
-def _hot_pairs(rows: DataFrame, share: float, sample: float) -> list[tuple]:
-    """Pairs of words that start more than ``share`` of the sampled windows: at most 1 / share. They decide where rows go,
-    not what is counted."""
-    seen = rows.sample(sample, 11).groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    return [tuple(r) for r in seen.where(F.col("n") > share * total).select("lang", "w1", "w2").orderBy(F.desc("n")).limit(int(1 / share)).collect()]
-
-
-def phrase_counts(rows: DataFrame, least: int, hot: list[tuple] = ()) -> DataFrame:
+        bits, hot = sent.value
+
+        def out(lang: str, counted: Counter, hots: set[bytes]) -> Iterator[pa.RecordBatch]:
+            found = sorted(counted.items())
+            for at in range(0, len(found), 65536):
+                part = found[at : at + 65536]
+                leads = [w.split(b" ") for w, _ in part]
+                salts = [zlib.crc32(w[2]) + 1 if hots and b" ".join(w[:2]) in hots else 0 for w in leads]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part)), *[pa.array(c, pa.binary()) for c in zip(*leads, strict=True)], pa.array(salts, pa.int64()), pa.array([n for _, n in part], pa.int64())],
+                    names=["lang", *_LEADS, "salt", "n"])
+
+        for lang, block, limit in _blocks(batches, size):
+            start, led, h = _pairs(lang, block)
+            slot = (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+            words, begins = block.split(), start < limit
+            # Whether each word's pair goes on; none does from the last word.
+            on = np.zeros(len(start) + 3, bool)
+            on[: len(h)] = led & (bits[slot >> 6] >> (slot & 63) & 1 == 1)
+            one, two, three = (on[i : i + len(start)] for i in range(3))
+            reach = 1 + one.astype(np.int64) + (one & two) + (one & two & three)
+            counted = Counter(w + b"   " for w in compress(words, (begins & ~one).tolist()))
+            at = np.nonzero(begins & one)[0]
+            counted.update(b" ".join(words[i : i + k]) + b" " * (4 - k) for i, k in zip(at.tolist(), reach[at].tolist(), strict=True))
+            hots: set[bytes] = set()
+            if len(hot) and len(h):
+                hots = {b" ".join(words[i : i + 2]) for i in np.nonzero(led & np.isin(h.view(np.int64), hot))[0].tolist()}
+            yield from out(lang, counted, hots)
+
+    counted = rows.mapInArrow(count, "lang string, " + ", ".join(f"{w} binary" for w in _LEADS) + ", salt long, n long")
+    return counted.select("lang", *[F.col(w).cast("string").alias(w) for w in _LEADS], "salt", "n")
+
+
+def phrase_counts(rows: DataFrame, least: int) -> DataFrame:
     """lang, w1 to w4 and a: the count of every phrase of 1 to 4 words that occurs ``least`` times or more, null after its
     last word; and of each lang, with no words, the count of all its words.
 
-    A window ends, padded, where it can't be frequent any more: only windows of a task's lang and first two words tell
-    that, so this takes one shuffle of windows, and what ROLLUP then sums over shorter and shorter prefixes is small. The
-    ``hot`` pairs' windows are dealt by their third word as well and keep both words.
+    A window is cut, and padded, where it isn't frequent: the windows of its lang and first two words tell that, so all of
+    them are in one place (those of a hot pair by their third word, and they keep both words). This is the one shuffle
+    of windows; what ROLLUP then sums over shorter and shorter prefixes is small.
     """
-    known = F.lit(False)
-    if hot:
-        known = F.struct("lang", "w1", "w2").isin(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(h, ("lang", "w1", "w2"), strict=True)]) for h in hot])
-    dealt = rows.withColumn("hot", known).withColumn("salt", F.when(F.col("hot"), F.xxhash64("w3")).otherwise(F.lit(0).cast("long")))
-    dealt = dealt.repartition("lang", "w1", "w2", "salt")
+    dealt = rows.repartition("lang", "w1", "w2", "salt")
 
     def within(*words: str) -> Column:
         return F.sum("n").over(W.partitionBy("lang", "w1", "w2", "salt", *words))
 
     told = dealt.withColumn("f4", within("w3", "w4")).withColumn("f3", within("w3")).withColumn("f2", within())
-    cut = told.select("lang", "w1", F.when((F.col("f2") >= least) | F.col("hot"), F.col("w2")).otherwise("").alias("w2"),
+    cut = told.select("lang", "w1", F.when((F.col("f2") >= least) | (F.col("salt") > 0), F.col("w2")).otherwise("").alias("w2"),
                       F.when(F.col("f3") >= least, F.col("w3")).otherwise("").alias("w3"), F.when(F.col("f4") >= least, F.col("w4")).otherwise("").alias("w4"), "n")
     padded = cut.groupBy("lang", *_LEADS).agg(F.sum("n").alias("n"))
     sums = padded.rollup("lang", *_LEADS).agg(F.sum("n").alias("a"), F.grouping_id().alias("rolled"))
@@ -105,8 +206,9 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", l
     and empty tables, give nothing; repeated rows count again; other columns are ignored. All sums are exact; products
     are taken in 38 digits.
     """
-    rows = windows(documents, text, lang)
-    counts = stored(phrase_counts(rows, least, _hot_pairs(rows, 0.001, 0.01)), "phrase-counts")
+    rows = _texts(documents, text, lang)
+    bits, hot = frequent_pairs(rows, least)
+    counts = stored(phrase_counts(windows(rows, bits, hot), least), "phrase-counts")
     all_words = counts.where("w1 IS NULL").select("lang", F.col("a").alias("n"))
     words = F.filter(F.array(*_LEADS), lambda w: w.isNotNull())
     found = counts.where("w1 IS NOT NULL").select("lang", words.alias("words"), F.array_join(words, " ").alias("phrase"), "a")
