@@ -89,7 +89,7 @@ def _pairs(lang: str, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return start, piece[:-1] == piece[1:], h
 
 
-def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int = 4 << 20, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int = 1 << 20, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """A bit for every hash that pairs of words of ``least`` occurrences have, in 2^26 bits; and the hashes of pairs that make
     up more than ``share`` of all, at most 1 / share.
 
@@ -127,13 +127,13 @@ def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int
     return bits, np.array([r["h"] for r in hot], np.int64)
 
 
-def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 4 << 20) -> DataFrame:
+def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 << 20, most: int = 300_000) -> DataFrame:
     """lang, w1 to w4, salt, n: for every word of the texts (lang, body) the window that it starts, and how often.
 
     A window goes on with the words' leads in their piece as long as each pair of words is one that ``bits`` let pass,
-    and is padded from there: no phrase past that place can be frequent. Equal windows of a block are one row, so a line
-    that a third of all texts repeat is a few rows a task. ``salt`` tells the windows of a hot first pair apart by their
-    third word; it is 0 for others.
+    and is padded from there: no phrase past that place can be frequent. A task counts until it holds ``most`` windows, so
+    a line that a third of all texts repeat is a few rows a task. ``salt`` tells the windows of a hot first pair apart
+    by their third word; it is 0 for others.
     """
     ship(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast((bits, np.sort(hot)))
@@ -146,11 +146,13 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 4 <<
             for at in range(0, len(found), 65536):
                 part = found[at : at + 65536]
                 leads = [w.split(b" ") for w, _ in part]
-                salts = [zlib.crc32(w[2]) + 1 if hots and b" ".join(w[:2]) in hots else 0 for w in leads]
+                salts = [zlib.crc32(w[2]) + 1 if hots and b" ".join([lang.encode(), *w[:2]]) in hots else 0 for w in leads]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(part)), *[pa.array(c, pa.binary()) for c in zip(*leads, strict=True)], pa.array(salts, pa.int64()), pa.array([n for _, n in part], pa.int64())],
                     names=["lang", *_LEADS, "salt", "n"])
 
+        held: dict[str, Counter] = {}
+        hots: set[bytes] = set()
         for lang, block, limit in _blocks(batches, size):
             start, led, h = _pairs(lang, block)
             slot = (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
@@ -160,13 +162,18 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 4 <<
             on[: len(h)] = led & (bits[slot >> 6] >> (slot & 63) & 1 == 1)
             one, two, three = (on[i : i + len(start)] for i in range(3))
             reach = 1 + one.astype(np.int64) + (one & two) + (one & two & three)
-            counted = Counter(w + b"   " for w in compress(words, (begins & ~one).tolist()))
+            counted = held.setdefault(lang, Counter())
+            counted.update(w + b"   " for w in compress(words, (begins & ~one).tolist()))
             at = np.nonzero(begins & one)[0]
             counted.update(b" ".join(words[i : i + k]) + b" " * (4 - k) for i, k in zip(at.tolist(), reach[at].tolist(), strict=True))
-            hots: set[bytes] = set()
             if len(hot) and len(h):
-                hots = {b" ".join(words[i : i + 2]) for i in np.nonzero(led & np.isin(h.view(np.int64), hot))[0].tolist()}
-            yield from out(lang, counted, hots)
+                hots |= {b" ".join([lang.encode(), *words[i : i + 2]]) for i in np.nonzero(led & np.isin(h.view(np.int64), hot))[0].tolist()}
+            if sum(map(len, held.values())) > most:
+                for each in sorted(held):
+                    yield from out(each, held[each], hots)
+                held.clear()
+        for each in sorted(held):
+            yield from out(each, held[each], hots)
 
     counted = rows.mapInArrow(count, "lang string, " + ", ".join(f"{w} binary" for w in _LEADS) + ", salt long, n long")
     return counted.select("lang", *[F.col(w).cast("string").alias(w) for w in _LEADS], "salt", "n")

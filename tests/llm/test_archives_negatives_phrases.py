@@ -131,7 +131,7 @@ def brute_negatives(rows, anchor, positives=5, negatives=3):
 def test_negatives_against_brute_force(spark, shard_bytes, members, step):
     rng = np.random.default_rng(5)
     rows = [(i, rng.integers(-3, 4, 6).astype(float).tolist(), int(rng.integers(4))) for i in range(160)]  # many ties
-    rows += [(200 + i, (rng.standard_normal(6) * 10 ** rng.integers(-3, 3)).tolist(), i % 4) for i in range(60)]
+    rows += [(200 + i, (rng.standard_normal(6) * 10.0 ** rng.integers(-3, 3)).tolist(), i % 4) for i in range(60)]
     rows += [(300, [0.0] * 6, 1), (301, [float("nan")] * 6, 1), (302, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (303, None, 1), (304, [1.0] * 6, None), (None, [1.0] * 6, 1),
              (305, [], 1), (306, [], 2), (307, [2.0] * 3, 1), (308, [2.0] * 3, 1), (309, [1.5] * 3, 2), (310, [1e6, -1e6, 3.5e5, 0.0, 1e6, 1e6], 1), (311, [1e6] * 6, 2), rows[5], rows[5], (7, [9.0] * 6, 3)]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, score int")
@@ -199,7 +199,7 @@ def test_phrases_against_brute_force(spark, monkeypatch, size, share, bits):
     pairs, windows = collocations.frequent_pairs, collocations.windows
     monkeypatch.setattr(collocations, "_BITS", bits)
     monkeypatch.setattr(collocations, "frequent_pairs", lambda r, least: pairs(r, least, share, size, 100))
-    monkeypatch.setattr(collocations, "windows", lambda r, b, hot: windows(r, b, hot, size))
+    monkeypatch.setattr(collocations, "windows", lambda r, b, hot: windows(r, b, hot, size, 100))
     for least, absorbed, top in ((3, 80, 2000), (30, 80, 7)):
         got = collocations.collocations(table, least=least, absorbed=absorbed, top=top).collect()
         want = brute_phrases(rows, least, absorbed, top)
