@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
-from .shared import compact, components, stored
+from .shared import components, stored
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers of 64-bit mixing (fixed values).
@@ -270,7 +270,55 @@ def _prefix(order: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col("slots")), lambda x: x["t"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, orders: int = 3) -> DataFrame:
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether two sets that share a prefix shingle can be near enough: by their sizes, and by what each has left from that
+    shingle on. The first shingle that they share passes if they are, as nothing before it is shared."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
+    return sizes & ((100 + percent) * F.least(f"{a}.rest", f"{b}.rest") >= percent * (n + m))
+
+
+def _verified(pairs: DataFrame, held: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The pairs (src, dst, and their components) of sets that link: their prefixes meet under the other orders too, and then
+    the sets themselves are compared."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct()
+    full = held.join(wanted, "sig", "left_semi").select("sig", "n", "shared", *[_prefix(k).alias(f"p{k}") for k in range(1, orders)])
+    full = stored(full, "wanted-sets")
+    left, right = (full.select(*[F.col(c).alias(f"{side}_{c}") for c in full.columns]) for side in ("a", "b"))
+    joined = pairs.join(left, F.col("src") == F.col("a_sig")).join(right, F.col("dst") == F.col("b_sig"))
+    for k in range(1, orders):
+        joined = joined.where(F.arrays_overlap(f"a_p{k}", f"b_p{k}"))
+    both = F.size(F.array_intersect("a_shared", "b_shared"))
+    links = joined.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("both")))
+    return links.select("src_component", "dst_component").distinct()
+
+
+def _united(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """The prefix shingles with the components that the links join, as far as some shingle still has two of them."""
+    joined = components(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")), "set-components")
+    moved = placed.join(joined.withColumnRenamed("component", "to"), F.col("component") == F.col("id"), "left")
+    return _open(moved.select("token", "sig", "n", "rest", F.coalesce("to", "component").alias("component")))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return stored(placed.join(mixed, "token", "left_semi"), "open-prefixes")
+
+
+def _star_pairs(placed: DataFrame, seed: int, percent: int) -> DataFrame:
+    """For every prefix shingle one set of each component that has it, against that of one component: pairs to verify, never
+    more than shingles."""
+    best = F.min(F.struct(_seeded(seed)(F.col("sig")).alias("h"), "sig", "n", "rest")).alias("x")
+    reps = placed.groupBy("token", "component").agg(best).select("token", "component", "x.*")
+    lead = reps.groupBy("token").agg(F.min(F.struct("h", "sig", "n", "rest", "component")).alias("x")).select("token", "x.*")
+    a, b = reps.alias("a"), lead.alias("b")
+    found = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
+    return stored(found.select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst"), F.col("a.component").alias("src_component"),
+                               F.col("b.component").alias("dst_component")).distinct(), "star-pairs")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, orders: int = 3,
+                    part_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of every row.
 
     A document's set: its distinct runs of ``size`` words (A-Z lower-cased, parted by ASCII white space), or all its
@@ -279,16 +327,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component; repeated ids stay rows of their own; a row with a null id never names a component unless it is alone.
     Other columns are ignored.
 
-    Equal sets are collapsed by a 64-bit signature. Shingles are dealt by value in blocks of 6-byte numbers to count
-    in how many sets each occurs; sets then learn which of theirs are shared, and how often. In every order rare
-    shingles come first, so prefixes (n - ceil(t n) + 1 shingles) of most sets are full of unshared ones and these are
-    out. Sets with a common least hash are linked to a few leads each and joined to components; the join on prefix
-    shingles then takes pairs of different components only, so a group of near copies never becomes all its pairs.
-    Pairs whose prefixes under the other orders don't meet are dropped before sets are compared.
+    Equal sets are collapsed by a 64-bit signature, and shingles compared by 48 bits of their hash within 24 MB of text
+    (``part_bytes``) at a time: among a billion sets two different ones have one signature with a chance of 3 %. Shingles
+    are dealt by value to count in how many sets each occurs; sets then learn which of theirs are shared, and how often.
+    In every order rare shingles come first, so prefixes (n - ceil(t n) + 1 shingles) of most sets are full of unshared
+    ones and these are out.
+
+    Sets with a common least hash are linked to a few leads each and joined to components. Then come rounds of stars:
+    for each prefix shingle one set of every component is held against that of one, other sets in every round, until a
+    round links nothing. The join on prefix shingles takes only what is of different components even then, so a group
+    of near copies never becomes all its pairs, and of the links between two components one goes on. Pairs whose sizes
+    or places of the shingle tell that they can't be near, or whose prefixes under the other orders don't meet, are
+    dropped before sets are compared.
     """
     spark = ship(docs.sparkSession)
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     flat = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    parts = max(2, -(-(flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
     sets = "part int, sig long, n long, doc_id long, tokens binary, ranks binary"
     dealt = _blocks(flat, parts, size).repartitionById(parts, "part").mapInArrow(lambda b: _shared(b, parts), sets)
     dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("sig")
@@ -300,30 +354,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = F.explode(F.array(*[F.array_min(F.transform("shared", _seeded(i))) for i in (101, 202)]))
     keyed = held.select(least.alias("key"), "sig", "n", "shared").repartition(parts, "key").sortWithinPartitions("key", "n", "sig")
     stars = stored(keyed.mapInArrow(lambda b: _stars(b, percent), "src long, dst long"), "stars")
-    first = components(stars, "set-components")
+    edges = stored(components(stars, "set-components").select(F.col("id").alias("src"), F.col("component").alias("dst")).where("src <> dst"), "edges")
 
     # Prefix shingles whose sets are not yet of one component.
-    sized = held.select("sig", "n", F.slice("shared", F.lit(1), F.col("slots")).alias("prefix")).join(first, F.col("sig") == F.col("id"), "left")
-    placed = sized.select(F.explode("prefix").alias("token"), "sig", "n", F.coalesce("component", "sig").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = compact(stored(placed.join(mixed, "token", "left_semi"), "open-prefixes"))
-    a, b = open_.alias("a"), open_.alias("b")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.component") != F.col("b.component"))
-    sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    pairs = compact(stored(a.join(b, near & sizes).select(F.col("a.sig").alias("src"), F.col("b.sig").alias("dst")).distinct(), "pairs"))
-
-    # The other orders' prefixes must meet too; then the sets themselves are compared.
-    wanted = stored(pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct(), "wanted-sets")
-    wanted = F.broadcast(wanted) if wanted.count() <= 200_000 else wanted
-    full = held.join(wanted, "sig", "left_semi")
-    full = full.select("sig", "n", "shared", *[_prefix(k).alias(f"p{k}") for k in range(1, orders)])
-    left, right = (full.select(*[F.col(c).alias(f"{side}_{c}") for c in full.columns]) for side in ("a", "b"))
-    joined = pairs.join(left, F.col("src") == F.col("a_sig")).join(right, F.col("dst") == F.col("b_sig"))
-    for k in range(1, orders):
-        joined = joined.where(F.arrays_overlap(f"a_p{k}", f"b_p{k}"))
-    both = F.size(F.array_intersect("a_shared", "b_shared"))
-    links = joined.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("both")))
-    final = components(stars.unionByName(links.select("src", "dst")), "set-components")
+    rest = F.size("shared") - F.col("at")
+    prefix = F.posexplode(F.slice("shared", F.lit(1), F.col("slots"))).alias("at", "token")
+    placed = held.select("sig", "n", "shared", prefix).select("token", "sig", "n", rest.alias("rest"))
+    placed = placed.join(edges, F.col("sig") == F.col("src"), "left").select("token", "sig", "n", "rest", F.coalesce("dst", "sig").alias("component"))
+    placed, seed = _open(placed), 1
+    while True:
+        links = stored(_verified(_star_pairs(placed, seed, percent), held, percent, orders), "star-links")
+        if links.isEmpty():
+            break
+        edges = edges.unionByName(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")))
+        placed, seed = _united(placed, links), seed + 1
+    a, b = placed.alias("a"), placed.alias("b")
+    met = (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.component") != F.col("b.component"))
+    pairs = a.join(b, met & _near("a", "b", percent)).select(
+        F.col("a.sig").alias("src"), F.col("b.sig").alias("dst"), F.col("a.component").alias("src_component"), F.col("b.component").alias("dst_component"))
+    links = _verified(stored(pairs.distinct(), "pairs"), held, percent, orders)
+    edges = edges.unionByName(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")))
+    final = components(edges, "set-components")
 
     known = owners.join(final, F.col("sig") == F.col("id"), "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("component", "sig")))
     known = known.select("doc_id", "n", "class")

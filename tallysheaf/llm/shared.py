@@ -53,25 +53,32 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable, for every id on an edge (src, dst of one orderable type).
 
-    Each round every node takes the smallest label among its neighbours' and its own, then the label of its label
-    (pointer jumping), so that long chains shrink by halves. Both steps aggregate with map-side combine, and a hub
-    with a third of all edges is a partial minimum on every task. Each round is one table in the shared folder.
+    Each round every node takes the smallest label among its neighbours' and its own and hands it to the label it had,
+    and all labels then jump to the labels of their own, so that long chains shrink by halves. Edges between nodes of
+    one label are done with and leave, and the others become edges between labels, each once: tables shrink from round
+    to round. Minima combine on the tasks, so a hub with a third of all edges is one row a task. A round writes two tables
+    to the shared folder.
     """
-    pairs = compact(stored(edges.select("src", "dst").where("src <> dst"), name))
-    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    both = compact(stored(pairs.select(ends.alias("e")).select("e.src", "e.dst").distinct(), name))
-    labels = compact(stored(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), name))
+    live = stored(edges.select("src", "dst").where("src <> dst").distinct(), name)
+    labels = None
     while True:
-        seen = both.join(labels, both.dst == labels.id).select(F.col("src").alias("id"), "label")
-        # A hook: the label's own entry learns the smaller label of any of its members, not only the member itself.
-        own = labels.select("id", "label")
-        pulled = seen.unionByName(own).groupBy("id").agg(F.min("label").alias("near"))
-        step = pulled.join(labels, "id").select("id", "label", "near")
-        hooks = step.where("near < label").select(F.col("label").alias("id"), "near")
-        merged = step.select("id", "near").unionByName(hooks).groupBy("id").agg(F.min("near").alias("label"))
-        jump = merged.select(F.col("id").alias("label"), F.col("label").alias("jumped"))
-        after = compact(stored(merged.join(jump, "label", "left").select("id", F.least("label", "jumped").alias("label")), name))
-        changed = after.join(labels.withColumnRenamed("label", "was"), "id").where("label < was")
-        labels = after
-        if changed.isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        both = live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        hooks = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near")).select("id", F.least("id", "near").alias("component"))
+        # Every node points to a smaller one or to itself: pointer jumping ends at the roots.
+        roots = stored(hooks, name)
+        while True:
+            jump = roots.select(F.col("id").alias("component"), F.col("component").alias("jumped"))
+            after = stored(roots.join(jump, "component").select("id", F.col("jumped").alias("component"), (F.col("jumped") < F.col("component")).alias("moved")), name)
+            roots = after.drop("moved")
+            if after.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = roots
+        else:
+            moved = roots.select(F.col("id").alias("component"), F.col("component").alias("to"))
+            labels = stored(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), name)
+        a, b = (roots.select(F.col("id").alias(side), F.col("component").alias(f"{side}_root")) for side in ("src", "dst"))
+        live = live.join(a, "src").join(b, "dst").where("src_root <> dst_root")
+        live = stored(live.select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).distinct(), name)
+        if live.isEmpty():
+            return labels
