@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tallysheaf.operators import first, join, search  # noqa: E402
+from tallysheaf.operators import first, join, profile, search  # noqa: E402
 from tallysheaf.operators.aggregate import aggregate  # noqa: E402
 from tallysheaf.operators.filter import filter_rows  # noqa: E402
 from tallysheaf.operators.sort import sort_rows  # noqa: E402
@@ -22,7 +22,7 @@ from tallysheaf.plans.convert import convert  # noqa: E402
 from tallysheaf.plans.detect import detect_types  # noqa: E402
 from tallysheaf.plans.recipe import FORMAT, run  # noqa: E402
 from tallysheaf.plans.session import tune  # noqa: E402
-from tallysheaf.sources import sinks  # noqa: E402
+from tallysheaf.sources import csv, sinks  # noqa: E402
 from workload.inputs import report_text, table  # noqa: E402
 from workload.queries import QUERIES, cond, key, pick  # noqa: E402
 
@@ -70,6 +70,8 @@ def cases(spark) -> dict:
     typing = detect_types(source).confirm()
     out = tempfile.mkdtemp(prefix="bench-")
     serial = iter(range(1000))
+    lines = f"{out}/lines"
+    sinks.write_csv(orders, lines)
     by_price = sort_rows(li, [{"column": "l_extendedprice", "direction": "desc"}])
     return {
         "filter": lambda: consume(filter_rows(li, [cond("l_quantity", "gt", 45)]).frame()),
@@ -96,6 +98,9 @@ def cases(spark) -> dict:
             thirty_steps(), {"o1": orders, "o2": orders, "o3": orders, "c": cust}).table.frame()),
         "recipe_end_to_end": lambda: consume(QUERIES["recipe_end_to_end"](spark, SF)),
         "parquet_export": lambda: sinks.write_parquet(orders, f"{out}/p{next(serial)}"),
+        "read_csv": lambda: consume(csv.read_csv(spark, lines).table.frame()),
+        "recipe_report": lambda: run(thirty_steps(), {"o1": orders, "o2": orders, "o3": orders, "c": cust}).status(),
+        "column_profile": lambda: consume(profile.column_profile(orders, "orders")),
         "csv_export": lambda: sinks.write_csv(orders, f"{out}/c{next(serial)}"),
     }
 

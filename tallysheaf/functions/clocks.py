@@ -120,7 +120,8 @@ def _clock_parts(text: Column, p: DatetimePattern) -> tuple[Column, Column, Colu
 
 
 def parse_datetime(text: Column, key: str) -> Column:
-    """UTC microseconds as TIMESTAMP_NTZ, the offset applied and 24:00 rolled to the next day; NULL if unreadable."""
+    """UTC microseconds as TIMESTAMP_NTZ, the offset applied and 24:00 rolled to the next day; NULL if unreadable. Digits
+    below are those of :func:`nanos_below`."""
     p = BY_KEY[key]
     # Unreadable text becomes NULL first: what follows is then free of conditions, so its parts are computed once.
     fold = "(?iu)" if p.date_key == dates.MONTH_NAME else ""
@@ -133,6 +134,15 @@ def parse_datetime(text: Column, key: str) -> Column:
     return day.cast("timestamp_ntz") + clock
 
 
+#: A text that ends in seven to nine fraction digits, and an offset or none.
+BELOW_MICRO = r"[.,][0-9]{6}([0-9]{1,3})(?:[Zz]|[+-][0-9:]+)?\z"
+
+
+def nanos_below(text: Column) -> Column:
+    """The nanoseconds, 0 to 999, that a readable datetime has below its microseconds."""
+    return F.rpad(F.regexp_extract(text, BELOW_MICRO, 1), 3, "0").cast("int")
+
+
 def reads_as_time(text: Column) -> Column:
     return text.rlike(rf"\A{TIME_SHAPE}\z")
 

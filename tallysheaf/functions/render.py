@@ -56,7 +56,7 @@ def cell_text(c: Col) -> Column:
     elif c.kind == DATE:
         text = date_text(value)
     elif c.kind == DATETIME:
-        text = datetime_text(value)
+        text = datetime_text(value, col(c.nanos) if c.nanos else None)
     elif c.kind == TIME:
         text = _clock_text(value, pad_hours=True)
     elif c.kind == DURATION:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import report as R
-from ..table import NUMBER, ORDER_PREFIX, Col, OrderKey, Table, col
+from ..table import NANOS_SUFFIX, NUMBER, ORDER_PREFIX, Col, OrderKey, Table, col, free_name, nanos_of
 
 OPERATIONS = ("count", "count_distinct", "sum", "average", "minimum", "maximum")
 _NUMERIC_ONLY = ("sum", "average")
@@ -43,19 +43,19 @@ def output_name(agg: dict) -> str:
     return agg.get("as") or (f"{agg['op']}_{agg['column']}" if agg.get("column") else agg["op"])
 
 
-def _expression(agg: dict) -> Column:
+def _expression(agg: dict, table: Table) -> Column:
     # A box is NULL in its column, so every aggregate but the row count passes over it.
     op = agg["op"]
     if op == "count":
         return F.count(F.lit(1))
-    cell = col(agg["column"])
-    return {
-        "count_distinct": F.count_distinct,
-        "sum": F.sum,
-        "average": F.avg,
-        "minimum": F.min,
-        "maximum": F.max,
-    }[op](cell)
+    c = table[agg["column"]]
+    cell = col(c.name)
+    if op == "count_distinct":
+        return F.count_distinct(cell, *[col(n) for n in [c.nanos] if n])
+    if c.nanos:
+        # The least and the greatest of both parts as one value.
+        cell = F.when(cell.isNotNull(), F.struct(cell.alias("cell"), col(c.nanos).alias("nanos")))
+    return {"sum": F.sum, "average": F.avg, "minimum": F.min, "maximum": F.max}[op](cell)
 
 
 def aggregate(table: Table, by: list[str], aggs: list[dict], report: R.Report | None = None) -> Table:
@@ -75,15 +75,18 @@ def aggregate(table: Table, by: list[str], aggs: list[dict], report: R.Report |
     R.refuse_if(faults)
 
     boxed = sorted({n for n in used if table[n].raw})
-    # As a key, each original text of a box is a group of its own.
-    keys = [x for n in by for x in (n, *table[n].hidden)]
-    grouped = table.df.groupBy(*[col(k) for k in keys]).agg(*[_expression(a).alias(output_name(a)) for a in aggs])
+    # As a key, each original text of a box is a group of its own, and so are a datetime's nanoseconds.
+    taken = {*by, *(output_name(a) for a in aggs)}
+    carried = [table[n].renamed(n, taken) for n in by]
+    cells, cols = [x for cells, _ in carried for x in cells], [c for _, c in carried]
+    keys = [x for c in cols for x in (c.name, *c.hidden)]
+    grouped = table.df.groupBy(*cells).agg(*[_expression(a, table).alias(output_name(a)) for a in aggs])
     if report is not None:
-        metrics = {"rows": F.count(F.lit(1)), **{f"b{i}": R.count_if(table[n].boxed) for i, n in enumerate(boxed)}}
-        seen, out = report.count(table.df, **metrics), report.count(grouped, rows=F.count(F.lit(1)))
+        table, _, seen = report.tally(table, rows=F.lit(True), **{f"b{i}": table[n].boxed for i, n in enumerate(boxed)})
+        report.close(table)
 
         def counts():
-            found = [R.info(R.AGGREGATE_ROWS, before=seen()["rows"], after=out()["rows"])]
+            found = [R.info(R.AGGREGATE_ROWS, before=seen()["rows"], after=made()["rows"])]
             skipped = {n: seen()[f"b{i}"] for i, n in enumerate(boxed) if seen()[f"b{i}"]}
             if skipped:
                 found.append(R.warning(R.AGGREGATE_BOXES, columns=skipped))
@@ -91,14 +94,21 @@ def aggregate(table: Table, by: list[str], aggs: list[dict], report: R.Report |
 
         report.later(counts)
 
-    cols = [Col(n, table[n].kind, table[n].raw, table[n].affix) for n in by]
+    out = []
     for a in aggs:
-        kind = table[a["column"]].kind if a["op"] in ("minimum", "maximum") else NUMBER
+        name, extreme = output_name(a), a["op"] in ("minimum", "maximum")
+        kind = table[a["column"]].kind if extreme else NUMBER
         affix = table[a["column"]].affix if a["op"] not in ("count", "count_distinct") else None
-        cols.append(Col(output_name(a), kind, None, affix))
+        nanos = free_name(name + NANOS_SUFFIX, taken) if extreme and table[a["column"]].nanos else None
+        out += [col(name)["cell"].alias(name), nanos_of(col(name)["nanos"], name, nanos)] if nanos else [col(name)]
+        cols.append(Col(name, kind, None, affix, nanos))
+    grouped = grouped.select(*[col(k) for k in keys], *out)
     order = tuple(OrderKey(f"{ORDER_PREFIX}g{i}") for i in range(max(len(keys), 1)))
     hidden = [col(k).alias(o.name) for k, o in zip(keys, order)] or [F.lit(0).alias(order[0].name)]
-    return Table(grouped.select("*", *hidden), tuple(cols), order)
+    result = Table(grouped.select("*", *hidden), tuple(cols), order)
+    if report is not None:
+        result, _, made = report.tally(result, rows=F.lit(True))
+    return result
 
 
 def apply(inputs: list[Table], config: dict, report: R.Report | None = None) -> Table:

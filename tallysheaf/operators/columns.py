@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import report as R
-from ..table import RAW_SUFFIX, Col, Table, col
+from ..table import Table, col
 
 
 def default_config() -> dict:
@@ -42,15 +42,12 @@ def select_columns(table: Table, columns: list[dict], report: R.Report | None =
     if not pairs:
         return table
     R.refuse_if([R.error(R.UNKNOWN_COLUMN, column=source) for source, _ in pairs if not table.has(source)])
-    exprs, cols = [], []
+    exprs, cols, taken = [], [], {target for _, target in pairs}
     for source, target in pairs:
-        c = table[source]
-        raw = target + RAW_SUFFIX if c.raw else None
-        exprs.append(col(source).alias(target))
-        if raw:
-            exprs.append(col(c.raw).alias(raw))
-        cols.append(Col(target, c.kind, raw, c.affix))
-    return table.with_df(table.df.select(*exprs, *[col(k.name) for k in table.order]), cols=tuple(cols))
+        cells, c = table[source].renamed(target, taken)
+        exprs += cells
+        cols.append(c)
+    return table.selected([*exprs, *[col(k.name) for k in table.order]], cols=tuple(cols))
 
 
 def apply(inputs: list[Table], config: dict, report: R.Report | None = None) -> Table:

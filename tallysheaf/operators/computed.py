@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import report as R
 from ..functions.render import cell_text
-from ..table import DATE, NUMBER, RAW_SUFFIX, TEXT, Col, Table, col
+from ..table import DATE, NUMBER, RAW_SUFFIX, TEXT, Col, Table, box_of, col, free_name
 
 ARITHMETIC = {
     "add": lambda a, b: a + b,
@@ -80,13 +80,13 @@ def add_computed(
     added = [value.alias(name)]
     if marks:
         marked = F.coalesce(reduce(or_, marks), F.lit(False))
-        raw = name + RAW_SUFFIX
-        added = [F.when(~marked, value).alias(name), F.when(marked, F.lit("")).alias(raw)]
-    df = table.df.select("*", *added)
+        raw = free_name(name + RAW_SUFFIX, {name, *table.df.columns})
+        added = [F.when(~marked, value).alias(name), box_of(F.when(marked, F.lit("")), name, raw)]
+    out = table.extended(added, cols=(*table.cols, Col(name, kind, raw)))
     if raw and report is not None:
-        seen = report.count(df, marked=R.count_if(col(raw).isNotNull()))
+        out, _, seen = report.tally(out, marked=col(raw).isNotNull())
         report.later(lambda: [R.warning(R.COMPUTED_EMPTY, rows=seen()["marked"])] if seen()["marked"] else [])
-    return table.with_df(df, cols=(*table.cols, Col(name, kind, raw)))
+    return out
 
 
 def apply(inputs: list[Table], config: dict, report: R.Report | None = None) -> Table:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from operator import and_, or_
 
@@ -63,8 +64,20 @@ def _disagreements(table: Table, conditions: list[dict]) -> list[R.Diagnostic]:
     return out
 
 
-def _compare(op: str, cell: Column, literal: Column, beyond: int) -> Column:
-    """``beyond`` > 0 means the literal lies that many nanoseconds past a cell of microsecond resolution."""
+def _compare(op: str, cell: Column, literal: Column, beyond: int, below: Column | None = None) -> Column:
+    """``beyond`` is how many nanoseconds the literal lies past its microsecond, ``below`` how many a cell does.
+
+    Cell and nanoseconds compare as one value, the cell's own bound first so that it reaches the scan.
+    """
+    if below is not None:
+        return {
+            "eq": lambda: (cell == literal) & (below == beyond),
+            "ne": lambda: (cell != literal) | (below != beyond),
+            "lt": lambda: (cell <= literal) & ((cell < literal) | (below < beyond)),
+            "lte": lambda: (cell <= literal) & ((cell < literal) | (below <= beyond)),
+            "gt": lambda: (cell >= literal) & ((cell > literal) | (below > beyond)),
+            "gte": lambda: (cell >= literal) & ((cell > literal) | (below >= beyond)),
+        }[op]()
     if beyond:
         if op == "eq":
             return F.lit(False)
@@ -103,7 +116,7 @@ def predicate(table: Table, conditions: list[dict], combine: str = "all") -> Col
         if typed is None and c.kind in TEMPORAL:
             unreadable.append(R.error(R.VALUE_UNREADABLE, column=c.name, type=c.kind, value=condition["value"]))
             continue
-        terms.append(_compare(op, cell, *typed))
+        terms.append(_compare(op, cell, *typed, col(c.nanos) if c.nanos else None))
     R.refuse_if(unreadable)
     if not terms:
         return F.lit(True)
@@ -121,14 +134,16 @@ def filter_rows(
     """Rows meeting all (or any) of the conditions; no condition keeps every row."""
     R.refuse_if(validate({"combine": combine, "conditions": conditions}))
     keep = predicate(table, conditions, combine)
-    if report is not None:
-        boxed = _boxed_in(table, conditions)
-        metrics = {"rows": F.count(F.lit(1)), "kept": R.count_if(keep)}
-        if boxed is not None:
-            metrics["boxed"] = R.count_if(boxed & ~F.coalesce(keep, F.lit(False)))
-        seen = report.count(table.df, **metrics)
-        report.later(lambda: _counts(seen()["rows"], seen()["kept"], seen().get("boxed", 0)))
-    return table.with_df(table.df.where(keep)) if conditions else table
+    if report is None:
+        return table.with_df(table.df.where(keep)) if conditions else table
+    boxed = _boxed_in(table, conditions)
+    metrics = {"rows": F.lit(True), "kept": keep}
+    if boxed is not None:
+        metrics["boxed"] = boxed & ~F.coalesce(keep, F.lit(False))
+    table, flags, seen = report.tally(table, **metrics)
+    report.later(lambda: _counts(seen()["rows"], seen()["kept"], seen().get("boxed", 0)))
+    # Rows that go stay on the trail, marked, so that the next step's counts come from the same scan.
+    return table.with_df(table.df.where(keep), trail=replace(table.trail, alive=flags["kept"])) if conditions else table
 
 
 def _counts(rows: int, kept: int, boxed: int) -> list[R.Diagnostic]:

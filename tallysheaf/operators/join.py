@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import report as R
-from ..table import RAW_SUFFIX, Col, OrderKey, Table, col, named_order
+from ..plans.storage import stored
+from ..table import NANOS_SUFFIX, RAW_SUFFIX, Col, OrderKey, Table, col, named_order
 
 TYPES = ("left", "inner")
 _HIT = "__hit"
@@ -87,11 +88,13 @@ def join_tables(
     type: str = "left",
     nulls_match: bool = False,
     report: R.Report | None = None,
+    heavy: DataFrame | None = None,
 ) -> Table:
     """Equi-join, left by default. Missing keys match nothing unless ``nulls_match``; a boxed key never matches.
 
     The condition is plain equality (or null-safe equality), so Catalyst picks broadcast, hash or sort-merge by
-    measured size, and AQE splits a skewed key of the left side.
+    measured size, and AQE splits a skewed key of the left side. With the :func:`heavy_keys` of the two tables, keys of
+    many rows on either side are dealt to several tasks, and rows that can't match are led past the join.
     """
     R.refuse_if(validate({"keys": keys, "type": type, "nullsMatch": nulls_match}))
     _check_keys(left, right, keys)
@@ -101,43 +104,53 @@ def join_tables(
     right_order, right_keys = named_order(right, "r")
     added = output_columns(left, right, keys)
 
-    left_cols = [x for c in left.cols for x in (col(c.name), *map(col, c.hidden))]
-    right_cols, cols = [], list(left.cols)
-    for c, name in added:
-        raw = name + RAW_SUFFIX if c.raw else None
-        right_cols.append(col(c.name).alias(name))
-        if raw:
-            right_cols.append(col(c.raw).alias(raw))
-        cols.append(Col(name, c.kind, raw, c.affix))
+    taken = {*left.names, *(name for _, name in added)}
+    left_cols, right_cols, cols = [], [], []
+    for side, pairs in ((left_cols, [(c, c.name) for c in left.cols]), (right_cols, added)):
+        for c, name in pairs:
+            cells, renamed = c.renamed(name, taken)
+            side += cells
+            cols.append(renamed)
+    left_cols += [col(h).alias(f"__lk{i}{RAW_SUFFIX}") for i, l in enumerate(left_names) if nulls_match for h in [left[l].raw] if h]
     conditions = []
     for i, (l, r) in enumerate(zip(left_names, right_names)):
         right_cols.append(col(r).alias(f"__rk{i}"))
+        if left[l].nanos or right[r].nanos:
+            left_cols.append(left[l].below.alias(f"__ln{i}"))
+            right_cols.append(right[r].below.alias(f"__rn{i}"))
+            conditions.append(F.col(f"__ln{i}") == F.col(f"__rn{i}"))
         pair = (col(l), F.col(f"__rk{i}"))
         conditions.append(pair[0].eqNullSafe(pair[1]) if nulls_match else pair[0] == pair[1])
         if nulls_match:
             # NULL matches NULL here, and a box is NULL in its column: keep the boxes out.
             if left[l].raw:
-                conditions.append(~left[l].boxed)
+                conditions.append(F.col(f"__lk{i}{RAW_SUFFIX}").isNull())
             if right[r].raw:
                 right_cols.append(col(right[r].raw).alias(f"__rk{i}{RAW_SUFFIX}"))
                 conditions.append(F.col(f"__rk{i}{RAW_SUFFIX}").isNull())
 
-    joined = left.df.select(*left_cols, *left_order).join(
-        right.df.select(*right_cols, *right_order, F.lit(True).alias(_HIT)), reduce(and_, conditions), type
-    )
+    left_side = left.df.select(*left_cols, *left_order)
+    right_side = right.df.select(*right_cols, *right_order, F.lit(True).alias(_HIT))
+    if heavy is None:
+        joined = left_side.join(right_side, reduce(and_, conditions), type)
+    else:
+        pairs = [(col(l), F.col(f"__ln{i}") if f"__ln{i}" in left_side.columns else None) for i, l in enumerate(left_names)]
+        others = [(F.col(f"__rk{i}"), F.col(f"__rn{i}") if f"__rn{i}" in right_side.columns else None) for i in range(len(keys))]
+        joined = _dealt_join(left_side, right_side, pairs, others, conditions, type, nulls_match, heavy)
     if report is not None:
-        seen_left = report.count(left.df, rows=F.count(F.lit(1)), vacant=R.count_if(_vacant(left, left_names)))
-        seen_right = report.count(right.df, vacant=R.count_if(_vacant(right, right_names)))
-        seen = report.count(joined, rows=F.count(F.lit(1)), unmatched=R.count_if(F.col(_HIT).isNull()))
+        report.close(left)
+        report.close(right)
+        both, counted = _both_counts(left, right, keys, type, nulls_match)
+        seen = report.count(both, **counted)
 
         def counts():
-            l, r, out = seen_left(), seen_right(), seen()
-            found = [R.info(R.JOIN_UNMATCHED, rows=out["unmatched"])] if type == "left" else []
-            if out["rows"] > l["rows"]:
-                found.append(R.warning(
-                    R.JOIN_GROWTH, before=l["rows"], after=out["rows"], factor=out["rows"] / max(l["rows"], 1)))
-            if l["vacant"] and r["vacant"]:
-                found.append(R.warning(R.JOIN_NULL_KEYS, left=l["vacant"], right=r["vacant"]))
+            of = seen()
+            found = [R.info(R.JOIN_UNMATCHED, rows=of["unmatched_left"])] if type == "left" else []
+            if of["rows_out"] > of["rows_left"]:
+                found.append(R.warning(R.JOIN_GROWTH, before=of["rows_left"], after=of["rows_out"],
+                                       factor=of["rows_out"] / max(of["rows_left"], 1)))
+            if of["null_keys_left"] and of["null_keys_right"]:
+                found.append(R.warning(R.JOIN_NULL_KEYS, left=of["null_keys_left"], right=of["null_keys_right"]))
             return found
 
         report.later(counts)
@@ -147,17 +160,71 @@ def join_tables(
     return Table(df, tuple(cols), order if left.order and right.order else ())
 
 
+def heavy_keys(left: Table, right: Table, keys: list[dict], nulls_match: bool = False, rows_a_task: int = 1_000_000) -> DataFrame:
+    """The keys with more than ``rows_a_task`` rows on a side, from key counts alone: the key, and in how many pieces each
+    side's rows are to be dealt (``right`` is 0 where the other side has none). Each stands for that many rows, so they
+    are fewer than the rows divided by it. The counts are taken now."""
+    _check_keys(left, right, keys)
+    l, r = _key_counts(left, [k["left"] for k in keys], "l"), _key_counts(right, [k["right"] for k in keys], "r")
+    l, r = l.where(~F.col("l_boxed")), r.where(~F.col("r_boxed"))
+    if not nulls_match:
+        l, r = l.where(~F.col("l_vacant")), r.where(~F.col("r_vacant"))
+    same = [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for i in range(len(keys)) for k in (f"k{i}", f"n{i}")]
+    both = l.join(r, reduce(and_, same), "left")
+    many = (F.col("l_n") > rows_a_task) | (F.col("r_n") > rows_a_task)
+    pieces = [F.coalesce(F.ceil(F.col(f"{s}_n") / rows_a_task), F.lit(0)).cast("int").alias(side) for s, side in (("l", "left"), ("r", "right"))]
+    return stored(both.where(many).select(*[F.col(f"l_{k}").alias(k) for i in range(len(keys)) for k in (f"k{i}", f"n{i}")], *pieces), "heavy-keys")
+
+
+def _dealt_join(
+    left: DataFrame, right: DataFrame, left_keys: list[tuple], right_keys: list[tuple], conditions: list[Column], type: str,
+    nulls_match: bool, heavy: DataFrame,
+) -> DataFrame:
+    """The join in three: rows of heavy keys, dealt on a grid of pieces where each pair meets once; rows that match nothing,
+    kept or dropped without moving; and all the rest."""
+
+    def marked(side: DataFrame, keys: list[tuple]) -> DataFrame:
+        same = [key.eqNullSafe(F.col(f"k{i}")) & (F.lit(0) if n is None else n).eqNullSafe(F.col(f"n{i}")) for i, (key, n) in enumerate(keys)]
+        listed = heavy.withColumnsRenamed({"left": "__left", "right": "__right"})
+        return side.join(F.broadcast(listed), reduce(and_, same), "left").select(*[col(c) for c in side.columns], "__left", "__right")
+
+    here, there = marked(left, left_keys), marked(right, right_keys)
+    vacant = F.lit(False) if nulls_match else reduce(or_, (key.isNull() for key, _ in left_keys))
+    lone = vacant | F.coalesce(F.col("__right") == 0, F.lit(False))
+    mine, theirs = [col(c) for c in left.columns], [col(c) for c in right.columns]
+    # A row's own piece is settled before it is copied to the pieces of the other side.
+    row = F.monotonically_increasing_id()
+    dealt_left = here.where(F.col("__right") > 0).select(*mine, "__right", F.pmod(row, F.col("__left")).cast("int").alias("__row"))
+    dealt_left = dealt_left.select(*mine, "__row", F.explode(F.sequence(F.lit(0), F.col("__right") - 1)).alias("__column"))
+    dealt_right = there.where(F.col("__left") > 0).select(*theirs, "__left", F.pmod(row, F.col("__right")).cast("int").alias("__other_column"))
+    dealt_right = dealt_right.select(*theirs, "__other_column", F.explode(F.sequence(F.lit(0), F.col("__left") - 1)).alias("__other_row"))
+    met = [F.col("__row") == F.col("__other_row"), F.col("__column") == F.col("__other_column")]
+    hot = dealt_left.join(dealt_right, reduce(and_, [*conditions, *met]), "inner").select(*mine, *theirs)
+    rest = here.where(F.col("__left").isNull() & ~lone).select(*mine).join(
+        there.where(F.col("__left").isNull()).select(*theirs), reduce(and_, conditions), type)
+    joined = rest.unionByName(hot)
+    return joined.unionByName(here.where(lone).select(*mine), allowMissingColumns=True) if type == "left" else joined
+
+
 def join_counts(left: Table, right: Table, keys: list[dict], type: str = "left", nulls_match: bool = False) -> DataFrame:
     """The join's report as one row, from key frequencies alone: nothing is joined row by row.
 
     Columns: ``rows_left``, ``rows_out``, ``unmatched_left``, ``growth``, ``null_keys_left``, ``null_keys_right``.
     """
+    both, counts = _both_counts(left, right, keys, type, nulls_match)
+    rows, out = counts["rows_left"], counts["rows_out"]
+    growth = F.try_divide(out, rows)
+    return both.agg(*[c.alias(n) for n, c in counts.items()], growth.alias("growth")).select(
+        "rows_left", "rows_out", "unmatched_left", "growth", "null_keys_left", "null_keys_right")
+
+
+def _both_counts(left: Table, right: Table, keys: list[dict], type: str, nulls_match: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """Both sides' rows per key, side by side, and the aggregates over them that make the join's report."""
     _check_keys(left, right, keys)
     l, r = _key_counts(left, [k["left"] for k in keys], "l"), _key_counts(right, [k["right"] for k in keys], "r")
-    n = len(keys)
     matched = [
-        F.col(f"l_k{i}").eqNullSafe(F.col(f"r_k{i}")) if nulls_match else F.col(f"l_k{i}") == F.col(f"r_k{i}")
-        for i in range(n)
+        F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) if nulls_match else F.col(f"l_{k}") == F.col(f"r_{k}")
+        for i in range(len(keys)) for k in (f"k{i}", f"n{i}")
     ]
     both = l.join(r, reduce(and_, [*matched, ~F.col("l_boxed"), ~F.col("r_boxed")]), "full")
     pairs = F.col("l_n") * F.col("r_n")
@@ -167,40 +234,40 @@ def join_counts(left: Table, right: Table, keys: list[dict], type: str = "left",
     if type == "left":
         out = out + F.coalesce(F.sum(alone), zero)
     rows = F.coalesce(F.sum("l_n"), zero)
-    return both.agg(
-        rows.alias("rows_left"),
-        out.alias("rows_out"),
-        F.coalesce(F.sum(alone), zero).alias("unmatched_left"),
-        F.try_divide(out, rows).alias("growth"),
-        F.coalesce(F.sum(F.when(F.col("l_vacant"), F.col("l_n"))), zero).alias("null_keys_left"),
-        F.coalesce(F.sum(F.when(F.col("r_vacant"), F.col("r_n"))), zero).alias("null_keys_right"),
-    )
+    return both, {
+        "rows_left": rows, "rows_out": out, "unmatched_left": F.coalesce(F.sum(alone), zero),
+        "null_keys_left": F.coalesce(F.sum(F.when(F.col("l_vacant"), F.col("l_n"))), zero),
+        "null_keys_right": F.coalesce(F.sum(F.when(F.col("r_vacant"), F.col("r_n"))), zero),
+    }
 
 
 def _key_counts(table: Table, names: list[str], side: str) -> DataFrame:
     """Rows per key. Boxed keys are kept apart from missing ones; partial counts leave each task once per key."""
     boxed = reduce(or_, (table[n].boxed for n in names))
     keyed = table.df.select(
-        *[col(n).alias(f"{side}_k{i}") for i, n in enumerate(names)],
+        *[x for i, n in enumerate(names) for x in (col(n).alias(f"{side}_k{i}"), table[n].below.alias(f"{side}_n{i}"))],
         boxed.alias(f"{side}_boxed"), _vacant(table, names).alias(f"{side}_vacant"),
     )
     return keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias(f"{side}_n"))
 
 
 def duplicate_audit(left: Table, right: Table, keys: list[dict], nulls_match: bool = False) -> DataFrame:
-    """Keys occurring more than once on a side: the key, its rows on each side and the rows it makes in the output."""
+    """Keys occurring more than once on a side: the key, its rows on each side and the rows it makes in the output. A key
+    with digits below the microsecond on either side has them in a column beside it."""
     _check_keys(left, right, keys)
     names = [k["left"] for k in keys]
     l, r = _key_counts(left, names, "l"), _key_counts(right, [k["right"] for k in keys], "r")
     l, r = l.where(~F.col("l_boxed")), r.where(~F.col("r_boxed"))
     if not nulls_match:
         l, r = l.where(~F.col("l_vacant")), r.where(~F.col("r_vacant"))
-    same = [F.col(f"l_k{i}").eqNullSafe(F.col(f"r_k{i}")) for i in range(len(keys))]
+    same = [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for i in range(len(keys)) for k in (f"k{i}", f"n{i}")]
+    fine = [left[k["left"]].nanos or right[k["right"]].nanos for k in keys]
     zero = F.lit(0).cast("bigint")
     both = l.join(r, reduce(and_, same), "full")
     left_n, right_n = F.coalesce("l_n", zero), F.coalesce("r_n", zero)
     return both.where((left_n > 1) | (right_n > 1)).select(
         *[F.coalesce(F.col(f"l_k{i}"), F.col(f"r_k{i}")).alias(n) for i, n in enumerate(names)],
+        *[F.coalesce(F.col(f"l_n{i}"), F.col(f"r_n{i}")).alias(n + NANOS_SUFFIX) for i, n in enumerate(names) if fine[i]],
         left_n.alias("rows_left"), right_n.alias("rows_right"), (left_n * right_n).alias("rows_out"),
     )
 

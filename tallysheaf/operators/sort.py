@@ -80,15 +80,18 @@ def sort_rows(table: Table, keys: list[dict], report: R.Report | None = None) ->
         flag, value = (f"{ORDER_PREFIX}s{start}_{at}{part}" for part in ("f", "v"))
         added += [last.cast("tinyint").alias(flag), F.when(~last, cell).alias(value)]
         order += [OrderKey(flag), OrderKey(value, direction == "desc")]
+        if c.nanos:
+            added.append(F.when(~last, col(c.nanos)).alias(f"{ORDER_PREFIX}s{start}_{at}n"))
+            order.append(OrderKey(f"{ORDER_PREFIX}s{start}_{at}n", direction == "desc"))
 
     raws = [table[name].raw for name, _ in pairs if table[name].raw]
     if report is not None and raws:
         boxed = reduce(or_, (col(r).isNotNull() for r in raws))
-        seen = report.count(table.df, boxed=R.count_if(boxed))
+        table, _, seen = report.tally(table, boxed=boxed)
         report.later(
             lambda: [R.warning(R.BOXED_ROWS_LAST, rows=seen()["boxed"])] if seen()["boxed"] else []
         )
-    return table.with_df(table.df.select("*", *added), order=tuple(order) + table.order)
+    return table.extended(added, order=tuple(order) + table.order)
 
 
 def apply(inputs: list[Table], config: dict, report: R.Report | None = None) -> Table:

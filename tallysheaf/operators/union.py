@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import report as R
-from ..table import ORDER_PREFIX, RAW_SUFFIX, Col, OrderKey, Table, col
+from ..table import NANOS_SUFFIX, ORDER_PREFIX, RAW_SUFFIX, Col, OrderKey, Table, box_of, col, free_name, nanos_of
 
 UNMATCHED = ("keep", "drop")
 
@@ -101,11 +101,12 @@ def union_tables(
         if len({id(t.df) for t in tables}) < len(tables):
             report.add(R.warning(R.UNION_SAME_INPUT))
 
-    boxed = {n for n in names if any(n in s and s[n].raw for s in slots)}
-    cols = []
+    cols, taken = [], set(names)
     for n in names:
-        c = next(s[n] for s in slots if n in s)
-        cols.append(Col(n, c.kind, n + RAW_SUFFIX if n in boxed else None, c.affix))
+        having = [s[n] for s in slots if n in s]
+        raw = free_name(n + RAW_SUFFIX, taken) if any(c.raw for c in having) else None
+        nanos = free_name(n + NANOS_SUFFIX, taken) if any(c.nanos for c in having) else None
+        cols.append(Col(n, having[0].kind, raw, having[0].affix, nanos))
 
     ordered = all(t.order for t in tables)
     shapes = [_order_shape(t) for t in tables]
@@ -114,11 +115,14 @@ def union_tables(
     frames = []
     for i, (table, slot) in enumerate(zip(tables, slots)):
         exprs = []
-        for n in names:
-            if n in slot:
-                exprs.append(col(slot[n].name).alias(n))
-                if slot[n].raw:
-                    exprs.append(col(slot[n].raw).alias(n + RAW_SUFFIX))
+        for c in cols:
+            if c.name in slot:
+                cell = col(slot[c.name].name)
+                exprs.append(cell.alias(c.name))
+                if slot[c.name].raw:
+                    exprs.append(box_of(col(slot[c.name].raw), c.name, c.raw))
+                if c.nanos:
+                    exprs.append(nanos_of(F.when(cell.isNotNull(), slot[c.name].below), c.name, c.nanos))
         if ordered:
             exprs.append(F.lit(i).alias(f"{ORDER_PREFIX}u"))
             # Inputs ordered alike share their order columns; others get their own, NULL in every other slot.
@@ -130,6 +134,9 @@ def union_tables(
         frames.append(table.df.select(*exprs))
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     keep = [x for c in cols for x in (col(c.name), *map(col, c.hidden))]
+    if report is not None:
+        for table in tables:
+            report.close(table)
     return Table(df.select(*keep, *[col(k.name) for k in order]), tuple(cols), tuple(order))
 
 

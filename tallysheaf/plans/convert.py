@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .. import report as R
 from ..functions import booleans, clocks, dates, numbers
 from ..functions.text import is_missing, trimmed
-from ..table import BOOLEAN, DATE, DATETIME, DURATION, NUMBER, RAW_SUFFIX, TEXT, TIME, Col, Table, col
+from ..table import (
+    BOOLEAN, DATE, DATETIME, DURATION, NANOS_SUFFIX, NUMBER, RAW_SUFFIX, TEXT, TIME, Col, Table, box_of, col,
+    free_name, nanos_of,
+)
 from .detect import ColumnTyping, Typing, _not_finite
 
 
@@ -32,16 +35,18 @@ def reading(text: Column, c: ColumnTyping) -> Column:
 def convert(table: Table, typing: Typing) -> Table:
     """The table under its confirmed typing. Missing tokens become NULL, readable text its value, the rest a box.
 
-    A column gets a companion only if detection counted unreadable values in it, so a clean column costs nothing
-    downstream.
+    A column gets a companion only if detection counted unreadable values in it, or datetimes with digits below the
+    microsecond, so a clean column costs nothing downstream. Companions are named so that no column's name is taken.
     """
     if not typing.confirmed:
         R.refuse_if([R.error(R.SOURCE_UNCONFIRMED, columns=typing.unresolved())])
     types = {f.name: f.dataType for f in table.df.schema.fields}
     order = [col(k.name) for k in table.order]
-    texts = {c.name: f"__text{i}" for i, c in enumerate(typing.columns) if not c.native}
+    taken = set(table.df.columns)
+    texts = {c.name: free_name(f"__text{i}", taken) for i, c in enumerate(typing.columns) if not c.native}
     # Hours past a long read as a duration but have no value, so a duration column always has its companion.
-    boxed = {c.name: c.name + RAW_SUFFIX for c in typing.columns if c.unparsed or c.type == DURATION}
+    boxed = {c.name: free_name(c.name + RAW_SUFFIX, taken) for c in typing.columns if c.unparsed or c.type == DURATION}
+    fine = {c.name: free_name(c.name + NANOS_SUFFIX, taken) for c in typing.columns if c.type == DATETIME and c.below_micro}
 
     # In stages, so that each cell is trimmed once and read once: trimmed text, value, box.
     trims = [F.coalesce(col(n), F.lit("")).alias(t) for n, t in texts.items()]
@@ -63,7 +68,7 @@ def convert(table: Table, typing: Typing) -> Table:
             values.append((F.when(~bad, raw_text) if raw_name else raw_text).alias(c.name, metadata=metadata))
             if raw_name:
                 spelled = F.when(F.isnan(raw_text), "NaN").when(raw_text > 0, "Infinity").otherwise("-Infinity")
-                values.append(F.when(bad, spelled).alias(raw_name))
+                values.append(box_of(F.when(bad, spelled), c.name, raw_name))
         else:
             text = col(texts[c.name])
             if c.type == TEXT:
@@ -74,9 +79,15 @@ def convert(table: Table, typing: Typing) -> Table:
                 if raw_name:
                     values.append(F.when(text.isNotNull(), raw_text).alias(raw_name))
                     boxes.append(c.name)
-        cols.append(Col(c.name, c.type, raw_name, c.affix))
+                if c.name in fine:
+                    values.append(clocks.nanos_below(text).alias(fine[c.name]))
+        held = table[c.name].nanos if c.native else fine.get(c.name)
+        if c.native and held:
+            values.append(col(held))
+        cols.append(Col(c.name, c.type, raw_name, c.affix, held))
     df = df.select(*values, *order)
-    if boxes:
-        kept = {boxed[n]: F.when(col(n).isNull(), col(boxed[n])).alias(boxed[n]) for n in boxes}
+    if boxes or fine:
+        kept = {boxed[n]: box_of(F.when(col(n).isNull(), col(boxed[n])), n, boxed[n]) for n in boxes}
+        kept |= {f: nanos_of(F.when(col(n).isNotNull(), F.coalesce(col(f), F.lit(0))), n, f) for n, f in fine.items()}
         df = df.select(*[kept.get(n, col(n)) for n in df.columns])
     return table.with_df(df, cols=tuple(cols))

@@ -2,6 +2,10 @@
 
 Spark does the reading of every value (``masks``); what is left here is arithmetic over a few hundred counts, so a
 user's correction - another type, another reading - is answered without touching the data again.
+
+The arithmetic is one matrix per column: a row for each reading a value can have, a column for each mask that occurs,
+true where a value with that mask reads so. Times the counts it gives every reading's hits; two rows side by side give
+what decides between them. Which readings stand for election, and what strikes them out, is listed as data.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +30,7 @@ PROPOSAL_THRESHOLD = 0.9
 SETTLED, DECISIVE, UNRESOLVED = "settled", "decisive", "unresolved"
 
 Mask = tuple[int, int]  # (mask, how many values carry it)
-Reads = Callable[[int, str], bool]
 
-_DATE_SEPARATOR = {p.key: p.separator for p in dates.NUMERIC_PATTERNS} | {dates.MONTH_NAME: " "}
 FORMATS = {
     NUMBER: tuple(numbers.LOCALES), DATE: dates.DATE_KEYS, DATETIME: clocks.DATETIME_KEYS,
     BOOLEAN: booleans.PAIR_KEYS,
@@ -66,170 +69,189 @@ class ColumnTyping:
         return self.parsed / readable if readable else 1.0
 
 
-class _Column:
-    """One column's histogram, and the questions asked of it."""
+# ---- readings as data ------------------------------------------------------------------------------------------
 
-    def __init__(self, masks: Iterable[Mask]):
-        masks = list(masks)
-        self.total = sum(n for _, n in masks)
-        self.missing = sum(n for m, n in masks if m & BIT["missing"])
-        self.values = [(m, n) for m, n in masks if not m & BIT["missing"]]
-        self.size = self.total - self.missing
-        self.union = 0
-        for m, _ in self.values:
-            self.union |= m
 
-    def has(self, bit: str) -> bool:
-        return bool(self.union & BIT[bit])
+@dataclass(frozen=True)
+class Reading:
+    """One way to read a value: by which bits a mask shows it, and which must be absent.
+
+    Readings of one ``contest`` are alternatives to each other. A reading that is not ``offered`` stands for no
+    election but can be chosen.
+    """
+
+    contest: str
+    type: str
+    format: str | None
+    needs: int
+    refuses: int = 0
+    affix: str | None = None
+    offered: bool = True
 
-    def count(self, test: Callable[[int], bool]) -> int:
-        return sum(n for m, n in self.values if test(m))
+    @property
+    def label(self) -> str:
+        """What a question about this reading calls it."""
+        return self.type if self.format is None else self.format
 
-    # ---- numbers ----------------------------------------------------------------------------------------------
 
-    @property
-    def accounting(self) -> bool:
-        """Accounting signs count only in a column that shows a group or decimal mark somewhere."""
-        return self.has("mark .") or self.has("mark ,")
+def _bits(*names: str) -> int:
+    return sum(BIT[n] for n in names)
 
-    @property
-    def readings(self) -> list[str]:
-        """Two readings that differ only in marks no value carries are one reading."""
-        return list(numbers.LOCALES) if self.accounting else ["de-DE"]
-
-    def reads_number(self, affix: str | None) -> Reads:
-        def reads(mask: int, locale: str) -> bool:
-            if not mask & BIT[locale] or (mask & BIT["accounting"] and not self.accounting):
-                return False
-            carried = next((a for a in numbers.AFFIXES if mask & BIT[f"affix {a}"]), None)
-            return carried == affix
-
-        return reads
-
-    def affix_scan(self) -> tuple[str | None, tuple[str, ...]]:
-        """The unit this column reads best under, and every unit some value carries as a number."""
-        def best(affix):
-            reads = self.reads_number(affix)
-            return max(self.count(lambda m, loc=loc: reads(m, loc)) for loc in self.readings)
-
-        winner, top, used = None, best(None), []
-        for affix in numbers.AFFIXES:
-            parsed = best(affix) if self.has(f"mark {affix}") else 0
-            if parsed:
-                used.append(affix)
-            if parsed > top:
-                winner, top = affix, parsed
-        return winner, tuple(used)
-
-    def number_disqualified(self, affix: str | None) -> bool:
-        reads = self.reads_number(affix)
-        return self.has("leading zero") or any(
-            mask & BIT[f"overflow {loc}"] and reads(mask, loc) for mask, _ in self.values for loc in self.readings)
-
-    # ---- scoring ----------------------------------------------------------------------------------------------
-
-    def score(self, keys: Sequence[str], reads: Reads) -> list[tuple[str, int]]:
-        hits = [(k, self.count(lambda m, k=k: reads(m, k))) for k in keys]
-        return sorted(hits, key=lambda hit: (-hit[1], hit[0].casefold(), hit[0]))
-
-    def ambiguity(self, hits: list[tuple[str, int]], reads: Reads, **extra) -> tuple[str, dict | None]:
-        """Decisive only if the best reading reads strictly more on its own than the runner-up does."""
-        if len(hits) < 2 or hits[1][1] == 0:
-            return SETTLED, None
-        (a, _), (b, _) = hits[:2]
-        only = self.count(lambda m: reads(m, a) and not reads(m, b))
-        contested = self.count(lambda m: reads(m, b) and not reads(m, a))
-        if only > contested:
-            return DECISIVE, {**extra, "alternatives": [a, b], "decidedBy": only, "contested": contested}
-        return UNRESOLVED, {**extra, "alternatives": [a, b]}
-
-
-def _bit_reader(prefix: str) -> Reads:
-    return lambda mask, key: bool(mask & BIT[f"{prefix}{key}"])
-
-
-def _short_year_verdict(c: _Column, key: str) -> str | None:
-    """What three two-digit parts settle about themselves: text, unresolved, or nothing special."""
-    pattern = dates.BY_KEY[key]
-    if c.has(f"triple {pattern.separator}"):
-        return TEXT
-    if not pattern.preferred:
-        return UNRESOLVED
-    settles = BIT[f"date {key}"] | BIT["day past twelve"]
-    return None if any(m & settles == settles for m, _ in c.values) else UNRESOLVED
 
+def _number_readings(marked: bool) -> list[Reading]:
+    """A number stands under one unit, or none, and in one locale. Where no value shows a group or decimal mark, the
+    locales read the same and one speaks for both; accounting signs don't count there either."""
+    affixes = [None, *numbers.AFFIXES]
+    out = []
+    for rank, affix in enumerate(affixes):
+        others = [f"affix {a}" for a in numbers.AFFIXES if a != affix]
+        for at, locale in enumerate(numbers.LOCALES):
+            needs = _bits(locale, *([f"affix {affix}"] if affix else []))
+            refuses = _bits(*others, *([] if marked else ["accounting"]))
+            out.append(Reading(f"{NUMBER} {rank}", NUMBER, locale, needs, refuses, affix, marked or at == 0))
+    return out
 
-def detect_column(name: str, masks: Iterable[Mask], tokens: Sequence[str] = DEFAULT_MISSING) -> ColumnTyping:
-    """The proposal for one text column."""
-    c = _Column(masks)
-    base = ColumnTyping(name, total=c.total, missing=c.missing, parsed=c.size, tokens=tuple(tokens))
-    if c.size == 0:
-        return base
-
-    affix, used = c.affix_scan()
-    reads_number = c.reads_number(affix)
-    pairs = c.score(booleans.PAIR_KEYS, _bit_reader("boolean "))
-    spelled = tuple(k for k in booleans.PAIR_KEYS if dict(pairs)[k] > 0)
-    base = replace(
-        base,
-        mixed_affixes=used if len(used) > 1 else None,
-        mixed_boolean_pairs=spelled if len(spelled) > 1 else None,
-    )
-    clocked = c.has("mark :")
-    number_out = base.mixed_affixes is not None or c.number_disqualified(affix)
-    # Every kind is scored over every value; the declaration order breaks ties.
-    kinds = [
-        (NUMBER, reads_number, [] if number_out else c.score(c.readings, reads_number)),
-        (DATE, _bit_reader("date "), c.score(
-            [k for k in dates.DATE_KEYS if c.has(f"mark {_DATE_SEPARATOR[k]}")], _bit_reader("date "))),
-        (DATETIME, _bit_reader("datetime "), c.score(
-            clocks.DATETIME_KEYS if clocked else ["ISO 8601"], _bit_reader("datetime "))),
-        (None, _bit_reader(""), c.score([TIME, DURATION], _bit_reader("")) if clocked else []),
-        (BOOLEAN, _bit_reader("boolean "), [] if base.mixed_boolean_pairs else pairs),
-    ]
-    kind, reads, hits = max(kinds, key=lambda k: k[2][0][1] if k[2] else 0)
-    if not hits or hits[0][1] / c.size < PROPOSAL_THRESHOLD:
-        return base
-    key, parsed = hits[0]
-    type_ = kind or key
-
-    if type_ == DATE and key != dates.MONTH_NAME and dates.BY_KEY[key].short_year:
-        settled = _short_year_verdict(c, key)
-        if settled == TEXT:
-            return base
-        if settled == UNRESOLVED:
-            return replace(base, type=DATE, format=key, parsed=parsed, verdict=UNRESOLVED,
-                           evidence={"over": "kind", "alternatives": [DATE, TEXT]})
-    verdict, evidence = c.ambiguity(hits, reads, **({} if kind else {"over": "kind"}))
-    return replace(
-        base, type=type_, format=key if kind else None, parsed=parsed, verdict=verdict, evidence=evidence,
-        affix=affix if type_ == NUMBER else None, accounting=type_ == NUMBER and c.accounting,
-        below_micro=_below_micro(c, key) if type_ == DATETIME else 0,
-    )
-
-
-def _below_micro(c: _Column, key: str) -> int:
-    wanted = BIT["sub-micro"] | BIT[f"datetime {key}"]
-    return c.count(lambda m: m & wanted == wanted)
-
-
-def _reader_for(c: _Column, type_: str, affix: str | None) -> Reads | None:
-    if type_ == NUMBER:
-        return c.reads_number(affix)
-    if type_ in (DATE, DATETIME, BOOLEAN):
-        return _bit_reader(f"{type_} ")
-    if type_ in (TIME, DURATION):
-        return lambda mask, _key: bool(mask & BIT[type_])
-    return None
+
+def _plain_readings() -> list[Reading]:
+    """Every other reading has a bit of its own. Times of day and durations are one contest between two types."""
+    formats = [(DATE, dates.DATE_KEYS), (DATETIME, clocks.DATETIME_KEYS), (BOOLEAN, booleans.PAIR_KEYS)]
+    out = [Reading(t, t, k, BIT[f"{t} {k}"]) for t, keys in formats[:2] for k in keys]
+    out += [Reading("clock", t, None, BIT[t]) for t in (TIME, DURATION)]
+    return out + [Reading(t, t, k, BIT[f"{t} {k}"]) for t, keys in formats[2:] for k in keys]
 
 
-def _readings_for(c: _Column, type_: str) -> Sequence[str]:
+#: All readings, in the order in which equal hits are settled between types; by whether a column shows number marks.
+READINGS = {marked: tuple(_number_readings(marked) + _plain_readings()) for marked in (False, True)}
+
+
+class Matrix:
+    """One column's readings × masks, and the counts."""
+
+    def __init__(self, masks: Iterable[Mask]):
+        masks = list(masks)
+        present = [(m, n) for m, n in masks if not m & BIT["missing"]]
+        self.total = sum(n for _, n in masks)
+        self.size = sum(n for _, n in present)
+        self.masks = np.array([m for m, _ in present], np.int64)
+        self.counts = np.array([n for _, n in present], np.int64)
+        self.marked = self.shows("mark .") or self.shows("mark ,")
+        self.readings = READINGS[self.marked]
+        needs = np.array([r.needs for r in self.readings], np.int64)[:, None]
+        refuses = np.array([r.refuses for r in self.readings], np.int64)[:, None]
+        self.reads = (self.masks & needs == needs) & (self.masks & refuses == 0)
+        self.hits = self.reads @ self.counts
+        self.at = {r: i for i, r in enumerate(self.readings)}
+
+    def shows(self, *bits: str) -> bool:
+        """Some one value carries all of these bits."""
+        wanted = _bits(*bits)
+        return bool(np.any(self.masks & wanted == wanted))
+
+    def hit(self, reading: Reading) -> int:
+        return int(self.hits[self.at[reading]])
+
+    def where(self, **wanted) -> list[Reading]:
+        return [r for r in self.readings if all(getattr(r, k) == v for k, v in wanted.items())]
+
+    def ranked(self, readings: Iterable[Reading]) -> list[Reading]:
+        """Most hits first; then in the order of contests, then by name."""
+        contests = list(dict.fromkeys(r.contest for r in self.readings))
+        return sorted(readings, key=lambda r: (-self.hit(r), contests.index(r.contest), r.label.casefold(), r.label))
+
+    def apart(self, a: Reading, b: Reading) -> int:
+        """How many values read as ``a`` and not as ``b``."""
+        return int((self.reads[self.at[a]] & ~self.reads[self.at[b]]) @ self.counts)
+
+    def spelled(self, type_: str, what: str) -> tuple[str, ...]:
+        """The units, or pairs, under which some value of the column reads as this type, in declared order."""
+        return tuple(dict.fromkeys(v for r in self.where(type=type_, offered=True) if (v := getattr(r, what)) and self.hit(r)))
+
+    @property
+    def unit(self) -> str | None:
+        """The unit under which most values are numbers; none at all where another is no better."""
+        return self.ranked(self.where(type=NUMBER, offered=True))[0].affix
+
+    def too_large(self) -> bool:
+        """Some value is a number under the column's unit, with more digits than a double holds."""
+        return any(self.shows_within(r, f"overflow {r.format}") for r in self.where(type=NUMBER, affix=self.unit, offered=True))
+
+    def shows_within(self, reading: Reading, bit: str) -> bool:
+        return bool(np.any(self.reads[self.at[reading]] & (self.masks & BIT[bit] != 0)))
+
+
+#: What strikes all readings of a type out: digits that a number would lose, or two spellings in one column.
+STRIKES: tuple[tuple[str, Callable[[Matrix], bool]], ...] = (
+    (NUMBER, lambda m: m.shows("leading zero")),
+    (NUMBER, Matrix.too_large),
+    (NUMBER, lambda m: len(m.spelled(NUMBER, "affix")) > 1),
+    (BOOLEAN, lambda m: len(m.spelled(BOOLEAN, "format")) > 1),
+)
+
+_SHORT_YEARS = {p.key: p for p in dates.NUMERIC_PATTERNS if p.short_year}
+#: Three two-digit parts may be no date at all. In this order: what a column shows, and what the column then is.
+SHORT_YEAR_RULES: tuple[tuple[Callable[[Matrix, dates.DatePattern], bool], str], ...] = (
+    (lambda m, p: m.shows(f"triple {p.separator}"), TEXT),
+    (lambda m, p: not p.preferred, UNRESOLVED),
+    (lambda m, p: not m.shows(f"date {p.key}", "day past twelve"), UNRESOLVED),
+)
+
+
+def _between(m: Matrix, best: Reading, rivals: list[Reading]) -> tuple[str, dict | None]:
+    """Whether the values decide between a reading and the next best of its contest: they do only if more of them read
+    as the first alone than as the second alone."""
+    rival = next((r for r in rivals if r.contest == best.contest and r != best and m.hit(r)), None)
+    if rival is None:
+        return SETTLED, None
+    evidence: dict = {"alternatives": [best.label, rival.label]}
+    if best.format is None:
+        evidence["over"] = "kind"
+    alone, against = m.apart(best, rival), m.apart(rival, best)
+    if alone <= against:
+        return UNRESOLVED, evidence
+    return DECISIVE, evidence | {"decidedBy": alone, "contested": against}
+
+
+def _as(record: ColumnTyping, m: Matrix, best: Reading, **changes) -> ColumnTyping:
+    """The record with a reading's type, format and counts."""
+    number, timed = best.type == NUMBER, best.type == DATETIME
+    found = {"type": best.type, "format": best.format, "parsed": m.hit(best), "affix": best.affix, "accounting": number and m.marked,
+             "below_micro": _below_micro(m, best) if timed else 0}
+    return replace(record, **(found | changes))
+
+
+def _below_micro(m: Matrix, reading: Reading) -> int:
+    return int((m.reads[m.at[reading]] & (m.masks & BIT["sub-micro"] != 0)) @ m.counts)
+
+
+def detect_column(name: str, masks: Iterable[Mask], tokens: Sequence[str] = DEFAULT_MISSING) -> ColumnTyping:
+    """The proposal for one text column: the reading most of its values have, if it covers nearly all, else text."""
+    m = Matrix(masks)
+    units, pairs = m.spelled(NUMBER, "affix"), m.spelled(BOOLEAN, "format")
+    text = ColumnTyping(name, total=m.total, missing=m.total - m.size, parsed=m.size, tokens=tuple(tokens),
+                        mixed_affixes=units if len(units) > 1 else None, mixed_boolean_pairs=pairs if len(pairs) > 1 else None)
+    struck = {type_ for type_, applies in STRIKES if applies(m)}
+    standing = m.ranked(r for r in m.readings if r.offered and r.type not in struck)
+    best = standing[0]
+    if not m.size or m.hit(best) / m.size < PROPOSAL_THRESHOLD:
+        return text
+    pattern = _SHORT_YEARS.get(best.format) if best.type == DATE else None
+    doubt = next((then for shown, then in SHORT_YEAR_RULES if shown(m, pattern)), None) if pattern else None
+    if doubt == TEXT:
+        return text
+    if doubt == UNRESOLVED:
+        return _as(text, m, best, verdict=UNRESOLVED, evidence={"over": "kind", "alternatives": [DATE, TEXT]})
+    verdict, evidence = _between(m, best, standing)
+    return _as(text, m, best, verdict=verdict, evidence=evidence)
+
+
+def _selectable(m: Matrix, type_: str) -> list[Reading]:
+    """The readings that a chosen type starts from, best first: numbers under the column's unit, and of the boolean pairs
+    only the one most values are spelled in."""
     if type_ == NUMBER:
-        return c.readings
-    if type_ == BOOLEAN:
-        best = max(booleans.PAIR_KEYS, key=lambda k: c.count(lambda m: bool(m & BIT[f"boolean {k}"])))
-        return [best] if c.has(f"boolean {best}") else booleans.PAIR_KEYS
-    return FORMATS.get(type_, ())
+        return m.ranked(m.where(type=NUMBER, affix=m.unit, offered=True))
+    readings = m.ranked(m.where(type=type_))
+    most = m.hit(readings[0])
+    return [r for r in m.where(type=BOOLEAN) if m.hit(r) == most][:1] if type_ == BOOLEAN and most else readings
 
 
 def score_as(
@@ -239,25 +261,21 @@ def score_as(
     column decides between two, none is: the column stays unresolved with an empty format."""
     if type_ not in KINDS:
         raise ValueError(f"unknown type: {type_}")
-    c = _Column(masks)
-    affix = c.affix_scan()[0] if type_ == NUMBER and c.size else None
-    reads = _reader_for(c, type_, affix)
-    verdict, evidence = SETTLED, None
-    if reads is None:
-        parsed = c.size
-    elif format is None and FORMATS.get(type_):
-        hits = c.score(_readings_for(c, type_), reads)
-        format, parsed = hits[0]
-        verdict, evidence = c.ambiguity(hits, reads)
-        if verdict == UNRESOLVED:
-            format = None
-    else:
-        parsed = c.count(lambda m: reads(m, format))
-    return ColumnTyping(
-        name, type_, format, c.total, c.missing, parsed, verdict, evidence, tuple(tokens), affix=affix,
-        accounting=type_ == NUMBER and c.accounting, chosen=True,
-        below_micro=_below_micro(c, format) if type_ == DATETIME and format else 0,
-    )
+    m = Matrix(masks)
+    record = ColumnTyping(name, type_, None, m.total, m.total - m.size, m.size, tokens=tuple(tokens), chosen=True)
+    if type_ == TEXT:
+        return record
+    if format is not None:
+        named = m.where(type=type_, format=format) if type_ != NUMBER else m.where(type=type_, format=format, affix=m.unit)
+        if not named:
+            raise ValueError(f"unknown format of a {type_}: {format}")
+        return _as(record, m, named[0])
+    readings = _selectable(m, type_)
+    if type_ in (TIME, DURATION):
+        return _as(record, m, readings[0])
+    verdict, evidence = _between(m, readings[0], readings)
+    record = _as(record, m, readings[0], verdict=verdict, evidence=evidence)
+    return replace(record, format=None, below_micro=0) if verdict == UNRESOLVED else record
 
 
 def best_format(masks: Iterable[Mask], type_: str) -> str | None:
@@ -332,8 +350,6 @@ class Typing:
             if c.unparsed:
                 out.append(R.warning(
                     "typing.unparsed_values", column=c.name, unparsed=c.unparsed, readable=c.total - c.missing))
-            if c.below_micro:
-                out.append(R.info("typing.below_microsecond", column=c.name, values=c.below_micro))
         if not self.confirmed:
             out.append(R.unresolved("typing.unconfirmed", columns=len(self.columns)))
         return out

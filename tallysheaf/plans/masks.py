@@ -213,7 +213,7 @@ def with_masks(values: DataFrame, tokens: Sequence[str] = DEFAULT_MISSING) -> Da
         _guarded(opens & v.contains(":") & clocks.reads_as_duration(v), _all([
             F.lit(BIT["duration"]), _flag(clocks.reads_as_time(v), "time")])),
         _guarded(F.col("dated").bitwiseAND(F.lit(sub_micro)) > 0,
-                 _flag(v.rlike(r"[.,][0-9]{7,9}(?:[Zz]|[+-][0-9:]+)?\z"), "sub-micro")),
+                 _flag(v.rlike(clocks.BELOW_MICRO), "sub-micro")),
     ])
     return numbered.select(
         *keep, v, F.when(is_missing(v, tokens), F.lit(BIT["missing"])).otherwise(mask).alias("mask"))

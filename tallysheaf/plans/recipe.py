@@ -219,6 +219,8 @@ def run(recipe: dict, sources: Mapping[str, Table | None], counts: bool = True)
             report.add(R.error(R.STEP_THREW, id=s["id"], reason=type(thrown).__name__, message=str(thrown).split("\n")[0][:300]))
             out.tables[s["id"]] = None
             failed += 1
+    if counts:
+        out.report.close(out.table)
     if failed:
         out.report.add(R.error(R.RUN_INCOMPLETE, steps=failed))
     return out

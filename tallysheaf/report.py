@@ -8,7 +8,7 @@ sampling pass of a global sort, or after an executor was lost - and a filter und
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,6 +96,17 @@ def refuse_if(diagnostics: list[Diagnostic]) -> None:
         raise Refused(diagnostics)
 
 
+@dataclass(frozen=True, eq=False)
+class Trail:
+    """The rows a step is to be counted over, none of them filtered out yet: ``alive`` is the column that tells which are
+    still there, ``flags`` those that steps so far want counted. Between two exchanges all steps add to one trail, so
+    that all their counts are one aggregate over one scan."""
+
+    df: DataFrame
+    alive: str | None = None
+    flags: tuple[str, ...] = ()
+
+
 class Report:
     """Collects a run's diagnostics: those known at once, and those written from counts when they are asked for."""
 
@@ -106,6 +117,9 @@ class Report:
             self._items: list = []
             self._pending: list[tuple[DataFrame, dict[str, Column]]] = []
             self._counted: list[dict] = []
+            self._trails: list[Trail] = []
+            self._tallied: dict[str, int] = {}
+            self._flags = 0
 
     def at(self, step: str) -> Report:
         """The same report, speaking for one step."""
@@ -114,6 +128,43 @@ class Report:
     def add(self, diagnostic: Diagnostic) -> None:
         self._root._items.append(diagnostic.at(self.step))
 
+    def tally(self, table, **conditions: Column):
+        """Register how many of a table's rows meet each condition. Returns the table, which takes its trail along, and the
+        reader of the counts; nothing runs until it is called."""
+        root = self._root
+        trail = table.trail or Trail(table.df)
+        alive = F.col(trail.alive) if trail.alive else F.lit(True)
+        names = {metric: f"__flag{root._flags + i}" for i, metric in enumerate(conditions)}
+        root._flags += len(names)
+        flags = [(alive & F.coalesce(c, F.lit(False))).alias(names[m]) for m, c in conditions.items()]
+        grown = Trail(trail.df.select("*", *flags), trail.alive, (*trail.flags, *names.values()))
+        return replace(table, trail=grown), names, lambda: {m: root._tallies(grown)[n] for m, n in names.items()}
+
+    def close(self, table) -> None:
+        """The end of a trail: nothing more is counted on it. Trails that go on from the same steps are counted once."""
+        root = self._root
+        if table is not None and table.trail is not None and not any(t is table.trail for t in root._trails):
+            root._trails.append(table.trail)
+
+    def _tallies(self, grown: Trail) -> dict[str, int]:
+        """The counts of all trails, in one job: each flag on the longest trail that has it."""
+        if not set(grown.flags) <= set(self._tallied):
+            open_ = sorted([*self._trails, grown], key=lambda t: -len(t.flags))
+            self._tallied |= {r["flag"]: r["n"] for r in self._tally_plan(open_).collect()}
+        return self._tallied
+
+    def _tally_plan(self, trails: list[Trail]) -> DataFrame:
+        """One branch per trail that has flags no longer one has."""
+        seen, branches = set(self._tallied), []
+        for t in trails:
+            fresh = [f for f in t.flags if f not in seen]
+            seen |= set(fresh)
+            if fresh:
+                counts = t.df.agg(*[count_if(F.col(f)).alias(f) for f in fresh])
+                entries = F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("n")) for f in fresh])
+                branches.append(counts.select(F.explode(entries).alias("x")).select("x.flag", "x.n"))
+        return reduce(DataFrame.union, branches)
+
     def count(self, df: DataFrame, **metrics: Column) -> Callable[[], dict]:
         """Register counts over a frame. Nothing runs until the returned reader, or any other, is called."""
         root = self._root

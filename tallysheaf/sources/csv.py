@@ -1,22 +1,30 @@
 """Delimited text in: every cell stays text, every damaged record is set aside with its file line, nothing is padded.
 
-Files are read line by line, so they split across tasks. A file line is numbered exactly - splits are counted first,
-then offset - and a quoted field that runs over line breaks is stitched by its file's quote state, which folds over
-splits the same way. No file has to pass through one task as a whole.
+Files are read twice, split by split. The first pass writes an index, one row a split: how many lines, what its bytes
+say of the encoding, the first lines of it, and for each delimiter whether it ends inside a quoted field, for either way
+that it may begin. From the index alone come encoding, delimiter, line numbers and every split's own beginning. The
+second pass then reads each split from there and writes its records. No file has to pass through one task as a whole,
+and no line is moved; only a record that reaches over a border between splits is put together from its pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import report as R
 from ..naming import unique_columns
+from ..plans.session import ship
+from ..plans.storage import stored
 from ..table import ORDER_PREFIX, TEXT, Col, OrderKey, Table, col
 from . import encoding as E
+from .lines import by_split, segments
 
 # The delimiters tried, in this order, and how many records the guess looks at.
 DELIMITERS = (",", ";", "\t", "|")
@@ -24,6 +32,10 @@ GUESS_RECORDS = 50
 #: Lines read for each of them at most, on average.
 GUESS_LINES = 8
 
+_HEAD = GUESS_RECORDS * GUESS_LINES
+_INDEX = ("file string, block long, lines long, filled long, shown long, valid boolean, nuls long, mark binary, head array<binary>, "
+          "states array<struct<leave: array<boolean>, start: array<long>>>")
+
 
 def _quoted(delimiter: str) -> str:
     """A complete quoted field at the start of a line or behind a delimiter."""
@@ -41,74 +53,112 @@ def field_count(text: Column, delimiter: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
-def _opens(text: Column, delimiter: str) -> Column:
-    """Does a line, read from outside quotes, end inside a quoted field?"""
-    d = "\\t" if delimiter == "\t" else f"\\{delimiter}"
-    return text.contains('"') & _bare(text, delimiter).rlike(rf'(?:\A|{d})"(?![^"]*+(?:""[^"]*+)*+"(?!"))')
-
-
-def _stays_open(text: Column, delimiter: str) -> Column:
-    """Does a line, read from inside a quoted field, end inside one? Read it as if it began with a quote."""
-    return _opens(F.concat(F.lit('"'), text), delimiter)
+class Quotes:
+    """What a line does to the state of being inside a quoted field, for one delimiter."""
+
+    def __init__(self, delimiter: str):
+        d = re.escape(delimiter)
+        self.closed = re.compile(_quoted(delimiter).replace(r"\z", r"\Z").encode())
+        self.open = re.compile(rf'(?:\A|{d})"(?![^"]*+(?:""[^"]*+)*+"(?!"))'.encode())
+
+    def after(self, line: bytes, inside: bool) -> bool:
+        """The state behind a line that was entered in a state. From inside it reads as if it began with a quote."""
+        if b'"' not in line:
+            return inside
+        return self.open.search(self.closed.sub(rb"\1", b'"' + line if inside else line)) is not None
+
+
+def split_index(spark: SparkSession, path: str | list[str], encoding: str = E.UTF8, delimiters: tuple[str, ...] = DELIMITERS) -> DataFrame:
+    """One row per split, written once: ``file``, ``block``, its ``lines``, how many are not empty (``filled``) and not blank
+    (``shown``), whether all are ``valid`` UTF-8, ``nuls``, a file's first bytes (``mark``), the ``head`` of the split, and by
+    delimiter the state it leaves and the line its last record starts on, entered outside and inside a quoted field."""
+    ship(spark)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quotes = [Quotes(d) for d in delimiters]
+        row = None
+
+        def out() -> pa.RecordBatch:
+            row["states"] = [{"leave": [bool(a), bool(b)], "start": [x or None, y or None]} for (a, b), (x, y) in zip(row.pop("state"), row.pop("start"), strict=True)]
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for (file, block), mark, lines in by_split(batches):
+            if row is None or (row["file"], row["block"]) != (file, block):
+                if row is not None:
+                    yield out()
+                row = {"file": file, "block": block, "lines": 0, "filled": 0, "shown": 0, "valid": True, "nuls": 0, "mark": mark, "head": [],
+                       "state": [[False, True] for _ in quotes], "start": [[0, 0] for _ in quotes]}
+            body = b"\n".join(lines)
+            row["nuls"] += body.count(b"\0")
+            try:
+                body.decode()
+            except UnicodeDecodeError:
+                row["valid"] = False
+            filled = [x for x in lines if x]
+            row["head"] += filled[: _HEAD - len(row["head"])]
+            row["filled"] += len(filled)
+            row["shown"] += sum(1 for x in filled if x.strip(b" "))
+            at, n = row["lines"], len(lines)
+            marked = [i for i, x in enumerate(lines) if b'"' in x] if b'"' in body else []
+            for q, state, start in zip(quotes, row["state"], row["start"], strict=True):
+                done = 0
+                for i in [*marked, n]:
+                    for e in (0, 1):
+                        # Lines without quotes leave the state; outside, each of them starts a record.
+                        if not state[e] and (i > done or i < n):
+                            start[e] = at + min(i + 1, n)
+                    if i < n:
+                        same = state[0] == state[1]
+                        state[0] = q.after(lines[i], state[0])
+                        state[1] = state[0] if same else q.after(lines[i], state[1])
+                    done = i + 1
+            row["lines"] += n
+        if row is not None:
+            yield out()
+
+    schema = pa.schema([
+        ("file", pa.string()), ("block", pa.int64()), ("lines", pa.int64()), ("filled", pa.int64()), ("shown", pa.int64()), ("valid", pa.bool_()),
+        ("nuls", pa.int64()), ("mark", pa.binary()), ("head", pa.list_(pa.binary())),
+        ("states", pa.list_(pa.struct([("leave", pa.list_(pa.bool_())), ("start", pa.list_(pa.int64()))])))])
+    return stored(segments(spark, path, encoding).mapInArrow(read, _INDEX), "csv-index")
+
+
+def _encodings(index: DataFrame) -> DataFrame:
+    """Per file: ``encoding`` and ``nuls``, from the index; a mark decides, else valid UTF-8, else windows-1252."""
+    files = index.groupBy("file").agg(
+        F.bool_and("valid").alias("valid"), F.sum("nuls").alias("nuls"), F.max(F.hex("mark")).alias("head"))
+    return files.select("file", "nuls", E.decided(F.col("head"), F.col("valid")).alias("encoding"))
 
 
 def raw_lines(spark: SparkSession, path: str | list[str], encoding: str = E.UTF8) -> DataFrame:
-    """``file``, ``block``, ``id``, ``text`` - the lines with what locates them; splits stay splits."""
-    if encoding in (E.UTF16LE, E.UTF16BE):
-        return _utf16_lines(spark, path, encoding)
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-        E.decoded(F.col("value"), encoding).alias("text"),
-    )
+    """``file``, ``block``, ``text`` - the lines, decoded; splits stay splits."""
+    ship(spark)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, block), _, lines in by_split(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(lines), pa.string()), pa.array([block] * len(lines), pa.int64()), pa.array(lines, pa.binary())], names=["file", "block", "text"])
 
-def _utf16_lines(spark: SparkSession, path, encoding: str) -> DataFrame:
-    """UTF-16 breaks lines between two-byte units, so such a file is decoded whole before it is split into lines."""
-    text = F.regexp_replace(F.decode("content", encoding.upper()), "\\A\ufeff", "")
-    text = F.regexp_replace(text, r"(?:\r\n|\r|\n)\z", "")
-    return spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("file"), F.lit(0).cast("bigint").alias("block"),
-        F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("id", "text"),
-    ).withColumn("id", F.col("id").cast("bigint"))
+    found = segments(spark, path, encoding).mapInArrow(read, "file string, block long, text binary")
+    return found.select("file", "block", E.decoded(F.col("text").cast("string"), encoding).alias("text"))
 
 
-def _per_split(lines: DataFrame) -> Window:
-    return Window.partitionBy("file", "block").orderBy("id")
-
+def propose_delimiters(spark: SparkSession, path: str | list[str], encoding: str = E.UTF8) -> DataFrame:
+    """One row per file: ``file``, ``delimiter`` (NULL where no candidate fits), from its first 50 non-empty records."""
+    return _delimiters(split_index(spark, path, encoding))
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """``line`` = the 1-based line number within the file.
 
-    Ids are consecutive within a split; the splits' line counts (one row per split) are summed up in file order.
-    """
-    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+def _delimiters(index: DataFrame) -> DataFrame:
+    """Each candidate is judged by how little the field count moves from record to record, then by the wider rows; a
+    candidate whose median row has fewer than two fields is out. Only splits that hold a file's first lines are asked."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return lines.join(offsets, ["file", "block"]).select(
-        "file", "block", "id", (F.col("offset") + F.col("id") - F.col("first") + 1).alias("line"), "text")
-
-
-def propose_delimiters(spark: SparkSession, path: str | list[str], encoding: str = E.UTF8) -> DataFrame:
-    """One row per file: ``file``, ``delimiter`` (NULL where no candidate fits), from its first 50 non-empty records.
-
-    Each candidate is judged by how little the field count moves from record to record, then by the wider rows;
-    a candidate whose median row has fewer than two fields is out.
-    """
-    lines = raw_lines(spark, path, encoding).where(F.col("text") != "")
-    # The head of each file only: a split's first lines come before any of its later ones.
-    head = Window.partitionBy("file").orderBy("block", "id")
-    most = GUESS_RECORDS * GUESS_LINES
-    first = (
-        lines.withColumn("nth", F.row_number().over(_per_split(lines))).where(F.col("nth") <= most)
-        .withColumn("at", F.row_number().over(head)).where(F.col("at") <= most)
-    )
+    early = index.withColumn("before", F.coalesce(F.sum(F.size("head")).over(before), F.lit(0))).where(F.col("before") < _HEAD)
+    first = early.select("file", "before", F.posexplode("head").alias("nth", "text")).select(
+        "file", (F.col("before") + F.col("nth") + 1).alias("at"), F.col("text").cast("string").alias("text")).where(F.col("at") <= _HEAD)
     # Records, not lines: after an odd number of quotes a line goes on with the record before it, whatever parts fields.
+    head = Window.partitionBy("file").orderBy("at")
     quotes = F.char_length("text") - F.char_length(F.replace("text", F.lit('"'), F.lit("")))
-    before = F.coalesce(F.sum("quotes").over(head.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begun = first.withColumn("quotes", quotes).withColumn("begins", (before % 2 == 0).cast("int"))
+    open_ = F.coalesce(F.sum("quotes").over(head.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = first.withColumn("quotes", quotes).withColumn("begins", (open_ % 2 == 0).cast("int"))
     begun = begun.withColumn("record", F.sum("begins").over(head.rowsBetween(Window.unboundedPreceding, 0)))
     stitched = begun.groupBy("file", "record").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("lines"), F.sum("quotes").alias("quotes"))
@@ -131,91 +181,110 @@ def propose_delimiters(spark: SparkSession, path: str | list[str], encoding: str
         "file", F.get(F.array(*map(F.lit, DELIMITERS)), F.col("best")).alias("delimiter"))
 
 
-def records(
-    spark: SparkSession, path: str | list[str], delimiter: str, encoding: str = E.UTF8
-) -> DataFrame:
-    """``file``, ``line``, ``text``, ``fields``, ``unclosed``: the records, numbered by the file line they start on.
+def _beginnings(index: DataFrame, candidate: int) -> DataFrame:
+    """How each split begins: ``file``, ``block``, ``enter`` (inside a quoted field), ``offset`` (lines before it), ``start`` (the
+    line that the record open there starts on) and ``unclosed`` (the line from which on a quote of the file never closes).
 
-    In a file without quoted line breaks every line is a record. Elsewhere a line belongs to the record that was
-    open when it began. A quote that is never closed would swallow the rest of its file; its lines are handed out one
-    by one, flagged, instead of being gathered into one cell.
+    A split maps the state before it to the one behind it. Most settle it whatever came before, the others keep or flip
+    it: so a state is the last settled one, flipped as often as splits since then flip.
     """
-    lines = numbered_lines(raw_lines(spark, path, encoding))
-    text = F.col("text")
-    if not _has_open_quote(lines, delimiter):
-        return lines.select("file", "line", "text", field_count(text, delimiter).alias("fields"),
-                            F.lit(False).alias("unclosed"))
-    return _stitched(lines, delimiter)
-
-
-def _has_open_quote(lines: DataFrame, delimiter: str) -> bool:
-    return bool(lines.where(_opens(F.col("text"), delimiter)).select(F.lit(1)).limit(1).count())
+    state = index.select("file", "block", "lines", F.col("states")[candidate].alias("s"))
+    state = state.select("file", "block", "lines", F.col("s.leave")[0].alias("from_out"), F.col("s.leave")[1].alias("from_in"),
+                         F.col("s.start")[0].alias("start_out"), F.col("s.start")[1].alias("start_in"))
+    splits = Window.partitionBy("file").orderBy("block")
+    before = splits.rowsBetween(Window.unboundedPreceding, -1)
+    turns = state.withColumn("settles", F.when(F.col("from_out") == F.col("from_in"), F.col("from_out"))).withColumn(
+        "flips", (F.col("from_out") & ~F.col("from_in")).cast("int"))
+    turns = turns.withColumn("all", F.sum("flips").over(splits)).withColumn(
+        "mark", F.when(F.col("settles").isNotNull(), F.struct("settles", "all")))
+    turns = turns.withColumn("last", F.last("mark", ignorenulls=True).over(before)).withColumn("past", F.coalesce(F.sum("flips").over(before), F.lit(0)))
+    odd = (F.coalesce(F.col("last.settles"), F.lit(False)).cast("int") + F.col("past") - F.coalesce(F.col("last.all"), F.lit(0))) % 2 == 1
+    begun = turns.withColumn("enter", odd).withColumn("offset", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    begun = begun.withColumn("leave", F.when(F.col("enter"), F.col("from_in")).otherwise(F.col("from_out"))).withColumn(
+        "own", F.when(F.col("enter"), F.col("start_in")).otherwise(F.col("start_out")) + F.col("offset"))
+    whole = Window.partitionBy("file")
+    end = F.last("leave").over(splits.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return begun.select("file", "block", "enter", "offset", F.max("own").over(before).alias("start"),
+                        F.when(end, F.max("own").over(whole)).alias("unclosed"))
 
 
-def _stitched(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Records over quoted line breaks.
+def records(
+    spark: SparkSession, path: str | list[str], delimiter: str, encoding: str = E.UTF8
+) -> DataFrame:
+    """``file``, ``line``, ``text``, ``fields``, ``malformed``, ``unclosed``: the records, numbered by the file line they start on.
 
-    Reading a line maps "inside quotes or not" before it to the same after it. Most lines settle that regardless of
-    what came before; the rest keep or flip it. So the state anywhere is the last settled one, flipped as often as
-    lines since then flip - a running maximum and a running sum, first over splits, then within each split.
+    A line belongs to the record that was open when it began. A quote that is never closed would swallow the rest of its
+    file; its lines are handed out one by one, flagged, instead of being gathered into one cell. A record is ``malformed``
+    if a field opens with a quote and goes on after closing it. The records are written once, as a table.
     """
-    a, b = _opens(F.col("text"), delimiter), _stays_open(F.col("text"), delimiter)
-    marked = lines.select(
-        "file", "block", "id", "line", "text",
-        F.when(a == b, a).alias("settles"),
-        F.when(a & ~b, 1).otherwise(0).alias("flips"),
-    )
-    within = _per_split(marked)
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = marked.withColumn("settled", F.last("settles", ignorenulls=True).over(upto)).withColumn(
-        "flipped", F.sum("flips").over(upto)
-    ).withColumn(
-        "flipped_then", F.last(F.when(F.col("settles").isNotNull(), F.col("flipped")), ignorenulls=True).over(upto)
-    ).withColumn("parity", (F.col("flipped") - F.coalesce("flipped_then", F.lit(0))) % 2)
-    # One row per split: what it settles and how it flips, then the state each split begins in.
-    ends = running.groupBy("file", "block").agg(
-        F.max_by("settled", "id").alias("settled"), F.max_by("parity", "id").alias("parity"),
-        F.sum("flips").alias("flips"))
-    over_splits = Window.partitionBy("file").orderBy("block")
-    before = over_splits.rowsBetween(Window.unboundedPreceding, -1)
-    folded = ends.withColumn("all_flips", F.sum("flips").over(over_splits)).withColumn(
-        "mark", F.when(F.col("settled").isNotNull(),
-                       F.struct(F.col("settled"), (F.col("all_flips") - F.col("parity")).alias("base")))
-    ).select(
-        "file", "block",
-        F.last("mark", ignorenulls=True).over(before).alias("mark"),
-        F.coalesce(F.sum("flips").over(before), F.lit(0)).alias("flips_before"),
-    )
-    begin = folded.select(
-        "file", "block",
-        (F.coalesce(F.col("mark.settled"), F.lit(False)).cast("int")
-         + F.col("flips_before") - F.coalesce(F.col("mark.base"), F.lit(0))).alias("enter"),
-    ).withColumn("enter", F.col("enter") % 2 == 1)
-    state = running.join(begin, ["file", "block"]).withColumn(
-        "after", (F.coalesce(F.col("settled"), F.col("enter")).cast("int") + F.col("parity")) % 2 == 1
-    ).withColumn("inside", F.coalesce(F.lag("after").over(within), F.col("enter")))
-    # Where each line's record starts; a split that begins inside one takes the last start before it.
-    starts = state.withColumn(
-        "start", F.last(F.when(~F.col("inside"), F.col("line")), ignorenulls=True).over(upto))
-    last = starts.groupBy("file", "block").agg(
-        F.max("start").alias("last_start"), F.max_by("after", "id").alias("open_at_end"))
-    carried = last.select(
-        "file", "block", F.max("last_start").over(before).alias("carried"),
-        F.last("open_at_end").over(over_splits.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        .alias("file_open"),
-        F.max("last_start").over(Window.partitionBy("file")).alias("file_last"),
-    )
-    placed = starts.join(carried, ["file", "block"]).select(
-        "file", "line", "text", F.coalesce("start", "carried").alias("start"),
-        (F.col("file_open") & (F.coalesce("start", "carried") == F.col("file_last"))).alias("unclosed"),
-    )
-    # A closed record spans few lines; the lines of an unclosed one stay apart.
-    key = F.when(F.col("unclosed"), F.col("line")).otherwise(F.col("start"))
-    joined = placed.groupBy("file", key.alias("at"), "unclosed").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return joined.select(
-        "file", F.col("at").alias("line"), "text", field_count(F.col("text"), delimiter).alias("fields"), "unclosed")
+    wanted = DELIMITERS if delimiter in DELIMITERS else (*DELIMITERS, delimiter)
+    return _records(spark, path, split_index(spark, path, encoding, wanted), delimiter, encoding)
+
+
+def _records(spark: SparkSession, path: str | list[str], index: DataFrame, delimiter: str, encoding: str) -> DataFrame:
+    candidate = DELIMITERS.index(delimiter) if delimiter in DELIMITERS else len(DELIMITERS)
+    # A few numbers a split: less than the list of splits that Spark's own driver keeps.
+    known: dict[str, list] = {}
+    for r in _beginnings(index, candidate).collect():
+        known.setdefault(r["file"], []).append((r["block"], int(r["enter"]), r["offset"], r["start"] or 0, r["unclosed"] or 0))
+    sent = spark.sparkContext.broadcast({f: np.array(sorted(rows), np.int64) for f, rows in known.items()})
+    schema = pa.schema([("file", pa.string()), ("line", pa.int64()), ("text", pa.binary()), ("unclosed", pa.bool_()), ("start", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quotes = Quotes(delimiter)
+        key, inside, line, from_, start, torn = None, False, 0, 0, 0, False
+        held: list[bytes] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                out.append((key[0], line - len(held) + 1, b"\n".join(held), False, start if torn else None))
+                held.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for place, _, lines in by_split(batches):
+            if place != key:
+                torn = True  # what is still open goes on in the next split
+                close()
+                key = place
+                rows = sent.value.get(key[0], np.zeros((0, 5), np.int64))
+                mine = rows[rows[:, 0] == key[1]]
+                if len(mine) == 0:
+                    raise RuntimeError(f"{key[0]} was split otherwise when its index was made")
+                _, inside, line, start, from_ = (int(x) for x in mine[0])
+                inside = torn = bool(inside)
+            for text in lines:
+                line += 1
+                if from_ and line >= from_:
+                    out.append((key[0], line, text, True, None))
+                    continue
+                if not inside:
+                    start, torn = line, False
+                held.append(text)
+                inside = quotes.after(text, inside)
+                if not inside:
+                    close()
+            yield batch_of()
+        torn = True
+        close()
+        if out:
+            yield batch_of()
+
+    d = "\\t" if delimiter == "\t" else f"\\{delimiter}"
+    text = F.col("text")
+    malformed = ~F.col("unclosed") & text.contains('"') & _bare(text, delimiter).rlike(rf'(?:\A|{d})"')
+    told = [field_count(text, delimiter).alias("fields"), malformed.alias("malformed")]
+    found = segments(spark, path, encoding).mapInArrow(read, "file string, line long, text binary, unclosed boolean, start long")
+    found = found.withColumn("text", E.decoded(text.cast("string"), encoding if encoding == E.CP1252 else E.UTF8))
+    table = stored(found.select("file", "line", "text", "unclosed", "start", *told), "csv-records")
+    whole = table.where("start IS NULL").select("file", "line", "text", "fields", "malformed", "unclosed")
+    pieces = table.where("start IS NOT NULL").groupBy("file", F.col("start").alias("line")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text")).withColumn("unclosed", F.lit(False))
+    return whole.unionByName(pieces.select("file", "line", "text", "unclosed", *told))
 
 
 def propose_header_rows(found: DataFrame) -> DataFrame:
@@ -245,6 +314,8 @@ class CsvSource:
     table: Table
     #: ``file``, ``row`` (file line), ``fields``, ``raw``, ``reason`` (field_count or unclosed_quote)
     quarantine: DataFrame
+    #: The same columns of records that are read although a field goes on after its closing quote (malformed_quote).
+    malformed: DataFrame
     delimiter: str
     header_row: int
     encoding: str
@@ -261,32 +332,35 @@ def read_csv(
 ) -> CsvSource:
     """Delimited files as one all-text table. What is not given is proposed from the files; files must agree on it.
 
-    ``max_rows_named`` bounds the row numbers listed inside a diagnostic; the quarantine frame holds all of them.
+    ``max_rows_named`` bounds the row numbers listed inside a diagnostic; the quarantine frame, and that of malformed
+    quotes, hold all of them.
     """
     found: list[R.Diagnostic] = []
+    wanted = DELIMITERS if delimiter is None or delimiter in DELIMITERS else (*DELIMITERS, delimiter)
+    index = split_index(spark, path, encoding or E.UTF8, wanted)
     if encoding is None:
-        # One pass answers for the encoding and for stray NUL bytes.
-        kinds = E.detect_encodings(spark, path).groupBy("encoding").agg(
-            F.sum("nul_bytes").alias("count"), F.count(F.lit(1)).alias("files")).collect()
+        kinds = _encodings(index).groupBy("encoding").agg(F.sum("nuls").alias("count"), F.count(F.lit(1)).alias("files")).collect()
         if len(kinds) > 1:
             raise R.Refused([R.error("csv.mixed_encodings", values=sorted(k["encoding"] for k in kinds))])
         encoding = kinds[0]["encoding"] if kinds else E.UTF8
-        if kinds and kinds[0]["count"] and encoding not in (E.UTF16LE, E.UTF16BE):
+        if encoding in (E.UTF16LE, E.UTF16BE):
+            # Lines end otherwise there.
+            index = split_index(spark, path, encoding, wanted)
+        elif kinds and kinds[0]["count"]:
             found.append(R.unresolved("encoding.nul_bytes", count=kinds[0]["count"], files=kinds[0]["files"]))
     E._check(encoding)
 
-    lines = raw_lines(spark, path, encoding)
-    if not lines.where(F.trim("text") != "").limit(1).count():
+    if not index.agg(F.coalesce(F.sum("shown"), F.lit(0)).alias("n")).first()["n"]:
         empty = Table.of(spark.createDataFrame([], "`__none` string").drop("__none"))
         none = spark.createDataFrame([], "file string, row bigint, fields int, raw string, reason string")
-        return CsvSource(empty, none, delimiter or ",", 1, encoding, (*found, R.warning("csv.empty")))
+        return CsvSource(empty, none, none, delimiter or ",", 1, encoding, (*found, R.warning("csv.empty")))
     if delimiter is None:
-        delimiter = _agreed(propose_delimiters(spark, path, encoding), "delimiter", "csv.mixed_delimiters")
+        delimiter = _agreed(_delimiters(index), "delimiter", "csv.mixed_delimiters")
         if delimiter is None:
             delimiter = ","
             found.append(R.unresolved("csv.delimiter_undetectable", fallback=","))
 
-    recs = records(spark, path, delimiter, encoding)
+    recs = _records(spark, path, index, delimiter, encoding)
     headers = propose_header_rows(recs)
     if header_row is not None:
         # The record that holds the line, or the first one.
@@ -316,11 +390,14 @@ def read_csv(
     df = cells.select(
         *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], *[col(k.name) for k in keys])
     table = Table(df, tuple(Col(n, TEXT) for n in names), keys)
-    quarantine = body.where(~good).select(
-        "file", F.col("line").alias("row"), "fields", F.col("text").alias("raw"),
-        F.when(F.col("unclosed"), "unclosed_quote").otherwise("field_count").alias("reason"))
-    found += csv_damage(body, delimiter, width, max_rows_named)
-    return CsvSource(table, quarantine, delimiter, line, encoding, tuple(found))
+
+    def aside(which: Column, reason: Column) -> DataFrame:
+        return body.where(which).select("file", F.col("line").alias("row"), "fields", F.col("text").alias("raw"), reason.alias("reason"))
+
+    quarantine = aside(~good, F.when(F.col("unclosed"), "unclosed_quote").otherwise("field_count"))
+    malformed = aside(F.col("malformed"), F.lit("malformed_quote"))
+    found += csv_damage(body, width, max_rows_named)
+    return CsvSource(table, quarantine, malformed, delimiter, line, encoding, tuple(found))
 
 
 def _agreed(per_file: DataFrame, column: str, code: str) -> str | None:
@@ -331,15 +408,11 @@ def _agreed(per_file: DataFrame, column: str, code: str) -> str | None:
     return values[0] if values else None
 
 
-def csv_damage(body: DataFrame, delimiter: str, expected: int, max_rows_named: int = 100) -> list[R.Diagnostic]:
-    """What is wrong with the records: one counting pass, and a second for row numbers only where there are any."""
-    d = "\\t" if delimiter == "\t" else f"\\{delimiter}"
-    text, unclosed = F.col("text"), F.col("unclosed")
-    wrong = {
-        "field_count": ~unclosed & (F.col("fields") != expected),
-        # A field that opens with a quote and goes on after closing it.
-        "malformed": ~unclosed & text.contains('"') & _bare(text, delimiter).rlike(rf'(?:\A|{d})"'),
-    }
+def csv_damage(body: DataFrame, expected: int, max_rows_named: int = 100) -> list[R.Diagnostic]:
+    """What is wrong with the records: one count over the written records' flags, and their first row numbers where there
+    are any."""
+    unclosed = F.col("unclosed")
+    wrong = {"field_count": ~unclosed & (F.col("fields") != expected), "malformed": F.col("malformed")}
     seen = body.agg(
         F.min(F.when(unclosed, F.col("line"))).alias("unclosed"),
         *[R.count_if(c).alias(n) for n, c in wrong.items()]).first()

@@ -33,6 +33,19 @@ def _check(encoding: str) -> None:
         raise ValueError(f"unknown encoding: {encoding}")
 
 
+def _marked(head: Column) -> Column:
+    """The encoding that a file's first bytes, in hex, are the mark of."""
+    mark = None
+    for encoding, bom in BOMS.items():
+        mark = F.when(head.startswith(bom), encoding) if mark is None else mark.when(head.startswith(bom), encoding)
+    return mark
+
+
+def decided(head: Column, valid: Column) -> Column:
+    """A mark decides, else valid UTF-8, else windows-1252."""
+    return F.coalesce(_marked(head), F.when(valid, UTF8).otherwise(CP1252))
+
+
 def detect_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: ``file``, ``encoding``, ``decided_by`` (bom, probe or fallback), ``nul_bytes``.
 
@@ -53,13 +66,10 @@ def detect_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.bool_and("valid").alias("valid"), F.sum("nuls").alias("nul_bytes"),
         F.min_by("head", F.struct("block", "id")).alias("head"),
     )
-    mark = None
-    for encoding, bom in BOMS.items():
-        at = F.col("head").startswith(bom)
-        mark = F.when(at, encoding) if mark is None else mark.when(at, encoding)
+    mark = _marked(F.col("head"))
     return per_file.select(
         "file",
-        F.coalesce(mark, F.when(F.col("valid"), UTF8).otherwise(CP1252)).alias("encoding"),
+        decided(F.col("head"), F.col("valid")).alias("encoding"),
         F.when(mark.isNotNull(), "bom").when(F.col("valid"), "probe").otherwise("fallback").alias("decided_by"),
         "nul_bytes",
     )

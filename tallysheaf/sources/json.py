@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,7 +13,9 @@ from pyspark.sql import types as T
 from .. import report as R
 from ..naming import unique_columns
 from ..plans.session import ship
+from ..plans.storage import shared_folder, stored
 from ..table import ORDER_PREFIX, OrderKey, Table, col
+from .documents import elements
 
 NDJSON, DOCUMENT, UNSUPPORTED, MALFORMED, EMPTY = "ndjson", "document", "unsupported_shape", "malformed", "empty"
 ARRAYS = ("json", "index", "explode")
@@ -33,16 +36,21 @@ def _complete(text: Column) -> Column:
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     one = listed.isNotNull() & held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(one, F.try_parse_json(text))
+    return F.when(one, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every line with its place, the value it is, and whether that is an object."""
+    """Every line's place and whether it is blank, an object, or begins a list; written once, with the text of damaged ones
+    only, so that each line is parsed once for all questions."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
-    judged = lines.withColumn("j", _complete(F.trim("raw"))).withColumn("blank", F.trim("raw") == "")
-    return judged.withColumn("object", F.coalesce(_kind(F.col("j")) == "OBJECT", F.lit(False)))
+    trimmed = F.trim("raw")
+    judged = lines.withColumn("blank", trimmed == "").withColumn("list", trimmed.startswith("[")).withColumn(
+        "object", F.coalesce(_kind(_complete(trimmed)) == "OBJECT", F.lit(False)))
+    # A file that isn't read by line is read by its elements: only lines that may be damaged records keep their text.
+    kept = F.when(~F.col("blank") & ~F.col("object"), F.col("raw"))
+    return stored(judged.select("file", "block", "id", "blank", "list", "object", kept.alias("raw")), "judged-lines")
 
 
 def _files(lines: DataFrame) -> DataFrame:
@@ -52,7 +60,7 @@ def _files(lines: DataFrame) -> DataFrame:
     opened whole.
     """
     said = lines.where(~F.col("blank"))
-    first = F.min_by(F.struct("object", F.trim("raw").startswith("[").alias("list")), F.struct("block", "id"))
+    first = F.min_by(F.struct("object", "list"), F.struct("block", "id"))
     files = said.groupBy("file").agg(
         F.count(F.lit(1)).alias("n"), R.count_if(F.col("object")).alias("objects"), first.alias("first"))
     by_line = F.col("first.object") | ((F.col("objects") * 2 > F.col("n")) & ~F.col("first.list"))
@@ -61,7 +69,10 @@ def _files(lines: DataFrame) -> DataFrame:
 
 def json_quarantine(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The damaged lines of line-delimited files: ``file``, ``line`` (from 1), ``raw``. They feed ``reread_lenient``."""
-    lines = _lines(spark, path)
+    return _quarantine(_lines(spark, path))
+
+
+def _quarantine(lines: DataFrame) -> DataFrame:
     splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -75,15 +86,39 @@ def json_shapes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: ``file``, ``shape``, ``line``, ``position`` (where strict parsing stopped first, if it did).
 
     Every line is parsed on its own: a file of objects, a line each, is line-delimited, and malformed where a line is
-    damaged. Only the other files are opened whole - which is what a document is, one value.
+    damaged. The other files are taken apart in splits; only those that are neither a sound array of objects nor one
+    object are opened whole, to say what is wrong with them.
     """
-    files = _files(_lines(spark, path))
+    ship(spark)
+    lines = _lines(spark, path)
+    return _shapes(spark, lines, _documents(spark, lines))
+
+
+def _documents(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The elements of the files that aren't line-delimited, and whether a file's are all sound objects; None without such
+    files."""
+    # A document is one value; as many names pass the driver as Spark's own list of files has.
+    others = [r["file"] for r in _files(lines).where("NOT by_line").select("file").collect()]
+    if not others:
+        return None
+    parts, shaped = elements(spark, others)
+    judged = stored(parts.withColumn("sound", F.coalesce(_kind(_complete(F.trim("text"))) == "OBJECT", F.lit(False))), "judged-elements")
+    files = shaped.join(judged.groupBy("file").agg(F.bool_and("sound").alias("sound")), "file", "left")
+    return judged, files.select("file", (F.col("shape").isNotNull() & F.coalesce("sound", F.lit(False))).alias("sound"))
+
+
+def _shapes(spark: SparkSession, lines: DataFrame, documents: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    files = _files(lines)
     nd = files.where("by_line")
-    damaged = json_quarantine(spark, path).groupBy("file").agg(F.min_by("raw", "line").alias("v"), F.min("line").alias("from_line"))
+    damaged = _quarantine(lines).groupBy("file").agg(F.min_by("raw", "line").alias("v"), F.min("line").alias("from_line"))
     located = damaged.mapInPandas(_locate, "file string, line bigint, position bigint")
     shapes = nd.select("file", F.when(F.col("bad") > 0, MALFORMED).otherwise(NDJSON).alias("shape")).join(located, "file", "left")
-    # A document is one file each, so their names are as many as the values that are read from them.
-    others = [r["file"] for r in files.where("NOT by_line").select("file").toLocalIterator()]
+    if documents is None:
+        return shapes
+    known = files.where("NOT by_line").select("file").join(documents[1], "file", "left")
+    sound = known.where("sound").select("file", F.lit(DOCUMENT).alias("shape"), F.lit(None).cast("bigint").alias("line"), F.lit(None).cast("bigint").alias("position"))
+    shapes = shapes.unionByName(sound)
+    others = [r["file"] for r in known.where("NOT coalesce(sound, false)").select("file").collect()]
     if not others:
         return shapes
     judged = spark.read.text(others, wholetext=True).select(
@@ -92,13 +127,13 @@ def json_shapes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # An array of objects, or one object, is a table; anything else that parses is not.
     elements = F.schema_of_variant("j")
     table_like = elements.startswith("OBJECT") | elements.startswith("ARRAY<OBJECT")
-    documents = judged.select(
+    rest = judged.select(
         "file",
         F.when(F.coalesce("v", F.lit("")) == "", EMPTY).when(F.col("j").isNull(), MALFORMED)
         .when(table_like, DOCUMENT).otherwise(UNSUPPORTED).alias("shape"), "v")
-    located = documents.where(F.col("shape") == MALFORMED).select(
+    located = rest.where(F.col("shape") == MALFORMED).select(
         "file", "v", F.lit(1).cast("bigint").alias("from_line")).mapInPandas(_locate, "file string, line bigint, position bigint")
-    return shapes.unionByName(documents.select("file", "shape").join(located, "file", "left"))
+    return shapes.unionByName(rest.select("file", "shape").join(located, "file", "left"))
 
 
 def _locate(batches):
@@ -121,6 +156,19 @@ def _locate(batches):
         yield out.astype({"line": "Int64", "position": "Int64"})
 
 
+def _refused(shapes: DataFrame, forgiven: DataFrame | None) -> DataFrame:
+    refused = shapes.where(F.col("shape").isin(MALFORMED, UNSUPPORTED))
+    return refused if forgiven is None else refused.join(forgiven, "file", "left_anti")
+
+
+def json_refusals(spark: SparkSession, path: str | list[str], set_aside: bool = False) -> DataFrame:
+    """Every file that ``read_json`` refuses: ``file``, ``code``, and ``line`` and ``position`` where its text stops being JSON."""
+    ship(spark)
+    lines = _lines(spark, path)
+    forgiven = _quarantine(lines).select("file").distinct() if set_aside else None
+    return _refused(_shapes(spark, lines, _documents(spark, lines)), forgiven).select("file", F.concat(F.lit("json."), "shape").alias("code"), "line", "position")
+
+
 def read_json(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, arrays: str = "json",
     set_aside: bool = False,
@@ -128,25 +176,28 @@ def read_json(
     """JSON files as one flat table. Malformed files and unsupported shapes are different refusals, naming the file.
 
     With ``set_aside`` the damaged lines of line-delimited files are left out and counted instead of refused;
-    ``json_quarantine`` has them. All refused files are in ``json_shapes``; the refusal itself names a hundred.
+    ``json_quarantine`` has them. A refusal names the first file of each kind and says how many there are;
+    ``json_refusals`` has them all.
     """
     ship(spark)
-    shapes = json_shapes(spark, path)
-    quarantine = json_quarantine(spark, path)
+    lines = _lines(spark, path)
+    documents = _documents(spark, lines)
+    shapes = stored(_shapes(spark, lines, documents), "shapes")
+    quarantine = _quarantine(lines)
     aside = quarantine.count() if set_aside else 0
-    refused = shapes.where(F.col("shape").isin(MALFORMED, UNSUPPORTED))
-    if aside:
-        refused = refused.join(quarantine.select("file").distinct(), "file", "left_anti")
-    bad = refused.limit(100).collect()
+    refused = _refused(shapes, quarantine.select("file").distinct() if aside else None)
+    first = F.min_by(F.struct("file", "line", "position"), "file").alias("first")
+    bad = refused.groupBy("shape").agg(F.count(F.lit(1)).alias("files"), first).orderBy("shape").collect()
     if bad:
-        raise R.Refused([
-            R.error(f"json.{r['shape']}", file=r["file"], line=r["line"], position=r["position"]) for r in bad])
+        raise R.Refused([R.error(f"json.{r['shape']}", **r["first"].asDict(), files=r["files"]) for r in bad])
     kinds = {r["shape"] for r in shapes.select("shape").distinct().collect()} - {EMPTY}
     kinds = {NDJSON if k == MALFORMED else k for k in kinds}
     if len(kinds) > 1:
         raise R.Refused([R.error("json.mixed_shapes", shapes=sorted(kinds))])
     mode = "DROPMALFORMED" if aside else "FAILFAST"
-    reader = spark.read.option("multiLine", kinds == {DOCUMENT}).option("mode", mode)
+    reader = spark.read.option("mode", mode)
+    if kinds == {DOCUMENT}:
+        return _flat_table(_from_elements(spark, documents[0], schema), arrays, aside)
     if aside:
         # The reader would take the first value of a damaged line: only whole lines are handed to the parser.
         fields = schema or reader.json(path).schema
@@ -154,9 +205,23 @@ def read_json(
         df = whole.select(F.from_json("value", fields).alias("v"), "_metadata").select("v.*", "_metadata")
     else:
         df = (reader.schema(schema) if schema is not None else reader).json(path).select("*", "_metadata")
-    keys = tuple(OrderKey(f"{ORDER_PREFIX}{i}") for i in range(3))
     position = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    placed = df.select(*[c for c in df.columns if c != "_metadata"], *[p.alias(k.name) for p, k in zip(position, keys)])
+    placed = df.select(*[c for c in df.columns if c != "_metadata"], *[p.alias(f"{ORDER_PREFIX}{i}") for i, p in enumerate(position)])
+    return _flat_table(placed, arrays, aside)
+
+
+def _from_elements(spark: SparkSession, parts: DataFrame, schema: T.StructType | str | None) -> DataFrame:
+    """Documents as the rows of their elements, in their order. What types they have is asked of all of them, as lines."""
+    if schema is None:
+        folder = f"{shared_folder(spark)}/element-lines-{uuid.uuid4().hex}"
+        parts.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.text(folder)
+        schema = spark.read.option("mode", "FAILFAST").json(folder).schema
+    read = parts.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("v"), "file", "line", "column")
+    return read.select("v.*", *[F.col(c).alias(f"{ORDER_PREFIX}{i}") for i, c in enumerate(("file", "line", "column"))])
+
+
+def _flat_table(placed: DataFrame, arrays: str, aside: int) -> tuple[Table, list[R.Diagnostic]]:
+    keys = tuple(OrderKey(f"{ORDER_PREFIX}{i}") for i in range(3))
     flat, renamed = flatten_json(placed, arrays, keep=[k.name for k in keys])
     order = [*keys, *[OrderKey(n) for n in flat.columns if n.startswith(f"{ORDER_PREFIX}e")]]
     table = Table.of(flat)

@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.render import render_de
-from ..table import DATE, DATETIME, Table, col
+from ..table import BOX_OF, DATE, DATETIME, NANOS_OF, Col, Table, col
 
 BOM = "\ufeff"
 
 
-def _scalar(cell, kind: str):
+def _fine(c: Col):
+    """A datetime with its nine fraction digits."""
+    return F.concat(F.date_format(col(c.name), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad(col(c.nanos).cast("string"), 3, "0"))
+
+
+def _scalar(c: Col):
     # JSON has no dates: they are written as the text they would be written as in a column without boxes.
-    if kind == DATETIME:
-        return F.date_format(cell, "yyyy-MM-dd'T'HH:mm:ss.SSS").cast("variant")
-    return (cell.cast("string") if kind == DATE else cell).cast("variant")
+    cell = col(c.name)
+    if c.kind == DATETIME:
+        return (_fine(c) if c.nanos else F.date_format(cell, "yyyy-MM-dd'T'HH:mm:ss.SSS")).cast("variant")
+    return (cell.cast("string") if c.kind == DATE else cell).cast("variant")
+
+
+def _json_cell(c: Col):
+    if c.raw:
+        return F.coalesce(col(c.raw).cast("variant"), _scalar(c))
+    return _fine(c) if c.nanos else col(c.name)
 
 
 def _in_order(table: Table) -> Table:
@@ -37,10 +49,7 @@ def write_csv(table: Table, path: str, delimiter: str = ";", bom: bool = True, m
 
 def write_json(table: Table, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line with typed values; in a column with boxes each box is its text."""
-    df = _in_order(table).df.select(*[
-        F.coalesce(col(c.raw).cast("variant"), _scalar(col(c.name), c.kind)).alias(c.name) if c.raw else col(c.name)
-        for c in table.cols
-    ])
+    df = _in_order(table).df.select(*[_json_cell(c).alias(c.name) for c in table.cols])
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
@@ -52,5 +61,5 @@ def write_parquet(table: Table, path: str, mode: str = "errorifexists") -> None:
         if c.affix:
             metadata["sheaf.affix"] = c.affix
         exprs.append(col(c.name).alias(c.name, metadata=metadata))
-        exprs += [col(h) for h in c.hidden]
+        exprs += [col(h).alias(h, metadata={of: c.name}) for h, of in ((c.raw, BOX_OF), (c.nanos, NANOS_OF)) if h]
     _in_order(table).df.select(*exprs).write.mode(mode).parquet(path)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .. import report as R
 from ..functions.text import is_missing, trimmed
 from ..naming import unique_columns
-from ..table import BOOLEAN, DATE, DATETIME, NUMBER, ORDER_PREFIX, TEXT, Col, OrderKey, Table, col
+from ..plans.storage import stored
+from ..table import BOOLEAN, DATE, DATETIME, NUMBER, ORDER_PREFIX, TEXT, Col, OrderKey, Table, box_of, col, free_name
 
 CELL_SCHEMA = "file string, sheet_index int, sheet string, row int, col int, kind string, text string, problem string"
 
@@ -148,6 +149,11 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_cells_of_files, CELL_SCHEMA)
 
 
+def unreadable_workbooks(files: DataFrame) -> DataFrame:
+    """``file`` and ``problem`` of every workbook that can't be opened."""
+    return workbook_cells(files).where(F.col("problem").isNotNull()).select("file", "problem")
+
+
 @dataclass(frozen=True)
 class WorkbookSource:
     table: Table
@@ -160,15 +166,15 @@ def read_workbooks(files: DataFrame, sheet: str | None = None, header_row: int |
     """One sheet of every workbook (``workbook_files``) as one table. Without a name the first sheet is taken.
 
     The header is the first row of the most frequent width (counted in non-empty cells). A column of one kind keeps
-    it; any time of day makes a date column a datetime; mixed kinds are text.
+    it; any time of day makes a date column a datetime; mixed kinds are text. A workbook that can't be opened refuses
+    them all: the first one is named and they are counted, ``unreadable_workbooks`` has them all.
     """
     found: list[R.Diagnostic] = []
-    # The files are unpacked once, into the cluster's own storage, not once per question.
-    cells = workbook_cells(files).persist()
-    broken = cells.where(F.col("problem").isNotNull()).select("file", "problem").limit(100).collect()
-    if broken:
-        cells.unpersist()
-        raise R.Refused([R.error("source.unreadable", file=r["file"], reason=r["problem"]) for r in broken])
+    # The files are unpacked once, into a table, not once per question.
+    cells = stored(workbook_cells(files), "workbook-cells")
+    broken = cells.where(F.col("problem").isNotNull()).agg(F.count(F.lit(1)).alias("files"), F.min(F.struct("file", "problem")).alias("first")).first()
+    if broken["files"]:
+        raise R.Refused([R.error("source.unreadable", file=broken["first"]["file"], reason=broken["first"]["problem"], files=broken["files"])])
     sheets = cells.where(F.col("row") == 0).select("file", "sheet_index", "sheet")
     picked = sheets.where(F.col("sheet") == sheet) if sheet else sheets.limit(0)
     fallback = sheets.where(F.col("sheet_index") == 0).join(picked.select("file"), "file", "left_anti")
@@ -231,15 +237,16 @@ def read_workbooks(files: DataFrame, sheet: str | None = None, header_row: int |
     keys = (OrderKey(f"{ORDER_PREFIX}0"), OrderKey(f"{ORDER_PREFIX}1"))
     wide = data.groupBy("file", "row").pivot("col", list(range(1, width + 1))).agg(
         F.first(F.struct("kind", "text")))
-    exprs, cols = [], []
+    exprs, cols, taken = [], [], set(names)
     for i, name in enumerate(names, start=1):
         cell, kind = F.col(f"`{i}`"), types[i]
         value, raw = _typed(cell, kind)
         exprs.append(value.alias(name))
         boxed = kind != TEXT and any(r["col"] == i and r["strays"] for r in kinds)
         if boxed:
-            exprs.append(raw.alias(f"{name}__raw"))
-        cols.append(Col(name, kind, f"{name}__raw" if boxed else None))
+            companion = free_name(f"{name}__raw", taken)
+            exprs.append(box_of(raw, name, companion))
+        cols.append(Col(name, kind, companion if boxed else None))
     # Rows between the first and the last that hold no cell at all are rows of the sheet too.
     spans = body.groupBy("file").agg(F.max("row").alias("last")).join(per_file, "file")
     every = spans.where(F.col("last") > F.col("header")).select(

@@ -5,7 +5,9 @@ Three things ride along and none of them costs anything until it is used:
 * **kinds** - the seven column kinds (text, number, date, datetime, time, duration, boolean). Time and duration
   are nanosecond longs in Spark, so the Spark type alone does not identify them.
 * **boxes** - a cell whose text could not be read under the confirmed type is NULL in ``c`` and keeps its text in
-  the companion column ``c__raw``. The companion exists only for columns that need one.
+  a companion column. The companion exists only for columns that need one.
+* **nanoseconds** - Spark's timestamps end at the microsecond. A datetime column with digits below it has a second
+  companion, 0 to 999, and the two are one value wherever cells are compared, grouped, joined, ordered or written.
 * **order** - a table has rows in an order and a DataFrame does not. Hidden columns ``__ord_<n>`` hold the sort
   keys in force, ending in the row's position in its source. A plan that never sorts prunes them away.
 """
@@ -13,12 +15,16 @@ Three things ride along and none of them costs anything until it is used:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from .report import Trail
+
 TEXT, NUMBER, DATE, DATETIME, TIME, DURATION, BOOLEAN = (
     "text", "number", "date", "datetime", "time", "duration", "boolean",
 )
@@ -26,6 +32,9 @@ KINDS = (TEXT, NUMBER, DATE, DATETIME, TIME, DURATION, BOOLEAN)
 TEMPORAL = frozenset({DATE, DATETIME, TIME, DURATION})
 
 RAW_SUFFIX = "__raw"
+NANOS_SUFFIX = "__ns"
+#: Field metadata that names the column a companion belongs to. Names alone mean nothing: a source may use any.
+BOX_OF, NANOS_OF = "sheaf.box_of", "sheaf.nanos_of"
 ORDER_PREFIX = "__ord_"
 
 
@@ -34,6 +43,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(name: str, taken: set[str]) -> str:
+    """The name, or the first longer one that is free; taken from now on."""
+    while name in taken:
+        name += "_"
+    taken.add(name)
+    return name
+
+
 def kind_of(data_type: T.DataType) -> str:
     """The column kind a Spark type stands for; everything without a kind of its own is text."""
     if isinstance(data_type, T.NumericType):
@@ -49,12 +66,14 @@ def kind_of(data_type: T.DataType) -> str:
 
 @dataclass(frozen=True)
 class Col:
-    """One visible column: its name, its kind, its companion (or None) and its unit (``%``, ``€``, ``$`` or None)."""
+    """One visible column: its name, its kind, its unit (``%``, ``€``, ``$`` or None) and its companions (or None): the
+    text of its boxes, and the nanoseconds below its microseconds."""
 
     name: str
     kind: str
     raw: str | None = None
     affix: str | None = None
+    nanos: str | None = None
 
     @property
     def boxed(self) -> Column:
@@ -62,7 +81,31 @@ class Col:
 
     @property
     def hidden(self) -> list[str]:
-        return [self.raw] if self.raw else []
+        return [h for h in (self.raw, self.nanos) if h]
+
+    @property
+    def below(self) -> Column:
+        """The nanoseconds of a present cell, 0 in a column without any."""
+        return F.coalesce(col(self.nanos), F.lit(0)) if self.nanos else F.lit(0)
+
+    def renamed(self, name: str, taken: set[str]) -> tuple[list[Column], Col]:
+        """The cells and companions under another name; companions take names that are free in ``taken``."""
+        raw = free_name(name + RAW_SUFFIX, taken) if self.raw else None
+        nanos = free_name(name + NANOS_SUFFIX, taken) if self.nanos else None
+        cells = [col(self.name).alias(name)]
+        cells += [box_of(col(self.raw), name, raw)] if raw else []
+        cells += [nanos_of(col(self.nanos), name, nanos)] if nanos else []
+        return cells, replace(self, name=name, raw=raw, nanos=nanos)
+
+
+def box_of(cell: Column, name: str, companion: str) -> Column:
+    """The column of box texts beside ``name``."""
+    return cell.alias(companion, metadata={BOX_OF: name})
+
+
+def nanos_of(cell: Column, name: str, companion: str) -> Column:
+    """The column of nanoseconds beside ``name``."""
+    return cell.cast("int").alias(companion, metadata={NANOS_OF: name})
 
 
 @dataclass(frozen=True)
@@ -86,29 +129,34 @@ class Table:
     df: DataFrame
     cols: tuple[Col, ...]
     order: tuple[OrderKey, ...] = ()
+    #: The same rows for counting (see ``report.Trail``), where a run counts; row-wise steps take both along.
+    trail: Trail | None = field(default=None, compare=False)
 
     # ---- making one -------------------------------------------------------------------------------------------
 
     @staticmethod
-    def of(df: DataFrame, kinds: dict[str, str] | None = None, position: Sequence[Column] | None = None) -> Table:
-        """Wrap a frame. A column ``c__raw`` beside ``c`` is taken as its companion.
+    def of(
+        df: DataFrame, kinds: dict[str, str] | None = None, position: Sequence[Column] | None = None,
+        boxes: dict[str, str] | None = None,
+    ) -> Table:
+        """Wrap a frame. Companions are the columns whose field metadata says so, and those that ``boxes`` names
+        (column to companion); a column merely called like one is a column.
 
         ``position`` lists the expressions that order the rows; without it the table has no inherent order and
         the order-dependent steps refuse it.
         """
         names = df.columns
-        present = set(names)
         metadata = {f.name: f.metadata or {} for f in df.schema.fields}
         types = {f.name: f.dataType for f in df.schema.fields}
+        raws = {m[BOX_OF]: n for n, m in metadata.items() if m.get(BOX_OF) in types} | (boxes or {})
+        nanos = {m[NANOS_OF]: n for n, m in metadata.items() if m.get(NANOS_OF) in types}
+        hidden = {*raws.values(), *nanos.values()}
         cols = []
         for name in names:
-            if name.startswith(ORDER_PREFIX):
-                continue
-            if name.endswith(RAW_SUFFIX) and name[: -len(RAW_SUFFIX)] in present:
+            if name.startswith(ORDER_PREFIX) or name in hidden:
                 continue
-            raw = name + RAW_SUFFIX
             kind = (kinds or {}).get(name) or metadata[name].get("sheaf.kind") or kind_of(types[name])
-            cols.append(Col(name, kind, raw if raw in present else None, metadata[name].get("sheaf.affix")))
+            cols.append(Col(name, kind, raws.get(name), metadata[name].get("sheaf.affix"), nanos.get(name)))
         keys = tuple(OrderKey(f"{ORDER_PREFIX}{i}") for i in range(len(position or ())))
         if keys:
             df = df.select("*", *[expr.alias(key.name) for expr, key in zip(position, keys)])
@@ -158,7 +206,18 @@ class Table:
         return out
 
     def with_df(self, df: DataFrame, **changes) -> Table:
-        return replace(self, df=df, **changes)
+        """Another frame under the same columns. What has been counted so far stays behind."""
+        return replace(self, df=df, **{"trail": None, **changes})
+
+    def selected(self, cells: Sequence[Column], **changes) -> Table:
+        """The table of these cells of the same rows."""
+        trail = self.trail and replace(self.trail, df=self.trail.df.select(*cells, *map(col, self.trail.flags)))
+        return replace(self, df=self.df.select(*cells), trail=trail, **changes)
+
+    def extended(self, cells: Sequence[Column], **changes) -> Table:
+        """The table with these cells beside its own."""
+        trail = self.trail and replace(self.trail, df=self.trail.df.select("*", *cells))
+        return replace(self, df=self.df.select("*", *cells), trail=trail, **changes)
 
 
 def named_order(table: Table, prefix: str) -> tuple[list[Column], list[OrderKey]]:

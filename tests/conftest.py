@@ -30,7 +30,8 @@ def make(spark):
 
     def build(schema, rows):
         df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"pos int, {schema}")
-        table = Table.of(df.drop("pos").limit(0))
+        boxes = {n: f"{n}__raw" for n in df.columns if f"{n}__raw" in df.columns}
+        table = Table.of(df.drop("pos").limit(0), boxes=boxes)
         placed = Table.of(df, position=[F.col("pos")])
         return table.with_df(placed.df.drop("pos"), order=placed.order)
 

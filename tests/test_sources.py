@@ -147,10 +147,39 @@ def test_parquet_kinds(spark, tmp_path):
     assert [c.kind for c in t.cols] == ["number", "text", "datetime", "text", "text"]
     assert sorted(d.code for d in found) == ["parquet.nested_column", "parquet.unsupported_type"]
     assert rows(t)[1][0] == 2**60 + 1 and rows(t)[0][4] == '{"a":1}'
-    pq.write_table(pa.Table.from_arrays([pa.array([1]), pa.array(["x"])], names=["b", "b"]), f"{tmp_path}/d.parquet")
+
+
+def test_parquet_repeated_names_leave_the_others(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for kinds in ([pa.array([1]), pa.array(["x"])], [pa.array([1]), pa.array([2])]):
+        pq.write_table(pa.Table.from_arrays([*kinds, pa.array([7]), pa.array([{"u": 1}])], names=["b", "b", "c", "s.t"]), f"{tmp_path}/d.parquet")
+        t, found = read_parquet(spark, f"{tmp_path}/d.parquet")
+        assert t.names == ["c", "s.t"] and rows(t) == [(7, '{"u":1}')]
+        assert found[0].code == "parquet.duplicate_column_name" and found[0].values == {"column": "b", "columns": 2}
+
+
+def test_parquet_codec_without_a_library(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"a": [1, 2]}), f"{tmp_path}/a.parquet", compression="brotli")
     with pytest.raises(R.Refused) as refusal:
-        read_parquet(spark, f"{tmp_path}/d.parquet")
-    assert refusal.value.diagnostics[0].code == "parquet.duplicate_column_name"
+        read_parquet(spark, f"{tmp_path}/a.parquet")
+    assert [(d.code, d.values) for d in refusal.value.diagnostics] == [("parquet.unsupported_codec", {"codec": "BROTLI"})]
+
+
+def test_parquet_nanoseconds_are_recognised(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    values = [0, 1, 1_700_000_000_123_456_789, -1, None, -1_500_000_000_000_000_123]
+    pq.write_table(pa.table({"t": pa.array(values, pa.timestamp("ns")), "t__ns": pa.array(["own"] * 6), "n": pa.array(range(6))}), f"{tmp_path}/n.parquet")
+    t, found = read_parquet(spark, f"{tmp_path}/n.parquet")
+    assert [(c.name, c.kind, c.nanos) for c in t.cols] == [("t", "datetime", "t__ns_"), ("t__ns", "text", None), ("n", "number", None)]
+    got = t.df.selectExpr("n", "unix_micros(cast(t as timestamp)) * 1000 + t__ns_ AS v").collect()
+    assert {r.n: r.v for r in got} == dict(enumerate(values))
 
 
 def test_delimiter_by_records_and_header_row_in_a_record(spark, put):

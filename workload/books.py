@@ -47,7 +47,8 @@ def book_bytes(sheets: dict[str, list[list]]) -> bytes:
 def customer_book(pdf: pd.DataFrame) -> pd.DataFrame:
     """One group of at most a thousand customers as one workbook."""
     pdf = pdf.sort_values("c_custkey")
-    rows = [["Nr", "Name", "Saldo"]]
-    rows += [[int(k), n, float(b)] for k, n, b in zip(pdf["c_custkey"], pdf["c_name"], pdf["c_acctbal"])]
+    rows = [["Nr", "Name", "Land", "Saldo", "Segment"]]
+    columns = [pdf[c] for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")]
+    rows += [[int(k), n, int(land), float(b), s] for k, n, land, b, s in zip(*columns)]
     return pd.DataFrame({"path": [f"customers-{int(pdf['book'].iloc[0])}.xlsx"],
                          "content": [book_bytes({"Kunden": rows})]})

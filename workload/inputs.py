@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysheaf.plans.session import tune
+from tallysheaf.plans.storage import shared_folder
 from tallysheaf.sources.parquet import read_parquet
 from tallysheaf.table import Table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> Table:
-    # The given tables hold finite numbers only; parquet_non_finite and sweep_typed_columns read others.
-    return read_parquet(tune(spark), f"{sf}/{name}.parquet", sweep=False)[0]
+    return read_parquet(tune(spark), f"{sf}/{name}.parquet")[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors share: under the cluster's checkpoint folder, of this machine only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sheaf-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def german(value: Column, decimals: int = 2) -> Column:

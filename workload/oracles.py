@@ -80,6 +80,20 @@ sql("sort_boxes_last", f"""
     SELECT * FROM ({BOXED})
     ORDER BY price_de IS NULL DESC, price_de ASC, order_no COLLATE de DESC, line COLLATE de DESC LIMIT 200""")
 
+sql("sort_full_rank", """
+    SELECT l_orderkey, l_linenumber, l_shipdate, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS rank
+    FROM lineitem""")
+sql("collation_full_rank", r"""
+    WITH w AS (SELECT doc_id, regexp_extract(text, '([^\s.,]+)[.,]?\s*$', 1) AS word FROM documents)
+    SELECT doc_id, word, row_number() OVER (ORDER BY coalesce(trim(word), '') = '',
+        CASE WHEN trim(word) <> '' THEN word END COLLATE de, doc_id) AS rank FROM w""")
+sql("window_deep", """
+    WITH r AS (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS pos FROM lineitem),
+    h AS (SELECT count(*) // 2 AS half FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_extendedprice, pos - half AS place FROM r, h WHERE pos >= half AND pos < half + 5000""")
+sql("boxed_rows_last", f"""
+    SELECT 'warning' AS severity, 'step.boxed_rows_last' AS code, count(price_de__raw) AS rows FROM ({BOXED})""")
+
 PARTIES = """
     SELECT c_custkey AS key, c_name AS name, c_nationkey, c_acctbal AS balance, c_mktsegment,
            CAST(NULL AS INTEGER) AS s_nationkey FROM customer
@@ -99,6 +113,10 @@ sql("join_left", """
     SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)""")
 sql("join_inner", """
     SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey""")
+sql("join_heavy_keys", """
+    WITH m AS (SELECT CASE WHEN l_linenumber < 7 THEN l_linenumber END AS line, l_orderkey, l_extendedprice FROM lineitem),
+    f AS (SELECT line, count(*) AS n FROM m GROUP BY 1)
+    SELECT f.line, n, l_orderkey, l_extendedprice FROM f LEFT JOIN m ON f.line = m.line""")
 sql("join_two_keys", """
     SELECT l_orderkey, l_linenumber, total FROM lineitem LEFT JOIN (
         SELECT l_partkey, l_suppkey, sum(l_quantity) AS total FROM lineitem GROUP BY ALL) USING (l_partkey, l_suppkey)""")
@@ -218,7 +236,8 @@ EVIDENCE = {
 sql("detect_evidence", "\nUNION ALL\n".join([
     *(f"SELECT '{c}' AS \"column\", '{a}' AS alternatives, count(*) FILTER (WHERE {w}) AS decided_by, "
       f"CAST(0 AS BIGINT) AS contested FROM lineitem" for c, (a, w) in EVIDENCE.items()),
-    *(f"SELECT '{c}', NULL, NULL, NULL" for c in ("price_de", "price_en"))]))
+    *(f"SELECT '{c}', NULL, NULL, NULL" for c in (
+        "price_de", "price_en", "booked", "discount", "shipped_at", "returned", "article", "line", "size", "order_no"))]))
 CHOSEN = {
     "price_de": ("number", "0"), "shipped_de": ("date", f"count(*) FILTER (WHERE NOT ({GAP}) AND NOT {LATE_DAY})"),
     "returned": ("boolean", N), "article": ("number", N), "size": ("number", "0"), "shipped_us": ("text", N),
@@ -237,7 +256,9 @@ sql("convert_report", f"""
            round(l_discount * 100) AS discount,
            CASE WHEN NOT ({GAP}) THEN CAST(l_shipdate AS DATE) END AS shipped_de,
            CAST(l_shipdate AS DATE) AS shipped_us, date_trunc('second', l_shipdate) - INTERVAL 2 HOUR AS shipped_at,
-           l_returnflag = 'R' AS returned, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS article FROM lineitem""")
+           l_returnflag = 'R' AS returned, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS article,
+           CAST(l_shipdate AS DATE) AS shipped_short, (CAST(floor(l_quantity) AS BIGINT) * 3600 + 1800) * 1000000000 AS worked,
+           CAST(NULL AS VARCHAR) AS worked__raw, CASE WHEN l_quantity > 25 THEN 'groß' ELSE 'klein' END AS size FROM lineitem""")
 sql("convert_clocks", """
     SELECT l_orderkey::DOUBLE AS order_no, l_linenumber::DOUBLE AS line,
            (CAST(floor(l_quantity) AS BIGINT) * 3600 + 1800) * 1000000000 AS worked FROM lineitem""")
@@ -325,19 +346,26 @@ sql("recipe_contract", """
 
 LONG, SHORT = "o_orderkey % 101 = 0", "o_orderkey % 101 <> 0 AND o_orderkey % 103 = 0"
 ORDER_LINE = f"""concat_ws(';', CAST(o_orderkey AS VARCHAR), {de('floor(o_totalprice)', 0)},
-        strftime(o_orderdate, '%d.%m.%Y'), concat('"Prio; ', o_orderpriority, '"'))"""
+        strftime(o_orderdate, '%d.%m.%Y'), concat('"Prio; ', o_orderpriority, '"'), CAST(o_custkey AS VARCHAR), o_orderstatus)"""
 sql("csv_read", f"""
     SELECT o_orderkey::DOUBLE AS "Nr", floor(o_totalprice) AS "Betrag", CAST(o_orderdate AS DATE) AS "Datum",
-           concat('Prio; ', o_orderpriority) AS "Priorität" FROM orders WHERE NOT ({LONG}) AND NOT ({SHORT})""")
+           concat('Prio; ', o_orderpriority) AS "Priorität", o_custkey::DOUBLE AS "Kunde", o_orderstatus AS "Status" FROM orders WHERE NOT ({LONG}) AND NOT ({SHORT})""")
 sql("csv_quarantine", f"""
-    SELECT 5 AS fields, concat({ORDER_LINE}, ';zuviel') AS raw, 'field_count' AS reason FROM orders WHERE {LONG}
+    SELECT 7 AS fields, concat({ORDER_LINE}, ';zuviel') AS raw, 'field_count' AS reason FROM orders WHERE {LONG}
     UNION ALL
     SELECT 2, concat_ws(';', CAST(o_orderkey AS VARCHAR), {de('floor(o_totalprice)', 0)}), 'field_count' FROM orders
     WHERE {SHORT}""")
 sql("csv_proposals", """
-    SELECT ';' AS delimiter, 1::BIGINT AS header_line, 4 AS fields, 'utf-8' AS encoding, 'probe' AS decided_by,
+    SELECT ';' AS delimiter, 1::BIGINT AS header_line, 6 AS fields, 'utf-8' AS encoding, 'probe' AS decided_by,
            0::BIGINT AS nul_bytes""")
-sql("csv_line_breaks", "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations")
+sql("csv_line_breaks", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+sql("csv_malformed_rows", """
+    SELECT 3 AS fields, concat('"', l_orderkey, '"x,', l_linenumber, ',', l_returnflag) AS raw, 'malformed_quote' AS reason
+    FROM lineitem WHERE l_orderkey % 7 = 0""")
+sql("unique_columns", """
+    SELECT CAST(c_custkey AS VARCHAR) AS "Nr", c_name AS col_2_2, CAST(c_nationkey AS VARCHAR) AS "Nr_3", c_mktsegment AS col_2 FROM customer""")
+sql("csv_utf16", "SELECT p_partkey AS \"Nr\", p_name || chr(2570) || chr(256) || ' -' || chr(2560) AS \"Name\", p_brand FROM part")
+sql("json_document", "SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders")
 ACCENTED = r"""
     SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[\s\x00-\x1f]+', ' ', 'g')), '[^ -~À-ÿ]', '?', 'g') AS value
     FROM documents"""
@@ -397,8 +425,39 @@ sql("json_set_aside", f"""
 sql("json_quarantine", f"SELECT raw FROM ({DAMAGED})")
 sql("json_repaired", f"""
     SELECT raw AS before, event_id % 3 = 2 AS repaired, CASE WHEN event_id % 3 = 2 THEN event_id END AS event_id,
-           CASE WHEN event_id % 3 = 2 THEN props END AS props FROM ({DAMAGED}) WHERE event_id % 3 <> 1""")
+           CASE WHEN event_id % 3 = 2 THEN props END AS props FROM ({DAMAGED})""")
 sql("json_reread_all", f"""
     SELECT raw AS before, event_id % 3 = 2 AS repaired, CASE WHEN event_id % 3 = 2 THEN event_id END AS event_id,
            CASE WHEN event_id % 3 = 2 THEN props END AS props FROM ({DAMAGED})""")
-sql("workbook_read", "SELECT c_custkey::DOUBLE AS \"Nr\", c_name AS \"Name\", c_acctbal AS \"Saldo\" FROM customer")
+sql("workbook_read", """
+    SELECT c_custkey::DOUBLE AS "Nr", c_name AS "Name", c_nationkey::DOUBLE AS "Land", c_acctbal AS "Saldo", c_mktsegment AS "Segment"
+    FROM customer""")
+
+FINE = """
+    SELECT l_orderkey AS order_no, l_linenumber AS line, l_partkey % 97 = 0 AS boxed,
+           CASE WHEN l_partkey % 97 <> 0 AND l_partkey % 89 <> 0 THEN l_shipdate + INTERVAL 1 MICROSECOND END AS moment,
+           CASE WHEN l_partkey % 97 <> 0 AND l_partkey % 89 <> 0 THEN CAST(l_orderkey % 4 * 100 + l_suppkey % 3 * 7 AS INTEGER) END AS nanos
+    FROM lineitem"""
+sql("datetime_nanos", f"""
+    SELECT moment, nanos, CASE WHEN boxed THEN 'unknown' END AS text, count(*) AS count, CAST(min(order_no) AS DOUBLE) AS first_order
+    FROM ({FINE}) GROUP BY 1, 2, 3""")
+sql("datetime_nanos_filter", f"""
+    WITH t AS (SELECT epoch_us(moment)::HUGEINT * 1000 + nanos AS v, epoch_us(TIMESTAMP '1995-03-04 00:00:00.000001')::HUGEINT * 1000 + 107 AS x FROM ({FINE}))
+    SELECT count(*) FILTER (v = x) AS eq, count(*) FILTER (v <> x) AS ne, count(*) FILTER (v < x) AS lt,
+           count(*) FILTER (v <= x) AS lte, count(*) FILTER (v > x) AS gt, count(*) FILTER (v >= x) AS gte FROM t""")
+sql("datetime_nanos_join", f"""
+    WITH t AS ({FINE}), s AS (SELECT moment, nanos, count(*) AS same FROM t WHERE moment IS NOT NULL GROUP BY 1, 2),
+    j AS (SELECT t.line, t.moment, t.nanos, s.same FROM t LEFT JOIN s ON t.moment = s.moment AND t.nanos = s.nanos),
+    g AS (SELECT line, min({{'a': moment, 'n': nanos}}) FILTER (moment IS NOT NULL) AS a, max({{'a': moment, 'n': nanos}}) FILTER (moment IS NOT NULL) AS z,
+                 count(DISTINCT {{'a': moment, 'n': nanos}}) FILTER (moment IS NOT NULL) AS d, sum(same) AS pairs FROM j GROUP BY 1)
+    SELECT CAST(line AS VARCHAR) AS line,
+           strftime(a.a, '%d.%m.%Y %H:%M:%S') || ',000001' || rtrim(lpad(CAST(a.n AS VARCHAR), 3, '0'), '0') AS first,
+           strftime(z.a, '%d.%m.%Y %H:%M:%S') || ',000001' || rtrim(lpad(CAST(z.n AS VARCHAR), 3, '0'), '0') AS last,
+           translate(format('{{:,}}', d), ',', '.') AS different, translate(format('{{:,}}', CAST(pairs AS BIGINT)), ',', '.') AS pairs FROM g""")
+sql("parquet_nanos", "SELECT event_id, ts AS moment, CAST(event_id % 1000 AS INTEGER) AS nanos FROM events")
+sql("search_positions", """
+    WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS row FROM documents),
+    h AS (SELECT row, 1 AS place, 'doc_id' AS "column" FROM d WHERE contains(CAST(doc_id AS VARCHAR), '1')
+          UNION ALL SELECT row, 2, 'text' FROM d WHERE contains(text, '1') UNION ALL SELECT row, 3, 'lang' FROM d WHERE contains(lang, '1')
+          UNION ALL SELECT row, 4, 'source' FROM d WHERE contains(source, '1') UNION ALL SELECT row, 5, 'n_chars' FROM d WHERE contains(CAST(n_chars AS VARCHAR), '1'))
+    SELECT row_number() OVER (ORDER BY row, place) AS hit, row, CAST(place AS INTEGER) AS place, "column" FROM h""")

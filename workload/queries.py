@@ -11,7 +11,7 @@ from tallysheaf import report as R
 from tallysheaf.functions import booleans, clocks, dates, numbers
 from tallysheaf.functions.render import render_de
 from tallysheaf.operators import filter as filtering
-from tallysheaf.operators import first, join, profile, search, tiles
+from tallysheaf.operators import first, join, profile, rank, search, tiles
 from tallysheaf.operators.aggregate import aggregate
 from tallysheaf.operators.columns import select_columns
 from tallysheaf.operators.computed import add_computed
@@ -187,6 +187,38 @@ def sort_boxes_last(spark, sf):
     return frame(first.first_rows(t, 200, "last"))
 
 
+@query
+def sort_full_rank(spark, sf):
+    """Every line item with its position in a sort of the whole table."""
+    t = sort_rows(table(spark, sf, "lineitem"), [
+        {"column": "l_shipdate", "direction": "desc"}, {"column": "l_orderkey"}, {"column": "l_linenumber"}])
+    return rank.with_rank(pick(t, "l_orderkey", "l_linenumber", "l_shipdate"))
+
+
+@query
+def collation_full_rank(spark, sf):
+    """Every document's position by the German collation of its last word."""
+    return rank.with_rank(sort_rows(_words(spark, sf), [{"column": "word"}, {"column": "doc_id"}]))
+
+
+@query
+def window_deep(spark, sf):
+    """The rows in the middle of a sorted table, reached by their positions."""
+    t = sort_rows(table(spark, sf, "lineitem"), [{"column": "l_extendedprice", "direction": "desc"}, {"column": "l_orderkey"}, {"column": "l_linenumber"}])
+    half = t.df.count() // 2
+    whole = rank.ranked(pick(t, "l_orderkey", "l_linenumber", "l_extendedprice"))
+    return whole.df.where((F.col(rank.RANK) >= half) & (F.col(rank.RANK) < half + 5000)).select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", (F.col(rank.RANK) - half).alias("place"))
+
+
+@query
+def boxed_rows_last(spark, sf):
+    """How many rows of a sort stand last because their cell could not be read."""
+    report = R.Report("s")
+    sort_rows(boxed_prices(spark, sf), [{"column": "price_de"}], report)
+    return R.diagnostics_frame(spark, report.diagnostics()).select("severity", "code", F.col("values")["rows"].cast("bigint").alias("rows"))
+
+
 # ---- union -----------------------------------------------------------------------------------------------------
 
 _PARTIES = [{"target": "key", "from": "c_custkey"}, {"target": "key", "from": "s_suppkey"},
@@ -249,6 +281,18 @@ def join_inner(spark, sf):
     return frame(pick(t, "o_orderkey", "c_name", "c_mktsegment"))
 
 
+@query
+def join_heavy_keys(spark, sf):
+    """A few rows against whole line items: seven keys hold them all and are dealt to several tasks each; a missing key is led
+    past."""
+    li = table(spark, sf, "lineitem")
+    least = F.when(F.col("l_linenumber") < 7, F.col("l_linenumber"))
+    few = Table.of(li.df.groupBy(least.alias("line")).agg(F.count(F.lit(1)).alias("n")))
+    many = Table.of(li.df.select(least.alias("line"), "l_orderkey", "l_extendedprice"))
+    heavy = join.heavy_keys(few, many, [key("line")], rows_a_task=1000)
+    return frame(join.join_tables(few, many, [key("line")], heavy=heavy))
+
+
 @query
 def join_two_keys(spark, sf):
     """lineitem against its own per-part, per-supplier totals."""
@@ -487,8 +531,7 @@ def detect_report_types(spark, sf):
 def detect_evidence(spark, sf):
     """What decides between two readings: the values only one of them can read."""
     t = report_text(spark, sf)
-    return detect_types(pick(t, "shipped_de", "shipped_us", "shipped_short", "price_de", "price_en", "worked")).frame(
-        spark).select("column", F.array_join("alternatives", " | ").alias("alternatives"), "decided_by", "contested")
+    return detect_types(t).frame(spark).select("column", F.array_join("alternatives", " | ").alias("alternatives"), "decided_by", "contested")
 
 
 @query
@@ -505,9 +548,8 @@ def score_chosen_types(spark, sf):
 @query
 def convert_report(spark, sf):
     """The report export under its confirmed typing; unreadable prices keep their text."""
-    picked = pick(report_text(spark, sf), "order_no", "line", "price_de", "price_en", "booked", "discount",
-                  "shipped_de", "shipped_us", "shipped_at", "returned", "article")
-    return frame(convert(picked, detect_types(picked).confirm()))
+    text = report_text(spark, sf)
+    return frame(convert(text, detect_types(text).confirm()))
 
 
 @query
@@ -516,6 +558,74 @@ def convert_clocks(spark, sf):
     return frame(convert(picked, detect_types(picked).choose("worked", "duration").confirm())).drop("worked__raw")
 
 
+def _fine_clocks(spark, sf) -> Table:
+    """Ship dates as text with seven to nine fraction digits, a few of them unreadable: pairs of values 100 ns apart."""
+    t = table(spark, sf, "lineitem")
+    digits = F.lpad((F.col("l_orderkey") % 4 * 100 + F.col("l_suppkey") % 3 * 7).cast("string"), 3, "0")
+    at = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000001"), digits, F.lit("Z"))
+    at = F.when(F.col("l_partkey") % 97 == 0, F.lit("unknown")).when(F.col("l_partkey") % 89 == 0, F.lit("n/a")).otherwise(at)
+    df = t.df.select(F.col("l_orderkey").cast("string").alias("order_no"), F.col("l_linenumber").cast("string").alias("line"), at.alias("moment"), *[k.name for k in t.order])
+    text = Table.of(df).with_df(df, order=t.order)
+    return convert(text, detect_types(text).choose("order_no", "number").choose("line", "number").confirm())
+
+
+@query
+def datetime_nanos(spark, sf):
+    """Groups by datetimes of nanoseconds: two 100 ns apart are two groups; their least and greatest, and how many differ."""
+    t = _fine_clocks(spark, sf)
+    out = aggregate(t, ["moment"], [{"op": "count"}, {"op": "minimum", "column": "order_no", "as": "first_order"}])
+    return out.df.select("moment", F.col(out["moment"].nanos).alias("nanos"), F.col(out["moment"].raw).alias("text"), "count", "first_order")
+
+
+@query
+def datetime_nanos_filter(spark, sf):
+    """Comparisons on either side of a value of nanoseconds, which reach the digits below the microsecond."""
+    t, rows = _fine_clocks(spark, sf), []
+    at = "1995-03-04T00:00:00.000001107"
+    tests = [F.count(F.when(filtering.predicate(t, [cond("moment", op, at)]), 1)).alias(op) for op in ("eq", "ne", "lt", "lte", "gt", "gte")]
+    return t.df.agg(*tests)
+
+
+@query
+def datetime_nanos_join(spark, sf):
+    """A join on datetimes of nanoseconds, each against how often it occurs, and their extremes by line."""
+    t = pick(_fine_clocks(spark, sf), "order_no", "line", "moment")
+    times = aggregate(t, ["moment"], [{"op": "count", "as": "same"}])
+    readable = filtering.filter_rows(times, [cond("moment", "not_empty")])
+    readable = readable.with_df(readable.df.where(f"`{readable['moment'].raw}` IS NULL"))
+    joined = join.join_tables(t, readable, [key("moment")])
+    ends = aggregate(joined, ["line"], [
+        {"op": "minimum", "column": "moment", "as": "first"}, {"op": "maximum", "column": "moment", "as": "last"},
+        {"op": "count_distinct", "column": "moment", "as": "different"}, {"op": "sum", "column": "same", "as": "pairs"}])
+    return frame(render_de(ends))
+
+
+@query
+def parquet_nanos(spark, sf):
+    """Datetimes of nanoseconds through Parquet files whose footers alone tell what they are."""
+    path = scratch(spark, "nanos")
+    t = table(spark, sf, "events")
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        rows = pa.Table.from_batches(batches, pa.schema([("event_id", pa.int64()), ("moment", pa.int64())]))
+        system, folder = (pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:")))
+        system.create_dir(folder)
+        # Named by the task: one that runs again writes the same file again.
+        name = f"{folder}/part-{TaskContext.get().partitionId()}.parquet"
+        pq.write_table(rows.set_column(1, "moment", rows["moment"].cast(pa.timestamp("ns"))), name, filesystem=system)
+        yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows])], names=["rows"])
+
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    t.df.select("event_id", nanos.alias("moment")).mapInArrow(write, "rows long").agg(F.sum("rows")).first()
+    read, _ = read_parquet(spark, path)
+    return read.df.select("event_id", "moment", F.col(read["moment"].nanos).alias("nanos"))
+
+
 @query
 def render_german(spark, sf):
     return frame(render_de(table(spark, sf, "lineitem")))
@@ -538,6 +648,13 @@ def sweep_typed_columns(spark, sf):
 # ---- profile, search, tiles, contract --------------------------------------------------------------------------
 
 
+@query
+def search_positions(spark, sf):
+    """Every cell of the documents with a 1 in it, as it reads on screen: its row, its column and its number among the hits."""
+    t = sort_rows(table(spark, sf, "documents"), [{"column": "doc_id"}])
+    return search.search_positions(t, "1")
+
+
 @query
 def column_profile(spark, sf):
     t = join.join_tables(table(spark, sf, "documents"), table(spark, sf, "labels"), [key("doc_id")])
@@ -680,10 +797,11 @@ def _damaged_csv(spark, sf) -> str:
     t, path = table(spark, sf, "orders"), scratch(spark, "orders-csv")
     line = F.concat_ws(
         ";", F.col("o_orderkey").cast("string"), german(F.floor("o_totalprice"), 0),
-        F.date_format("o_orderdate", "dd.MM.yyyy"), F.concat(F.lit('"Prio; '), F.col("o_orderpriority"), F.lit('"')))
+        F.date_format("o_orderdate", "dd.MM.yyyy"), F.concat(F.lit('"Prio; '), F.col("o_orderpriority"), F.lit('"')),
+        F.col("o_custkey").cast("string"), F.col("o_orderstatus"))
     line = F.when(F.col("o_orderkey") % 101 == 0, F.concat(line, F.lit(";zuviel"))).when(
         F.col("o_orderkey") % 103 == 0, F.substring_index(line, ";", 2)).otherwise(line)
-    return exports(t.df.select(line.alias("value")), "Nr;Betrag;Datum;Priorität", path)
+    return exports(t.df.select(line.alias("value")), "Nr;Betrag;Datum;Priorität;Kunde;Status", path)
 
 
 @query
@@ -701,6 +819,51 @@ def csv_quarantine(spark, sf):
     return source.quarantine.select("fields", "raw", "reason")
 
 
+@query
+def csv_malformed_rows(spark, sf):
+    """Every record with a field that goes on after its closing quote, however many there are."""
+    t, path = table(spark, sf, "lineitem"), scratch(spark, "malformed")
+    name = F.concat(F.lit('"'), F.col("l_orderkey").cast("string"), F.lit('"'))
+    name = F.when(F.col("l_orderkey") % 7 == 0, F.concat(name, F.lit("x"))).otherwise(name)
+    line = F.concat_ws(",", name, F.col("l_linenumber").cast("string"), F.col("l_returnflag"))
+    source = csv.read_csv(spark, exports(t.df.select(line.alias("value")), "Nr,Zeile,Art", path), delimiter=",", header_row=1)
+    return source.malformed.select("fields", "raw", "reason")
+
+
+@query
+def unique_columns(spark, sf):
+    """A header with blank and repeated names: every column keeps its cells under a name of its own."""
+    t, path = table(spark, sf, "customer"), scratch(spark, "names")
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    source = csv.read_csv(spark, exports(t.df.select(line.alias("value")), "Nr;;Nr;col_2", path), delimiter=";", header_row=1)
+    return source.table.frame()
+
+
+@query
+def csv_utf16(spark, sf):
+    """UTF-16 read in splits: characters whose halves look like a line feed are no line feeds."""
+    t, path = table(spark, sf, "part"), scratch(spark, "parts-utf16")
+    name = F.concat("p_name", F.lit("\u0a0a\u0100 \u000a\u0a00"))
+    rows = t.df.select(F.col("p_partkey").cast("string").alias("Nr"), F.translate(name, "\n", "-").alias("Name"), "p_brand")
+    rows.write.option("encoding", "UTF-16LE").option("header", True).csv(path, sep=";", quote="")
+    source = csv.read_csv(spark, path, encoding=encoding.UTF16LE)
+    return source.table.frame().select(F.col("Nr").cast("bigint"), "Name", "p_brand")
+
+
+@query
+def json_document(spark, sf):
+    """orders as arrays over many lines, taken apart in splits."""
+    t, path = table(spark, sf, "orders"), scratch(spark, "orders-document")
+    text = F.regexp_replace(F.to_json(F.struct("o_orderkey", F.struct("o_custkey", "o_orderpriority").alias("of"), "o_totalprice")), ",", ",\n  ")
+    placed = t.df.select(text.alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    first = placed.groupBy("p").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    lines = placed.join(first, "p").select(
+        F.concat(F.when(F.col("i") == F.col("first"), "[\n").otherwise(","), "value", F.when(F.col("i") == F.col("last"), "\n]").otherwise("")).alias("value"), "p", "i")
+    lines.repartition("p").sortWithinPartitions("p", "i").select("value", "p").write.partitionBy("p").text(path)
+    return json_source.read_json(spark, path)[0].frame().select(
+        "o_orderkey", F.col("`of.o_custkey`").alias("o_custkey"), F.col("`of.o_orderpriority`").alias("o_orderpriority"), "o_totalprice")
+
+
 @query
 def csv_proposals(spark, sf):
     path = _damaged_csv(spark, sf)
@@ -717,10 +880,10 @@ def csv_line_breaks(spark, sf):
     path = scratch(spark, "conversations-csv")
     t = table(spark, sf, "conversations")
     cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(",", F.col("conv_id").cast("string"), F.col("turn").cast("string"), cell)
-    exports(t.df.select(line.alias("value")), "conv_id,turn,text", path)
+    line = F.concat_ws(",", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", cell)
+    exports(t.df.select(line.alias("value")), "conv_id,turn,role,text", path)
     body = csv.read_csv(spark, path).table.frame()
-    return body.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.md5("text").alias("text_md5"))
+    return body.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", F.md5("text").alias("text_md5"))
 
 
 def _accented(spark, sf) -> DataFrame:
@@ -835,8 +998,8 @@ def json_quarantine(spark, sf):
 
 @query
 def json_repaired(spark, sf):
-    """The quarantine read again on request: a comma too many is repaired, cut lines stay set aside."""
-    aside = json_source.json_quarantine(spark, _damaged_events(spark, sf)).where(~F.col("raw").contains("}{"))
+    """The quarantine read again on request: a comma too many is repaired, cut lines and second values stay set aside."""
+    aside = json_source.json_quarantine(spark, _damaged_events(spark, sf))
     again = json_source.reread_lenient(aside, "event_id bigint, event_type string, props string")
     return again.select("before", "repaired", F.col("value.event_id").alias("event_id"), F.col("value.props").alias("props"))
 
@@ -923,6 +1086,6 @@ def workbook_read(spark, sf):
     from .books import customer_book
 
     t = table(spark, sf, "customer")
-    files = t.df.select("c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") / 1000).cast("bigint").alias("book")) \
+    files = t.df.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", (F.col("c_custkey") / 1000).cast("bigint").alias("book")) \
         .groupBy("book").applyInPandas(customer_book, "path string, content binary")
     return frame(workbooks.read_workbooks(files).table)
