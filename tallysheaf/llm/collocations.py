@@ -65,35 +65,45 @@ def _word_start(body: bytes, at: int) -> int:
     return at
 
 
-def _pairs(lang: str, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the block's words start, which of them has a lead in its piece, and hashes of those pairs (of all words but the
-    last)."""
+def _spread(h: np.ndarray, lang: str) -> np.ndarray:
+    """Hashes told apart by lang, all of whose bits depend on all others."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(zlib.crc32(lang.encode()))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def _pairs(lang: str, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the block's words start, hashes of these, which of them has a lead in its piece, and hashes of those pairs (of
+    all words but the last)."""
     text = np.frombuffer(block, np.uint8)
     solid = (text != 32) & (text != 10)
     edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
     start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     if len(start) == 0:
-        return start, np.zeros(0, bool), np.zeros(0, np.uint64)
+        return start, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
     inside = np.arange(len(text)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(text)]])))
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(int((end - start).max()), _PRIME))
         value = np.zeros(len(text), np.uint64)
         value[solid] = (text[solid].astype(np.uint64) + np.uint64(1)) * power[inside[solid]]
         word = np.add.reduceat(value, start)
-        # Pairs are told apart by lang and order; the last steps spread them over all bits.
-        h = (word[:-1] ^ (word[:-1] >> np.uint64(29))) * _PRIME + word[1:] + np.uint64(zlib.crc32(lang.encode()))
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
+        pair = (word[:-1] ^ (word[:-1] >> np.uint64(29))) * _PRIME + word[1:]
     piece = np.cumsum(text == 10)[start]
-    return start, piece[:-1] == piece[1:], h
+    return start, _spread(word, lang), piece[:-1] == piece[1:], _spread(pair, lang)
+
+
+def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = (h & np.uint64(64 * len(bits) - 1)).astype(np.int64)
+    return bits[slot >> 6] >> (slot & 63) & 1 == 1
 
 
 def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int = 1 << 20, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """A bit for every hash that pairs of words of ``least`` occurrences have, in 2^26 bits; and the hashes of pairs that make
-    up more than ``share`` of all, at most 1 / share.
+    """A bit for every hash that words and pairs of words of ``least`` occurrences have, in 2^26 bits; and the hashes of those
+    that make up more than ``share`` of all, at most 1 / share.
 
-    Tasks count pairs by a 64-bit hash. The bits can only let too much pass: what they let pass is counted exactly by
+    Tasks count words and pairs by a 64-bit hash. The bits can only let too much pass: what they let pass is counted exactly by
     its words, so neither a chance meeting of hashes nor a corpus that fills all bits changes a result.
     """
 
@@ -108,8 +118,9 @@ def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
         for lang, block, limit in _blocks(batches, size):
-            start, led, h = _pairs(lang, block)
-            seen.append(np.unique(h[led & (start[:-1] < limit)], return_counts=True))
+            start, word, led, pair = _pairs(lang, block)
+            begins = start < limit
+            seen.append(np.unique(np.concatenate([word[begins], pair[led & begins[:-1]]]), return_counts=True))
             if sum(len(s[0]) for s in seen) > most:
                 seen[:] = [merged()]
                 if len(seen[0][0]) > most // 2:
@@ -131,7 +142,8 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 <<
     """lang, w1 to w4, salt, n: for every word of the texts (lang, body) the window that it starts, and how often.
 
     A window goes on with the words' leads in their piece as long as each pair of words is one that ``bits`` let pass,
-    and is padded from there: no phrase past that place can be frequent. A task counts until it holds ``most`` windows, so
+    and is padded from there: no phrase past that place can be frequent. Words that can't be frequent themselves are one
+    row without any. A task counts until it holds ``most`` windows, so
     a line that a third of all texts repeat is a few rows a task. ``salt`` tells the windows of a hot first pair apart
     by their third word; it is 0 for others.
     """
@@ -145,27 +157,29 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 <<
             found = sorted(counted.items())
             for at in range(0, len(found), 65536):
                 part = found[at : at + 65536]
-                leads = [w.split(b" ") for w, _ in part]
+                leads = [(w.split(b" ") + [b"", b"", b""])[:4] for w, _ in part]
                 salts = [zlib.crc32(w[2]) + 1 if hots and b" ".join([lang.encode(), *w[:2]]) in hots else 0 for w in leads]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(part)), *[pa.array(c, pa.binary()) for c in zip(*leads, strict=True)], pa.array(salts, pa.int64()), pa.array([n for _, n in part], pa.int64())],
                     names=["lang", *_LEADS, "salt", "n"])
 
         held: dict[str, Counter] = {}
+        rare: Counter = Counter()
         hots: set[bytes] = set()
         for lang, block, limit in _blocks(batches, size):
-            start, led, h = _pairs(lang, block)
-            slot = (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+            start, word, led, h = _pairs(lang, block)
             words, begins = block.split(), start < limit
             # Whether each word's pair goes on; none does from the last word.
             on = np.zeros(len(start) + 3, bool)
-            on[: len(h)] = led & (bits[slot >> 6] >> (slot & 63) & 1 == 1)
+            on[: len(h)] = led & _bit(bits, h)
             one, two, three = (on[i : i + len(start)] for i in range(3))
             reach = 1 + one.astype(np.int64) + (one & two) + (one & two & three)
             counted = held.setdefault(lang, Counter())
-            counted.update(w + b"   " for w in compress(words, (begins & ~one).tolist()))
+            alone, known = begins & ~one, _bit(bits, word)
+            rare[lang] += int((alone & ~known).sum())
+            counted.update(compress(words, (alone & known).tolist()))
             at = np.nonzero(begins & one)[0]
-            counted.update(b" ".join(words[i : i + k]) + b" " * (4 - k) for i, k in zip(at.tolist(), reach[at].tolist(), strict=True))
+            counted.update(b" ".join(words[i : i + k]) for i, k in zip(at.tolist(), reach[at].tolist(), strict=True))
             if len(hot) and len(h):
                 hots |= {b" ".join([lang.encode(), *words[i : i + 2]]) for i in np.nonzero(led & np.isin(h.view(np.int64), hot))[0].tolist()}
             if sum(map(len, held.values())) > most:
@@ -174,6 +188,8 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 <<
                 held.clear()
         for each in sorted(held):
             yield from out(each, held[each], hots)
+        for each, n in sorted(rare.items()):
+            yield from out(each, Counter({b"": n}), set())
 
     counted = rows.mapInArrow(count, "lang string, " + ", ".join(f"{w} binary" for w in _LEADS) + ", salt long, n long")
     return counted.select("lang", *[F.col(w).cast("string").alias(w) for w in _LEADS], "salt", "n")

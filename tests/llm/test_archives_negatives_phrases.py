@@ -210,9 +210,10 @@ def test_phrases_of_an_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
 
 
-def test_only_frequent_pairs_go_on(spark):
+def test_only_frequent_words_and_pairs_go_on(spark):
     rows = collocations._texts(spark.createDataFrame([("a b c " * 400 + "d e", "en"), ("f g", "de")], "text string, lang string"), "text", "lang")
     bits, hot = collocations.frequent_pairs(rows, 30)
-    assert sum(int(b).bit_count() for b in bits.view(np.uint64)) == 3 and len(hot) == 3
-    found = {(r.lang, r.w1, r.w2): r.n for r in collocations.windows(rows, bits, hot).where("w3 = ''").collect()}
-    assert found[("de", "f", "")] == found[("en", "d", "")] == 1 and ("de", "f", "g") not in found
+    assert sum(int(b).bit_count() for b in bits.view(np.uint64)) == 6 and len(hot) == 6
+    found = {(r.lang, r.w1, r.w2, r.w3): r.n for r in collocations.windows(rows, bits, hot).collect()}
+    assert found[("de", "", "", "")] == 2 and found[("en", "", "", "")] == 2 and ("de", "f", "g", "") not in found
+    assert found[("en", "c", "", "")] == 1 and found[("en", "a", "b", "c")] > 300
