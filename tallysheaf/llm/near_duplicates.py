@@ -318,7 +318,7 @@ def _star_pairs(placed: DataFrame, seed: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, orders: int = 3,
-                    part_bytes: int = 24 << 20) -> DataFrame:
+                    part_bytes: int = 12 << 20, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of every row.
 
     A document's set: its distinct runs of ``size`` words (A-Z lower-cased, parted by ASCII white space), or all its
@@ -327,15 +327,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component; repeated ids stay rows of their own; a row with a null id never names a component unless it is alone.
     Other columns are ignored.
 
-    Equal sets are collapsed by a 64-bit signature, and shingles compared by 48 bits of their hash within 24 MB of text
+    Equal sets are collapsed by a 64-bit signature, and shingles compared by 48 bits of their hash within 12 MB of text
     (``part_bytes``) at a time: among a billion sets two different ones have one signature with a chance of 3 %. Shingles
     are dealt by value to count in how many sets each occurs; sets then learn which of theirs are shared, and how often.
     In every order rare shingles come first, so prefixes (n - ceil(t n) + 1 shingles) of most sets are full of unshared
     ones and these are out.
 
-    Sets with a common least hash are linked to a few leads each and joined to components. Then come rounds of stars:
-    for each prefix shingle one set of every component is held against that of one, other sets in every round, until a
-    round links nothing. The join on prefix shingles takes only what is of different components even then, so a group
+    Sets with a common least hash are linked to a few leads each and joined to components. Then come ``rounds`` of stars:
+    for each prefix shingle one set of every component is held against that of one, other sets in every round. They only
+    join components early. The join on prefix shingles takes only what is of different components even then, so a group
     of near copies never becomes all its pairs, and of the links between two components one goes on. Pairs whose sizes
     or places of the shingle tell that they can't be near, or whose prefixes under the other orders don't meet, are
     dropped before sets are compared.
@@ -361,13 +361,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prefix = F.posexplode(F.slice("shared", F.lit(1), F.col("slots"))).alias("at", "token")
     placed = held.select("sig", "n", "shared", prefix).select("token", "sig", "n", rest.alias("rest"))
     placed = placed.join(edges, F.col("sig") == F.col("src"), "left").select("token", "sig", "n", "rest", F.coalesce("dst", "sig").alias("component"))
-    placed, seed = _open(placed), 1
-    while True:
+    placed = _open(placed)
+    for seed in range(rounds):
         links = stored(_verified(_star_pairs(placed, seed, percent), held, percent, orders), "star-links")
-        if links.isEmpty():
-            break
         edges = edges.unionByName(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")))
-        placed, seed = _united(placed, links), seed + 1
+        placed = _united(placed, links)
     a, b = placed.alias("a"), placed.alias("b")
     met = (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.component") != F.col("b.component"))
     pairs = a.join(b, met & _near("a", "b", percent)).select(
