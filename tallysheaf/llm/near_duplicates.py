@@ -305,6 +305,14 @@ def _open(placed: DataFrame) -> DataFrame:
     return stored(placed.join(mixed, "token", "left_semi"), "open-prefixes")
 
 
+def _crowded(placed: DataFrame, pairs: int = 4) -> bool:
+    """Whether the prefix shingles meet across components in more than ``pairs`` pairs each on average."""
+    own = placed.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
+    met = own.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    r = met.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+    return r["rows"] is not None and r["pairs"] > pairs * r["rows"]
+
+
 def _star_pairs(placed: DataFrame, seed: int, percent: int) -> DataFrame:
     """For every prefix shingle one set of each component that has it, against that of one component: pairs to verify, never
     more than shingles."""
@@ -318,7 +326,7 @@ def _star_pairs(placed: DataFrame, seed: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, orders: int = 3,
-                    part_bytes: int = 12 << 20, rounds: int = 1) -> DataFrame:
+                    part_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of every row.
 
     A document's set: its distinct runs of ``size`` words (A-Z lower-cased, parted by ASCII white space), or all its
@@ -333,9 +341,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     In every order rare shingles come first, so prefixes (n - ceil(t n) + 1 shingles) of most sets are full of unshared
     ones and these are out.
 
-    Sets with a common least hash are linked to a few leads each and joined to components. Then come ``rounds`` of stars:
-    for each prefix shingle one set of every component is held against that of one, other sets in every round. They only
-    join components early. The join on prefix shingles takes only what is of different components even then, so a group
+    Sets with a common least hash are linked to a few leads each and joined to components. While
+    the prefix shingles would then meet in more than a few pairs each, rounds of stars follow, until one links nothing: for
+    each prefix shingle one set of every component is held against that of one, other sets in every round. The join on prefix shingles takes only what is of different components even then, so a group
     of near copies never becomes all its pairs, and of the links between two components one goes on. Pairs whose sizes
     or places of the shingle tell that they can't be near, or whose prefixes under the other orders don't meet, are
     dropped before sets are compared.
@@ -361,11 +369,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prefix = F.posexplode(F.slice("shared", F.lit(1), F.col("slots"))).alias("at", "token")
     placed = held.select("sig", "n", "shared", prefix).select("token", "sig", "n", rest.alias("rest"))
     placed = placed.join(edges, F.col("sig") == F.col("src"), "left").select("token", "sig", "n", "rest", F.coalesce("dst", "sig").alias("component"))
-    placed = _open(placed)
-    for seed in range(rounds):
+    placed, seed = _open(placed), 0
+    while _crowded(placed):
         links = stored(_verified(_star_pairs(placed, seed, percent), held, percent, orders), "star-links")
+        if links.isEmpty():
+            break
         edges = edges.unionByName(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")))
-        placed = _united(placed, links)
+        placed, seed = _united(placed, links), seed + 1
     a, b = placed.alias("a"), placed.alias("b")
     met = (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.component") != F.col("b.component"))
     pairs = a.join(b, met & _near("a", "b", percent)).select(
