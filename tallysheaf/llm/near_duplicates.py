@@ -123,11 +123,12 @@ def _blocks(docs: DataFrame, parts: int, size: int, most_words: int = 800_000) -
 
 
 _BLOCK = ["part", "sigs", "ns", "counts", "tokens", "doc_id", "sig", "n"]
-_SETS = ["part", "sig", "n", "doc_id", "tokens", "ranks"]
+_SETS = ["part", "sig", "n", "doc_id", "sigs", "ns", "counts", "tokens", "ranks"]
 
 
 def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Of one part: every shingle that two sets or more have, with the rank of its frequency, by set."""
+    """Of one part: every shingle that two sets or more have, with the rank of its frequency, by set; the sets of one part of
+    signatures in one block, so that rows are as many as parts meet parts, however many sets share shingles."""
     sigs, ns, tokens, owners, known, number = [], [], [], [], 0, 0
     for batch in batches:
         column = {c: batch.column(c) for c in _BLOCK}
@@ -138,7 +139,7 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             spread = pa.array((np.arange(m) + number) % parts, pa.int32())
             number += m
             empty = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([spread, mine.column("sig"), mine.column("n"), mine.column("doc_id"), empty, empty], names=_SETS)
+            yield pa.RecordBatch.from_arrays([spread, mine.column("sig"), mine.column("n"), mine.column("doc_id"), empty, empty, empty, empty, empty], names=_SETS)
         blocks = batch.filter(pc.invert(docs))
         for s, n, c, t in zip(*[blocks.column(k).to_pylist() for k in ("sigs", "ns", "counts", "tokens")], strict=True):
             sigs.append(np.frombuffer(s, np.int64))
@@ -169,18 +170,24 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     rank = np.repeat(np.minimum(255, np.round(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8), df)
     many = rank > 0
     token, owner, rank = token[many], owner[many], rank[many]
-    order = np.argsort(owner, kind="stable")
+    # By the part of the owner's signature, then by owner.
+    part = (every % parts).astype(np.int64)
+    order = np.lexsort((owner, part[owner]))
     token, owner, rank = token[order], owner[order], rank[order]
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(token) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(token))
-    for lo in range(0, len(starts), 5000):
-        part = slice(lo, lo + 5000)
-        mine = owner[starts[part]]
-        raw = token.view(np.uint8).reshape(-1, 8)
-        yield pa.RecordBatch.from_arrays([
-            pa.array((every[mine] % parts).astype(np.int32)), pa.array(every[mine]), pa.array(n[mine]), pa.nulls(len(mine), pa.int64()),
-            pa.array([np.ascontiguousarray(raw[a:z, :6]).tobytes() for a, z in zip(starts[part], ends[part], strict=True)], pa.binary()),
-            pa.array([rank[a:z].tobytes() for a, z in zip(starts[part], ends[part], strict=True)], pa.binary())], names=_SETS)
+    counts, mine = np.diff(np.append(starts, len(token))), owner[starts]
+    raw = token.view(np.uint8).reshape(-1, 8)
+    goes, first = np.unique(part[mine], return_index=True)
+    last = np.append(first[1:], len(mine))
+    for lo in range(0, len(goes), 64):
+        rows = []
+        for to, a, z in zip(goes[lo : lo + 64].tolist(), first[lo : lo + 64].tolist(), last[lo : lo + 64].tolist(), strict=True):
+            at, end = starts[a], starts[a] + counts[a:z].sum()
+            rows.append((to, every[mine[a:z]].tobytes(), n[mine[a:z]].astype(np.int32).tobytes(), counts[a:z].astype(np.int32).tobytes(),
+                         np.ascontiguousarray(raw[at:end, :6]).tobytes(), rank[at:end].tobytes()))
+        to, *blobs = zip(*rows, strict=True)
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), none, none, none, *[pa.array(c, pa.binary()) for c in blobs]], names=_SETS)
 
 
 _CANDIDATE = "sig long, n long, doc_id long, shared array<long>, ranks array<smallint>, slots int"
@@ -190,48 +197,42 @@ def _candidates(batches: Iterator[pa.RecordBatch], keep: int, of: int) -> Iterat
     """Sets with a shared shingle in their prefix: shared shingles in the first order, and how many are in the prefix.
 
     The orders put rare shingles first, so a set's unshared ones fill its prefix before any other; most sets are out.
-    Rows come sorted by signature; documents' own rows pass through.
+    A task holds the shared shingles of one part of signatures; documents' own rows pass through.
     """
     kind, small = pa.list_(pa.int64()), pa.list_(pa.int16())
-
-    def of_one(sig: int, n: int, tokens: list[bytes], ranks: list[bytes]) -> tuple | None:
-        raw, rank = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, 6), np.frombuffer(b"".join(ranks), np.uint8)
-        slots = n - (keep * n + of - 1) // of + 1 - (n - len(rank))
-        if slots <= 0:
-            return None
-        wide = np.zeros((len(rank), 8), np.uint8)
-        wide[:, :6] = raw
-        token = wide.view(np.uint64).ravel()
-        order = np.lexsort((mix(token), rank))
-        return sig, n, token[order].astype(np.int64), rank[order].astype(np.int16), min(slots, len(rank))
-
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        s, n, t, r, k = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(s), pa.int64()), pa.array([*t], kind), pa.array([*r], small), pa.array(k, pa.int32())],
-                                          names=["sig", "n", "doc_id", "shared", "ranks", "slots"])
-
-    sig, n, tokens, ranks, found = None, 0, [], [], []
+    names = ["sig", "n", "doc_id", "shared", "ranks", "slots"]
+    sigs, ns, tokens, ranks = [], [], [], []
     for batch in batches:
-        own = pc.is_null(batch.column("tokens"))
+        own = pc.is_valid(batch.column("sig"))
         docs = batch.filter(own)
         if m := len(docs):
-            yield pa.RecordBatch.from_arrays([docs.column("sig"), docs.column("n"), docs.column("doc_id"), pa.nulls(m, kind), pa.nulls(m, small), pa.nulls(m, pa.int32())],
-                                             names=["sig", "n", "doc_id", "shared", "ranks", "slots"])
-        rows = batch.filter(pc.invert(own))
-        for s, k, t, r in zip(*[rows.column(c).to_pylist() for c in ("sig", "n", "tokens", "ranks")], strict=True):
-            if s != sig:
-                if tokens and (one := of_one(sig, n, tokens, ranks)):
-                    found.append(one)
-                sig, n, tokens, ranks = s, k, [], []
-            tokens.append(t)
-            ranks.append(r)
-        if len(found) >= 500:
-            yield out(found)
-            found = []
-    if tokens and (one := of_one(sig, n, tokens, ranks)):
-        found.append(one)
-    if found:
-        yield out(found)
+            yield pa.RecordBatch.from_arrays([docs.column("sig"), docs.column("n"), docs.column("doc_id"), pa.nulls(m, kind), pa.nulls(m, small), pa.nulls(m, pa.int32())], names=names)
+        blocks = batch.filter(pc.invert(own))
+        for s, k, c, t, r in zip(*[blocks.column(x).to_pylist() for x in ("sigs", "ns", "counts", "tokens", "ranks")], strict=True):
+            count = np.frombuffer(c, np.int32)
+            sigs.append(np.repeat(np.frombuffer(s, np.int64), count))
+            ns.append(np.repeat(np.frombuffer(k, np.int32), count))
+            wide = np.zeros((int(count.sum()), 8), np.uint8)
+            wide[:, :6] = np.frombuffer(t, np.uint8).reshape(-1, 6)
+            tokens.append(wide.view(np.uint64).ravel())
+            ranks.append(np.frombuffer(r, np.uint8))
+    if not tokens:
+        return
+    sig, n, token, rank = (np.concatenate(x) for x in (sigs, ns, tokens, ranks))
+    sigs.clear(), ns.clear(), tokens.clear(), ranks.clear()
+    order = np.lexsort((mix(token), rank, sig))
+    sig, n, token, rank = sig[order], n[order].astype(np.int64), token[order].astype(np.int64), rank[order].astype(np.int16)
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    held = np.diff(np.append(first, len(sig)))
+    n = n[first]
+    slots = np.minimum(n - (keep * n + of - 1) // of + 1 - (n - held), held)
+    kept = np.flatnonzero(slots > 0)
+    for lo in range(0, len(kept), 500):
+        some = kept[lo : lo + 500]
+        cuts = [(first[i], first[i] + held[i]) for i in some.tolist()]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(sig[first[some]], pa.int64()), pa.array(n[some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([token[a:z] for a, z in cuts], kind),
+            pa.array([rank[a:z] for a, z in cuts], small), pa.array(slots[some], pa.int32())], names=names)
 
 
 def _stars(batches: Iterator[pa.RecordBatch], least: int, leads: int = 16) -> Iterator[pa.RecordBatch]:
@@ -294,9 +295,11 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int, orders: int) -> D
 
 
 def _united(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """The prefix shingles with the components that the links join, as far as some shingle still has two of them."""
-    joined = components(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")), "set-components")
-    moved = placed.join(joined.withColumnRenamed("component", "to"), F.col("component") == F.col("id"), "left")
+    """The prefix shingles under the least component that each links to, as far as some shingle still has two. One step a
+    round: what is linked over several is one component in the end."""
+    both = links.unionByName(links.select(F.col("dst_component").alias("src_component"), F.col("src_component").alias("dst_component")))
+    step = both.groupBy(F.col("src_component").alias("id")).agg(F.min("dst_component").alias("to")).where("to < id")
+    moved = placed.join(step, F.col("component") == F.col("id"), "left")
     return _open(moved.select("token", "sig", "n", "rest", F.coalesce("to", "component").alias("component")))
 
 
@@ -351,9 +354,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = ship(docs.sparkSession)
     flat = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     parts = max(2, -(-(flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
-    sets = "part int, sig long, n long, doc_id long, tokens binary, ranks binary"
+    sets = "part int, sig long, n long, doc_id long, sigs binary, ns binary, counts binary, tokens binary, ranks binary"
     dealt = _blocks(flat, parts, size).repartitionById(parts, "part").mapInArrow(lambda b: _shared(b, parts), sets)
-    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("sig")
+    dealt = dealt.repartitionById(parts, "part")
     table = stored(dealt.drop("part").mapInArrow(lambda b: _candidates(b, percent, 100), _CANDIDATE), "sets")
     owners = table.where("shared IS NULL").select("doc_id", "sig", "n")
     held = table.where("shared IS NOT NULL").drop("doc_id")
