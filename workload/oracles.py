@@ -363,7 +363,7 @@ sql("csv_malformed_rows", """
     SELECT 3 AS fields, concat('"', l_orderkey, '"x,', l_linenumber, ',', l_returnflag) AS raw, 'malformed_quote' AS reason
     FROM lineitem WHERE l_orderkey % 7 = 0""")
 sql("unique_columns", """
-    SELECT CAST(c_custkey AS VARCHAR) AS "Nr", c_name AS col_2_2, CAST(c_nationkey AS VARCHAR) AS "Nr_3", c_mktsegment AS col_2 FROM customer""")
+    SELECT CAST(c_custkey AS VARCHAR) AS "Nr", c_name AS col_2_2, CAST(c_nationkey AS VARCHAR) AS "Nr_2", c_mktsegment AS col_2 FROM customer""")
 sql("csv_utf16", "SELECT p_partkey AS \"Nr\", p_name || chr(2570) || chr(256) || ' -' || chr(2560) AS \"Name\", p_brand FROM part")
 sql("json_document", "SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders")
 ACCENTED = r"""
