@@ -99,13 +99,21 @@ def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return bits[slot >> 6] >> (slot & 63) & 1 == 1
 
 
-def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int = 1 << 20, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """A bit for every hash that words and pairs of words of ``least`` occurrences have, in 2^26 bits; and the hashes of those
-    that make up more than ``share`` of all, at most 1 / share.
+def _longer(lang: str, word: np.ndarray, led: np.ndarray, pair: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of three and of four words: which words start one whose pairs all may be frequent, and its hash."""
+    n = len(word)
+    on = np.zeros(n + 3, bool)
+    on[: len(pair)] = led & _bit(bits, pair)
+    ahead = np.concatenate([word, np.zeros(3, np.uint64)])
+    with np.errstate(over="ignore"):
+        three = _spread(np.append(pair, np.uint64(0))[:n] * _PRIME + ahead[2 : n + 2], lang + " 3")
+        four = _spread(three * _PRIME + ahead[3 : n + 3], lang + " 4")
+    return [(on[:n] & on[1 : n + 1], three), (on[:n] & on[1 : n + 1] & on[2 : n + 2], four)]
 
-    Tasks count words and pairs by a 64-bit hash. The bits can only let too much pass: what they let pass is counted exactly by
-    its words, so neither a chance meeting of hashes nor a corpus that fills all bits changes a result.
-    """
+
+def _counted(rows: DataFrame, hashes, least: int, size: int, most: int, name: str) -> DataFrame:
+    """(h, n): the hashes that ``hashes`` (of lang, block, limit) gives, ``least`` times or more over all texts. Tasks merge
+    counts until they hold ``most`` of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,9 +126,7 @@ def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
         for lang, block, limit in _blocks(batches, size):
-            start, word, led, pair = _pairs(lang, block)
-            begins = start < limit
-            seen.append(np.unique(np.concatenate([word[begins], pair[led & begins[:-1]]]), return_counts=True))
+            seen.append(np.unique(hashes(lang, block, limit), return_counts=True))
             if sum(len(s[0]) for s in seen) > most:
                 seen[:] = [merged()]
                 if len(seen[0][0]) > most // 2:
@@ -128,21 +134,51 @@ def frequent_pairs(rows: DataFrame, least: int, share: float = 0.001, size: int
         if seen:
             yield out(*merged())
 
-    pairs = stored(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pair-hashes")
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    hot = pairs.where(F.col("n") > share * total).orderBy(F.desc("n"), "h").limit(int(1 / share)).collect()
+    return stored(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
+
+
+def _bitmap(counts: DataFrame, bits: np.ndarray | None = None) -> np.ndarray:
+    """A bit for each hash, in 2^26 bits, whatever their number."""
     slot = F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1))
-    words = pairs.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros((1 << _BITS) // 64, np.int64)
-    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return bits, np.array([r["h"] for r in hot], np.int64)
+    words = counts.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros((1 << _BITS) // 64, np.int64) if bits is None else bits.copy()
+    out[words["at"].to_numpy()] |= words["bits"].to_numpy()
+    return out
+
+
+def frequent_phrases(rows: DataFrame, least: int, share: float = 0.001, size: int = 1 << 20, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for every hash that words and phrases of two to four words with ``least`` occurrences have, in 2^26 bits; and the
+    hashes of words and pairs that make up more than ``share`` of all, at most 1 / share.
+
+    Tasks count by a 64-bit hash, words and pairs first, then longer phrases of which all pairs may be frequent. The
+    bits can only let too much pass: what they let pass is counted exactly by its words, so neither a chance meeting of
+    hashes nor a corpus that fills all bits changes a result.
+    """
+    ship(rows.sparkSession)
+
+    def short(lang: str, block: bytes, limit: int) -> np.ndarray:
+        start, word, led, pair = _pairs(lang, block)
+        begins = start < limit
+        return np.concatenate([word[begins], pair[led & begins[:-1]]])
+
+    counts = _counted(rows, short, least, size, most, "pair-hashes")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > share * total).orderBy(F.desc("n"), "h").limit(int(1 / share)).collect()
+    pairs = _bitmap(counts)
+    sent = rows.sparkSession.sparkContext.broadcast(pairs)
+
+    def long(lang: str, block: bytes, limit: int) -> np.ndarray:
+        start, word, led, pair = _pairs(lang, block)
+        return np.concatenate([h[goes & (start < limit)] for goes, h in _longer(lang, word, led, pair, sent.value)])
+
+    return _bitmap(_counted(rows, long, least, size, most, "phrase-hashes"), pairs), np.array([r["h"] for r in hot], np.int64)
 
 
 def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 << 20, most: int = 300_000) -> DataFrame:
     """lang, w1 to w4, salt, n: for every word of the texts (lang, body) the window that it starts, and how often.
 
-    A window goes on with the words' leads in their piece as long as each pair of words is one that ``bits`` let pass,
-    and is padded from there: no phrase past that place can be frequent. Words that can't be frequent themselves are one
+    A window goes on with the words' leads in their piece as long as ``bits`` let its pairs pass and it itself, and is
+    padded from there: no phrase past that place can be frequent. Words that can't be frequent themselves are one
     row without any. A task counts until it holds ``most`` windows, so
     a line that a third of all texts repeat is a few rows a task. ``salt`` tells the windows of a hot first pair apart
     by their third word; it is 0 for others.
@@ -169,11 +205,10 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 <<
         for lang, block, limit in _blocks(batches, size):
             start, word, led, h = _pairs(lang, block)
             words, begins = block.split(), start < limit
-            # Whether each word's pair goes on; none does from the last word.
-            on = np.zeros(len(start) + 3, bool)
-            on[: len(h)] = led & _bit(bits, h)
-            one, two, three = (on[i : i + len(start)] for i in range(3))
-            reach = 1 + one.astype(np.int64) + (one & two) + (one & two & three)
+            one = np.zeros(len(start), bool)
+            one[: len(h)] = led & _bit(bits, h)
+            three, four = (goes & _bit(bits, own) for goes, own in _longer(lang, word, led, h, bits))
+            reach = 1 + one.astype(np.int64) + three + (three & four)
             counted = held.setdefault(lang, Counter())
             alone, known = begins & ~one, _bit(bits, word)
             rare[lang] += int((alone & ~known).sum())
@@ -230,7 +265,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", l
     are taken in 38 digits.
     """
     rows = _texts(documents, text, lang)
-    bits, hot = frequent_pairs(rows, least)
+    bits, hot = frequent_phrases(rows, least)
     counts = stored(phrase_counts(windows(rows, bits, hot), least), "phrase-counts")
     all_words = counts.where("w1 IS NULL").select("lang", F.col("a").alias("n"))
     words = F.filter(F.array(*_LEADS), lambda w: w.isNotNull())

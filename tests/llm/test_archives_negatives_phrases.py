@@ -196,9 +196,9 @@ def test_phrases_against_brute_force(spark, monkeypatch, size, share, bits):
     rng = random.Random(2)
     rows = TEXTS + [(" ".join(rng.choice(["x1", "x2", "x3", "X4", ",", "é"]) for _ in range(rng.randrange(200))), rng.choice(["en", "fr", None])) for _ in range(40)]
     table = spark.createDataFrame([(t, lang, 1, "w") for t, lang in rows], "text string, lang string, n int, w1 string").repartition(3)
-    pairs, windows = collocations.frequent_pairs, collocations.windows
+    phrases, windows = collocations.frequent_phrases, collocations.windows
     monkeypatch.setattr(collocations, "_BITS", bits)
-    monkeypatch.setattr(collocations, "frequent_pairs", lambda r, least: pairs(r, least, share, size, 100))
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda r, least: phrases(r, least, share, size, 100))
     monkeypatch.setattr(collocations, "windows", lambda r, b, hot: windows(r, b, hot, size, 100))
     for least, absorbed, top in ((3, 80, 2000), (30, 80, 7)):
         got = collocations.collocations(table, least=least, absorbed=absorbed, top=top).collect()
@@ -212,8 +212,8 @@ def test_phrases_of_an_empty_table(spark):
 
 def test_only_frequent_words_and_pairs_go_on(spark):
     rows = collocations._texts(spark.createDataFrame([("a b c " * 400 + "d e", "en"), ("f g", "de")], "text string, lang string"), "text", "lang")
-    bits, hot = collocations.frequent_pairs(rows, 30)
-    assert sum(int(b).bit_count() for b in bits.view(np.uint64)) == 6 and len(hot) == 6
+    bits, hot = collocations.frequent_phrases(rows, 30)
+    assert sum(int(b).bit_count() for b in bits.view(np.uint64)) == 12 and len(hot) == 6
     found = {(r.lang, r.w1, r.w2, r.w3): r.n for r in collocations.windows(rows, bits, hot).collect()}
     assert found[("de", "", "", "")] == 2 and found[("en", "", "", "")] == 2 and ("de", "f", "g", "") not in found
     assert found[("en", "c", "", "")] == 1 and found[("en", "a", "b", "c")] > 300
