@@ -308,9 +308,11 @@ def _open(placed: DataFrame) -> DataFrame:
     return stored(placed.join(mixed, "token", "left_semi"), "open-prefixes")
 
 
-def _crowded(placed: DataFrame, pairs: int = 4) -> bool:
-    """Whether the prefix shingles meet across components in more than ``pairs`` pairs each on average."""
-    own = placed.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
+def _crowded(placed: DataFrame, percent: int, pairs: int = 4) -> bool:
+    """Whether the prefix shingles meet across components in more than ``pairs`` pairs each on average, counting places at
+    which sets of one size could still be near."""
+    early = placed.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("n"))
+    own = early.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
     met = own.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
     r = met.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
     return r["rows"] is not None and r["pairs"] > pairs * r["rows"]
@@ -345,7 +347,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ones and these are out.
 
     Sets with a common least hash are linked to a few leads each and joined to components. While
-    the prefix shingles would then meet in more than a few pairs each, rounds of stars follow, until one links nothing: for
+    the prefix shingles would then meet in more than a few pairs each, rounds of stars follow, until one links less than a fiftieth of its pairs: for
     each prefix shingle one set of every component is held against that of one, other sets in every round. The join on prefix shingles takes only what is of different components even then, so a group
     of near copies never becomes all its pairs, and of the links between two components one goes on. Pairs whose sizes
     or places of the shingle tell that they can't be near, or whose prefixes under the other orders don't meet, are
@@ -373,12 +375,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = held.select("sig", "n", "shared", prefix).select("token", "sig", "n", rest.alias("rest"))
     placed = placed.join(edges, F.col("sig") == F.col("src"), "left").select("token", "sig", "n", "rest", F.coalesce("dst", "sig").alias("component"))
     placed, seed = _open(placed), 0
-    while _crowded(placed):
-        links = stored(_verified(_star_pairs(placed, seed, percent), held, percent, orders), "star-links")
-        if links.isEmpty():
-            break
+    while _crowded(placed, percent):
+        stars = _star_pairs(placed, seed, percent)
+        links = stored(_verified(stars, held, percent, orders), "star-links")
+        n = links.count()
         edges = edges.unionByName(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")))
         placed, seed = _united(placed, links), seed + 1
+        if 50 * n < stars.count():  # most of what still differs doesn't link
+            break
     a, b = placed.alias("a"), placed.alias("b")
     met = (F.col("a.token") == F.col("b.token")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.component") != F.col("b.component"))
     pairs = a.join(b, met & _near("a", "b", percent)).select(
