@@ -174,7 +174,7 @@ def frequent_phrases(rows: DataFrame, least: int, share: float = 0.001, size: in
     return _bitmap(_counted(rows, long, least, size, most, "phrase-hashes"), pairs), np.array([r["h"] for r in hot], np.int64)
 
 
-def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 << 20, most: int = 300_000) -> DataFrame:
+def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 << 20, most: int = 500_000) -> DataFrame:
     """lang, w1 to w4, salt, n: for every word of the texts (lang, body) the window that it starts, and how often.
 
     A window goes on with the words' leads in their piece as long as ``bits`` let its pairs pass and it itself, and is
@@ -199,7 +199,9 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 <<
                     [pa.array([lang] * len(part)), *[pa.array(c, pa.binary()) for c in zip(*leads, strict=True)], pa.array(salts, pa.int64()), pa.array([n for _, n in part], pa.int64())],
                     names=["lang", *_LEADS, "salt", "n"])
 
+        # Words alone are few and come again in every block; windows are handed out when there are many.
         held: dict[str, Counter] = {}
+        alones: dict[str, Counter] = {}
         rare: Counter = Counter()
         hots: set[bytes] = set()
         for lang, block, limit in _blocks(batches, size):
@@ -212,17 +214,19 @@ def windows(rows: DataFrame, bits: np.ndarray, hot: np.ndarray, size: int = 1 <<
             counted = held.setdefault(lang, Counter())
             alone, known = begins & ~one, _bit(bits, word)
             rare[lang] += int((alone & ~known).sum())
-            counted.update(compress(words, (alone & known).tolist()))
+            alones.setdefault(lang, Counter()).update(compress(words, (alone & known).tolist()))
             at = np.nonzero(begins & one)[0]
             counted.update(b" ".join(words[i : i + k]) for i, k in zip(at.tolist(), reach[at].tolist(), strict=True))
             if len(hot) and len(h):
                 hots |= {b" ".join([lang.encode(), *words[i : i + 2]]) for i in np.nonzero(led & np.isin(h.view(np.int64), hot))[0].tolist()}
-            if sum(map(len, held.values())) > most:
-                for each in sorted(held):
-                    yield from out(each, held[each], hots)
-                held.clear()
-        for each in sorted(held):
-            yield from out(each, held[each], hots)
+            for counters, pairs in ((held, hots), (alones, set())):
+                if sum(map(len, counters.values())) > most:
+                    for each in sorted(counters):
+                        yield from out(each, counters[each], pairs)
+                    counters.clear()
+        for counters, pairs in ((held, hots), (alones, set())):
+            for each in sorted(counters):
+                yield from out(each, counters[each], pairs)
         for each, n in sorted(rare.items()):
             yield from out(each, Counter({b"": n}), set())
 
