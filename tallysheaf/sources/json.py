@@ -39,6 +39,13 @@ def _complete(text: Column) -> Column:
     return F.when(one, F.try_variant_get(listed, "$[0]", "variant"))
 
 
+def _maybe_object(text: Column) -> Column:
+    """The text where it may be one object, NULL where its ends say that it isn't: most lines of a document are parts of a
+    value, and each would cost the parser two failures."""
+    ends = F.btrim(text, F.lit(" \t\r\n"))
+    return F.when(ends.startswith("{") & ends.endswith("}"), text)
+
+
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every line's place and whether it is blank, an object, or begins a list; written once, with the text of damaged ones
     only, so that each line is parsed once for all questions."""
@@ -47,7 +54,7 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
     trimmed = F.trim("raw")
     judged = lines.withColumn("blank", trimmed == "").withColumn("list", trimmed.startswith("[")).withColumn(
-        "object", F.coalesce(_kind(_complete(trimmed)) == "OBJECT", F.lit(False)))
+        "object", F.coalesce(_kind(_complete(_maybe_object(trimmed))) == "OBJECT", F.lit(False)))
     # A file that isn't read by line is read by its elements: only lines that may be damaged records keep their text.
     kept = F.when(~F.col("blank") & ~F.col("object"), F.col("raw"))
     return stored(judged.select("file", "block", "id", "blank", "list", "object", kept.alias("raw")), "judged-lines")
