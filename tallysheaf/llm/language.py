@@ -37,6 +37,67 @@ def observations(word: str, lexicon: dict[str, int], slots: int) -> list[int]:
     return [*out]
 
 
+def _crc_table() -> np.ndarray:
+    """What a byte of state becomes in a step of crc32."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _crc_step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _CRC[(state ^ byte) & np.uint32(255)] ^ (state >> np.uint32(8))
+
+
+def observed(some: list[str], lexicon: dict[str, int], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """observations of many words, laid end to end (each word's ascending), and their numbers.
+
+    One pass over all bytes a length: the hash of the n bytes from each place is that of n - 1 with one byte more.
+    """
+    raw = [f"<{word}>".encode() for word in some]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    text = np.frombuffer(b"".join(raw) + bytes(5), np.uint8).astype(np.uint32)
+    first = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(raw)), sizes)
+    room = np.repeat(first + sizes, sizes) - np.arange(len(word))  # bytes from a place to its word's end
+    every = np.repeat(sizes <= 64, sizes)
+    owners, found = [], []
+
+    def take(owner: np.ndarray, state: np.ndarray) -> None:
+        owners.append(owner)
+        found.append((state ^ np.uint32(0xFFFFFFFF)) % np.uint32(slots))
+
+    state = np.full(len(word), 0xFFFFFFFF, np.uint32)
+    for n in (1, 2, 3, 4):
+        state = _crc_step(state, text[n - 1 : n - 1 + len(word)])
+        fits = every & (room >= n)
+        take(word[fits], state[fits])
+    long = np.flatnonzero(sizes > 64)
+    take(long, _crc_step(state[first[long]], text[first[long] + 4]))
+    mine = np.arange(len(raw))
+    for mark in b"^$":
+        opened = _crc_step(np.full(len(raw), 0xFFFFFFFF, np.uint32), np.uint32(mark))
+        for width in (3, 4, 5):
+            n = np.minimum(sizes, width)
+            at, state = first if mark == ord("^") else first + sizes - n, opened
+            for i in range(width):
+                state = np.where(i < n, _crc_step(state, text[at + i]), state)
+            take(mine, state)
+    known = np.fromiter((lexicon.get(w, -1) for w in some), np.int64, len(some))
+    owners.append(np.flatnonzero(known >= 0))
+    found.append(known[known >= 0] + slots)
+    width = slots + len(lexicon)
+    kind = np.uint32 if len(some) * width < 1 << 32 else np.int64  # the narrower sorts faster
+    keys = np.concatenate(owners).astype(kind) * kind(width) + np.concatenate(found).astype(kind)
+    keys.sort()
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+    owner = keys // kind(width)
+    return (keys - owner * kind(width)).astype(np.int64), np.bincount(owner.astype(np.int64), minlength=len(some))
+
+
 @dataclass
 class Chain:
     """labels, lexicon, a weight for each observation and label, start and transition weights."""
@@ -174,12 +235,12 @@ class _Tagger:
             self._clear()
         new = list({w for ws in texts for w in ws if w not in self.at})
         if new:
-            seen = [observations(w, self.chain.lexicon, self.chain.slots) for w in new]
-            counts = np.fromiter(map(len, seen), np.int64, len(seen))
-            flat = np.fromiter((i for s in seen for i in s), np.int64, int(counts.sum()))
-            found = np.add.reduceat(self.chain.weight[flat], np.cumsum(counts) - counts) / np.sqrt(counts)[:, None]
+            found = []
+            for at in range(0, len(new), 20_000):
+                flat, counts = observed(new[at : at + 20_000], self.chain.lexicon, self.chain.slots)
+                found.append(np.add.reduceat(self.chain.weight[flat], np.cumsum(counts) - counts) / np.sqrt(counts)[:, None])
             self.at.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, found])
+            self.table = np.concatenate([self.table, *found])
         out: list[np.ndarray] = [np.zeros((0, len(self.chain.labels)))] * len(texts)
         order = sorted((i for i, ws in enumerate(texts) if ws), key=lambda i: len(texts[i]))
         lo = 0

@@ -176,6 +176,16 @@ def test_forward_backward_against_enumeration():
         assert np.allclose(got[row, :n], p / p.sum(1, keepdims=True))
 
 
+def test_observations_of_many_words_at_once():
+    words = ["a", "ab", "aaaa", "straße", "日本語", "x" * 62, "x" * 63, "ab" * 40, "日本" * 30, "der", "é"]
+    lexicon = {"der": 0, "日本語": 1, "ab": 3, "other": 2}
+    for slots in (1 << 16, 97):
+        found, counts = language.observed(words, lexicon, slots)
+        ends = counts.cumsum()
+        parts = [found[z - n : z].tolist() for z, n in zip(ends, counts, strict=True)]
+        assert parts == [sorted(language.observations(w, lexicon, slots)) for w in words] and ends[-1] == len(found)
+
+
 def test_language_held_out_and_code_switched(spark):
     rng = random.Random(5)
     make = {"xa": ["thoun", "wher", "ingre"], "yb": ["chkeit", "ungzu", "pfver"]}
