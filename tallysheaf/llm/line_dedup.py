@@ -28,26 +28,40 @@ def _places(length: Column, edits: int) -> list[tuple[int, Column, Column, Colum
             extra = F.greatest(longer - (edits + 1 - i), F.lit(0))
             start, n = each * i + extra, each + (F.lit(edits + 1 - i) <= longer).cast("int")
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
+            # Of two lines of one length whose middle segment moved by a place, one finds the other's a place back.
+            high = min(high, 0) if edits == 2 and not shorter else high
             out += [(i, size, start + move, n, not shorter and not move) for move in range(low, high + 1)]
     return out
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
+def wide(line: Column) -> Column:
+    """Four bytes a character: a piece of it is cut out by its place, where UTF-8 has to be counted through from the start."""
+    return F.encode(line, "UTF-32")
+
+
+def _key(of: Column, i: int, size: Column, at: Column, n: Column) -> Column:
+    return F.xxhash64(F.lit(i), size, F.substring(of, at * 4 + 1, n * 4))
+
+
+def segment_keys(of: Column, length: Column, edits: int) -> Column:
     """(key, own): hashes of (segment number, length of the indexed line, text), of own segments and of those it looks for.
 
-    A line of L characters is cut into ``edits + 1`` even segments; one of them stands unchanged in any line within
+    ``of`` is the line as ``wide`` gives it, a column already worked out. A line of L characters is cut into
+    ``edits + 1`` even segments; one of them stands unchanged in any line within
     ``edits``, moved by at most as many places as there are edits left of it, and right of it. A line of l characters
     so looks for the segments of lines of length l - edits to l at those few places. Of two near lines the longer one
-    finds an own segment of the other; at its own length and place that is its own segment too.
+    finds an own segment of the other; at its own length and place that is its own segment too. With 2 edits, the
+    middle of lines of one length moves where one of them has a character more on the left and the other one on the
+    right: this other one finds the first one's middle a place back, or, if the character more stands right at the
+    border, both begin with one segment.
     """
-    return F.array(*[F.struct(F.xxhash64(F.lit(i), size, F.substring(line, at + 1, n)).alias("key"), F.lit(own).alias("own"))
-                     for i, size, at, n, own in _places(length, edits)])
+    return F.array(*[F.struct(_key(of, i, size, at, n).alias("key"), F.lit(own).alias("own")) for i, size, at, n, own in _places(length, edits)])
 
 
-def _pieces(line: Column, length: Column, edits: int) -> Column:
+def _pieces(line: Column, of: Column, length: Column, edits: int) -> Column:
     """segment_keys, each with what is left of the line without its piece."""
     return F.array(*[F.struct(
-        F.xxhash64(F.lit(i), size, F.substring(line, at + 1, n)).alias("key"),
+        _key(of, i, size, at, n).alias("key"),
         F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + n + 1, length)).alias("left"), F.lit(own).alias("own"))
         for i, size, at, n, own in _places(length, edits)])
 
@@ -148,7 +162,7 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     lines = lines.withColumn("n", F.char_length("line"))
     places = stored(lines.select("doc_id", "line_no", F.when(F.lit(short_copies) | (F.col("n") >= min_chars), F.xxhash64("line")).alias("h")), "lines")
     long = lines.where(F.col("n") >= min_chars).select("line", "n", F.xxhash64("line").alias("h"))
-    keys = long.select("h", F.inline(segment_keys(F.col("line"), F.col("n"), edits)))
+    keys = long.select("h", "n", wide(F.col("line")).alias("wide")).select("h", F.inline(segment_keys(F.col("wide"), F.col("n"), edits)))
     met = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("owned")).where("lo < hi AND owned")
     mixed = stored(met.select("key", "lo"), "mixed-keys")
     few = F.broadcast(mixed) if mixed.count() <= _SMALL else mixed
@@ -167,9 +181,11 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = placed.join(open_, "key", "left_semi").join(texts, "h")
     # The second key: what is left of the line without the piece is within the same number of edits.
-    left = rest.withColumn("n", F.char_length("line")).withColumn("p", F.explode(_pieces(F.col("line"), F.col("n"), edits))).where("p.key = key")
+    rest = rest.withColumn("n", F.char_length("line")).withColumn("wide", wide(F.col("line")))
+    left = rest.withColumn("p", F.explode(_pieces(F.col("line"), F.col("wide"), F.col("n"), edits))).where("p.key = key")
     left = left.select("h", "component", "bags", "p.own", F.col("key").alias("outer"), F.col("p.left").alias("left")).distinct()
-    deeper = left.select("h", "component", "bags", "own", "outer", F.inline(segment_keys(F.col("left"), F.char_length("left"), edits)).alias("key", "own2"))
+    left = left.select("h", "component", "bags", "own", "outer", wide(F.col("left")).alias("wide"), F.char_length("left").alias("n"))
+    deeper = left.select("h", "component", "bags", "own", "outer", F.inline(segment_keys(F.col("wide"), F.col("n"), edits)).alias("key", "own2"))
     deeper = compact(stored(deeper.withColumn("key", F.xxhash64("outer", "key")).drop("outer").distinct(), "second-keys"))
     a, b = deeper.alias("a"), deeper.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.component") != F.col("b.component"))

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallysheaf.llm import embedding_dedup, line_dedup, near_duplicates, packing, shared
@@ -110,6 +111,24 @@ def test_line_classes_against_brute_force(spark):
     assert line_dedup.line_classes(frame.limit(0)).isEmpty()
 
 
+def test_segment_keys_find_every_line_within_two_edits(spark):
+    """Eleven keys a line, of fixed-width characters: each line two edits away shares one that either of the two owns."""
+    rng = random.Random(7)
+    line = "".join(rng.choice("abcdeßé日👩") for _ in range(34))
+    near = {line}
+    for p in range(35):
+        for q in range(35):
+            near.add((line[:p] + "+" + line[p:])[: q + 1] + (line[:p] + "+" + line[p:])[q + 2 :])
+            near.add((line[:p] + "+" + line[p:])[:q] + "-" + (line[:p] + "+" + line[p:])[q:])
+            near.add((line[:p] + "+" + line[p + 1 :])[:q] + "-" + (line[:p] + "+" + line[p + 1 :])[q + 1 :])
+            near.add(line[:p] + line[p + 1 :][:q] + line[p + 1 :][q + 1 :])
+    lines = spark.createDataFrame([(t,) for t in sorted(near)], "line string").select("line", line_dedup.wide(F.col("line")).alias("wide"))
+    keys = {r.line: dict(sorted(r.keys)) for r in lines.select("line", line_dedup.segment_keys(F.col("wide"), F.char_length("line"), 2).alias("keys")).collect()}
+    assert {len(k) for k in keys.values()} == {11}
+    mine = keys[line]
+    assert all(any(mine[k] or k_own for k, k_own in other.items() if k in mine) for other in keys.values())
+
+
 def test_short_lines_of_one_text_are_one_class(spark):
     long = "a line of more than thirty-two characters"
     docs = [(1, f"menu\n{long}\n\nmenu"), (2, f"Menu\nmenu\n{long}!"), (2, f"Menu\nmenu\n{long}!"), (3, "\nmenu"), (None, "Menu"), (4, None)]
