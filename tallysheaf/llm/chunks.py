@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import islice
 
-#: Letters of ASCII and Latin-1, then marks: normal already, lower case one by one, and no contraction among them.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([.,;:!?]*)")
+#: Letters of ASCII and Latin-1, then marks of ASCII but for the apostrophe: normal already, lower case one by one, and no
+#: contraction among them.
+_LETTERS, _MARKS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+", rb"[!-&(-/:-@\[-`{-~]*+"
+_PLAIN = re.compile(rb"(%b)(%b)" % (_LETTERS, _MARKS))
+#: One run of many, each of which a blank ends: letters and marks, or anything else.
+_EACH = re.compile(rb"(%b)(%b) |([^ ]*+) " % (_LETTERS, _MARKS))
 
 
 class Memo(dict):
@@ -24,7 +28,7 @@ class Memo(dict):
             early = dict(islice(self.items(), self.most // 2))
             self.clear()
             self.update(early)
-        new = list({run for runs in texts for run in runs if run not in self})
+        new = [run for run in set().union(*texts) if run not in self]
         if new:
             self.update(zip(new, self.work(new), strict=True))
 
@@ -42,3 +46,22 @@ def plain(run: bytes) -> list[bytes] | None:
     at = m.end(1)
     word = run[:at].lower() if run.isascii() else run[:at].decode().lower().encode()
     return [word, run[at:]] if word and at < len(run) else [word or run]
+
+
+def plains(batch: list[bytes]) -> tuple[list[bytes], tuple[bytes, ...], tuple[bytes, ...]]:
+    """Of runs without blanks, one or more, the letters, lower-cased, and the marks, as ``plain`` has them; and, where a run
+    isn't plain, both empty and the whole run last."""
+    letters, marks, others = zip(*_EACH.findall(b" ".join(batch) + b" "), strict=True)
+    return b" ".join(letters).decode().lower().encode().split(b" "), marks, others
+
+
+def slices(sizes: list[int], most_rows: int, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of parts of at most so many rows and, unless a row alone has more, bytes."""
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == most_rows or held + n > most_bytes):
+            yield at, i - at
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes) - at

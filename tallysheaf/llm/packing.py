@@ -9,12 +9,13 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
-from .chunks import Memo, plain, runs
+from .chunks import Memo, plains, runs, slices
 from .shared import stored
 
 PIECE = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -29,24 +30,28 @@ class _Ids:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         self.library, self.kind = Tokenizer.from_file(file), kind
+        vocab, suffix = self.library.get_vocab(with_added_tokens=True), getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.memo, self.words = Memo(self._runs, b"", most), Memo(self._words, b"", most)
 
     def _runs(self, batch: list[bytes]) -> list[bytes]:
-        cut = [plain(run) for run in batch]
-        self.words.learn([p for p in cut if p])
-        other = self._texts([run for run, p in zip(batch, cut, strict=True) if not p])
+        words, marks, others = plains(batch)
+        self.words.learn((words, marks))
+        rest = self._texts([run for run in others if run])
         get = self.words.__getitem__
-        return [(get(p[0]) if len(p) == 1 else get(p[0]) + get(p[1])) if p else next(other) for p in cut]
+        return [next(rest) if run else get(word) + get(end) if end else get(word) for word, end, run in zip(words, marks, others, strict=True)]
 
     def _words(self, batch: list[bytes]) -> list[bytes]:
-        """Many words in one text: the library says which pre-token, that is which word, each id belongs to."""
+        """Many words in one text: the last id of each ends with the vocabulary's suffix of words, and no other does. Where
+        that doesn't tell the words apart, they go one by one."""
         out: list[bytes] = []
         for at in range(0, len(batch), 2000):
             part = batch[at : at + 2000]
-            found = self.library.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ids, owner = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
-            if len(owner) and (np.diff(owner) >= 0).all() and owner[-1] == len(part) - 1:
-                raw, cuts = ids.tobytes(), (np.searchsorted(owner, np.arange(len(part) + 1)) * ids.itemsize).tolist()
+            ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, cuts = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
                 out += [raw[a:z] for a, z in zip(cuts, cuts[1:])]
             else:
                 out += self._texts(part)
@@ -70,8 +75,8 @@ def _tokenised(docs: DataFrame, doc_id: str, text: str, file: str, end: int, voc
         ids = _Ids(file, kind, most_runs)
         frequency = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for at, rows in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 1000, 6 << 20):
+                part = batch.slice(at, rows)
                 cut = [runs(t) for t in part.column(1).to_pylist()]
                 ids.memo.learn(cut)
                 get, packed, near, n = ids.memo.__getitem__, [], [], []

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallysheaf.llm import embedding_dedup, line_dedup, near_duplicates, packing, shared
+from tallysheaf.llm import chunks, embedding_dedup, line_dedup, near_duplicates, packing, shared
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -211,6 +211,25 @@ def test_isolated_pairs_of_vectors_are_found_or_the_audit_fails(spark):
         embedding_dedup.near_vectors(frame, leaf=8, most_trees=4)
 
 
+def test_ids_of_runs_learned_together_are_the_librarys():
+    runs = [b"it's", b"\xff\xfe", b"<|endoftext|>", b"a<|endoftext|>", b"--", b"<|", b"x''", b"'", b"A^~`", b"\xc3\x97a", b"\xc3\x9f!",
+            "CAFÉ##".encode(), b"x" * 50_000 + b"1", b"'s", b"foo_bar", b"foo_", "ﬁ".encode(), b"word###", b"Word$$$", b"12", b"(a)", b"a)."]
+    words, marks, others = chunks.plains([*runs, b""])
+    assert dict(zip(runs, others))[b"word###"] == b"" and (words[runs.index(b"Word$$$")], marks[runs.index(b"Word$$$")]) == (b"word", b"$$$")
+    for run, word, mark, other in zip([*runs, b""], words, marks, others, strict=True):
+        assert chunks.plain(run) == (None if other else [word, mark] if word and mark else [word or mark])
+    ids = packing._Ids(FILE, "<u2", 1000)
+    ids.memo.learn([runs, [b""]])
+    library = Tokenizer.from_file(FILE)
+    assert all(np.frombuffer(ids.memo[r], "<u2").tolist() == library.encode(r.decode("utf-8", "replace"), add_special_tokens=False).ids for r in runs)
+    assert ids._words([b"one", b"two words", b"three"])[1] == b"".join(ids._words([b"two", b"words"]))
+
+
+def test_slices_hold_so_many_rows_or_bytes():
+    assert [*chunks.slices([], 2, 10)] == [] and [*chunks.slices([1, 1, 1], 2, 10)] == [(0, 2), (2, 1)]
+    assert [*chunks.slices([4, 7, 30, 0, 3], 9, 10)] == [(0, 1), (1, 1), (2, 1), (3, 2)]
+
+
 def check_pieces(pieces, texts, window):
     library = Tokenizer.from_file(FILE)
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts}
