@@ -6,12 +6,20 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
+
 #: Letters of ASCII and Latin-1, then marks of ASCII but for the apostrophe: normal already, lower case one by one, and no
 #: contraction among them.
 _LETTERS, _MARKS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+", rb"[!-&(-/:-@\[-`{-~]*+"
 _PLAIN = re.compile(rb"(%b)(%b)" % (_LETTERS, _MARKS))
-#: One run of many, each of which a blank ends: letters and marks, or anything else.
-_EACH = re.compile(rb"(%b)(%b) |([^ ]*+) " % (_LETTERS, _MARKS))
+_SPACE, _LETTER, _MARK, _ELSE = range(4)
+_CLASS = np.full(256, _ELSE, np.int8)
+_CLASS[32] = _SPACE
+_CLASS[[b for b in range(33, 127) if re.fullmatch(_MARKS, bytes([b]))]] = _MARK
+_CLASS[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+#: Second bytes of letters that begin with the byte 0xC3.
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 class Memo(dict):
@@ -48,11 +56,28 @@ def plain(run: bytes) -> list[bytes] | None:
     return [word, run[at:]] if word and at < len(run) else [word or run]
 
 
-def plains(batch: list[bytes]) -> tuple[list[bytes], tuple[bytes, ...], tuple[bytes, ...]]:
+def plains(batch: list[bytes]) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """Of runs without blanks, one or more, the letters, lower-cased, and the marks, as ``plain`` has them; and, where a run
     isn't plain, both empty and the whole run last."""
-    letters, marks, others = zip(*_EACH.findall(b" ".join(batch) + b" "), strict=True)
-    return b" ".join(letters).decode().lower().encode().split(b" "), marks, others
+    text = np.frombuffer(b" ".join(batch), np.uint8)
+    kind = _CLASS[text]
+    latin = np.flatnonzero((text[:-1] == 0xC3) & _LATIN[text[1:]])
+    kind[latin] = kind[latin + 1] = _LETTER
+    lower = _LOWER[text]
+    upper = latin[text[latin + 1] < 0x9F] + 1
+    lower[upper] += 0x20
+    blank = kind == _SPACE
+    run = np.cumsum(blank)
+    wrong = kind == _ELSE
+    wrong[1:] |= (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
+    odd = np.zeros(len(batch), bool)
+    odd[run[wrong]] = True
+    good = ~odd[run]
+    words, marks = (lower[blank | (good & (kind == k))].tobytes().split(b" ") for k in (_LETTER, _MARK))
+    others = [b""] * len(batch)
+    for i in np.flatnonzero(odd).tolist():
+        others[i] = batch[i]
+    return words, marks, others
 
 
 def slices(sizes: list[int], most_rows: int, most_bytes: int) -> Iterator[tuple[int, int]]:
