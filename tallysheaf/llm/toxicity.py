@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,30 +86,37 @@ def _gain(hot: np.ndarray, cold: np.ndarray, share: float) -> np.ndarray:
     return np.sign(own - share) * (hot * np.log(own / share) + cold * np.log((1 - own) / (1 - share)))
 
 
-def train(rows: list[tuple[list[str], int]], voters: int = 120, features: int = 800, least_share: float = 0.9) -> Toxicity:
-    """Fit on (distinct words, label) rows; voters are marks whose rows are toxic in at least ``least_share``. Without rows of both labels the fixed insults alone decide."""
-    y = np.array([label for _, label in rows], float)
-    if not len(y) or y.min() == y.max():
-        return Toxicity({f"={w}": 6.0 for w in INSULTS}, -3.0)
+def train(rows: Iterable[tuple[list[str], int]], voters: int = 120, features: int = 800, least_share: float = 0.9) -> Toxicity:
+    """Fit on (distinct words, label) rows; voters are marks whose rows are toxic in at least ``least_share``. Without rows of both labels the fixed insults alone decide.
+
+    Rows are taken one by one; what is held of one is the numbers of its marks, and a byte for each mark of the classifier."""
     # Marks as numbers, one array for a row: a few bytes for each mark of each row.
     number: dict[str, int] = {}
     of_word: dict[str, np.ndarray] = {}
-    for words, _ in rows:
+    sets, labels = [], []
+    for words, label in rows:
         for w in words:
             if w not in of_word:
                 of_word[w] = np.array([number.setdefault(m, len(number)) for m in marks(w)], np.int32)
+        sets.append(np.unique(np.concatenate([of_word[w] for w in words])) if words else np.zeros(0, np.int32))
+        labels.append(label)
+    y = np.array(labels, float)
+    if not len(y) or y.min() == y.max():
+        return Toxicity({f"={w}": 6.0 for w in INSULTS}, -3.0)
     names = [*number]
-    sets = [np.unique(np.concatenate([of_word[w] for w in words])) if words else np.zeros(0, np.int32) for words, _ in rows]
     del of_word
 
     def tally(chosen: np.ndarray) -> np.ndarray:
-        hit = [s for s, c in zip(sets, chosen, strict=True) if c]
-        return np.bincount(np.concatenate(hit), minlength=len(names)) if hit else np.zeros(len(names), np.int64)
+        out = np.zeros(len(names), np.int64)
+        for s, c in zip(sets, chosen, strict=True):
+            if c:
+                out[s] += 1
+        return out
 
-    def table(marked: list[int], more: int) -> np.ndarray:
+    def table(marked: list[int], more: int, kind: type = float) -> np.ndarray:
         at = np.full(len(names), -1)
         at[marked] = np.arange(len(marked))
-        out = np.zeros((len(sets), len(marked) + more))
+        out = np.zeros((len(sets), len(marked) + more), kind)
         for i, s in enumerate(sets):
             found = at[s]
             out[i, found[found >= 0]] = 1
@@ -132,15 +139,20 @@ def train(rows: list[tuple[list[str], int]], voters: int = 120, features: int =
     gain = np.abs(_gain(hot, toxic + clean - hot, float(np.clip((p > 0.5).mean(), 1e-6, 1 - 1e-6))))
     gain[insults] = np.maximum(gain[insults], sure + 1)
     chosen = sorted(np.flatnonzero(gain > sure).tolist(), key=lambda m: (-gain[m], names[m]))[:features]
-    x = table(chosen, 1)
+    x = table(chosen, 1, np.uint8)
     x[:, -1] = 1
+    parts = [slice(at, at + 500) for at in range(0, len(x), 500)]
     w = np.zeros(len(chosen) + 1)
     ridge = np.full(len(w), 0.005)
     ridge[-1] = 1e-6
     for _ in range(12):  # Newton's steps of a ridge logistic regression on soft labels
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge)
-        w += np.linalg.solve(hessian + 1e-6 * np.eye(len(w)), x.T @ (p - q) - ridge * w)
+        hessian, slope = np.diag(ridge + 1e-6), -ridge * w
+        for part in parts:
+            some = x[part].astype(float)
+            q = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+            hessian += (some * (q * (1 - q))[:, None]).T @ some
+            slope += some.T @ (p[part] - q)
+        w += np.linalg.solve(hessian, slope)
     return Toxicity({names[m]: float(w[i]) for i, m in enumerate(chosen)}, float(w[-1]))
 
 
@@ -172,8 +184,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_row
             yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(1), batch.column(2)], names=["words", "y", "k"])
 
     got = sample.select("text", "y", key.alias("k")).mapInArrow(words, "words string, y int, k long").orderBy("k", "words", "y").limit(train_rows).toArrow()
-    pairs = zip(got.column("words").to_pylist(), got.column("y").to_pylist(), strict=True)
-    return train([(w.split(" ") if w else [], y) for w, y in pairs])
+    return train(_pairs(got))
+
+
+def _pairs(got: pa.Table) -> Iterator[tuple[list[str], int]]:
+    """The rows' words and labels, a few rows at a time."""
+    for batch in got.to_batches(200):
+        for words, y in zip(batch.column("words").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            yield words.split(" ") if words else [], y
 
 
 def toxicity(docs: DataFrame, model: Toxicity, text: str = "text", threshold: float = 0.5, most_words: int = 500_000) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -157,6 +158,23 @@ def test_toxicity_learns_stems_and_spares_the_clean(spark):
     assert toxicity.fit(frame.where("toxic = 0")).score({"=idiot"}) > 0.5
 
 
+def test_toxicity_is_learned_from_rows_that_come_one_by_one():
+    """The training rows are never held together as words; a mark of the classifier is a byte a row, not eight."""
+    def rows():
+        r = random.Random(2)
+        for i in range(3000):
+            y = i % 10 == 0
+            yield [f"w{i % 20}x{r.randrange(400)}" for _ in range(40)] + [f"bad{r.randrange(60)}word"] * y, int(y)
+
+    tracemalloc.start()
+    model = toxicity.train(rows())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    same = toxicity.train([*rows()])
+    assert model.weight == same.weight and model.bias == same.bias and len(model.weight) > 20
+    assert most < 45_000_000
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
