@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
@@ -63,8 +64,18 @@ def shingle_sets(texts: list[bytes | None], hashes: dict[bytes, int], size: int)
     return total[fresh], np.bincount(owner[fresh], minlength=len(said))
 
 
+def _entries(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one owner and key begin, cut after 255 so that a byte holds their lengths, and these lengths."""
+    at = np.arange(len(owner))
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    starts = np.flatnonzero((at - np.maximum.accumulate(np.where(fresh, at, 0))) % 255 == 0)
+    return starts, np.diff(np.append(starts, len(owner))).astype(np.uint8)
+
+
 def _blocks(docs: DataFrame, parts: int, size: int, most_words: int = 800_000) -> DataFrame:
-    """Shingles dealt by value, in blocks: for each part the sets that have shingles there, and these, 6 bytes each.
+    """Shingles dealt by value, in blocks: for each part the sets that have shingles there, 9 bytes each, and these, 6 bytes
+    each. A set's size goes once a block, to the part of its signature.
 
     Equal sets have one signature and are one set from here on. The rows of documents themselves ride along.
     """
@@ -96,55 +107,61 @@ def _blocks(docs: DataFrame, parts: int, size: int, most_words: int = 800_000) -
                 order = np.argsort(part, kind="stable")
                 tokens, owner, part = tokens[order], owner[order], part[order]
                 cuts = np.searchsorted(part, np.arange(parts + 1))
+                starts, lengths = _entries(owner, part)
+                first = np.searchsorted(starts, cuts)
+                sigs = sig[owner[starts]]
                 raw = tokens.view(np.uint8).reshape(-1, 8)[:, :6]
-                rows: dict[str, list] = {k: [] for k in ("part", "sigs", "ns", "counts", "tokens")}
-                for p in np.flatnonzero(np.diff(cuts)):
-                    a, z = cuts[p], cuts[p + 1]
-                    o = owner[a:z]
-                    first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+                known = firsts[n[firsts] > 0]
+                home = sig[known] % parts
+                known, home = known[np.argsort(home, kind="stable")], np.sort(home)
+                homes = np.searchsorted(home, np.arange(parts + 1))
+                rows: dict[str, list] = {c: [] for c in _BLOCK[:6]}
+                for p in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(homes) > 0)):
+                    a, z = first[p], first[p + 1]
+                    mine = known[homes[p] : homes[p + 1]]
                     rows["part"].append(int(p))
-                    rows["sigs"].append(sig[o[first]].tobytes())
-                    rows["ns"].append(n[o[first]].astype(np.int32).tobytes())
-                    rows["counts"].append(np.diff(np.append(first, z - a)).astype(np.int32).tobytes())
-                    rows["tokens"].append(np.ascontiguousarray(raw[a:z]).tobytes())
+                    rows["sigs"].append(sigs[a:z].tobytes())
+                    rows["counts"].append(lengths[a:z].tobytes())
+                    rows["tokens"].append(np.ascontiguousarray(raw[cuts[p] : cuts[p + 1]]).tobytes())
+                    rows["own"].append(sig[mine].tobytes())
+                    rows["ns"].append(n[mine].astype(np.int32).tobytes())
                 k = len(rows["part"])
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("sigs", "ns", "counts", "tokens")], none, none, none], names=_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in _BLOCK[1:6]], none, none, none], names=_BLOCK)
                 m = end - at
                 spread = pa.array((np.arange(m) + number) % parts, pa.int32())
                 number += m
-                empty = pa.nulls(m, pa.binary())
-                yield pa.RecordBatch.from_arrays([spread, empty, empty, empty, empty, ids, pa.array(sig), pa.array(n.astype(np.int64))], names=_BLOCK)
+                empty = [pa.nulls(m, pa.binary())] * 5
+                yield pa.RecordBatch.from_arrays([spread, *empty, ids, pa.array(sig), pa.array(n.astype(np.int64))], names=_BLOCK)
                 at = end
             if len(hashes) > 1_000_000:
                 hashes.clear()
 
-    return docs.mapInArrow(work, "part int, sigs binary, ns binary, counts binary, tokens binary, doc_id long, sig long, n long")
+    return docs.mapInArrow(work, "part int, sigs binary, counts binary, tokens binary, own binary, ns binary, doc_id long, sig long, n long")
 
 
-_BLOCK = ["part", "sigs", "ns", "counts", "tokens", "doc_id", "sig", "n"]
-_SETS = ["part", "sig", "n", "doc_id", "sigs", "ns", "counts", "tokens", "ranks"]
+_BLOCK = ["part", "sigs", "counts", "tokens", "own", "ns", "doc_id", "sig", "n"]
+_SETS = ["part", "sig", "n", "doc_id", "sigs", "counts", "tokens", "ranks", "own", "ns"]
 
 
 def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Of one part: every shingle that two sets or more have, with the rank of its frequency, by set; the sets of one part of
     signatures in one block, so that rows are as many as parts meet parts, however many sets share shingles."""
-    sigs, ns, tokens, owners, known, number = [], [], [], [], 0, 0
+    sigs, tokens, owners, sizes, known, number = [], [], [], [], 0, 0
     for batch in batches:
-        column = {c: batch.column(c) for c in _BLOCK}
-        docs = pc.is_valid(column["sig"])
+        docs = pc.is_valid(batch.column("sig"))
         mine = batch.filter(docs)
         m = len(mine)
         if m:
             spread = pa.array((np.arange(m) + number) % parts, pa.int32())
             number += m
-            empty = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([spread, mine.column("sig"), mine.column("n"), mine.column("doc_id"), empty, empty, empty, empty, empty], names=_SETS)
+            empty = [pa.nulls(m, pa.binary())] * 6
+            yield pa.RecordBatch.from_arrays([spread, mine.column("sig"), mine.column("n"), mine.column("doc_id"), *empty], names=_SETS)
         blocks = batch.filter(pc.invert(docs))
-        for s, n, c, t in zip(*[blocks.column(k).to_pylist() for k in ("sigs", "ns", "counts", "tokens")], strict=True):
+        for s, c, t, o, n in zip(*[blocks.column(k).to_pylist() for k in ("sigs", "counts", "tokens", "own", "ns")], strict=True):
+            sizes.append((np.frombuffer(o, np.int64), np.frombuffer(n, np.int32)))
             sigs.append(np.frombuffer(s, np.int64))
-            ns.append(np.frombuffer(n, np.int32))
-            count = np.frombuffer(c, np.int32)
+            count = np.frombuffer(c, np.uint8).astype(np.int64)
             wide = np.zeros((int(count.sum()), 8), np.uint8)
             wide[:, :6] = np.frombuffer(t, np.uint8).reshape(-1, 6)
             tokens.append(wide.view(np.uint64).ravel())
@@ -152,10 +169,16 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             known += len(count)
     if not tokens:
         return
-    every, first, same = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-    n = np.concatenate(ns)[first].astype(np.int64)
+    # The sizes of sets go on to the parts of their signatures, each set's once.
+    own, first = np.unique(np.concatenate([s for s, _ in sizes]), return_index=True)
+    n, home = np.concatenate([k for _, k in sizes])[first], own % parts
+    for to in np.unique(home).tolist():
+        mine = home == to
+        none, empty = pa.nulls(1, pa.int64()), [pa.nulls(1, pa.binary())] * 4
+        yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), none, none, none, *empty, pa.array([own[mine].tobytes()], pa.binary()), pa.array([n[mine].tobytes()], pa.binary())], names=_SETS)
+    every, same = np.unique(np.concatenate(sigs), return_inverse=True)
     token, owner = np.concatenate(tokens), same[np.concatenate(owners)]
-    del tokens, owners, sigs, ns
+    del tokens, owners, sigs, sizes
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -174,20 +197,19 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     part = (every % parts).astype(np.int64)
     order = np.lexsort((owner, part[owner]))
     token, owner, rank = token[order], owner[order], rank[order]
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(token) else np.zeros(0, np.int64)
-    counts, mine = np.diff(np.append(starts, len(token))), owner[starts]
+    starts, counts = _entries(owner, owner)
+    mine, ends = owner[starts], np.append(starts, len(token))
     raw = token.view(np.uint8).reshape(-1, 8)
     goes, first = np.unique(part[mine], return_index=True)
     last = np.append(first[1:], len(mine))
     for lo in range(0, len(goes), 64):
         rows = []
         for to, a, z in zip(goes[lo : lo + 64].tolist(), first[lo : lo + 64].tolist(), last[lo : lo + 64].tolist(), strict=True):
-            at, end = starts[a], starts[a] + counts[a:z].sum()
-            rows.append((to, every[mine[a:z]].tobytes(), n[mine[a:z]].astype(np.int32).tobytes(), counts[a:z].astype(np.int32).tobytes(),
-                         np.ascontiguousarray(raw[at:end, :6]).tobytes(), rank[at:end].tobytes()))
+            at, end = ends[a], ends[z]
+            rows.append((to, every[mine[a:z]].tobytes(), counts[a:z].tobytes(), np.ascontiguousarray(raw[at:end, :6]).tobytes(), rank[at:end].tobytes()))
         to, *blobs = zip(*rows, strict=True)
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), none, none, none, *[pa.array(c, pa.binary()) for c in blobs]], names=_SETS)
+        none, empty = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), none, none, none, *[pa.array(c, pa.binary()) for c in blobs], empty, empty], names=_SETS)
 
 
 _CANDIDATE = "sig long, n long, doc_id long, shared array<long>, ranks array<smallint>, slots int"
@@ -201,30 +223,33 @@ def _candidates(batches: Iterator[pa.RecordBatch], keep: int, of: int) -> Iterat
     """
     kind, small = pa.list_(pa.int64()), pa.list_(pa.int16())
     names = ["sig", "n", "doc_id", "shared", "ranks", "slots"]
-    sigs, ns, tokens, ranks = [], [], [], []
+    sigs, sizes, tokens, ranks = [], [], [], []
     for batch in batches:
-        own = pc.is_valid(batch.column("sig"))
-        docs = batch.filter(own)
+        rows = pc.is_valid(batch.column("sig"))
+        docs = batch.filter(rows)
         if m := len(docs):
             yield pa.RecordBatch.from_arrays([docs.column("sig"), docs.column("n"), docs.column("doc_id"), pa.nulls(m, kind), pa.nulls(m, small), pa.nulls(m, pa.int32())], names=names)
-        blocks = batch.filter(pc.invert(own))
-        for s, k, c, t, r in zip(*[blocks.column(x).to_pylist() for x in ("sigs", "ns", "counts", "tokens", "ranks")], strict=True):
-            count = np.frombuffer(c, np.int32)
+        blocks = batch.filter(pc.invert(rows))
+        for s, c, t, r, o, k in zip(*[blocks.column(x).to_pylist() for x in ("sigs", "counts", "tokens", "ranks", "own", "ns")], strict=True):
+            if s is None:
+                sizes.append((np.frombuffer(o, np.int64), np.frombuffer(k, np.int32)))
+                continue
+            count = np.frombuffer(c, np.uint8).astype(np.int64)
             sigs.append(np.repeat(np.frombuffer(s, np.int64), count))
-            ns.append(np.repeat(np.frombuffer(k, np.int32), count))
             wide = np.zeros((int(count.sum()), 8), np.uint8)
             wide[:, :6] = np.frombuffer(t, np.uint8).reshape(-1, 6)
             tokens.append(wide.view(np.uint64).ravel())
             ranks.append(np.frombuffer(r, np.uint8))
     if not tokens:
         return
-    sig, n, token, rank = (np.concatenate(x) for x in (sigs, ns, tokens, ranks))
-    sigs.clear(), ns.clear(), tokens.clear(), ranks.clear()
+    sig, token, rank = (np.concatenate(x) for x in (sigs, tokens, ranks))
+    sigs.clear(), tokens.clear(), ranks.clear()
     order = np.lexsort((mix(token), rank, sig))
-    sig, n, token, rank = sig[order], n[order].astype(np.int64), token[order].astype(np.int64), rank[order].astype(np.int16)
+    sig, token, rank = sig[order], token[order].astype(np.int64), rank[order].astype(np.int16)
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     held = np.diff(np.append(first, len(sig)))
-    n = n[first]
+    known, at = np.unique(np.concatenate([s for s, _ in sizes]), return_index=True)
+    n = np.concatenate([k for _, k in sizes])[at][np.searchsorted(known, sig[first])].astype(np.int64)
     slots = np.minimum(n - (keep * n + of - 1) // of + 1 - (n - held), held)
     kept = np.flatnonzero(slots > 0)
     for lo in range(0, len(kept), 500):
@@ -294,28 +319,41 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int, orders: int) -> D
     return links.select("src_component", "dst_component").distinct()
 
 
-def _united(placed: DataFrame, links: DataFrame) -> DataFrame:
+def _united(placed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """The prefix shingles under the least component that each links to, as far as some shingle still has two. One step a
     round: what is linked over several is one component in the end."""
     both = links.unionByName(links.select(F.col("dst_component").alias("src_component"), F.col("src_component").alias("dst_component")))
     step = both.groupBy(F.col("src_component").alias("id")).agg(F.min("dst_component").alias("to")).where("to < id")
     moved = placed.join(step, F.col("component") == F.col("id"), "left")
-    return _open(moved.select("token", "sig", "n", "rest", F.coalesce("to", "component").alias("component")))
+    return _open(moved.select("token", "sig", "n", "rest", F.coalesce("to", "component").alias("component")), percent)
 
 
-def _open(placed: DataFrame) -> DataFrame:
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    return stored(placed.join(mixed, "token", "left_semi"), "open-prefixes")
+def _open(placed: DataFrame, percent: int) -> DataFrame:
+    """The prefix shingles that another component has too, of sets to which some set with the shingle is near enough in size.
 
-
-def _crowded(placed: DataFrame, percent: int, pairs: int = 4) -> bool:
-    """Whether the prefix shingles meet across components in more than ``pairs`` pairs each on average, counting places at
-    which sets of one size could still be near."""
+    A set finds its partners between the sizes that ``_near`` leaves it, so the next larger and the next smaller size that
+    the shingle has tell if there are any. Sizes are looked at once for each shingle, however many sets have them.
+    """
+    sizes = placed.groupBy("token", "n").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    by_size, whole = W.partitionBy("token").orderBy("n"), W.partitionBy("token")
+    sizes = sizes.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
+    sizes = sizes.withColumn("mixed", F.min("lo").over(whole) < F.max("hi").over(whole)).where("mixed")
+    sizes = sizes.select("token", "n", (F.col("lo") < F.col("hi")).alias("same"), "smaller", "larger")
+    n, most = F.col("n"), (100 + percent) * F.col("rest") - percent * F.col("n")  # percent times the largest partner's size
+    up = (percent * F.col("larger") <= most) & (percent * F.col("larger") <= 100 * n)
+    down = (percent * F.col("smaller") <= most) & (100 * F.col("smaller") >= percent * n)
+    meets = (F.col("same") & (percent * n <= most)) | F.coalesce(up, F.lit(False)) | F.coalesce(down, F.lit(False))
+    return stored(placed.join(sizes, ["token", "n"]).where(meets).select("token", "sig", "n", "rest", "component"), "open-prefixes")
+
+
+def _crowded(placed: DataFrame, percent: int, most: int) -> bool:
+    """Whether the prefix shingles meet across components in more than ``most`` pairs, counting places at which sets of one
+    size could still be near."""
     early = placed.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("n"))
     own = early.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
     met = own.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-    r = met.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-    return r["rows"] is not None and r["pairs"] > pairs * r["rows"]
+    r = met.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs")).first()
+    return r["pairs"] is not None and r["pairs"] > most
 
 
 def _star_pairs(placed: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -347,7 +385,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ones and these are out.
 
     Sets with a common least hash are linked to a few leads each and joined to components. While
-    the prefix shingles would then meet in more than a few pairs each, rounds of stars follow, until one links less than a fiftieth of its pairs: for
+    the prefix shingles would then meet in more than four times as many pairs as there were at first, rounds of stars follow, until one links less than a fiftieth of its pairs: for
     each prefix shingle one set of every component is held against that of one, other sets in every round. The join on prefix shingles takes only what is of different components even then, so a group
     of near copies never becomes all its pairs, and of the links between two components one goes on. Pairs whose sizes
     or places of the shingle tell that they can't be near, or whose prefixes under the other orders don't meet, are
@@ -356,7 +394,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = ship(docs.sparkSession)
     flat = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     parts = max(2, -(-(flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
-    sets = "part int, sig long, n long, doc_id long, sigs binary, ns binary, counts binary, tokens binary, ranks binary"
+    sets = "part int, sig long, n long, doc_id long, sigs binary, counts binary, tokens binary, ranks binary, own binary, ns binary"
     dealt = _blocks(flat, parts, size).repartitionById(parts, "part").mapInArrow(lambda b: _shared(b, parts), sets)
     dealt = dealt.repartitionById(parts, "part")
     table = stored(dealt.drop("part").mapInArrow(lambda b: _candidates(b, percent, 100), _CANDIDATE), "sets")
@@ -374,13 +412,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prefix = F.posexplode(F.slice("shared", F.lit(1), F.col("slots"))).alias("at", "token")
     placed = held.select("sig", "n", "shared", prefix).select("token", "sig", "n", rest.alias("rest"))
     placed = placed.join(edges, F.col("sig") == F.col("src"), "left").select("token", "sig", "n", "rest", F.coalesce("dst", "sig").alias("component"))
-    placed, seed = _open(placed), 0
-    while _crowded(placed, percent):
+    placed, seed = _open(placed, percent), 0
+    most = 4 * placed.count()
+    while _crowded(placed, percent, most):
         stars = _star_pairs(placed, seed, percent)
         links = stored(_verified(stars, held, percent, orders), "star-links")
         n = links.count()
         edges = edges.unionByName(links.select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")))
-        placed, seed = _united(placed, links), seed + 1
+        placed, seed = _united(placed, links, percent), seed + 1
         if 50 * n < stars.count():  # most of what still differs doesn't link
             break
     a, b = placed.alias("a"), placed.alias("b")

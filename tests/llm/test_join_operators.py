@@ -174,6 +174,46 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicates(frame.limit(0)).isEmpty()
 
 
+def test_sets_cost_few_bytes_beside_their_shingles(spark):
+    """With more parts than a set has shingles, each is alone in its part: 9 bytes for the set there, 12 for its size."""
+    r = random.Random(3)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(304)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, text binary")
+    blocks = near_duplicates._blocks(docs, 50_000, 5).where("sig IS NULL")
+    sent = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in blocks.dtypes if kind == "binary")
+    assert blocks.agg(F.sum(sent)).first()[0] <= 30 * (300 * 15 + 12)
+
+
+def test_long_runs_of_one_set_are_entries_of_a_byte():
+    owner, key = np.repeat([4, 4, 7], [600, 255, 1]), np.repeat([0, 1, 1], [600, 255, 1])
+    starts, lengths = near_duplicates._entries(owner, key)
+    assert starts.tolist() == [0, 255, 510, 600, 855] and lengths.tolist() == [255, 255, 90, 255, 1]
+
+
+def test_sets_of_several_hundred_shingles_in_one_part(spark):
+    """Two parts, and far more than 255 shingles of a set in each."""
+    r = random.Random(5)
+    words = [str(r.randrange(10**6)) for _ in range(3000)]
+    texts = [" ".join(words), " ".join(words[:2900]), " ".join(words[::-1]), " ".join(words)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {row[0]: (row[1], row[2]) for row in near_duplicates.near_duplicates(docs).collect()}
+    assert got == {0: (2996, 0), 1: (2896, 0), 2: (2996, 2), 3: (2996, 0)}
+
+
+def test_only_shingles_that_sets_near_in_size_share_stay_open(spark):
+    r = random.Random(9)
+    rows = {(r.randrange(60), s, n, r.randrange(n * 3 // 4, n + 1), r.randrange(6)) for s in range(300) for n in [r.choice([8, 10, 13, 40, 300])]}
+    rows |= {(99, 1000, 10, 10, 1), (99, 1001, 300, 300, 2)}  # of two components, but far apart in size
+    placed = spark.createDataFrame([*rows], "token long, sig long, n long, rest long, component long")
+    kept = {tuple(x) for x in near_duplicates._open(placed, 75).select("token", "sig", "n", "rest", "component").collect()}
+
+    def near(a, b):
+        return a[0] == b[0] and a[4] != b[4] and 100 * a[2] >= 75 * b[2] and 100 * b[2] >= 75 * a[2] and 175 * min(a[3], b[3]) >= 75 * (a[2] + b[2])
+
+    assert kept >= {a for a in rows if any(near(a, b) for b in rows)}
+    assert not any(x[0] == 99 for x in kept) and len(kept) < len(rows)
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 16))
