@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
-from .chunks import Memo, plains, runs, slices
+from .chunks import Memo, cuts, plains, slices
 from .shared import stored
 
 PIECE = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -26,20 +26,39 @@ class _Ids:
     """Token ids of runs by the tokenizer's library, as bytes."""
 
     def __init__(self, file: str, kind: str, most: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
-        self.library, self.kind = Tokenizer.from_file(file), kind
+        self.library, self.kind = Tokenizer.from_file(file), np.dtype(kind)
         vocab, suffix = self.library.get_vocab(with_added_tokens=True), getattr(self.library.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
-        self.memo, self.words = Memo(self._runs, b"", most), Memo(self._words, b"", most)
+        # For plain words the normalizer changes nothing: these are normal, in lower case and have one blank between them.
+        self.plain = Tokenizer.from_file(file)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.memo = Memo(self._runs, b"", most)
+
+    def of_texts(self, texts: pa.Array, close: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids end, and the ids of all texts, one after another, each text's with ``close`` after them.
+
+        What the texts are cut into is looked up once each, and its ids are then copied to all its places together.
+        """
+        of, found = cuts(texts)
+        values = [*map(self.memo.get, found)]
+        new = [i for i, ids in enumerate(values) if ids is None]
+        self.memo.learn([[found[i] for i in new]])
+        for i in new:
+            values[i] = self.memo[found[i]]
+        values.insert(0, close)
+        copied = pa.array(values, pa.binary()).take(pa.array(of))
+        ends = np.frombuffer(copied.buffers()[1], np.int32)[1 : len(of) + 1][of == 0] // self.kind.itemsize
+        return ends.astype(np.int64), np.frombuffer(copied.buffers()[2], self.kind, ends[-1])
 
     def _runs(self, batch: list[bytes]) -> list[bytes]:
         words, marks, others = plains(batch)
-        self.words.learn((words, marks))
         rest = self._texts([run for run in others if run])
-        get = self.words.__getitem__
+        parts = [part for part in {*words, *marks} if part]
+        get = {b"": b"", **dict(zip(parts, self._words(parts), strict=True))}.__getitem__
         return [next(rest) if run else get(word) + get(end) if end else get(word) for word, end, run in zip(words, marks, others, strict=True)]
 
     def _words(self, batch: list[bytes]) -> list[bytes]:
@@ -48,7 +67,7 @@ class _Ids:
         out: list[bytes] = []
         for at in range(0, len(batch), 2000):
             part = batch[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 raw, cuts = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
@@ -64,6 +83,18 @@ class _Ids:
                 yield np.array(e.ids, self.kind).tobytes()
 
 
+#: What this process has learned, kept for its next tasks, as most words of a task are those of the tasks before it.
+_HELD: dict[tuple[str, str, int], _Ids] = {}
+
+
+def _held(file: str, kind: str, most: int) -> _Ids:
+    """The ids learned so far; of one tokenizer at a time, so a process holds no more than a task does."""
+    if (file, kind, most) not in _HELD:
+        _HELD.clear()
+        _HELD[file, kind, most] = _Ids(file, kind, most)
+    return _HELD[file, kind, most]
+
+
 def _tokenised(docs: DataFrame, doc_id: str, text: str, file: str, end: int, vocabulary: int, most_runs: int) -> DataFrame:
     """A row per document: its ids, their number and a min-hash of its neighbouring ids, which brings like texts
     together. At the end of each task one row more: in how many of its documents each id occurs."""
@@ -72,30 +103,33 @@ def _tokenised(docs: DataFrame, doc_id: str, text: str, file: str, end: int, voc
     close = np.array([end], kind).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(file, kind, most_runs)
+        ids = _held(file, kind, most_runs)
         frequency = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for at, rows in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 1000, 6 << 20):
-                part = batch.slice(at, rows)
-                cut = [runs(t) for t in part.column(1).to_pylist()]
-                ids.memo.learn(cut)
-                get, packed, near, n = ids.memo.__getitem__, [], [], []
-                for r in cut:
-                    packed.append(b"".join(map(get, r)) + close)
-                    a = np.frombuffer(packed[-1], kind).astype(np.uint64)
-                    n.append(len(a))
-                    # Odd multipliers mix neighbouring ids; the smallest value is the same for most near copies.
-                    mixed = (a[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ a[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(8)
-                    near.append(int(mixed.min()) if len(mixed) else 0)
-                keys, _ = _distinct(n, np.frombuffer(b"".join(packed), kind), vocabulary)
+            texts = pc.fill_null(batch.column(1), b"")
+            for at, rows in slices(pc.binary_length(texts).to_pylist(), 4000, 12 << 20):
+                ends, flat = ids.of_texts(texts.slice(at, rows), close)
+                n = np.diff(ends, prepend=0)
+                keys, _ = _distinct(n, flat, vocabulary)
                 frequency += np.bincount(keys % vocabulary, minlength=vocabulary)
-                none = pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(near, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), none], names=["doc_id", "near", "n", "ids", "frequency"])
+                offsets = pa.py_buffer((np.append(0, ends) * flat.itemsize).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), rows, [None, offsets, pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(_nearest(ends, flat)), pa.array(n), packed, pa.nulls(rows, pa.binary())], names=["doc_id", "near", "n", "ids", "frequency"])
         yield pa.RecordBatch.from_pydict({"doc_id": [None], "near": [None], "n": [None], "ids": [None], "frequency": [frequency.astype("<i8").tobytes()]}, _TOKENISED)
 
     return flat.mapInArrow(work, "doc_id long, near long, n long, ids binary, frequency binary")
 
 
+def _nearest(ends: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest mixture of two neighbouring ids of each document, which is the same for most near copies; 0 for a
+    document of one id."""
+    a, starts = ids.astype(np.uint64), np.append(0, ends[:-1])
+    mixed = np.full(len(a), ~np.uint64(0))
+    mixed[:-1] = (a[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ a[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(8)  # odd multipliers
+    mixed[ends - 1] = ~np.uint64(0)  # the last id of a document has none after it
+    return np.where(ends - starts > 1, np.minimum.reduceat(mixed, starts), 0).astype(np.int64)
+
+
 def _distinct(n: list[int] | np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (document * width + id) of documents of n ids each, ascending, and how often each occurs."""
     kind = np.uint32 if len(n) * width < 1 << 32 else np.uint64  # the narrower sorts faster
@@ -231,7 +265,7 @@ def fill(docs: list[tuple], idf: np.ndarray, mean: float, window: int, query_ter
 
 
 def pack(docs: DataFrame, file: str, end: int, doc_id: str = "doc_id", text: str = "text", window: int = 4096,
-         shard_tokens: int = 1_500_000, query_terms: int = 16, most_runs: int = 400_000) -> DataFrame:
+         shard_tokens: int = 1_500_000, query_terms: int = 16, most_runs: int = 800_000) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text by the tokenizer ``file``, without added tokens, then ``end``. Every id is

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -265,6 +266,32 @@ def test_ids_of_runs_learned_together_are_the_librarys():
     assert ids._words([b"one", b"two words", b"three"])[1] == b"".join(ids._words([b"two", b"words"]))
 
 
+def test_ids_of_texts_cut_together_are_the_librarys():
+    texts = [b"skipped", b"", b"The END.the end", b" \t\r\n", "CAFÉ## é, Ärger!\tßÄ\n(a) it's 12".encode(), b"x\xc3", b"\x80y", b"end\xc3", b"\xa9 A\xc3", b"!a", b"B", b"!!", b"",
+             "ﬁ 日本 <|endoftext|>a a<| foo_bar foo_ \x1cx\xa0y".encode(), b"A\n", b"word### Word$$$ word###"]
+    whole = pa.array(texts, pa.binary())
+    library = Tokenizer.from_file(FILE)
+    want = [[*library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2] for t in texts]
+    ids = packing._Ids(FILE, "<u2", 1000)
+    for part in (slice(1, None), slice(1, 2), slice(1, 4), slice(5, 11), slice(0, 3)):
+        ends, flat = ids.of_texts(whole[part], np.array([2], "<u2").tobytes())
+        assert [a.tolist() for a in np.split(flat, ends)[:-1]] == want[part]
+        near = packing._nearest(ends, flat).tolist()
+        for n, w in zip(near, want[part], strict=True):
+            mixed = [((a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F) % (1 << 64)) >> 8 for a, b in zip(w, w[1:])]
+            assert n == min(mixed, default=0)
+
+
+def test_a_process_keeps_the_ids_it_learned():
+    texts, asked = pa.array([b"alpha, beta gamma!", b"Beta delta"], pa.binary()), []
+    ids = packing._held(FILE, "<u2", 1000)
+    ids._words = lambda batch, work=ids._words: asked.extend(batch) or work(batch)
+    first = ids.of_texts(texts, b"")
+    again = packing._held(FILE, "<u2", 1000).of_texts(texts, b"")
+    assert sorted(asked) == [b"!", b",", b"alpha", b"beta", b"delta", b"gamma"] and (first[1] == again[1]).all()
+    assert packing._held(FILE, "<u2", 999) is not ids and len(packing._HELD) == 1
+
+
 def test_slices_hold_so_many_rows_or_bytes():
     assert [*chunks.slices([], 2, 10)] == [] and [*chunks.slices([1, 1, 1], 2, 10)] == [(0, 2), (2, 1)]
     assert [*chunks.slices([4, 7, 30, 0, 3], 9, 10)] == [(0, 1), (1, 1), (2, 1), (3, 2)]
